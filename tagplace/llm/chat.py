@@ -38,9 +38,9 @@ def turn_prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal(prefixes: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies of the conversations that no other one extends."""
-    ends = prefixes.groupBy("conv_id").agg(F.max("place").alias("n_turns"))
-    marked = prefixes.select("conv_id", "place", "h1", "h2").join(ends, "conv_id")
-    whole = marked.where("place = n_turns").groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"), F.max(F.col("conv_id").isNull()).alias("nameless"))
+    ends = prefixes.groupBy(F.col("conv_id").alias("own")).agg(F.max("place").alias("n_turns"))
+    marked = prefixes.select("conv_id", "place", "h1", "h2").join(ends, F.col("conv_id").eqNullSafe(F.col("own"))).drop("own")
+    whole = marked.where("place = n_turns").groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     inner = marked.where("place < n_turns").select("place", "h1", "h2").distinct()
     kept = whole.join(inner, ["place", "h1", "h2"], "left_anti")
     return kept.select("conv_id", F.col("place").cast("long").alias("n_turns"), "n_copies")
