@@ -56,7 +56,6 @@ _B = "sqrt(power(6378137.0, 2) * (1 - power(8.1819190842622e-2, 2)))"
 _LLA = f"""bent as (select *, sqrt(x * x + y * y) as p, atan2(z * 6378137.0, sqrt(x * x + y * y) * {_B}) as th from {{points}}),
 lla as (select *, atan2(y, x) as lo, atan2(z + (power(6378137.0, 2) - power({_B}, 2)) / power({_B}, 2) * {_B} * power(sin(th), 3), p - {_E2} * 6378137.0 * power(cos(th), 3)) as la from bent)"""
 
-_CLEAN = "list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', '+', 'g'), '+'), lambda x: true)"
 #: Trailing empty terms are dropped: text keeps its inner and leading ones.
 _REQUEST_TEXT = "rtrim(regexp_replace(lower(text), '[^a-z]+', '+', 'g'), '+')"
 _ASKED = f"asked as materialized (select request_id as id, cnt, case when {_REQUEST_TEXT} = '' then [] else string_split({_REQUEST_TEXT}, '+') end as tags from ({fx.duck(fx.REQUESTS)}))"

@@ -41,14 +41,6 @@ class Fitted:
 
 # --- parsing and coordinates ------------------------------------------------------------------------------
 
-_LINES = """
-select id, concat(case when id % 5 = 0 then ' ' else '' end, cast(id as [str]), ',', cast(user_id as [str]), ',2015-10-01 10:00:00,"{', [join],
-  case when id % 7 = 3 then '""x""' else '' end, '}",', cast(location_id as [str]), ',', case when id % 3 = 0 then '' else location_name end, ',',
-  cast(user_id as [str]), '.5,', case when id % 11 = 4 then 'abc' else '7.25' end, case when id % 13 = 5 then ',9' else '' end) as line
-from docs
-"""
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lambda x: F.col(x).cast("string")
     odd = lambda n, at, x: F.when(F.col("id") % n == at, x).otherwise("")
