@@ -6,12 +6,12 @@
    and empty bins borrow from others in the order of a fixed random table (optimal densification). Bands of
    ``ROWS`` bins give the buckets. A pair with similarity 0.8 shares none of the 32 buckets with a chance
    below 1e-7, one with 0.85 below 1e-10.
-3. A bucket's nodes are joined to one centre by star edges, whose number is at most that of the bucket's rows.
+3. A bucket's nodes are joined by star edges to two centres, its least node and the one with most neighbours in all
+   its buckets (in a group of edited copies, the text they were made from); so edges are at most twice the rows.
    An edge is a link if the full sets are similar enough. Connected components of the links follow.
-4. Nodes of a bucket that are still in different components after that may be linked without the centre.
-   Centres are chosen anew among such nodes (first the one with most bucket neighbours), and what is left after
-   ``ROUNDS`` such rounds is compared in full, in blocks of ``BLOCK`` nodes: signatures first, then sets, links
-   only between components. No bucket is capped.
+4. Nodes of a bucket that are still in different components after that may be linked without a centre. They are
+   compared in blocks of ``BLOCK`` nodes: signatures first, then full sets, and only links between components
+   leave a task. No bucket is capped.
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing; fewer than five words are one
 shingle. Null doc_ids take part; a component of nothing but null doc_ids has a null component_id and nothing of
@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, with_arrow, written
+from .common import removed, small_batches, with_arrow, written
 
-SHINGLE, BINS, ROWS, ROUNDS, BLOCK = 5, 128, 4, 2, 256
+SHINGLE, BINS, ROWS, BLOCK = 5, 128, 4, 256
 BANDS = BINS // ROWS
 #: A signature agreement below this excludes a similarity of 0.8 or more (over five standard deviations off).
 SURE = 0.6
@@ -139,26 +139,32 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """A side whose number of rows was counted: broadcast up to MAX_IDS, else shuffled."""
+    return F.broadcast(df) if rows <= MAX_IDS else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node reachable over edges (a, b). Least labels spread and labels of labels are
-    taken, so long chains end in a logarithmic number of rounds; only a count of changes reaches the driver."""
+    taken, so long chains end in a logarithmic number of rounds; only counts reach the driver."""
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
+    rows = labels.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        near = both.join(_sent(labels.select(F.col("node").alias("b"), "comp"), rows), "b").select(F.col("a").alias("node"), "comp", F.lit(None).cast("long").alias("own"))
+        low = near.unionByName(labels.select("node", "comp", F.col("comp").alias("own"))).groupBy("node").agg(F.min("comp").alias("mid"), F.max("own").alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        new = written(low.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp")), "labels")
-        if not new.where("old <> comp").limit(1).count():
-            return new.select("node", "comp")
+        new = written(low.join(_sent(jump, rows), "mid").select("node", "old", F.least("mid", "far").alias("comp")), "labels")
+        removed(labels)
         labels = new.select("node", "comp")
+        if not new.where("old <> comp").limit(1).count():
+            removed(both)
+            return labels
 
 
-def _picked(prepared: DataFrame, nodes: DataFrame) -> DataFrame:
+def _picked(prepared: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """(node, set) of these nodes, whose number is checked before they are broadcast."""
-    nodes = written(nodes, "nodes")
-    small = nodes.count() <= MAX_IDS
-    return prepared.select("row", "node", "set").join(F.broadcast(nodes) if small else nodes, ["row", "node"], "left_semi").select("node", "set")
+    return prepared.select("row", "node", "set").join(_sent(nodes, rows), ["row", "node"], "left_semi").select("node", "set")
 
 
 def _rest(members: DataFrame, percent: int) -> DataFrame:
@@ -197,50 +203,41 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     spark = docs.sparkSession
     small_batches(spark, 250)
     prepared = written(_prepared(docs, id_col, text_col), "sets")
-    clash = prepared.groupBy("node").agg((F.min("check") != F.max("check")).alias("c")).where("c").limit(1).count()
-    if clash:
-        raise RuntimeError("two shingle sets share a 64-bit hash; change the seed of the node hash")
     # one row a node stands for all texts with its set
-    first = written(prepared.where("n > 0").groupBy("node").agg(F.min("row").alias("row")), "first")
+    first = written(prepared.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), (F.min("check") != F.max("check")).alias("clash")), "first")
+    if first.where("clash").limit(1).count():
+        raise RuntimeError("two shingle sets share a 64-bit hash; change the seed of the node hash")
     spread = prepared.where("n > 0").select("row", "node", F.explode("bands").alias("key"))
     bands = written(spread.join(first, ["row", "node"], "left_semi").select("key", "node", "row"), "bands")
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("a")).where("size > 1")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(bands.join(buckets, "key"), "members")  # buckets of one node are gone
-    edges = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    touched = members.select("row", "node").distinct()
-    sets = written(_picked(prepared, touched), "picked")
+    removed(first)
+    removed(bands)
+    touched = written(members.groupBy("node").agg(F.min("row").alias("row"), F.sum("size").alias("degree")), "touched")
+    count = touched.count()
+    sets = written(_picked(prepared, touched.select("row", "node"), count), "picked")
+    # two centres: the least node, and the one with most bucket neighbours (degree and hash bits in one number)
+    prio = F.shiftleft(F.least("degree", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 32))
+    ranked = members.join(_sent(touched.select("node", prio.alias("prio")), count), "node")
+    hearts = ranked.groupBy("key").agg(F.array(F.min("node"), F.max_by("node", "prio")).alias("hearts"))
+    star = members.join(hearts, "key").select("node", F.explode("hearts").alias("a")).where("node <> a")
+    edges = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     links = written(_confirmed(edges, sets, percent), "links")
     labels = components(links)
-    live = members.select("key", "node")
-    for turn in range(ROUNDS + 1):
-        named = live.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        named = written(named, "named")
-        # buckets of two nodes are settled by their star edge
-        open_ = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 2 and lo <> hi")
-        open_ = written(open_.select("key", "size"), "open")
-        if not open_.limit(1).count():
-            break
-        left = written(named.join(open_, "key"), "left")
-        live = left.select("key", "node")
-        if turn < ROUNDS:
-            # the node with most neighbours is the centre; its degree and some bits of a hash make one number
-            degree = left.groupBy("node").agg(F.sum("size").alias("degree"))
-            order = F.when(F.lit(turn == 0), F.shiftleft(F.least("degree", F.lit(1 << 30)), 32)).otherwise(F.lit(0)) + F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 32))
-            ranked = left.join(degree.select("node", order.alias("prio")), "node")
-            top = ranked.groupBy("key").agg(F.max("prio").alias("prio"))
-            heart = ranked.join(top, ["key", "prio"]).groupBy("key").agg(F.min("node").alias("a"), F.min("comp").alias("ca"))
-            fresh = left.join(heart, "key").where("comp <> ca").select("a", F.col("node").alias("b")).distinct()
-            links = written(links.unionByName(_confirmed(fresh, sets, percent)), "links")
-        else:
-            block = F.pmod(F.xxhash64(F.lit(9), "node"), F.ceil(F.col("size") / BLOCK)).cast("int")
-            placed = left.withColumns({"block": block, "blocks": F.ceil(F.col("size") / BLOCK).cast("int")})
-            # each unordered pair of blocks is compared once
-            pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            x, y = F.least("block", "other"), F.greatest("block", "other")
-            side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-            dealt = pairs.select("key", x.alias("x"), y.alias("y"), side.alias("side"), "node", "comp").join(sets, "node")
-            links = written(links.unionByName(_rest(dealt, percent)), "links")
-        labels = components(links)
+    linked = labels.count()
+    named = written(members.join(_sent(labels, linked), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "named")
+    # buckets of two nodes are settled by their star edge
+    open_ = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 2 and lo <> hi")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = named.join(open_.select("key", "size"), "key").withColumns({"block": F.pmod(F.xxhash64(F.lit(9), "node"), blocks).cast("int"), "blocks": blocks})
+    # each unordered pair of blocks is compared once
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    dealt = pairs.select("key", x.alias("x"), y.alias("y"), side.alias("side"), "node", "comp").join(sets, "node")
+    more = written(_rest(dealt, percent), "more")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     named = prepared.select("row", "id", "n", "node").join(labels, "node", "left")
     return named.select("row", "id", "n", "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
 
@@ -263,8 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose near-duplicate group is represented by another row.
 
-    Rows are told apart by doc_id and text; of rows equal in both, all or none stay unless they are in one
-    group, of which exactly one row stays.
+    Exactly one row of each group stays, that with the smallest doc_id (nulls last); texts without words stay.
     """
     spark = docs.sparkSession
     small_batches(spark, 250)
