@@ -52,15 +52,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def removed(df: DataFrame) -> None:
-    """Delete the files behind a ``written`` table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        there = jvm.org.apache.hadoop.fs.Path(f)
-        there.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    """Delete the files of a ``written`` table that nothing reads any more."""
+    there = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    there.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def with_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, dict]]], new: str) -> DataFrame:

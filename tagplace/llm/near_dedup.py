@@ -156,10 +156,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
         new = written(low.join(_sent(jump, rows), "mid").select("node", "old", F.least("mid", "far").alias("comp")), "labels")
         removed(labels)
-        labels = new.select("node", "comp")
+        labels = new
         if not new.where("old <> comp").limit(1).count():
             removed(both)
-            return labels
+            return new.select("node", "comp")
 
 
 def _picked(prepared: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
