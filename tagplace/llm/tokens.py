@@ -10,6 +10,7 @@ carefully or encoded one by one.
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import numpy as np
 import regex
@@ -29,10 +30,19 @@ _WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 _PLAIN = re.compile(r"[!-~\n\t\u00a1-\u024f]+")
 
 
+class _Pieces(dict):
+    """Ids by piece; a piece that is asked for and not there is noted in ``new`` and empty until it is learnt."""
+
+    def __missing__(self, piece: str) -> bytes:
+        self.new.append(piece)
+        self[piece] = b""
+        return b""
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes; the bounds are entries of the two memories."""
 
-    def __init__(self, path: str, max_pieces: int = 250_000, max_words: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 400_000, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.max_pieces, self.max_words = Tokenizer.from_file(path), max_pieces, max_words
@@ -40,7 +50,7 @@ class PieceEncoder:
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # a token that begins with a space
         self.newline = vocab.get("Ċ", -1)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces()
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -91,35 +101,37 @@ class PieceEncoder:
                 ids = list(map(get, found))
                 known.update(zip(easy, (ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(at, at[1:])), strict=True))
         for p in pieces:
-            if p not in known:
+            if not known[p]:
                 known[p] = self.plain(" " + p)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, cut, new = self.pieces, [], set()
-        if len(known) > self.max_pieces:
-            known.clear()
+        if len(self.pieces) > self.max_pieces:
+            self.pieces.clear()
+        known, cut = self.pieces, []
+        known.new = new = []
         for text in texts:
-            pieces = text.split(" ")
-            last = pieces[-1]
-            fresh = set(pieces[1:]).difference(known)
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in fresh) or pieces[0] != pieces[0].rstrip():
-                pieces = _CUT.split(text)
-                last = pieces[-1]
-                fresh = set(pieces[1:]).difference(known)
-            if len(pieces) > 1 and last and last[-1].isspace():
-                fresh.discard(last)
-                cut.append((pieces[:-1], last))
-            else:
-                cut.append((pieces, None))
-            new |= fresh
+            # pieces between single spaces, unless white space meets white space somewhere
+            pieces = text.split(" ") if _single_spaced(text) else _CUT.split(text)
+            last = pieces.pop() if len(pieces) > 1 and pieces[-1][-1:].isspace() else None
+            first = pieces[0]
+            del pieces[0]
+            cut.append((first, pieces, last))
+            deque(map(known.__getitem__, pieces), maxlen=0)  # notes new pieces
         if new:
-            self._learn(list(new))
-        out = []
-        for pieces, last in cut:
-            body = b"".join(map(known.__getitem__, pieces[1:]))
-            out.append(self.plain(pieces[0]) + body + (self.plain(" " + last) if last is not None else b""))
-        return out
+            self._learn(new)
+        return [self.plain(first) + b"".join(map(known.__getitem__, pieces)) + (b"" if last is None else self.plain(" " + last)) for first, pieces, last in cut]
+
+
+def _single_spaced(text: str) -> bool:
+    """No space at the ends or beside other white space, and no white space but spaces and newlines."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        return False
+    return not any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE))
+
 
+#: White space other than space and newline.
+_RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_RARE = _RARE_ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -131,7 +143,7 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def encode_slices(path: str, texts: list[str], width: int = 64):
+def encode_slices(path: str, texts: list[str], width: int = 256):
     """Ids of each text in order, a few texts at a time."""
     enc = encoder(path)
     for i in range(0, len(texts), width):
