@@ -7,7 +7,6 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagplace.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from tagplace.llm.common import read, written
@@ -15,8 +14,7 @@ from tagplace.llm.common import read, written
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier does not call toxic (score below 0.3)."""
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("own"), "toxic").groupBy("own").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("own")).select("doc_id", "text", "toxic")
+    labelled = toxicity.sampled(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, toxicity.fit(labelled), 0.3)
     return scored.where("predicted = 0").select(*docs.columns)
 

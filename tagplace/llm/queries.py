@@ -37,15 +37,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(read(spark, sf_dir, "documents"))
 
 
-def _labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("own"), "toxic").groupBy("own").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("own")).select("doc_id", "text", "toxic")
-
-
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = held_out_crc(F.col("doc_id"), 4, 2)
-    model = toxicity.fit(_labelled(spark, docs, sf_dir).where(~held))
+    model = toxicity.fit(toxicity.sampled(docs, read(spark, sf_dir, "labels").where(~held)))
     return toxicity.score(docs, model, 0.3).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 

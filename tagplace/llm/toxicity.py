@@ -31,6 +31,8 @@ from .common import small_batches, with_arrow
 
 #: Bytes a window gains at least, for the counts that make up the features.
 GAINS = (2, 3, 4, 5, 6, 8)
+#: Labelled rows that a model is trained on at most.
+SAMPLE = 12_000
 
 
 def windows(text: str, width: int) -> list[bytes]:
@@ -106,36 +108,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, sample: int = 12_000, sample_chars: int = 60_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", width: int = 48, level: int = 9, ordinary_size: int = 1 << 15, toxic_size: int = 1 << 14, ridge: float = 1.0) -> Model:
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(id, text, label) of a bounded sample of labelled rows: the ids come first, so texts are not shuffled."""
+    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("own")).agg(F.max(label_col).alias("toxic"))
+    some = own.orderBy(F.md5(F.col("own").cast("string").cast("binary"))).limit(sample)
+    return docs.select(id_col, text_col).join(F.broadcast(some), F.col(id_col) == F.col("own")).select(id_col, text_col, F.col("toxic").alias(label_col))
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, sample_chars: int = 30_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", width: int = 48, level: int = 9, ordinary_size: int = 1 << 15, toxic_size: int = 1 << 14, ridge: float = 1.0) -> Model:
     """Train on a bounded sample of ``labelled`` rows (id, text, label)."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.coalesce(F.length(text_col), F.lit(0)) <= sample_chars))
     rows = rows.select(F.md5(F.col(id_col).cast("string").cast("binary")).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) == 1).alias("toxic"))
-    got = rows.orderBy("h", "text").limit(sample).collect()
-    third = [int(r["h"][:8], 16) % 3 == 2 for r in got]
-    train, rest = [r for r, t in zip(got, third, strict=True) if not t], [r for r, t in zip(got, third, strict=True) if t]
-    toxic, ordinary = [r["text"] for r in train if r["toxic"]], [r["text"] for r in train if not r["toxic"]]
-    t, o = Counter(), Counter()
-    for texts, seen in ((toxic, t), (ordinary, o)):
-        for x in texts:
-            seen.update(set(x.encode().lower().split()))
+    got = [tuple(r) for r in rows.orderBy("h", "text").limit(sample).collect()]
+    share = (sum(t for _, _, t in got) + 0.5) / (len(got) + 10)
+    train, rest = [], []
+    for h, text, is_toxic in got:
+        (rest if int(h[:8], 16) % 3 == 2 else train).append((text, is_toxic))
+    del got
+    words = lambda x: set(x.encode().lower().split())
+    toxic, ordinary = [x for x, t in train if t], [x for x, t in train if not t]
     least = 3 if len(toxic) >= 100 else 2
+    t = Counter(w for x in toxic for w in words(x))
+    t = Counter({w: n for w, n in t.items() if n >= least})
+    o = Counter(w for x in ordinary for w in words(x).intersection(t))  # only words that toxic texts repeat
 
     def odds(w: bytes) -> float:
         return math.log((t[w] + 0.1) / (len(toxic) + 0.2)) - math.log((o[w] + 0.1) / (len(ordinary) + 0.2))
 
-    marks = {w for w in t if t[w] >= least and odds(w) > 3.5}
+    marks = {w for w in t if odds(w) > 3.5}
     marked = [b" " + b" ".join(w for w in x.encode().lower().split() if w in marks) + b" " for x in toxic]
-    plain = [x.encode().lower()[i : i + 512] for x in ordinary for i in range(0, len(x), 512)]
-    step = max(1, len(plain) // 20_000)
-    model = Model(_dictionary(ordinary_size, plain[::step]), _dictionary(toxic_size, [m for m in marked if len(m) >= 8]), width, level, [0.0], [1.0], [0.0])
-    y = np.array([r["toxic"] for r in rest], float)
+    step = max(1, sum(-(-len(x) // 512) for x in ordinary) // 20_000)
+    plain, nth = [], 0
+    for x in ordinary:
+        raw = x.encode().lower()
+        for i in range(-nth % step * 512, len(raw), step * 512):
+            plain.append(raw[i : i + 512])
+        nth += -(-len(raw) // 512)
+    model = Model(_dictionary(ordinary_size, plain), _dictionary(toxic_size, [m for m in marked if len(m) >= 8]), width, level, [0.0], [1.0], [0.0])
+    y = np.array([t for _, t in rest], float)
     if not toxic or not ordinary or not 0 < y.sum() < len(y):
-        share = (sum(r["toxic"] for r in got) + 0.5) / (len(got) + 10)
         n = len(model.features("", model.compressors()))
         model.mean, model.scale, model.weights = [0.0] * n, [1.0] * n, [math.log(share / (1 - share))] + [0.0] * n
         return model
     both = model.compressors()
-    x = np.array([model.features(r["text"], both) for r in rest])
+    x = np.array([model.features(x, both) for x, _ in rest])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     model.mean, model.scale = mean.tolist(), scale.tolist()
     model.weights = _logistic((x - mean) / scale, y, ridge).tolist()
