@@ -56,18 +56,26 @@ def golomb_decode(raw: bytes) -> np.ndarray:
 
 
 def _place(rows: DataFrame, owners: int) -> DataFrame:
-    """Rows with part, owner, rank (of the fingerprint among the part's for that owner), twin (seen before here)."""
+    """Rows with part, owner, rank (of the fingerprint among the part's for that owner), twin (seen before here).
+
+    The first row of a part carries the part's messages, one to each owner, made of all its fingerprints: what is
+    written may be read in other pieces, and a message of some rows would not be in step with the ranks.
+    """
     span = -(-(2**64) // owners)
+    message = pa.list_(pa.struct([("owner", pa.int32()), ("message", pa.binary())]))
 
     def ranked(held: list[pa.RecordBatch], part: int):
         prints = np.concatenate([b.column("print").to_numpy() for b in held]).view(np.uint64)
         distinct, back, count = np.unique(prints, return_inverse=True, return_counts=True)
         owner = (distinct // np.uint64(span)).astype(np.int32)
         rank = np.arange(len(distinct)) - np.searchsorted(owner, owner)
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
+        sent = [{"owner": int(owner[a]), "message": golomb_encode(distinct[a:b] - np.uint64(int(owner[a]) * span), span)} for a, b in zip(cuts, [*cuts[1:], len(owner)])]
         at = 0
         for b in held:
             own = back[at : at + b.num_rows]
-            yield b, {"part": pa.array(np.full(b.num_rows, part, np.int64)), "owner": pa.array(owner[own]), "rank": pa.array(rank[own].astype(np.int32)), "twin": pa.array(count[own] > 1), "row": pa.array(np.arange(at, at + b.num_rows, dtype=np.int64))}
+            first = [sent if at + i == 0 else None for i in range(b.num_rows)]
+            yield b, {"part": pa.array(np.full(b.num_rows, part, np.int64)), "owner": pa.array(owner[own]), "rank": pa.array(rank[own].astype(np.int32)), "twin": pa.array(count[own] > 1), "row": pa.array(np.arange(at, at + b.num_rows, dtype=np.int64)), "sent": pa.array(first, message)}
             at += b.num_rows
 
     def run(batches):
@@ -75,6 +83,8 @@ def _place(rows: DataFrame, owners: int) -> DataFrame:
 
         part, held = TaskContext.get().partitionId() << 24, []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             if sum(b.nbytes for b in held) >= PART_BYTES:
                 yield from ranked(held, part)
@@ -82,24 +92,12 @@ def _place(rows: DataFrame, owners: int) -> DataFrame:
         if held:
             yield from ranked(held, part)
 
-    return with_arrow(rows, run, "part long, owner int, rank int, twin boolean, row long")
-
+    return with_arrow(rows, run, "part long, owner int, rank int, twin boolean, row long, sent array<struct<owner:int,message:binary>>")
 
-def _messages(places: DataFrame, owners: int) -> DataFrame:
-    """A Golomb-coded message from each part to each owner."""
-    span = -(-(2**64) // owners)
-
-    def run(batches):
-        held = pa.Table.from_batches(list(batches), schema=schema)
-        parts, owner, prints = (held.column(c).to_numpy() for c in ("part", "owner", "print"))
-        order = np.lexsort((prints.view(np.uint64), owner, parts))
-        parts, owner, prints = parts[order], owner[order], prints[order].view(np.uint64)
-        cuts = np.flatnonzero((np.diff(parts, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0)).tolist()
-        rows = [(int(parts[a]), int(owner[a]), golomb_encode(np.unique(prints[a:b]) - np.uint64(int(owner[a]) * span), span)) for a, b in zip(cuts, [*cuts[1:], len(parts)])]
-        yield pa.RecordBatch.from_pylist([{"part": p, "owner": o, "message": m} for p, o, m in rows], schema=pa.schema([("part", pa.int64()), ("owner", pa.int32()), ("message", pa.binary())]))
 
-    schema = pa.schema([("part", pa.int64()), ("owner", pa.int32()), ("print", pa.int64())])
-    return places.select("part", "owner", "print").mapInArrow(run, "part long, owner int, message binary")
+def _messages(places: DataFrame) -> DataFrame:
+    """The Golomb-coded message from each part to each owner."""
+    return places.where(F.col("sent").isNotNull()).select("part", F.inline("sent"))
 
 
 def _answers(messages: DataFrame) -> DataFrame:
@@ -133,7 +131,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"), F.col(text_col).isNull().alias("void"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
     rows = rows.withColumns({"print": F.xxhash64("text"), "sha": F.sha2(F.col("text").cast("binary"), 256)})
     placed = written(_place(rows, owners), "prints")
-    bitmaps = written(_answers(_messages(placed, owners)), "bitmaps")
+    bitmaps = written(_answers(_messages(placed)), "bitmaps")
     size = bitmaps.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] * 8
     bitmaps = bitmaps.select(F.col("part").alias("p"), F.col("owner").alias("o"), "words")
     hit = F.getbit(F.element_at("words", (F.floor(F.col("rank") / 64) + 1).cast("int")), F.col("rank") % 64) == 1

@@ -226,6 +226,21 @@ def test_exact_dedup(spark):
     assert exact_dedup.mark_duplicates(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_when_written_parts_are_read_in_pieces(spark):
+    rows = [(i, hashlib.sha512(str(i % 3000).encode()).hexdigest() * 2) for i in range(6000)]
+    small = {"parquet.block.size": "20000", "spark.sql.files.maxPartitionBytes": "30000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = exact_dedup.mark_duplicates(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 3000
+    assert all(r.group_size == 2 and r.keep_id == r.doc_id % 3000 + 3000 for r in got)
+
+
 def shingle_set(text):
     w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
