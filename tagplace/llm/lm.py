@@ -1,19 +1,20 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are the words of a text with A-Z lower-cased, and one end. The ``OUTPUTS`` most frequent tokens have
-vectors; all other words share the output "rare", and a rare word's probability within it follows the counts of
-rare words, smoothed by one, with one share for words never seen. So probabilities of all next tokens sum to one.
+Tokens are the words of a text with A-Z lower-cased, and one end. Every word that the training texts hold at
+least ``least_count`` times has vectors, so the vocabulary grows with the corpus (as the root of its tokens); all
+other words share the output "rare", and a rare word's probability within it follows the counts of rare words,
+smoothed by one, with one share for words never seen. So probabilities of all next tokens sum to one.
 
     logit(w | u, v) = q_w . (C1 r_u + C2 r_v) + b_w        (v, u: the two tokens before)
 
-Outputs are arranged in classes: P(w) = P(class of w) P(w | its class), both softmaxes of bilinear logits, so
-normalising a token takes two short batched matrix products. Training: the corpus is counted and encoded by
+Outputs are arranged in classes, as many as the root of their number: P(w) = P(class of w) P(w | its class), both
+softmaxes of bilinear logits, so normalising a token takes two short batched matrix products. Training: the corpus is counted and encoded by
 Spark; in each of ``ROUNDS`` rounds every task runs noise-contrastive estimation in numpy over its whole share
-of one part of the training texts, starting from the common parameters, and parameters are averaged by the
-number of tokens, parameter by parameter in an aggregation. All training tokens are used, once. Only the
-parameters (a fixed number), the frequent words and totals reach the driver.
+of one part of the training texts, starting from the common parameters; changes of the rows it touched are sent
+in blocks and averaged by the number of tokens. All training tokens are used, once. Only the parameters, the
+words with vectors, the head and totals reach the driver.
 
-Counting: the ``HEAD`` most frequent words are looked up in the tasks (a table of bounded size); other words of
+Counting: the ``HEAD`` most frequent words, and all with vectors, are looked up in the tasks (a table of bounded size); other words of
 a text go through a join with the counts of all words.
 
 Edge cases: a null text is empty and consists of one end. A null doc_id is a training row. With no training
@@ -23,6 +24,7 @@ Further input columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out_crc, small_batches, texts_of, written
 
-END, HEAD, OUTPUTS, CLASSES, DIM = b"", 60_000, 1024, 32, 16
-ROUNDS, BATCH, NOISE, RATE = 3, 4096, 64, 3.0
+END, HEAD, DIM = b"", 60_000, 16
+ROUNDS, BATCH, NOISE, RATE = 3, 4096, 4, 3.0
+#: Noise classes that a minibatch shares; rows of parameters in a block that is sent.
+NOISE_CLASSES, BLOCK = 16, 1024
 #: Reserved ids: rare words, end of text (also what stands before a text's first word).
 RARE, STOP = 0, 1
 
@@ -66,6 +70,11 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def least_count(total: int) -> int:
+    """Occurrences among ``total`` tokens that give a word vectors: a share of the root, as the words then grow."""
+    return max(2, math.isqrt(total) // 40)
+
+
 @dataclass
 class Params:
     """r1, r2: context vectors by id (C1 r and C2 r as they are used); qc, q, bc, b: of classes and outputs."""
@@ -77,17 +86,16 @@ class Params:
     q: np.ndarray
     b: np.ndarray
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r1, self.r2, self.qc, self.bc, self.q, self.b)])
+    def words(self) -> np.ndarray:
+        return np.hstack([self.r1, self.r2, self.q, self.b[:, None]])
+
+    def classes(self) -> np.ndarray:
+        return np.hstack([self.qc, self.bc[:, None]])
 
     @classmethod
-    def of(cls, flat: np.ndarray, outputs: int, dim: int, classes: int) -> Params:
-        shapes, made, at = [(outputs, dim), (outputs, dim), (classes, dim), (classes,), (outputs, dim), (outputs,)], [], 0
-        for s in shapes:
-            n = int(np.prod(s))
-            made.append(flat[at : at + n].reshape(s).astype(np.float32))
-            at += n
-        return cls(*made)
+    def of(cls, words: np.ndarray, classes: np.ndarray) -> Params:
+        r1, r2, q, b = (np.array(x, np.float32) for x in np.split(words, [DIM, 2 * DIM, 3 * DIM], axis=1))
+        return cls(r1, r2, np.array(classes[:, :DIM], np.float32), np.array(classes[:, DIM], np.float32), q, b.ravel())
 
     @classmethod
     def start(cls, counts: np.ndarray, cls_of: np.ndarray, classes: int) -> Params:
@@ -101,60 +109,76 @@ def make_classes(counts: np.ndarray, classes: int) -> np.ndarray:
     """Class of each output: by frequency, of about equal mass, none larger than twice the mean size."""
     out, order = np.zeros(len(counts), np.int64), np.argsort(-counts, kind="stable")
     total, mass, at, size, most = counts.sum() + len(counts), 0.0, 0, 0, -(-2 * len(counts) // classes)
-    for w in order:
-        if size and at < classes - 1 and (mass >= (at + 1) * total / classes or size >= most):
+    for i, w in enumerate(order):
+        # a class ends early only if the others can still take all further words
+        room = (classes - 1 - at) * most >= len(order) - i
+        if size and at < classes - 1 and (size >= most or room and mass >= (at + 1) * total / classes):
             at, size = at + 1, 0
         out[w] = at
         mass, size = mass + counts[w] + 1, size + 1
     return out
 
 
-def _spread(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of ``values`` by index."""
-    return np.stack([np.bincount(index, values[:, d], n) for d in range(values.shape[1])], axis=1).astype(np.float32)
+def _spread(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices, and the sums of the rows of ``values`` by them."""
+    rows, back = np.unique(index, return_inverse=True)
+    return rows, np.stack([np.bincount(back, values[:, d], len(rows)) for d in range(values.shape[1])], axis=1).astype(np.float32)
 
 
 def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarray, rate: float = RATE) -> Params:
     """Noise-contrastive estimation over a stream of token ids (texts end with STOP), in minibatches.
 
-    Noise for the class is drawn from class frequencies, noise for a word from the word frequencies; each
-    minibatch shares its noise, so scores are matrix products. A word's noise counts for its own class only.
+    Noise classes are drawn from class frequencies and shared by a minibatch; each token has ``NOISE`` noise words
+    of its own class, drawn from the word frequencies there. Only touched rows are updated.
     """
-    n, classes = len(counts), len(p.bc)
+    classes = len(p.bc)
     rng = np.random.default_rng(len(ids))
     mass = np.bincount(cls_of, counts + 0.5, classes) + 0.5
-    noise_c, noise_w = mass / mass.sum(), (counts + 0.5) / (counts + 0.5).sum()
+    noise_c = mass / mass.sum()
     log_c, log_w = np.log(noise_c).astype(np.float32), np.log((counts + 0.5) / mass[cls_of]).astype(np.float32)
-    log_share = np.log(NOISE * noise_c).astype(np.float32)
+    by_class = np.argsort(cls_of, kind="stable")
+    ends = np.cumsum((counts + 0.5)[by_class])
+    cuts = np.searchsorted(cls_of[by_class], np.arange(classes + 1))
+    low = np.concatenate([[0.0], ends])[cuts[:-1]]
+    wide = np.concatenate([[0.0], ends])[cuts[1:]] - low
     v, u = np.concatenate([[STOP, STOP], ids[:-2]])[: len(ids)], np.concatenate([[STOP], ids[:-1]])[: len(ids)]
     v = np.where(u == STOP, STOP, v)
-    squares = [np.full(x.shape, 1e-3, np.float32) for x in (p.r1, p.r2, p.qc, p.bc, p.q, p.b)]
+    squares = {k: np.full(getattr(p, k).shape, 1e-3, np.float32) for k in ("r1", "r2", "qc", "bc", "q", "b")}
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    def step(name, index, values, m):
+        rows, g = _spread(index, values)
+        g = (g if getattr(p, name).ndim > 1 else g[:, 0]) / m
+        s = squares[name][rows] + g * g
+        squares[name][rows] = s
+        getattr(p, name)[rows] += rate * 0.3 * g / np.sqrt(s)
+
+    ln_k, ln_w = np.float32(np.log(NOISE_CLASSES)), np.float32(np.log(NOISE))
     for a in range(0, len(ids), BATCH):
         y, h1, h2 = ids[a : a + BATCH], u[a : a + BATCH], v[a : a + BATCH]
         c, m = cls_of[y], len(y)
         h = p.r1[h1] + p.r2[h2]
-        kc, kw = rng.choice(classes, NOISE // 4, p=noise_c), rng.choice(n, NOISE, p=noise_w)
-        # class: one true and NOISE / 4 noise classes for each token
-        ln_k = np.float32(np.log(len(kc)))
+        # class: one true and NOISE_CLASSES noise classes for each token
+        kc = rng.choice(classes, NOISE_CLASSES, p=noise_c)
         e1 = 1 - sig((h * p.qc[c]).sum(1) + p.bc[c] - log_c[c] - ln_k)
         e0 = -sig(h @ p.qc[kc].T + p.bc[kc] - log_c[kc] - ln_k)
         gh = e1[:, None] * p.qc[c] + e0 @ p.qc[kc]
-        g_qc = _spread(c, e1[:, None] * h, classes) + _spread(kc, e0.T @ h, classes)
-        g_bc = np.bincount(c, e1, classes) + np.bincount(kc, e0.sum(0), classes)
-        # word within its class: noise words of the same class; their number is NOISE times the class's share
-        same = cls_of[kw][None, :] == c[:, None]
-        ln_w = log_share[c]
+        # word within its class: one true and NOISE noise words for each token
+        drawn = low[c, None] + rng.random((m, NOISE)) * wide[c, None]
+        at = np.searchsorted(ends, drawn, side="right")
+        kw = by_class[np.clip(at, cuts[c, None], cuts[c + 1, None] - 1)]
         d1 = 1 - sig((h * p.q[y]).sum(1) + p.b[y] - log_w[y] - ln_w)
-        d0 = -sig(h @ p.q[kw].T + (p.b[kw] - log_w[kw])[None, :] - ln_w[:, None]) * same
-        gh += d1[:, None] * p.q[y] + d0 @ p.q[kw]
-        g_q = _spread(y, d1[:, None] * h, n) + _spread(kw, d0.T @ h, n)
-        g_b = np.bincount(y, d1, n) + np.bincount(kw, d0.sum(0), n)
-        grads = (_spread(h1, gh, n), _spread(h2, gh, n), g_qc, g_bc.astype(np.float32), g_q, g_b.astype(np.float32))
-        for x, g, s in zip((p.r1, p.r2, p.qc, p.bc, p.q, p.b), grads, squares, strict=True):
-            g = g / m
-            s += g * g
-            x += rate * 0.3 * g / np.sqrt(s)
+        q0 = p.q[kw]
+        d0 = -sig(np.einsum("md,mkd->mk", h, q0) + p.b[kw] - log_w[kw] - ln_w)
+        gh += d1[:, None] * p.q[y] + np.einsum("mk,mkd->md", d0, q0)
+        words, d = np.concatenate([y, kw.ravel()]), np.concatenate([d1, d0.ravel()])
+        g_q = np.concatenate([d1[:, None] * h, (d0[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])])
+        step("r1", h1, gh, m)
+        step("r2", h2, gh, m)
+        step("qc", np.concatenate([c, kc]), np.concatenate([e1[:, None] * h, e0.T @ h]), m)
+        step("bc", np.concatenate([c, kc]), np.concatenate([e1, e0.sum(0)])[:, None], m)
+        step("q", words, g_q, m)
+        step("b", words, d[:, None], m)
     return p
 
 
@@ -205,7 +229,7 @@ def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total
         for i, (word, c) in enumerate(sent.value):
             known[word], logs[i] = i, np.log10(c + 1) - log_n
         none, end, names = len(sent.value), known.get(END, len(sent.value)), {w: i + 2 for i, w in enumerate([w for w, _ in sent.value if w != END][: outputs - 2])}
-        to_id = np.zeros(none + 1, np.uint16)
+        to_id = np.zeros(none + 1, np.uint32)
         for w, i in names.items():
             to_id[known[w]] = i
         for batch in batches:
@@ -214,7 +238,7 @@ def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total
                 words = tokens(text)
                 at = np.fromiter((known.get(w, none) for w in words), np.int64, len(words))
                 tail = Counter([words[i] for i in np.flatnonzero(at == none).tolist()])
-                ids = np.append(to_id[at], STOP).astype("<u2")
+                ids = np.append(to_id[at], STOP).astype("<u4")
                 base = logs[at[at != none]].sum() + (logs[end] if end != none else -log_n)
                 # rare words of the head; the end is an output of its own
                 rare_head = (at != none) & (to_id[at] == RARE)
@@ -229,31 +253,53 @@ def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total
 
 
 def _train(encoded: DataFrame, counts: np.ndarray, cls_of: np.ndarray) -> Params:
-    p = Params.start(counts, cls_of, CLASSES)
+    spark = encoded.sparkSession
+    p = Params.start(counts, cls_of, int(cls_of.max()) + 1)
+    shape = {True: (len(counts), 3 * DIM + 1), False: (len(p.bc), DIM + 1)}
     for turn in range(ROUNDS):
         share = encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == turn)).select("ids")
-        sent, n_out = encoded.sparkSession.sparkContext.broadcast(p.flat()), len(counts)
+        # each task sends a change of every row it touched: no more tasks than run at once
+        share = share.coalesce(max(1, spark.sparkContext.defaultParallelism))
+        sent = spark.sparkContext.broadcast((p.words(), p.classes()))
 
         def run(batches, sent=sent, turn=turn):
-            own, n, held, size = Params.of(sent.value, n_out, DIM, CLASSES), 0, [], 0
+            own, n, held, size = Params.of(*sent.value), 0, [], 0
+
+            def train():
+                return train_share(own, np.concatenate(held).astype(np.int64), cls_of, counts, RATE / (1 + turn))
+
             for batch in batches:
-                held += [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("ids")]
+                held += [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
                 size = sum(map(len, held))
                 if size >= 1_000_000:
-                    own, n, held = train_share(own, np.concatenate(held).astype(np.int64), cls_of, counts, RATE / (1 + turn)), n + size, []
+                    own, n, held = train(), n + size, []
             if held:
-                size = sum(map(len, held))
-                own, n = train_share(own, np.concatenate(held).astype(np.int64), cls_of, counts, RATE / (1 + turn)), n + size
-            if n:
-                flat = own.flat().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * n), pa.array(np.full(len(flat), float(n)))], names=["at", "x", "n"])
-
-        # sums of each parameter are merged where they are made; the driver gets one row a parameter
-        rows = share.mapInArrow(run, "at int, x double, n double").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
-        if len(rows):
-            flat = np.zeros(len(p.flat()))
-            flat[rows["at"].to_numpy()] = rows["x"].to_numpy()
-            p = Params.of(flat, len(counts), DIM, CLASSES)
+                own, n = train(), n + sum(map(len, held))
+            for word, new, old in ((True, own.words(), sent.value[0]), (False, own.classes(), sent.value[1])) if n else ():
+                for a in range(0, len(new), BLOCK):
+                    d = new[a : a + BLOCK] - old[a : a + BLOCK]
+                    at = np.flatnonzero(d.any(1)).astype("<i4")
+                    # a block without a change is sent too: its tokens count
+                    yield pa.RecordBatch.from_pylist([{"word": word, "block": a, "at": at.tobytes(), "x": d[at].tobytes(), "n": float(n)}], schema=sends)
+
+        def merge(key, table):
+            word, block = (k.as_py() for k in key)
+            rows, cols = shape[word]
+            x = np.zeros((min(BLOCK, rows - block), cols))
+            for at, d, n in zip(*(table.column(c).to_pylist() for c in ("at", "x", "n")), strict=True):
+                x[np.frombuffer(at, "<i4")] += n * np.frombuffer(d, np.float32).reshape(-1, cols)
+            x /= sum(table.column("n").to_pylist())
+            return pa.Table.from_pylist([{"word": word, "block": block, "x": x.astype(np.float32).tobytes()}], schema=merged)
+
+        sends = pa.schema([("word", pa.bool_()), ("block", pa.int32()), ("at", pa.binary()), ("x", pa.binary()), ("n", pa.float64())])
+        merged = pa.schema([("word", pa.bool_()), ("block", pa.int32()), ("x", pa.binary())])
+        changes = share.mapInArrow(run, "word boolean, block int, at binary, x binary, n double")
+        words, classes = p.words(), p.classes()
+        for r in changes.groupBy("word", "block").applyInArrow(merge, "word boolean, block int, x binary").toLocalIterator():
+            table = words if r.word else classes
+            d = np.frombuffer(r.x, np.float32).reshape(-1, table.shape[1])
+            table[r.block : r.block + len(d)] += d
+        p = Params.of(words, classes)
     return p
 
 
@@ -265,19 +311,21 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     counts = written(count_words(rows.where(~F.col("held_out"))), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    encoded = written(_encoded(rows, head, OUTPUTS, total, distinct), "encoded")
+    least = least_count(total)
+    often = counts.where(F.col("c") >= least).count()
+    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(max(HEAD, often + 1)).collect()]
+    chosen = [c for w, c in head if w != END and c >= least]
+    encoded = written(_encoded(rows, head, len(chosen) + 2, total, distinct), "encoded")
 
-    chosen = [c for w, c in head if w != END][: OUTPUTS - 2]
     stops = dict(head).get(END, counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     rare, kinds = total - stops - sum(chosen), distinct - (stops > 0) - len(chosen)
     freq = np.array([rare, stops, *chosen], np.float64)
-    cls_of = make_classes(freq, CLASSES)
+    cls_of = make_classes(freq, math.isqrt(len(freq) - 1) + 1)
     scorer = Scorer(_train(encoded, freq, cls_of), cls_of)
 
     def run(batches):
         for batch in batches:
-            streams = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in batch.column("ids")]
+            streams = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in batch.column("ids")]
             logs = scorer.log_probs(np.concatenate(streams)) if streams else np.zeros(0)
             sums = np.add.reduceat(logs, np.cumsum([0, *map(len, streams)])[:-1]) if streams else logs
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + [pa.array(sums / np.log(10))], names=[*own, "lm"])

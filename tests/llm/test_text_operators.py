@@ -369,6 +369,21 @@ def test_lm_counts_and_base(spark, docs, texts):
         assert got[i].score < 0
 
 
+def test_lm_vocabulary_follows_the_counts(spark, monkeypatch):
+    outputs = []
+    monkeypatch.setattr(lm, "make_classes", lambda counts, classes, made=lm.make_classes: outputs.append(len(counts)) or made(counts, classes))
+    rows = [(i, " ".join(f"w{(i * 97 + j) % 3000}" for j in range(200)) + f" once{i}") for i in range(600)]
+    got = lm.score_texts(spark.createDataFrame(rows, DOCS)).collect()
+    # 3,000 frequent words, "rare" and the end
+    assert outputs == [3002] and len(got) == 600 and all(r.score < 0 for r in got)
+
+
+def test_lm_classes_hold_all_words_evenly():
+    counts = np.concatenate([[5e6, 1e6], 1e6 / np.arange(1, 20_001)])
+    sizes = np.bincount(lm.make_classes(counts, 142), minlength=142)
+    assert sizes.sum() == len(counts) and sizes.max() <= 2 * -(-len(counts) // 142)
+
+
 def test_lm_beats_counts_where_order_matters(spark):
     rng = random.Random(1)
     nxt = {w: rng.sample("abcdefghijklmnop", 2) for w in "abcdefghijklmnop"}
