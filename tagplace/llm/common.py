@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +86,25 @@ def with_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def sized(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
+    """The rows of ``batches`` in tables of about ``limit`` bytes of ``column`` (a longer text is alone)."""
+    held, size = [], 0
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + limit - size, side="right")))
+            held.append(b.slice(at, to - at))
+            size += int(ends[to - 1]) - before
+            at = to
+            if size >= limit or at < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """A text column as Python strings; null counts as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -1,21 +1,33 @@
-"""Fast exact use of a byte-level BPE tokenizer: distinct words are encoded once and remembered.
-
-The tokenizer's pattern always breaks before a space that has a non-space on either side, and merges never
-cross a break. So a text is cut there into pieces, a new piece is cut into words by the tokenizer's public
-pattern, and the tokenizers library encodes words not seen lately, many at a time. Ids of a text are the ids
-of its pieces. Pieces that start or end with white space, or that may hold a special token, are cut more
-carefully or encoded one by one.
+"""Exact use of a byte-level BPE tokenizer over batches of texts: each distinct word is encoded once and remembered.
+
+The tokenizer's pattern always breaks before a space that has a non-space on either side, and merges never cross
+a break. So a text is cut there into pieces; the distinct pieces of a batch are found by a dictionary encoding,
+and their ids are looked up or made by the tokenizers library, many at a time. A piece that ends in ASCII
+punctuation after a letter or digit breaks there too, so its word is what is remembered. A text's first piece
+(no space before it), a last one that ends in white space, and texts that hold an added token are encoded on
+their own.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import sized
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space that forbids cutting at every space, a piece's last white space, and a last letter or digit (RE2
+#: syntax; the classes of characters below U+0250 are the same in all libraries).
+_SPACES = r"\t\n\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = r"  | \n|\n |^ | $|[" + _SPACES.replace(r"\n", "") + "]"
+_SPACE_LAST, _LETTER_LAST = rf"[ {_SPACES}]\z", r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]\z"
+#: Bytes of the longest word that is remembered for long; bytes of text that are encoded together.
+MAX_WORD, BATCH_BYTES = 64, 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -24,114 +36,131 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: The library's split of byte-level text; a fixed value of the public vocabulary files.
-_WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Characters on whose classes all libraries agree; pieces with others go to the tokenizer whole.
-_PLAIN = re.compile(r"[!-~\n\t\u00a1-\u024f]+")
-
-
-class _Pieces(dict):
-    """Ids by piece; a piece that is asked for and not there is noted in ``new`` and empty until it is learnt."""
-
-    def __missing__(self, piece: str) -> bytes:
-        self.new.append(piece)
-        self[piece] = b""
-        return b""
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``start`` and hold ``size`` numbers, one after the other."""
+    stop = np.cumsum(size)
+    return flat[np.repeat(start - (stop - size), size) + np.arange(stop[-1])] if len(stop) else flat[:0]
+
+
+class Words:
+    """Ids by word, as columns: the words, where their ids begin in ``flat``, and when each was last used."""
+
+    def __init__(self, most: int):
+        self.most, self.turn = most, 0
+        self.known, self.flat, self.size, self.used = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, words: pa.Array, learn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, start, size) with the ids of these distinct words; ``learn`` gives (ids, sizes) of new ones."""
+        self.turn += 1
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(at))
+        if len(new):
+            ids, size = learn(new)
+            self.known, self.flat = pa.concat_arrays([self.known, new]), np.concatenate([self.flat, ids])
+            self.size, self.used = np.concatenate([self.size, size]), np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = np.arange(len(self.known) - len(new), len(self.known))
+        self.used[at] = self.turn
+        flat, start, size = self.flat, (np.cumsum(self.size) - self.size)[at], self.size[at]
+        if len(self.known) > self.most:
+            self._forget()
+        return flat, start, size
+
+    def _forget(self) -> None:
+        """Keep the half that was used last, without very long words."""
+        keep = np.argsort(-self.used, kind="stable")[: self.most // 2]
+        keep = np.sort(keep[pc.binary_length(self.known).to_numpy()[keep] <= MAX_WORD])
+        self.flat = _gather(self.flat, (np.cumsum(self.size) - self.size)[keep], self.size[keep])
+        self.known, self.size, self.used = self.known.take(pa.array(keep)), self.size[keep], self.used[keep]
 
 
 class PieceEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; the bounds are entries of the two memories."""
+    """Ids of whole texts. ``max_words`` bounds the memory, about 50 bytes a word."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.max_pieces, self.max_words = Tokenizer.from_file(path), max_pieces, max_words
+        self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # a token that begins with a space
-        self.newline = vocab.get("Ċ", -1)
-        self.pieces = _Pieces()
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.words, self.tails = Words(max_words), Words(10_000)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _keep(self, words: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
-        raw = ids.tobytes()
-        self.words.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)), strict=True))
-
-    def _word_ids(self, found: list[str]) -> None:
-        """Put the ids of these words into ``words``; half of the bound is kept from before."""
-        if len(self.words) > self.max_words // 2:
-            self.words, self.older = {}, self.words
-        words, older = self.words, self.older
-        new = set(found).difference(words)
-        known = {w: older[w] for w in new if w in older}
-        words.update(known)
-        new.difference_update(known)
-        spaced = [w for w in new if w[0] == " " and len(w) > 1]
-        if spaced:
-            ids = self._ids("".join(spaced))
-            at = np.flatnonzero(self.starts[ids]).tolist()
-            if len(at) == len(spaced):
-                self._keep(spaced, ids, at, [*at[1:], len(ids)])
-        bare = [w for w in new if not w[0].isspace()]
-        if bare:
-            ids = self._ids("\n".join(bare))
-            at = np.flatnonzero(ids == self.newline).tolist()
-            if len(at) == len(bare) - 1:
-                self._keep(bare, ids, [0, *(x + 1 for x in at)], [*at, len(ids)])
-        for w in new:
-            if w not in words:
-                words[w] = self.plain(w)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, each with the space before it."""
-        known, easy = self.pieces, [p for p in pieces if _PLAIN.fullmatch(p) and "<|" not in p]
-        if easy:
-            found = _WORDS.findall(" " + " ".join(easy))
-            self._word_ids(found)
-            get, at = self.words.__getitem__, [i for i, w in enumerate(found) if w[0] == " "]
-            if len(at) == len(easy):
-                at.append(len(found))
-                ids = list(map(get, found))
-                known.update(zip(easy, (ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(at, at[1:])), strict=True))
-        for p in pieces:
-            if not known[p]:
-                known[p] = self.plain(" " + p)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > self.max_pieces:
-            self.pieces.clear()
-        known, cut = self.pieces, []
-        known.new = new = []
-        for text in texts:
-            # pieces between single spaces, unless white space meets white space somewhere
-            pieces = text.split(" ") if _single_spaced(text) else _CUT.split(text)
-            last = pieces.pop() if len(pieces) > 1 and pieces[-1][-1:].isspace() else None
-            first = pieces[0]
-            del pieces[0]
-            cut.append((first, pieces, last))
-            deque(map(known.__getitem__, pieces), maxlen=0)  # notes new pieces
-        if new:
-            self._learn(new)
-        return [self.plain(first) + b"".join(map(known.__getitem__, pieces)) + (b"" if last is None else self.plain(" " + last)) for first, pieces, last in cut]
-
-
-def _single_spaced(text: str) -> bool:
-    """No space at the ends or beside other white space, and no white space but spaces and newlines."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
-        return False
-    return not any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE))
-
-
-#: White space other than space and newline.
-_RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_RARE = _RARE_ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of texts that are encoded one by one."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words with a space before each, encoded as one text where no word holds a space."""
+        own = words.to_numpy(zero_copy_only=False).tolist()
+        if not any(" " in w for w in own):
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(own):
+                return ids, np.diff(np.append(at, len(ids)))
+        return self._alone([" " + w for w in own])
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of distinct pieces that stand between spaces."""
+        core = pc.utf8_rtrim(pieces, characters=_PUNCTUATION)
+        core = pc.if_else(pc.match_substring_regex(core, _LETTER_LAST), core, pieces)
+        found = core.dictionary_encode()
+        flat, start, size = self.words.look_up(found.dictionary, self._spaced)
+        code = found.indices.to_numpy()
+        start, size = start[code], size[code]
+        tailed = pc.not_equal(pc.binary_length(core), pc.binary_length(pieces))
+        at = np.flatnonzero(tailed.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return _gather(flat, start, size), size
+        whole, short = (x.filter(tailed).to_numpy(zero_copy_only=False).tolist() for x in (pieces, core))
+        tails = pa.array([p[len(c) :] for p, c in zip(whole, short, strict=True)], pa.string()).dictionary_encode()
+        more, from_, long = self.tails.look_up(tails.dictionary, lambda new: self._alone(new.to_pylist()))
+        starts, sizes = np.zeros((len(pieces), 2), np.int64), np.zeros((len(pieces), 2), np.int64)
+        starts[:, 0], sizes[:, 0] = start, size
+        code = tails.indices.to_numpy()
+        starts[at, 1], sizes[at, 1] = from_[code] + len(flat), long[code]
+        return _gather(np.concatenate([flat, more]), starts.ravel(), sizes.ravel()), sizes.sum(1)
+
+    def _cut(self, text: str) -> list[str]:
+        return [text] if self.added and self.added.search(text) else _CUT.split(text)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; number of ids of each text). A null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        odd = pc.match_substring_regex(texts, _ODD)
+        if self.added:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.added.pattern))
+        cut = pa.array([self._cut(t) for t in texts.to_pylist()], pa.list_(pa.string())) if pc.any(odd).as_py() else pc.split_pattern(texts, " ")
+        offsets, found = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        offsets = offsets - offsets[0]
+        codes, distinct = found.indices.to_numpy().astype(np.int64), found.dictionary
+        first, last = offsets[:-1], offsets[1:] - 1
+        # first pieces, and last ones that end in white space, have ids of their own
+        own = last[(last > first) & pc.match_substring_regex(distinct.take(pa.array(codes[last])), _SPACE_LAST).to_numpy(zero_copy_only=False)]
+        alone = distinct.take(pa.array(codes[first])).to_pylist() + [" " + p for p in distinct.take(pa.array(codes[own])).to_pylist()]
+        apart = np.concatenate([first, own])
+        inner = np.ones(len(codes), bool)
+        inner[apart] = False
+        used = np.zeros(len(distinct), bool)
+        used[codes[inner]] = True
+        ids, size = self._pieces(distinct.filter(pa.array(used)))
+        more, long = self._alone(alone)
+        place = np.cumsum(used) - 1
+        codes = place[codes]
+        codes[apart] = len(size) + np.arange(len(apart))
+        size = np.concatenate([size, long])
+        length = size[codes]
+        total = np.concatenate([[0], np.cumsum(length)])
+        return _gather(np.concatenate([ids, more]), (np.cumsum(size) - size)[codes], length), total[offsets[1:]] - total[offsets[:-1]]
+
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -143,8 +172,9 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def encode_slices(path: str, texts: list[str], width: int = 256):
-    """Ids of each text in order, a few texts at a time."""
+def encoded(path: str, batches: Iterator[pa.RecordBatch], column: str, end_id: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows without the text, ids of all with ``end_id`` after each, number of ids of each), some MB of text at a time."""
     enc = encoder(path)
-    for i in range(0, len(texts), width):
-        yield from enc.encode(texts[i : i + width])
+    for rows in sized(batches, column, BATCH_BYTES):
+        ids, counts = enc.encode(rows.column(column).combine_chunks())
+        yield rows.drop_columns([column]), np.insert(ids, np.cumsum(counts), end_id).astype("<u4"), counts + 1
