@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, written
-from .tokens import default_tokenizer, encode_slices
+from .common import small_batches, written
+from .tokens import default_tokenizer, encoded
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -35,29 +35,32 @@ def pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None,
     """Encode and cut: a row per piece, with its task and its number among that task's pieces of equal length."""
     tokenizer = tokenizer or default_tokenizer()
     small_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            rows, ids = ([], [], [], [], [], []), []
-            for doc_id, body in zip(batch.column("doc_id").to_pylist(), encode_slices(tokenizer, texts_of(batch, "text")), strict=True):
-                raw = body + end
-                n, at, k = len(raw) // 4, 0, 0
-                while at < n:
-                    size = (n % capacity or capacity) if not k else capacity
-                    own = raw[4 * at : 4 * (at + size)]
-                    for column, x in zip(rows, (doc_id, k, at, size, zlib.crc32(own), seen[size]), strict=True):
-                        column.append(x)
-                    if with_ids:
-                        ids.append(np.frombuffer(own, "<u4").astype(np.int32))
-                    seen[size] += 1
-                    at, k = at + size, k + 1
-            a = [pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            columns, names = [*a[:5], pa.array([part] * len(rows[0]), pa.int32()), a[5]], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
+        for rows, ids, counts in encoded(tokenizer, batches, "text", end_id):
+            cuts = -(-counts // capacity)
+            doc = np.repeat(np.arange(len(counts)), cuts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            first = (counts - 1) % capacity + 1  # only the first piece may be shorter
+            start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            size = np.where(piece > 0, capacity, first[doc])
+            at = np.cumsum(size) - size
+            # number among the task's pieces of this length
+            order = np.argsort(size, kind="stable")
+            own = size[order]
+            nth = np.zeros(len(size), np.int64)
+            nth[order] = np.arange(len(own)) - np.searchsorted(own, own) + seen[own]
+            seen += np.bincount(size, minlength=capacity + 1)
+            raw = memoryview(ids.view(np.uint8))
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + size).tolist(), strict=True)]
+            columns = [rows.column("doc_id").combine_chunks().take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(np.full(len(size), part), pa.int32()), pa.array(nth)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * with_ids)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, PIECES + ", ids array<int>" * with_ids)

@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, texts_of
-from .tokens import default_tokenizer, encode_slices
+from .common import fresh_path, small_batches
+from .tokens import default_tokenizer, encoded
 
 #: (ids, bits) of selectors 0 to 14: fixed values of the word-aligned code; selector 15 is the escape.
 SELECTORS = [(240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE, CHUNK = 15, 1 << 16
 _HEAD = struct.Struct("<4sIIIQ")
 _COUNTS = np.array([n for n, _ in SELECTORS] + [1], np.int64)
-#: Documents in a block, unless their ids reach the other bound first.
+#: Documents and ids in a block; a longer document is a block of its own.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
 
 
@@ -98,7 +98,7 @@ def unpack(words: np.ndarray, escaped: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def pack_block(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
+def pack_block(doc_ids: list, counts: np.ndarray | list[int], ids: np.ndarray) -> bytes:
     """The payload of documents with these ids one after the other."""
     words, escapes, offsets, shift = [], [], [0], 0
     for i in range(0, len(ids), CHUNK):
@@ -142,30 +142,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), F.crc32(F.col("text").cast("binary")))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        ids, counts, raw, size = [], [], [], 0
-
-        def flush():
-            payload = pack_block(ids, counts, np.frombuffer(b"".join(raw), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "part_start", "n_docs", "n_tokens", "payload"])
-
-        for batch in batches:
-            for doc_id, body in zip(batch.column("doc_id").to_pylist(), encode_slices(tokenizer, texts_of(batch, "text")), strict=True):
-                ids.append(doc_id)
-                raw.append(body + end)
-                counts.append(len(raw[-1]) // 4)
-                size += counts[-1]
-                if len(ids) >= BLOCK_DOCS or size >= BLOCK_TOKENS:
-                    yield flush()
-                    block, start = block + 1, start + size
-                    ids, counts, raw, size = [], [], [], 0
-        if ids:
-            yield flush()
+        for docs, ids, counts in encoded(tokenizer, batches, "text", end_id):
+            ends, doc_ids, a = np.cumsum(counts), docs.column("doc_id").to_pylist(), 0
+            while a < len(counts):
+                low = int(ends[a] - counts[a])
+                b = max(a + 1, min(a + BLOCK_DOCS, int(np.searchsorted(ends, low + BLOCK_TOKENS, side="right"))))
+                own = ids[low : int(ends[b - 1])]
+                payload = pack_block(doc_ids[a:b], counts[a:b], own)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([b - a], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "part_start", "n_docs", "n_tokens", "payload"])
+                block, start, a = block + 1, start + len(own), b
 
     rows.mapInArrow(run, "part int, block int, part_start long, n_docs int, n_tokens long, payload binary").write.parquet(path)
 
