@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows per Arrow batch: small, so that a batch of very long texts stays within a worker's memory.
-BATCH_ROWS = 500
+#: Rows and bytes per Arrow batch: small, so that a batch of very long texts stays within a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` if it is larger (never raise it)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Lower the session's Arrow batches to ``rows`` and ``BATCH_BYTES`` where they are larger (never raise them)."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        told = spark.conf.get(key)
+        if not told.isdigit() or not 0 < int(told) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return told
 
 
+#: Paths made while a ``Scratch`` is open are also noted there.
+_OPEN: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/tagplace-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    there, fs = _on_disk(spark, path)
+    fs.deleteOnExit(there)
+    for paths in _OPEN:
+        paths.append(path)
     return path
 
 
+def _on_disk(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -59,10 +71,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def removed(df: DataFrame) -> None:
-    """Delete the files of a ``written`` table that nothing reads any more."""
-    there = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
-    there.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+def removed(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        there, fs = _on_disk(df.sparkSession, df._written_to)
+        fs.delete(there, True)
+
+
+class Scratch:
+    """The tables that were written while it was open: ``with scratch: ...``; ``clear`` deletes them."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        _OPEN.append(self.paths)
+        return self
+
+    def __exit__(self, *what) -> None:
+        _OPEN[:] = [paths for paths in _OPEN if paths is not self.paths]
+
+    def clear(self, reader: DataFrame) -> None:
+        """Delete these tables, but for those that ``reader`` still reads."""
+        if not self.paths:
+            return
+        used = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in reader.inputFiles()}
+        rest = [path for path in self.paths if path.rsplit("/", 1)[-1] in used]
+        for path in self.paths:
+            if path not in rest:
+                there, fs = _on_disk(reader.sparkSession, path)
+                fs.delete(there, True)
+        self.paths[:] = rest
 
 
 def with_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, dict]]], new: str) -> DataFrame:

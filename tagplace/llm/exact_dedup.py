@@ -5,7 +5,8 @@ range, as Golomb-coded gaps. An owner sees each fingerprint at most once a parti
 third of the table costs it one number a partition; it answers with a bitmap of those that came from more than
 one partition. Texts are shuffled for suspects only, grouped by their bytes, so a fingerprint collision never
 joins different texts; equal texts are first merged where they are read. What goes back to the rows is keyed by
-SHA-256 and salted, so a large group is no hot key.
+SHA-256 and salted, so a large group is no hot key; rows that are no suspects are not shuffled at all. Very long
+texts are kept whole (a part closes once its rows reach ``PART_BYTES``).
 
 Edge cases: a null text counts as empty. Of equal texts the row with the largest doc_id stays; among rows that
 also share it, or whose doc_ids are all null (null is smallest), one stays. Empty tables give empty results.
@@ -25,8 +26,8 @@ from .common import small_batches, with_arrow, written
 
 NEW = ("keep_id", "group_size", "kept", "text_sha256")
 SALTS = 16
-#: Bytes of bitmaps that may be broadcast; beyond, they are joined by shuffle.
-MAX_BITMAPS = 64 << 20
+#: Bytes of bitmaps, and groups of copies, that may be broadcast; beyond, they are joined by shuffle.
+MAX_BITMAPS, MAX_GROUPS = 64 << 20, 100_000
 #: Bytes of rows after which a task begins another part; a part's rows are held until their ranks are known.
 PART_BYTES = 48 << 20
 
@@ -136,15 +137,22 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bitmaps = bitmaps.select(F.col("part").alias("p"), F.col("owner").alias("o"), "words")
     hit = F.getbit(F.element_at("words", (F.floor(F.col("rank") / 64) + 1).cast("int")), F.col("rank") % 64) == 1
     on = (F.col("part") == F.col("p")) & (F.col("owner") == F.col("o"))
-    asked = placed.join(F.broadcast(bitmaps) if size <= MAX_BITMAPS else bitmaps, on, "left")
-    suspects = asked.where(F.col("twin") | F.coalesce(hit, F.lit(False)))
+    asked = placed.join(F.broadcast(bitmaps) if size <= MAX_BITMAPS else bitmaps, on, "left").withColumn("suspect", F.col("twin") | F.coalesce(hit, F.lit(False)))
     # byte verification: groups of identical texts; max keeps (doc_id, part, row), null doc_ids lowest
     top = F.max(F.struct(F.col("id"), F.col("part"), F.col("row"))).alias("top")
-    groups = suspects.groupBy("text").agg(top, F.count("*").alias("n"), F.first("sha").alias("sha")).where("n > 1").select("sha", "top", "n")
+    groups = asked.where("suspect").groupBy("text").agg(top, F.count("*").alias("n"), F.first("sha").alias("sha")).where("n > 1").select("sha", "top", "n")
     groups = written(groups, "groups")
+    many = groups.count()
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keys = placed if keep_text else placed.drop("text")
-    out = keys.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
+    keys = asked if keep_text else asked.drop("text")
+    # rows that nobody suspects are on their own and are not shuffled
+    alone = keys.where("not suspect").select("*", F.lit(None).cast(groups.schema["top"].dataType).alias("top"), F.lit(None).cast("long").alias("n"))
+    shared = keys.where("suspect")
+    if many <= MAX_GROUPS:
+        shared = shared.join(F.broadcast(groups), "sha", "left")
+    else:
+        shared = shared.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left").drop("salt")
+    out = alone.unionByName(shared)
     alone = F.col("n").isNull()
     kept = alone | ((F.col("part") == F.col("top.part")) & (F.col("row") == F.col("top.row")))
     columns = [F.col(f"doc.`{c}`").alias(c) for c in carried]

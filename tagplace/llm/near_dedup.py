@@ -1,22 +1,28 @@
 """Near-duplicate groups: one-permutation MinHash, banded buckets, star edges, links confirmed on full sets.
 
-1. A text's set is its distinct shingles of ``SHINGLE`` words, as sorted 64-bit hashes. Texts with equal sets are
-   one node from here on.
-2. One-permutation hashing: the top bits of a shingle's hash choose its bin, the least value in a bin is kept,
-   and empty bins borrow from others in the order of a fixed random table (optimal densification). Bands of
-   ``ROWS`` bins give the buckets. A pair with similarity 0.8 shares none of the 32 buckets with a chance
-   below 1e-7, one with 0.85 below 1e-10.
+1. A text's set is its distinct shingles of ``SHINGLE`` words, as 64-bit hashes. Texts with equal sets (128 bits of
+   hash) are one node from here on, named by its least row.
+2. One-permutation hashing: the top bits of a shingle's hash choose its bin, the least value in a bin is kept (16
+   bits of it), and empty bins borrow from others in the order of a fixed random table (optimal densification).
+   Bands of ``ROWS`` bins give the buckets. A pair with similarity 0.8 shares none of the 32 buckets with a chance
+   below 1e-7, and fewer than two with one of about 1e-6.
 3. A bucket's nodes are joined by star edges to two centres, its least node and the one with most neighbours in all
    its buckets (in a group of edited copies, the text they were made from); so edges are at most twice the rows.
-   An edge is a link if the full sets are similar enough. Connected components of the links follow.
-4. Nodes of a bucket that are still in different components after that may be linked without a centre. They are
-   compared in blocks of ``BLOCK`` nodes: signatures first, then full sets, and only links between components
-   leave a task. No bucket is capped.
+   Edges whose signatures agree enough are confirmed on full sets, made from the two texts. Connected components
+   of the links follow.
+4. Nodes of one bucket that are in different components after that may be linked without a centre. They meet again
+   in finer buckets, of two bands each, and there star rounds go on: a bucket that holds several components takes
+   up to ``CENTRES`` centres (four times as many in each further round), from different components; its nodes are
+   compared with those of other components, and centres, now compared with all, leave the bucket. It ends when no
+   bucket holds two components. No bucket is capped, and nodes that are linked already are never paired.
+
+Texts travel only for edges that passed the signatures; sets are never stored.
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing; fewer than five words are one
 shingle. Null doc_ids take part; a component of nothing but null doc_ids has a null component_id and nothing of
-it is kept but one row. Rows that share the kept doc_id: one of them is kept. Empty tables give empty results.
-Other columns pass through; those named like a new column (n_shingles, component_id, kept) are replaced.
+it is kept but one row. Rows that share the kept doc_id: one of them is kept. Very long texts are compared whole;
+Arrow batches are bounded in bytes. Empty tables give empty results. Other columns pass through; those named like
+a new column (n_shingles, component_id, kept) are replaced.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import removed, small_batches, with_arrow, written
 
-SHINGLE, BINS, ROWS, BLOCK = 5, 128, 4, 256
-BANDS = BINS // ROWS
-#: A signature agreement below this excludes a similarity of 0.8 or more (over five standard deviations off).
-SURE = 0.6
-#: Node ids that may be broadcast to pick the sets of candidates; beyond, they are joined by shuffle.
-MAX_IDS = 4_000_000
+SHINGLE, BINS, ROWS, CENTRES = 5, 128, 4, 16
+BANDS, SALTS = BINS // ROWS, 16
+#: Signatures that agree by so much less than the threshold exclude a link (over five standard deviations).
+MARGIN = 0.2
+#: Rows of ids that may be broadcast; beyond, they are joined by shuffle.
+MAX_IDS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -76,7 +82,7 @@ _DONORS = np.random.default_rng(20240601).permuted(np.tile(np.arange(BINS), (BIN
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Least value of each bin; an empty bin takes that of the first filled one in its own random order."""
+    """16 bits of the least value of each bin; an empty bin takes the first filled one's, in its own random order."""
     bins = (s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     filled, first = np.unique(bins, return_index=True)
     out, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
@@ -85,19 +91,13 @@ def signature(s: np.ndarray) -> np.ndarray:
     if len(empty):
         donors = _DONORS[empty]
         out[empty] = out[donors[np.arange(len(empty)), full[donors].argmax(1)]] ^ np.uint64(0x5BD1E995)
-    return out
-
-
-def _bands(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS)
-    h = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)
-    for i in range(ROWS):
-        h = _mix((h ^ rows[:, i]) * _ODD[i])
-    return h.view(np.int64)
+    return (out & np.uint64(0xFFFF)).astype("<u2")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """doc (the other columns), text, id, and of each row: its number, set size, two hashes of the set, signature."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    rows = docs.select(doc.alias("doc"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -108,14 +108,31 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 s = shingles(text or "")
                 raw = s.tobytes()
-                out.append((row, len(s), xxhash.xxh3_64_intdigest(raw) - 2**63, xxhash.xxh64_intdigest(raw, 7) - 2**63, _bands(signature(s)) if len(s) else None, raw))
+                out.append((row, len(s), xxhash.xxh3_64_intdigest(raw) - 2**63, xxhash.xxh64_intdigest(raw, 7) - 2**63, signature(s).tobytes() if len(s) else None))
                 row += 1
-            cols = list(zip(*out)) or [()] * 6
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            made = dict(zip(("row", "n", "node", "check", "bands", "set"), (pa.array(list(x), t) for x, t in zip(cols, types, strict=True)), strict=True))
-            yield batch, made
+            cols = list(zip(*out)) or [()] * 5
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield batch, dict(zip(("row", "n", "k1", "k2", "sig"), (pa.array(list(x), t) for x, t in zip(cols, types, strict=True)), strict=True))
+
+    return with_arrow(rows, run, "row long, n int, k1 long, k2 long, sig binary")
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """A side whose number of rows was counted: broadcast up to MAX_IDS, else shuffled."""
+    return F.broadcast(df) if rows <= MAX_IDS else df
 
-    return with_arrow(rows, run, "row long, n int, node long, check long, bands array<long>, set binary").drop("text")
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """A row per distinct set: k1, k2, node (its least row), n, sig, first (the row that stands for it), copies."""
+    first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row")).alias("first")
+    return rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), first, F.count("*").alias("copies"))
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    """(key, node, size) of the buckets with more than one node."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
+    bands = sets.select("node", F.explode(keys).alias("key"))
+    return bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -125,23 +142,32 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose full sets are similar enough."""
-    one = edges.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+def _links(edges: DataFrame, active: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose full sets are similar enough; ``active`` (node, n, sig) and ``bodies`` (node, text)."""
+    side = lambda x: active.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    sized = edges.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    sure = percent / 100 - MARGIN
 
-    def run(batches):
+    def agree(batches):
         for batch in batches:
-            view = lambda c: [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)]
-            hit = [_similar(x, y, percent) for x, y in zip(view("sa"), view("sb"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("sa", "sb"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((a == b).mean(1) >= sure))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    likely = sized.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
+    both = likely.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
+    def confirm(batches):
+        for batch in batches:
+            made: dict[int, np.ndarray] = {}  # a centre's set is made once a batch
+            hit = []
+            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
+                for node, text in ((a, ta), (b, tb)):
+                    if node not in made:
+                        made[node] = shingles(text)
+                hit.append(_similar(made[a], made[b], percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-def _sent(df: DataFrame, rows: int) -> DataFrame:
-    """A side whose number of rows was counted: broadcast up to MAX_IDS, else shuffled."""
-    return F.broadcast(df) if rows <= MAX_IDS else df
+    return both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,102 +185,104 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if not new.where("old <> comp").limit(1).count():
             removed(both)
-            return new.select("node", "comp")
-
-
-def _picked(prepared: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
-    """(node, set) of these nodes, whose number is checked before they are broadcast."""
-    return prepared.select("row", "node", "set").join(_sent(nodes, rows), ["row", "node"], "left_semi").select("node", "set")
-
-
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """Links between components among the members (key, node, comp, set) of blocks (key, x, y)."""
-
-    def run(table):
-        node, comp, side = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
-        sig = np.array([signature(s) for s in sets])
-        size = np.array([len(s) for s in sets])
-        root = {c: c for c in set(comp.tolist())}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        found = []
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        for i in left:
-            others = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
-            others = others[(sig[others] == sig[i]).mean(1) >= SURE] if len(others) else others
-            for j in others:
-                p, q = find(int(comp[i])), find(int(comp[j]))
-                if p != q and _similar(sets[i], sets[j], percent):
-                    root[p] = q
-                    found.append((int(node[i]), int(node[j])))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return members.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
-
-
-def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of ``docs``: row (unique), id, n (set size), node, comp (components that are alike share it)."""
-    spark = docs.sparkSession
-    small_batches(spark, 250)
-    prepared = written(_prepared(docs, id_col, text_col), "sets")
-    # one row a node stands for all texts with its set
-    first = written(prepared.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), (F.min("check") != F.max("check")).alias("clash")), "first")
-    if first.where("clash").limit(1).count():
-        raise RuntimeError("two shingle sets share a 64-bit hash; change the seed of the node hash")
-    spread = prepared.where("n > 0").select("row", "node", F.explode("bands").alias("key"))
-    bands = written(spread.join(first, ["row", "node"], "left_semi").select("key", "node", "row"), "bands")
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(bands.join(buckets, "key"), "members")  # buckets of one node are gone
-    removed(first)
-    removed(bands)
-    touched = written(members.groupBy("node").agg(F.min("row").alias("row"), F.sum("size").alias("degree")), "touched")
-    count = touched.count()
-    sets = written(_picked(prepared, touched.select("row", "node"), count), "picked")
-    # two centres: the least node, and the one with most bucket neighbours (degree and hash bits in one number)
+            out = new.select("node", "comp")
+            out._written_to = new._written_to
+            return out
+
+
+def _edge(x, y) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _stars(members: DataFrame, active: DataFrame) -> DataFrame:
+    """(a, b): each bucket's nodes to its least node and to the one with most bucket neighbours."""
+    # degree and hash bits in one number
     prio = F.shiftleft(F.least("degree", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 32))
-    ranked = members.join(_sent(touched.select("node", prio.alias("prio")), count), "node")
+    ranked = members.join(active.select("node", prio.alias("prio")), "node")
     hearts = ranked.groupBy("key").agg(F.array(F.min("node"), F.max_by("node", "prio")).alias("hearts"))
-    star = members.join(hearts, "key").select("node", F.explode("hearts").alias("a")).where("node <> a")
-    edges = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    links = written(_confirmed(edges, sets, percent), "links")
+    return members.join(hearts, "key").select("node", F.explode("hearts").alias("a")).where("node <> a").select(*_edge("a", "node")).distinct()
+
+
+def _named(nodes: DataFrame, labels: DataFrame, count: int) -> DataFrame:
+    return nodes.join(_sent(labels, count), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _mixed(members: DataFrame, least: int) -> DataFrame:
+    """Keys of the buckets of at least ``least`` nodes that hold several components."""
+    return members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"size >= {least} and lo <> hi").select("key")
+
+
+def _linked(members: DataFrame, active: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of all linked nodes."""
+    links = written(_links(_stars(members, active), active, bodies, percent), "links")
     labels = components(links)
-    linked = labels.count()
-    named = written(members.join(_sent(labels, linked), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "named")
-    # buckets of two nodes are settled by their star edge
-    open_ = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 2 and lo <> hi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = named.join(open_.select("key", "size"), "key").withColumns({"block": F.pmod(F.xxhash64(F.lit(9), "node"), blocks).cast("int"), "blocks": blocks})
-    # each unordered pair of blocks is compared once
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x, y = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    dealt = pairs.select("key", x.alias("x"), y.alias("y"), side.alias("side"), "node", "comp").join(sets, "node")
-    more = written(_rest(dealt, percent), "more")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-    named = prepared.select("row", "id", "n", "node").join(labels, "node", "left")
-    return named.select("row", "id", "n", "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
-
-
-def _component_ids(groups: DataFrame) -> DataFrame:
-    """row, n_shingles, component_id, kept. Labels are joined by component in salted parts, no group is gathered."""
-    least = written(groups.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("size"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")), "least")
-    many = least.where("size > 1").select("comp", "component_id", F.col("first.row").alias("first_row")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    out = groups.withColumn("salt", F.pmod("row", F.lit(16)).cast("int")).join(many, ["comp", "salt"], "left")
+    count = labels.count()
+    # a bucket of two nodes is settled by its star edge
+    named = written(_named(members.select("key", "node"), labels, count), "named")
+    left = named.join(_mixed(named, 3), "key", "left_semi")
+    keys = left.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most one a band
+    pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
+    open_, width = written(keys.select("node", F.explode(pairs).alias("key")), "finer"), CENTRES
+    removed(named)
+    while True:
+        named = _named(open_, labels, count)
+        rest = written(named.join(_mixed(named, 2), "key", "left_semi"), "open")
+        removed(open_)
+        if not rest.limit(1).count():
+            removed(rest, links)
+            return labels
+        turn = F.min_by(F.struct("node", "comp"), F.xxhash64(F.lit(3), "node"))
+        centres = rest.groupBy("key", F.pmod(F.xxhash64(F.lit(2), "comp"), F.lit(width)).alias("seat")).agg(turn.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("other"))
+        centres = written(centres, "centres")
+        edges = rest.join(centres, "key").where("comp <> other").select(*_edge("node", "centre")).distinct()
+        more = written(_links(edges, active, bodies, percent), "links")
+        if more.limit(1).count():
+            links, old = written(links.unionByName(more), "links"), links
+            removed(old)
+            removed(labels)
+            labels = components(links)
+            count = labels.count()
+        open_ = written(rest.select("key", "node").join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"), "finer")
+        removed(rest, centres, more)
+        width *= 4
+
+
+def _decided(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """(k1, k2, component_id, first_row, salt) of the sets whose component has several rows, and their number."""
+    count = labels.count()
+    own = sets.select("k1", "k2", "node", "first", "copies").join(_sent(labels, count), "node", "left").where("comp is not null or copies > 1")
+    own = written(own.select("k1", "k2", F.coalesce("comp", "node").alias("comp"), "first", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("part")), "own")
+    salts = lambda name: F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(name)
+    best = own.groupBy("comp").agg(F.min("first").alias("m")).select("comp", F.col("m.id").alias("component_id"), F.col("m.row").alias("first_row"), salts("part"))
+    out = written(own.select("k1", "k2", "comp", "part").join(best, ["comp", "part"]).select("k1", "k2", "component_id", "first_row"), "decided")
+    removed(own)
+    return out.select("*", salts("salt")), out.count() * SALTS
+
+
+def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows as prepared, decisions): row, id, n, component_id, kept of each row of ``docs``."""
+    small_batches(docs.sparkSession, 250)
+    rows = written(_prepared(docs, id_col, text_col), "rows")
+    sets = written(_sets(rows), "sets")
+    members = written(_members(sets), "members")
+    touched = written(members.groupBy("node").agg(F.sum("size").alias("degree")), "touched")
+    count = touched.count()
+    active = written(sets.select("node", "n", "sig").join(_sent(touched, count), "node"), "active")
+    bodies = written(rows.select(F.col("row").alias("node"), "text").join(_sent(touched.select("node"), count), "node", "left_semi"), "bodies")
+    labels = _linked(members, active, bodies, percent)
+    removed(members, touched, active, bodies)
+    decided, many = _decided(sets, labels)
+    removed(sets, labels)
+    own = rows.select("row", "id", "n", "k1", "k2", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    out = own.join(_sent(decided, many), ["k1", "k2", "salt"], "left")
     alone = F.col("first_row").isNull()
-    return out.select("row", "id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("first_row"))).alias("kept"))
+    return rows, out.select("row", "id", "n", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("first_row"))).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    out = _component_ids(near_groups(docs, percent, id_col, text_col))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+    _, out = near_groups(docs.select(id_col, text_col), percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,20 +290,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_
 
     Exactly one row of each group stays, that with the smallest doc_id (nulls last); texts without words stay.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 250)
-
-    def number(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            yield b, {"_row": pa.array(np.arange(row, row + b.num_rows), pa.int64())}
-            row += b.num_rows
-
-    numbered = written(with_arrow(docs, number, "_row long"), "numbered")
-    groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("text")), percent)
-    # the smallest doc_id of a component is kept, so component members' own ids decide
-    ids = numbered.select(F.col("_row").alias("doc_id"), F.col(id_col).cast("long").alias("own")).join(groups, "doc_id")
-    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).alias("m")).select(F.col("m.doc_id").alias("_row"))
-    return numbered.join(best, "_row", "left_semi").select(*docs.columns)
+    rows, decided = near_groups(docs, percent, id_col, text_col)
+    gone = written(decided.where("not kept").select("row"), "gone")
+    left = rows.join(_sent(gone, gone.count()), "row", "left_anti")
+    return left.select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

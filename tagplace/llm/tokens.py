@@ -27,7 +27,7 @@ _SPACES = r"\t\n\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 _ODD = r"  | \n|\n |^ | $|[" + _SPACES.replace(r"\n", "") + "]"
 _SPACE_LAST, _LETTER_LAST = rf"[ {_SPACES}]\z", r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]\z"
 #: Bytes of the longest word that is remembered for long; bytes of text that are encoded together.
-MAX_WORD, BATCH_BYTES = 64, 8 << 20
+MAX_WORD, BATCH_BYTES = 64, 4 << 20
 
 
 def default_tokenizer() -> str:

@@ -218,7 +218,10 @@ def test_golomb_round_trip():
         assert (exact_dedup.golomb_decode(exact_dedup.golomb_encode(v, span)) == v).all()
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize("bound", [1 << 26, 0])
+def test_exact_dedup(spark, bound, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_BITMAPS", bound)  # broadcast, then joined by shuffle
+    monkeypatch.setattr(exact_dedup, "MAX_GROUPS", bound)
     rng = random.Random(5)
     rows = [(i, rng.choice(["a", "b", "", None, "c " * 2000, f"u{i}"])) for i in range(400)] + [(3, "a"), (None, "a"), (None, "only"), (None, "only"), (999, "b"), (999, "b")]
     df = odd_docs(spark, rows).repartition(7)
@@ -297,7 +300,7 @@ def near_rows():
 
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_dedup_brute_force(spark, percent, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "CENTRES", 2)  # several rounds
     rows = near_rows()
     random.Random(1).shuffle(rows)
     comps, sizes = brute_components(rows, percent)
@@ -310,7 +313,21 @@ def test_near_dedup_brute_force(spark, percent, monkeypatch):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(comps.values()))
 
 
-def test_near_dedup_odd(spark):
+def test_scratch_keeps_what_is_read(spark):
+    from tagplace.llm.common import Scratch, written
+
+    with Scratch() as scratch:
+        a, b = written(spark.range(3).toDF("x"), "a"), written(spark.range(4).toDF("x"), "b")
+    written(spark.range(1).toDF("x"), "c")
+    assert len(scratch.paths) == 2
+    scratch.clear(b)
+    assert b.count() == 4 and scratch.paths == [b._written_to]
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        a.count()
+
+
+def test_near_dedup_odd(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MAX_IDS", -1)  # every side by shuffle
     df = odd_docs(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "zz")])
     got = near_dedup.near_duplicates(df).collect()
     assert sorted((str(r.doc_id), r.component_id, r.kept) for r in got if r.n_shingles == 2) == [("4", 4, False), ("4", 4, True), ("None", 4, False)]
@@ -318,6 +335,29 @@ def test_near_dedup_odd(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_long_text_and_repeats(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-100])), (3, " ".join(words[:30_000])), (1, " ".join(words))]
+    got = near_dedup.near_duplicates(odd_docs(spark, rows), 85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, False), (1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+def test_near_dedup_finds_all_links_of_made_pairs(spark):
+    rng, rows, linked = random.Random(12), [], set()
+    for i in range(400):  # pairs from 6 to 200 words, at and above the threshold
+        w = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(rng.choice([6, 9, 12, 20, 40, 200]))]
+        other = list(w)
+        for _ in range(rng.randint(0, max(1, len(w) // 40))):
+            other[rng.choice([0, len(w) - 1, rng.randrange(len(w))])] = "zz"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            linked.add(2 * i + 1)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 80).collect()
+    assert len(linked) > 150 and {r.doc_id for r in got if r.component_id != r.doc_id} == linked
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long")
     got = {r.node: r.comp for r in near_dedup.components(edges).collect()}
