@@ -10,13 +10,14 @@
    its buckets (in a group of edited copies, the text they were made from); so edges are at most twice the rows.
    Edges whose signatures agree enough are confirmed on full sets, made from the two texts. Connected components
    of the links follow.
-4. Nodes of one bucket that are in different components after that may be linked without a centre. They meet again
-   in finer buckets, of two bands each, and there star rounds go on: a bucket that holds several components takes
-   up to ``CENTRES`` centres (four times as many in each further round), from different components; its nodes are
-   compared with those of other components, and centres, now compared with all, leave the bucket. It ends when no
-   bucket holds two components. No bucket is capped, and nodes that are linked already are never paired.
+4. Nodes of one bucket that are in different components after that may be linked without a centre. They are
+   compared inside tasks: signatures first, then full sets, the likeliest first, and none that are in one component
+   by then. A pair is compared in one of the buckets it shares, two at least; only links that join components
+   leave a task, so no pairs are stored or shuffled. A bucket of more than ``BLOCK`` nodes is dealt in blocks, each
+   two of which meet once; no bucket is capped.
 
-Texts travel only for edges that passed the signatures; sets are never stored.
+Texts travel for edges that passed the signatures and to buckets that still hold several components; sets are
+never stored.
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing; fewer than five words are one
 shingle. Null doc_ids take part; a component of nothing but null doc_ids has a null component_id and nothing of
@@ -35,12 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import removed, small_batches, with_arrow, written
 
-SHINGLE, BINS, ROWS, CENTRES = 5, 128, 4, 16
+SHINGLE, BINS, ROWS = 5, 128, 4
 BANDS, SALTS = BINS // ROWS, 16
 #: Signatures that agree by so much less than the threshold exclude a link (over five standard deviations).
 MARGIN = 0.2
 #: Rows of ids that may be broadcast; beyond, they are joined by shuffle.
 MAX_IDS = 1_000_000
+#: Nodes of a block, shingles of its sets at most (about), and sets that are compared with one at a time.
+BLOCK, BLOCK_SHINGLES, CHUNK = 1024, 1 << 20, 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -129,9 +132,9 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def _members(sets: DataFrame) -> DataFrame:
-    """(key, node, size) of the buckets with more than one node."""
+    """(key, band, node, size) of the buckets with more than one node."""
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
-    bands = sets.select("node", F.explode(keys).alias("key"))
+    bands = sets.select("node", F.posexplode(keys).alias("band", "key"))
     return bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
@@ -203,48 +206,83 @@ def _stars(members: DataFrame, active: DataFrame) -> DataFrame:
     return members.join(hearts, "key").select("node", F.explode("hearts").alias("a")).where("node <> a").select(*_edge("a", "node")).distinct()
 
 
-def _named(nodes: DataFrame, labels: DataFrame, count: int) -> DataFrame:
-    return nodes.join(_sent(labels, count), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
 def _mixed(members: DataFrame, least: int) -> DataFrame:
-    """Keys of the buckets of at least ``least`` nodes that hold several components."""
-    return members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"size >= {least} and lo <> hi").select("key")
+    """Buckets of at least ``least`` nodes that hold several components: key, size, shingles."""
+    sums = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return sums.where(f"size >= {least} and lo <> hi").select("key", "size", "shingles")
+
+
+def _settle(rows: pa.Table, percent: int) -> pa.Table:
+    """Links that join components among one block's nodes, or between two blocks (side 0 and 1)."""
+    node, comp, side, sizes = (rows.column(c).to_numpy() for c in ("node", "comp", "side", "n"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(-1, BINS)
+    bands, band, texts = sig.view("<u8"), rows.column("band")[0].as_py(), rows.column("text")
+    made: dict[int, np.ndarray] = {}
+    root = {c: c for c in set(comp.tolist())}
+    sure = percent / 100 - MARGIN
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    def set_of(i):
+        if i not in made:
+            made[i] = shingles(texts[i].as_py())
+        return made[i]
+
+    def here(i, others):
+        """Whether a pair belongs to this bucket: of the bands it shares, the first from a place of its own on."""
+        same = bands[others] == bands[i]
+        turn = (np.bitwise_xor(node[others], node[i]) * 0x9E3779B1 >> 7) % BANDS
+        at = (np.arange(BANDS) + turn[:, None]) % BANDS
+        first = np.take_along_axis(same, at, 1).argmax(1)
+        return (same.sum(1) > 1) & ((first + turn) % BANDS == band)
+
+    found, right = [], np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1).tolist():
+        j = right[right > i] if side[i] == 2 else right
+        j = j[(comp[j] != comp[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
+        if len(j):
+            like = (sig[j] == sig[i]).mean(1)
+            j, like = j[like >= sure], like[like >= sure]
+        if len(j):
+            own = here(i, j)
+            j = j[own][np.argsort(-like[own], kind="stable")]
+        while len(j):
+            j = j[[find(c) != find(int(comp[i])) for c in comp[j].tolist()]]
+            some, j = j[:CHUNK], j[CHUNK:]
+            for k in some.tolist():
+                p, q = find(int(comp[i])), find(int(comp[k]))
+                if p != q and _similar(set_of(i), set_of(k), percent):
+                    root[p] = q
+                    found.append((int(node[i]), int(node[k])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
 def _linked(members: DataFrame, active: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """(node, comp) of all linked nodes."""
     links = written(_links(_stars(members, active), active, bodies, percent), "links")
     labels = components(links)
-    count = labels.count()
-    # a bucket of two nodes is settled by its star edge
-    named = written(_named(members.select("key", "node"), labels, count), "named")
-    left = named.join(_mixed(named, 3), "key", "left_semi")
-    keys = left.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most one a band
-    pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
-    open_, width = written(keys.select("node", F.explode(pairs).alias("key")), "finer"), CENTRES
-    removed(named)
-    while True:
-        named = _named(open_, labels, count)
-        rest = written(named.join(_mixed(named, 2), "key", "left_semi"), "open")
-        removed(open_)
-        if not rest.limit(1).count():
-            removed(rest, links)
-            return labels
-        turn = F.min_by(F.struct("node", "comp"), F.xxhash64(F.lit(3), "node"))
-        centres = rest.groupBy("key", F.pmod(F.xxhash64(F.lit(2), "comp"), F.lit(width)).alias("seat")).agg(turn.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("other"))
-        centres = written(centres, "centres")
-        edges = rest.join(centres, "key").where("comp <> other").select(*_edge("node", "centre")).distinct()
-        more = written(_links(edges, active, bodies, percent), "links")
-        if more.limit(1).count():
-            links, old = written(links.unionByName(more), "links"), links
-            removed(old)
-            removed(labels)
-            labels = components(links)
-            count = labels.count()
-        open_ = written(rest.select("key", "node").join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"), "finer")
-        removed(rest, centres, more)
-        width *= 4
+    named = members.select("key", "band", "node").join(_sent(labels, labels.count()), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = written(named.join(active.select("node", "n"), "node"), "named")
+    # a bucket of two nodes is settled by its star edge, and a pair that is alike meets in two buckets or more
+    open_ = written(named.join(_mixed(named, 3).select("key"), "key", "left_semi"), "open")
+    often = open_.groupBy("node").agg(F.count("*").alias("times")).where("times > 1").select("node")
+    left = open_.join(often, "node", "left_semi")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = left.join(_mixed(left, 2).select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    dealt = pairs.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "band", "node", "n", "comp")
+    dealt = dealt.join(active.select("node", "sig"), "node").join(bodies, "node")
+    more = written(dealt.groupBy("key", "x", "y").applyInArrow(lambda t: _settle(t, percent), "a long, b long"), "more")
+    removed(named, open_)
+    if more.limit(1).count():
+        removed(labels)
+        labels = components(links.unionByName(more))
+    removed(links, more)
+    return labels
 
 
 def _decided(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
