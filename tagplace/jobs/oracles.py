@@ -39,12 +39,12 @@ scores as materialized (
   select i.id, c.label, pi - coalesce(mass, 0) * log_denom + coalesce(shared, 0) as score
   from {ids} i cross join classes c left join mass m on m.id = i.id left join shared s on s.id = i.id and s.label = c.label
 ), soft as (
-  select *, exp(score - max(score) over (partition by id)) as e from scores
+  select *, score - max(score) over (partition by id) as behind from scores
 ), prob as (
-  select id, label, score, e / sum(e) over (partition by id) as p from soft
+  select *, exp(behind) / sum(exp(behind)) over (partition by id) as p from soft
 ), ranked as materialized (
-  select *, row_number() over w as rank, coalesce(sum(round(p, 9)) over (partition by id order by round(p, 9) desc, label rows between unbounded preceding and 1 preceding), 0) as before
-  from prob window w as (partition by id order by round(p, 9) desc, label)
+  select *, row_number() over w as rank, coalesce(sum(p) over (partition by id order by round(behind, 6) desc, label rows between unbounded preceding and 1 preceding), 0) as before
+  from prob window w as (partition by id order by round(behind, 6) desc, label)
 )"""
 
 
@@ -72,13 +72,13 @@ flat_classes as materialized (
 def _flat(bag: str, k: str) -> str:
     return f"""with {_FLAT}, {_ASKED}, bags as materialized ({bag}),
 pairs as (select b.id, b.tag, c.* from bags b cross join flat_classes c),
+factors as (select p.*, (coalesce(n, 0) + {k}) / (size + {k}) as f from pairs p left join flat_counts f on f.class_no = p.class_no and f.tag = p.tag),
 post as (
-  select p.id, p.class_no, p.class, product((coalesce(n, 0) + {k}) / (size + {k})) * any_value(prior) as post
-  from pairs p left join flat_counts f on f.class_no = p.class_no and f.tag = p.tag group by p.id, p.class_no, p.class
+  select id, class_no, class, case when min(f) = 0 then null else sum(ln(nullif(f, 0))) + ln(any_value(prior)) end as post from factors group by id, class_no, class
 ), shared as (
-  select *, sum(post) over (partition by id) as total, row_number() over (partition by id order by round(post, 15) desc, class_no) as rank from post
-)
-select id, rank, class_no, class, round(post / case when total = 0 then 1 else total end, 6) as confidence from shared where rank <= 3"""
+  select *, coalesce(exp(post - max(post) over (partition by id)), 0) as e, row_number() over (partition by id order by round(post, 9) desc nulls last, class_no) as rank from post
+), even as (select *, sum(e) over (partition by id) as total from shared)
+select id, rank, class_no, class, round(e / case when total = 0 then 1 else total end, 6) as confidence from even where rank <= 3"""
 
 
 _PAGES = f"""pages as materialized ({fx.duck(fx.PAGES)}), kept as materialized (
@@ -108,6 +108,14 @@ _LINE = """lines as (
 )"""
 
 
+_COVER = f"{_ALL}, {_LLA.format(points='centers')} select id, rank, {{label}}round(degrees(la), 6) as lat, round(degrees(lo), 6) as lon, round(r.p, 6) as probability{{more}} from ranked r join lla l on l.label = r.label where round(before, 9) < 0.75"
+_UNIFORM = "(('0x' || substr(md5('42:{turn}:' || id), 1, 12))::bigint / 281474976710656.0)"
+#: Who may be visited after the first pages: not private, with a next page, and with a geotagged medium there.
+_LATER = f"""{_FEED}, early as (select user_id from heads where page_no = 0 and code = 200 and n = 3 and n_geo > 0), rest as (
+  select *, coalesce(sum(case when n_geo = 0 then 1 else 0 end) over (partition by user_id order by page_no rows between unbounded preceding and 1 preceding), 0) as e from heads join early using (user_id) where page_no > 0
+), again as (select p.* from paged p join (select user_id, page_no from rest where e = 0) k using (user_id, page_no) where p.geo)"""
+
+
 def oracle_sql() -> dict[str, str]:
     tag_text = "(case when doc_id % 4 = 1 then '' else '{' end || regexp_replace(text, '[ ]+', ',', 'g') || case when doc_id % 5 = 2 then '}{' else '' end || '}')"
     return {
@@ -131,15 +139,15 @@ select conv_id, turn, count(*) as n_rows, cast(sum(case when t = [''] then 0 els
         "kml_points": f"""with {_CENTERS}, {_NEAR}, rows as (select cast(label as varchar) as c, array_to_string(tags, ' & ') as t, round(latitude, 2) as la, round(longitude, 2) as lo from docs join near using (id)),
 parts as (
   select 0 as section, '' as sort, '<kml>' || chr(10) || '<Document>' as v union all select 9, '', '</Document>' || chr(10) || '</kml>'
-  union all select distinct 3, c, '<Style id="random' || c || '"><IconStyle>' || chr(10) || '<color>ff' || substr(md5(c), 1, 6) || '</color>' || chr(10) || '<Icon><href>http://maps.google.com/mapfiles/kml/shapes/placemark_circle.png</href></Icon>' || chr(10) || '</IconStyle></Style>' from rows
-  union all select 5, c, '<Placemark>' || chr(10) || '<description>' || replace(t, '&', '&amp;') || '</description>' || chr(10) || '<styleUrl>#random' || c || '</styleUrl>' || chr(10) || '<Point><coordinates>' || lo || ',' || la || '</coordinates></Point>' || chr(10) || '</Placemark>' from rows
+  union all select distinct 3, c, '<Style id="cell-' || c || '"><IconStyle>' || chr(10) || '<color>ff' || substr(md5(c), 1, 6) || '</color>' || chr(10) || '<Icon><href>http://maps.google.com/mapfiles/kml/shapes/placemark_circle.png</href></Icon>' || chr(10) || '</IconStyle></Style>' from rows
+  union all select 5, c, '<Placemark>' || chr(10) || '<description>' || replace(t, '&', '&amp;') || '</description>' || chr(10) || '<styleUrl>#cell-' || c || '</styleUrl>' || chr(10) || '<Point><coordinates>' || lo || ',' || la || '</coordinates></Point>' || chr(10) || '</Placemark>' from rows
 ) select section, sort, md5(v) as value_md5 from parts""",
         "nb_classes": f"with {_NB} select label, n, round(sum_w, 6) as sum_w, round(pi, 6) as pi, round(log_denom, 6) as log_denom from classes",
         "nb_theta": f"with {_NB} select label, tag, round(sum_w, 6) as sum_w, round(log_w, 6) as log_w from theta",
         "nb_scores": f"{_ALL} select id, label, round(score, 4) as score from scores",
         "nb_top_k": f"{_ALL} select id, cast(rank as int) as rank, label, round(p, 6) as probability from ranked where rank <= 3",
         "nb_cover": f"{_ALL} select id, cast(rank as int) as rank, label, round(p, 6) as probability from ranked where round(before, 9) < 0.75",
-        "nb_argmax": f"{_ALL} select id, label from (select id, label, row_number() over (partition by id order by round(score, 9) desc, label) as k from scores) where k = 1",
+        "nb_argmax": f"{_ALL} select id, label from (select id, label, row_number() over (partition by id order by round(score, 6) desc, label) as k from scores) where k = 1",
         "predict_location": f"{_ALL}, {_LLA.format(points='centers')} select id, r.label, round(degrees(la), 6) as lat, round(degrees(lo), 6) as lon, round(r.p, 6) as probability from ranked r join lla l on l.label = r.label where rank = 1",
         "score_requests": _requests(),
         "stream_score": _requests(),
@@ -148,26 +156,51 @@ parts as (
         "cross_validate": _cross(3),
         "class_frequency": f"with {_FLAT} select class_no, round(prior, 9) as prior, size as n_tags from flat_classes",
         "class_tag_counts": f"with {_FLAT} select class_no, tag, n from flat_counts",
-        "flat_mle": _flat("select distinct id, unnest(tags) as tag from asked", "0"),
-        "flat_smoothed": _flat("select distinct id, unnest([a, b]) as tag from (select id, min(tag) as a, max(tag) as b from (select id, unnest(tags) as tag from asked) where tag <> '' group by id)", "0.001"),
+        "flat_mle": _flat("select distinct item_id as id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) as tag from benchmark", "0"),
+        "flat_smoothed": _flat("select distinct id, unnest(tags) as tag from asked", "0.001"),
         "insert_coordinates": f"""with {_FLAT}, t as (select class_no, list_sort(list_distinct(list(tag))) as tags from flat_counts group by class_no)
 select c.class_no, md5(class || ',0.5,' || round(lat, 2) || ',' || round(lon, 2) || ',' || array_to_string(tags, ',') || ',') as value_md5 from flat_classes c join t using (class_no)""",
         "pages_until_empty": f"with {_PAGES} select * from kept",
-        "user_scrape_state": f"""with {_PAGES}, coded as (select user_id, page_no, case when user_id % 10 = 0 then 400 else 200 end as code, case when n_media = 3 then cast(page_no as varchar) end as next_max_id from kept),
+        "user_scrape_state": f"""with {_PAGES}, coded as (select user_id, page_no, n_geo, case when user_id % 10 = 0 then 400 else 200 end as code, case when n_media = 3 then cast(page_no as varchar) end as next_max_id from kept),
 last as (select * from (select *, row_number() over (partition by user_id order by page_no desc) as k from coded) where k = 1)
-select user_id, case when code = 200 then next_max_id end as next_max_id, code = 200 and next_max_id is null as fully_scraped, code = 400 as private from last""",
+select user_id, case when code = 200 then next_max_id end as next_max_id, code = 200 and next_max_id is null as fully_scraped, code = 400 as private, code = 200 and n_geo = 0 as stopped from last""",
         "insert_if_absent": f"with {_SALES} select id, user_id, l_partkey, l_suppkey from sales where id not in (select o_orderkey * 10 + 1 from orders where o_orderstatus = 'F')",
         "sample_successors": f"with {_FOLLOWS} select * from sampled",
-        "expand_frontier": f"""with {_FOLLOWS}, l0 as (select distinct user_id from events where user_id % 40 = 1),
+        "expand_frontier": f"""with {_FOLLOWS}, l0 as (select c_custkey as user_id from customer where c_custkey in (select user_id from events) order by md5('42:' || c_custkey), c_custkey limit 25),
 l1 as (select distinct follower_id as user_id from sampled join l0 using (user_id) where follower_id not in (select user_id from l0)),
 l2 as (select distinct follower_id as user_id from sampled join l1 using (user_id) where follower_id not in (select user_id from l0) and follower_id not in (select user_id from l1))
 select user_id, 0 as level from l0 union all select user_id, 1 from l1 union all select user_id, 2 from l2""",
         "random_users": "select c_custkey as id from customer order by md5('42:' || c_custkey), c_custkey limit 25",
+        "class_model_files": f"""with {_FLAT}, t as (select class_no, string_agg(repeat(tag || ',', n), '' order by tag) as tags from flat_counts group by class_no)
+select cast(row_number() over (order by c.class_no) - 1 as bigint) as line, class, round(prior, 9) as prior, round(lat, 6) as lat, round(lon, 6) as lon, md5(rtrim(tags, ',')) as tags_md5 from flat_classes c join t using (class_no)""",
+        "class_predictions_json": f"select a.id, a.rank, a.class_no, a.confidence, round(b.lat, 6) as lat, round(b.lon, 6) as lon from ({_flat('select distinct id, unnest(tags) as tag from asked', '0.001')}) a join (with {_FLAT} select class_no, lat, lon from flat_classes) b using (class_no)",
+        "predict_cover": _COVER.format(label="r.label, ", more=""),
+        "predictions_json_read": _COVER.format(label="200 as status, '' as error, ", more=", true as has_polygon"),
+        "cluster_csv": f"with {_CENTERS}, {_NEAR} select md5(array_to_string(tags, ',')) as tags_md5, round(latitude, 2) as lat, round(longitude, 2) as lon, 'c' || label as cluster from docs join near using (id)",
+        "train_resumed": f"with {_NB} select label, n, round(sum_w, 6) as sum_w, round(pi, 6) as pi, round(log_denom, 6) as log_denom from classes",
+        "stored_tables": f"""with m as ({_MEDIA}), u as (with {_FEED} select distinct user_id as id from kept union select distinct user_id from heads where code = 400)
+select 'users' as name, count(*) as n, count(distinct id) as n_ids, cast(sum(id) as bigint) as sum_ids from u union all select 'locations', count(distinct location_id), count(distinct location_id), cast(sum(distinct location_id) as bigint) from m union all select 'media', count(*), count(distinct id), cast(sum(id) as bigint) from m""",
+        "captions": f"select id, case when tag = 'view' then 'seen ' || id end as caption from ({_MEDIA})",
+        "place_names": "select event_id as id, case when event_type in ('view', 'purchase') then 'p' || (event_id % 40) else 'nowhere' end as place from events where user_id % 10 <> 0",
+        "query_terms": """with t as (select conv_id, turn, string_split_regex(text, '[^A-Za-z0-9_]+') as t from conversations)
+select conv_id, turn, count(*) as n_rows, cast(sum(len(t)) as bigint) as n_terms, min(md5(array_to_string(t, '|'))) as terms_md5 from t group by conv_id, turn""",
+        "batch_requests": f"with r as ({fx.duck(fx.REQUESTS)}), t as (select request_id, cnt, string_split(regexp_replace(lower(text), '[^a-z]+', '+', 'g'), '+') as t from r) select 'p' || request_id as param, cast(coalesce(cnt, -1) as bigint) as cnt, len(t) as n_tags, md5(array_to_string(t, '|')) as tags_md5 from t",
+        "zip_rows": "select a.i, c_custkey, s_suppkey, s_name from (select c_custkey, row_number() over (order by c_custkey) - 1 as i from customer) a join (select s_suppkey, s_name, row_number() over (order by s_name desc, s_suppkey) - 1 as i from supplier) b using (i)",
+        "cap_frontier": "select o_orderkey as user_id from orders order by md5('42:' || o_orderkey), o_orderkey limit 5000",
+        "merge_frontier": f"with {_FOLLOWS} select user_id from follows union select follower_id from follows",
+        "sample_one": f"with {_DOCS} select id from docs order by {_UNIFORM.format(turn=0)}, id limit 1",
+        "oversample_centers": f"with {_CENTERS}, {_NEAR} select round(px, 3) as x, round(py, 3) as y, round(pz, 3) as z from near where {_UNIFORM.format(turn=1)} < 2.0 * 30 * d2 / (select sum(d2) from near)",
+        "surface_points": f"""with {_DOCS}, up as (select id, x * 1.001 as x, y * 1.001 as y, z * 1.001 as z from pts), {_LLA.format(points='up')},
+ground as (select id, degrees(la) as latitude, degrees(lo) as longitude from lla), put as (select id, {_XYZ} from ground)
+select p.id, round(p.x, 2) as sx, round(p.y, 2) as sy, round(p.z, 2) as sz, round(sqrt(power(u.x - o.x, 2) + power(u.y - o.y, 2) + power(u.z - o.z, 2)), 2) as lift from put p join up u using (id) join pts o using (id)""",
+        "seed_users": "select distinct user_id from events where user_id % 10 <> 0",
+        "ingest_known_users": f"with {_LATER} select event_id as id, event_type as tag, user_id, event_id % 40 as location_id from (select *, row_number() over (partition by event_id order by user_id, page_no) as k from again) where k = 1",
+        "active_users": f"with {_FEED}, last as (select *, row_number() over (partition by user_id order by page_no desc) as k from kept) select user_id as id, cast(page_no as varchar) as next_max_id from last where k = 1 and n = 3",
         "ingest_media": _MEDIA,
         "stream_ingest": _MEDIA,
         "ingest_users": f"""with {_FEED}, last as (select *, row_number() over (partition by user_id order by page_no desc) as k from kept)
-select user_id as id, case when n = 3 then cast(page_no as varchar) end as next_max_id, n <> 3 as fully_scraped, false as private from last where k = 1
-union all select distinct user_id, null, false, true from heads where code = 400""",
+select user_id as id, case when n = 3 then cast(page_no as varchar) end as next_max_id, n <> 3 as fully_scraped, false as private, n_geo = 0 as stopped from last where k = 1
+union all select distinct user_id, null, false, true, false from heads where code = 400""",
     }
 
 
@@ -191,8 +224,7 @@ s{k} as materialized (
   select i.id, i.label as truth, c.label, pi - coalesce(mass, 0) * log_denom + coalesce(shared, 0) as score
   from (select * from folded where fold = {k}) i cross join c{k} c left join (select id, sum(w) as mass from f{k} group by id) m on m.id = i.id
   left join (select id, label, sum(w * log_w) as shared from f{k} join theta{k} using (tag) group by id, label) h on h.id = i.id and h.label = c.label),
-e{k} as (select *, exp(score - max(score) over (partition by id)) as e from s{k}),
-r{k} as (select *, row_number() over (partition by id order by round(p, 9) desc, label) as rank from (select *, e / sum(e) over (partition by id) as p from e{k})),
+r{k} as (select *, row_number() over (partition by id order by round(behind, 6) desc, label) as rank from (select *, score - max(score) over (partition by id) as behind from s{k})),
 h{k} as (select level, avg(case when rank <= level then 1.0 else 0.0 end) as rate from (values (1), (4), (16)) v(level) cross join (select i.id, r.rank from (select * from folded where fold = {k}) i left join r{k} r on r.id = i.id and r.label = i.label) group by level)""")
     every = " union all ".join(f"select * from h{k}" for k in range(folds))
     return f"""with {_CENTERS}, {_NEAR}, words as materialized (select id, unnest(tags) as tag from docs),

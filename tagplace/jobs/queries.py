@@ -230,21 +230,29 @@ def cross_validate_clusters(spark, sf_dir):
 
 
 def _flat(spark, sf_dir):
-    """Classes are language and source, in order of their names; tags are their documents' words."""
+    """(classes, counts): classes are language and source, in order of their names; tags are their documents' words."""
     docs = fx.media_docs(spark, sf_dir)
-    rows = docs.select(F.col("location_id").alias("class"), F.concat(F.lit("{"), F.array_join("tags", ","), F.lit("}")).alias("tags"), "latitude", "longitude")
+    rows = docs.select(F.col("location_id").cast("long").alias("class"), F.concat(F.lit("{"), F.array_join("tags", ","), F.lit("}")).alias("tags"), "latitude", "longitude")
     total = docs.count()
     at = rows.groupBy("class").agg(F.min("latitude").alias("lat"), F.min("longitude").alias("lon"))
-    freq = flat.class_frequency(rows).join(at, "class")
-    return freq.select(F.col("class").cast("long").alias("class_no"), F.concat(F.lit("c"), F.col("class").cast("string")).alias("class"), (F.col("n") / F.lit(total)).alias("prior"), "lat", "lon", "tags")
+    sizes, counts = flat.class_frequency(rows)
+    classes = sizes.join(at, "class").select(F.col("class").alias("class_no"), F.concat(F.lit("c"), F.col("class").cast("string")).alias("class"), (F.col("n") / F.lit(total)).alias("prior"), "lat", "lon", "size")
+    return models.settled(classes, "classes"), models.settled(counts.withColumnRenamed("class", "class_no"), "counts")
 
 
 def class_frequency(spark, sf_dir):
-    return _flat(spark, sf_dir).select("class_no", _r(F.col("prior"), 9).alias("prior"), F.size("tags").cast("long").alias("n_tags"))
+    return _flat(spark, sf_dir)[0].select("class_no", _r(F.col("prior"), 9).alias("prior"), F.col("size").alias("n_tags"))
 
 
 def class_tag_counts(spark, sf_dir):
-    return flat.class_tag_counts(_flat(spark, sf_dir))
+    """Counts from the classes' own tag lists, as a model file has them."""
+    return flat.class_tag_counts(_class_model(*_flat(spark, sf_dir)))
+
+
+def _class_model(classes, counts):
+    """The model with its tag lists, as a file has it: a tag stands there as often as it was counted."""
+    tags = counts.groupBy("class_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("tag", "n"))), lambda x: F.array_repeat(x["tag"], x["n"].cast("int")))).alias("tags"))
+    return classes.drop("size").join(tags, "class_no")
 
 
 def _bags(spark, sf_dir):
@@ -257,18 +265,20 @@ def _flat_out(out):
 
 
 def flat_mle(spark, sf_dir):
-    return _flat_out(flat.classify_flat(models.settled(_flat(spark, sf_dir), "flat"), _bags(spark, sf_dir), 3))
+    """Passages of the benchmark as bags: some classes have all of their words."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bags = items.select(F.col("item_id").alias("id"), F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")).alias("tags"))
+    return _flat_out(flat.classify_counts(*_flat(spark, sf_dir), bags, 3))
 
 
 def flat_smoothed(spark, sf_dir):
-    # two words a bag: longer products are too small for a double
-    words = _bags(spark, sf_dir).select(F.col("id"), F.explode("tags").alias("w")).where("w <> ''").groupBy("id").agg(F.array_distinct(F.array(F.min("w"), F.max("w"))).alias("tags"))
-    return _flat_out(flat.classify_flat(models.settled(_flat(spark, sf_dir), "flat"), words, 3, flat.SMOOTHING))
+    return _flat_out(flat.classify_counts(*_flat(spark, sf_dir), _bags(spark, sf_dir), 3, flat.SMOOTHING))
 
 
 def insert_coordinates(spark, sf_dir):
-    m = _flat(spark, sf_dir)
-    lines = m.select("class_no", F.concat("class", F.lit(",0.5,"), F.array_join(F.array_sort(F.array_distinct("tags")), ","), F.lit(",")).alias("value"), _r(F.col("lat"), 2).alias("lat"), _r(F.col("lon"), 2).alias("lon"))
+    m, counts = _flat(spark, sf_dir)
+    tags = counts.groupBy("class_no").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    lines = m.join(tags, "class_no").select("class_no", F.concat("class", F.lit(",0.5,"), F.array_join("tags", ","), F.lit(",")).alias("value"), _r(F.col("lat"), 2).alias("lat"), _r(F.col("lon"), 2).alias("lon"))
     return flat.insert_coordinates(lines).select("class_no", F.md5(F.col("value").cast("binary")).alias("value_md5"))
 
 
@@ -281,7 +291,7 @@ def pages_until_empty(spark, sf_dir):
 
 def user_scrape_state(spark, sf_dir):
     pages = ingest.pages_until_empty(fx.frame(spark, sf_dir, fx.PAGES))
-    coded = pages.select("user_id", "page_no", F.when(F.col("user_id") % 10 == 0, 400).otherwise(200).alias("code"), F.when(F.col("n_media") == 3, F.col("page_no").cast("string")).alias("next_max_id"))
+    coded = pages.select("user_id", "page_no", "n_geo", F.when(F.col("user_id") % 10 == 0, 400).otherwise(200).alias("code"), F.when(F.col("n_media") == 3, F.col("page_no").cast("string")).alias("next_max_id"))
     return ingest.user_scrape_state(coded)
 
 
@@ -298,8 +308,9 @@ def sample_successors(spark, sf_dir):
 
 def expand_frontier(spark, sf_dir):
     follows = fx.frame(spark, sf_dir, fx.FOLLOWS)
-    seeds = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").where("user_id % 40 = 1").distinct()
-    return ingest.expand_frontier(seeds, follows, rounds=2)
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
+    posters = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id"))
+    return ingest.expand_frontier(ingest.seed_from_users(known.join(posters, "id", "left_semi"), 25), follows, rounds=2)
 
 
 def random_users(spark, sf_dir):
@@ -314,7 +325,7 @@ def _feed(spark, sf_dir):
 
     page = F.floor((F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) - 1) / 3).cast("int")
     place = F.when(F.col("event_type").isin("view", "purchase"), F.struct((F.col("event_id") % 40).cast("string").alias("id"), F.concat(F.lit("p"), (F.col("event_id") % 40).cast("string")).alias("name"), ((F.col("event_id") % 40) * 1.5).alias("latitude"), ((F.col("event_id") % 40) * 2.5).alias("longitude")))
-    item = F.struct(F.concat(F.col("event_id").cast("string"), F.lit("_"), F.col("user_id").cast("string")).alias("id"), F.lit("1443693600").alias("created_time"), F.array("event_type").alias("tags"), F.lit("image").alias("type"), F.struct(F.col("user_id").cast("string").alias("id")).alias("user"), place.alias("location"))
+    item = F.struct(F.concat(F.col("event_id").cast("string"), F.lit("_"), F.col("user_id").cast("string")).alias("id"), F.lit("1443693600").alias("created_time"), F.when(F.col("event_type") == "view", F.struct(F.concat(F.lit("seen "), F.col("event_id").cast("string")).alias("text"))).alias("caption"), F.array("event_type").alias("tags"), F.lit("image").alias("type"), F.struct(F.col("user_id").cast("string").alias("id")).alias("user"), place.alias("location"))
     pages = e.withColumn("page_no", page).groupBy("user_id", "page_no").agg(F.array_sort(F.collect_list(item)).alias("data"))
     private = F.col("user_id") % 10 == 0
     body = F.struct(F.struct(F.when(private, 400).otherwise(200).alias("code")).alias("meta"), F.struct(F.when(F.size("data") == 3, F.col("page_no").cast("string")).alias("next_max_id")).alias("pagination"), F.when(~private, F.col("data")).alias("data"))
@@ -334,9 +345,12 @@ def stream_ingest(spark, sf_dir):
     """The feed through the stream, in several files: media as in one batch."""
     from ..streaming.jobs import stream_ingest as stream
 
-    root = models.settled(spark.range(1).toDF("x"), "stream").inputFiles()[0].rsplit("/", 1)[0]
-    _feed(spark, sf_dir).repartition(4, "user_id").write.parquet(f"{root}/pages")
-    stream(spark, f"{root}/pages", f"{root}/tables", f"{root}/checkpoint", files=2).awaitTermination()
+    root = _room(spark, "stream")
+    feed = models.settled(_feed(spark, sf_dir), "feed")
+    # a user's pages arrive in two runs of the stream
+    for part in ("page_no < 2", "page_no >= 2"):
+        feed.where(part).repartition(4, "user_id").write.mode("append").parquet(f"{root}/pages")
+        stream(spark, f"{root}/pages", f"{root}/tables", f"{root}/checkpoint", files=2).awaitTermination()
     return spark.read.parquet(f"{root}/tables/media").select("id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.element_at("tags", 1).alias("tag"), "user_id", "location_id")
 
 
@@ -344,18 +358,161 @@ def stream_score(spark, sf_dir):
     from ..streaming.jobs import stream_score as stream
 
     f = Fitted(spark, sf_dir)
-    root = models.settled(spark.range(1).toDF("x"), "stream").inputFiles()[0].rsplit("/", 1)[0]
+    root = _room(spark, "stream")
     _requests(spark, sf_dir).select("request_id", "text", F.col("cnt").cast("int").alias("cnt")).repartition(4, "request_id").write.parquet(f"{root}/requests")
     stream(spark, f"{root}/requests", f"{root}/out", f"{root}/checkpoint", f.scorer(), files=2).awaitTermination()
     out = spark.read.parquet(f"{root}/out").drop("batch")
     return out.select("request_id", F.col("rank").cast("long").alias("rank"), "label", _r(F.col("probability")).alias("probability"))
 
 
+# --- files, answers and smaller operators -------------------------------------------------------------------
+
+
+def _room(spark, name: str) -> str:
+    """A new folder in the shared one."""
+    return models.fresh_path(spark, name)
+
+
+def class_model_files(spark, sf_dir):
+    """The flat model written as text lines and read back."""
+    model, path = _class_model(*_flat(spark, sf_dir)), _room(spark, "flat")
+    models.write_class_model(model, path)
+    back = models.read_class_model(spark, path)
+    return back.select(F.col("class_no").cast("long").alias("line"), "class", _r(F.col("prior"), 9).alias("prior"), _r(F.col("lat")).alias("lat"), _r(F.col("lon")).alias("lon"), F.md5(F.array_join("tags", ",").cast("binary")).alias("tags_md5"))
+
+
+def class_predictions_json(spark, sf_dir):
+    """The flat answers as JSON, read back."""
+    out = flat.classify_counts(*_flat(spark, sf_dir), _bags(spark, sf_dir), 3, flat.SMOOTHING)
+    got = kml.class_predictions_to_json(out).select("id", F.from_json("json", "array<struct<lat:double,lon:double,confidence:double,classNum:bigint>>").alias("r"))
+    return got.select("id", F.posexplode("r").alias("rank", "r")).select("id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("r.classNum").alias("class_no"), _r(F.col("r.confidence")).alias("confidence"), _r(F.col("r.lat")).alias("lat"), _r(F.col("r.lon")).alias("lon"))
+
+
+def predict_cover(spark, sf_dir):
+    f = Fitted(spark, sf_dir)
+    out = predict.predict_cover(f.docs, f.scorer(), cells.cells_of(f.centers))
+    return out.select("id", F.col("rank").cast("long").alias("rank"), "label", _r(F.element_at("center", 1)).alias("lat"), _r(F.element_at("center", 2)).alias("lon"), _r(F.col("probability")).alias("probability"))
+
+
+def predictions_json_read(spark, sf_dir):
+    """The service's answers as JSON, read back."""
+    kind = "struct<status:int,error:string,result:array<struct<center:array<double>,polygon:array<array<double>>,probability:double>>>"
+    got = predictions_json(spark, sf_dir).select("id", F.from_json("json", kind).alias("j"))
+    rows = got.select("id", "j.status", "j.error", F.posexplode("j.result").alias("rank", "r"))
+    return rows.select("id", "status", "error", (F.col("rank") + 1).cast("long").alias("rank"), _r(F.element_at("r.center", 1)).alias("lat"), _r(F.element_at("r.center", 2)).alias("lon"), _r(F.col("r.probability")).alias("probability"), (F.size("r.polygon") >= 3).alias("has_polygon"))
+
+
+def cluster_csv(spark, sf_dir):
+    """Labelled rows written as CSV and read by the cluster reader."""
+    docs, path = fx.media_docs(spark, sf_dir), _room(spark, "csv")
+    rows = docs.join(cluster.assign_cells(docs, models.settled(fixed_centers(docs), "centers")), "id")
+    rows.select("id", F.array_join("tags", ","), _r(F.col("latitude"), 2), _r(F.col("longitude"), 2), F.concat(F.lit("c"), F.col("label").cast("string"))).write.csv(path)
+    return media.read_cluster_csv(spark, path).select(F.md5(F.col("tags").cast("binary")).alias("tags_md5"), "lat", "lon", "cluster")
+
+
+def train_resumed(spark, sf_dir):
+    """Training from saved centres: the stages that are missing are fitted, saved and read again."""
+    docs, path = fx.media_docs(spark, sf_dir), _room(spark, "model")
+    models.save_model({"centers": cluster.cell_centers(fixed_centers(docs))}, path)
+    train.train(docs, path, polygons=False)
+    loaded = models.load_model(spark, path)
+    return loaded["classes"].select("label", "n", *[_r(F.col(c)).alias(c) for c in ("sum_w", "pi", "log_denom")])
+
+
+def stored_tables(spark, sf_dir):
+    """The crawl's tables written and read: rows, distinct keys and the sum of keys of each."""
+    made, path = ingest.ingest_pages(models.settled(_feed(spark, sf_dir), "feed")), _room(spark, "tables")
+    models.write_tables({k: made[k] for k in ("users", "locations", "media")}, path)
+    back = models.read_tables(spark, path)
+    parts = [back[k].agg(F.lit(k).alias("name"), F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.sum("id").alias("sum_ids")) for k in ("users", "locations", "media")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def captions(spark, sf_dir):
+    out = ingest.ingest_pages(models.settled(_feed(spark, sf_dir), "feed"))["media"]
+    return out.select("id", "caption")
+
+
+def place_names(spark, sf_dir):
+    """Nested access with a default: the place's name of every feed item."""
+    _, items = media.read_feed_pages(_feed(spark, sf_dir), keep=("user_id",))
+    item = items.where("id is not null")
+    return item.select(parse.media_key(F.col("id")).alias("id"), parse.safe_access(F.col("location"), "nowhere", "name").alias("place"))
+
+
+def query_terms(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    t = c.select("conv_id", "turn", parse.query_terms(F.col("text")).alias("t"))
+    return t.groupBy("conv_id", "turn").agg(F.count("*").alias("n_rows"), F.sum(F.size("t")).cast("long").alias("n_terms"), F.min(F.md5(F.array_join("t", "|").cast("binary"))).alias("terms_md5"))
+
+
+def batch_requests(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    body = F.to_json(F.struct(F.split("text", "[+]").alias("tags"), F.col("cnt").alias("count"), F.concat(F.lit("p"), F.col("request_id").cast("string")).alias("param")))
+    out = media.batch_requests(r.select(body.alias("value")))
+    return out.select("param", F.coalesce("count", F.lit(-1)).cast("long").alias("cnt"), F.size("tags").cast("long").alias("n_tags"), F.md5(F.array_join("tags", "|").cast("binary")).alias("tags_md5"))
+
+
+def zip_rows(spark, sf_dir):
+    """Customers by key beside suppliers by name, row by row."""
+    left = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").orderBy("c_custkey")
+    right = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name").orderBy(F.desc("s_name"), "s_suppkey")
+    return flat.zip_rows(left, right)
+
+
+def cap_frontier(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("user_id"))
+    return ingest.cap_frontier(orders, ingest.QUEUE_SIZE)
+
+
+def merge_frontier(spark, sf_dir):
+    follows = fx.frame(spark, sf_dir, fx.FOLLOWS)
+    return ingest.merge_frontier(follows.select("user_id"), follows.select(F.col("follower_id").alias("user_id")))
+
+
+def sample_one(spark, sf_dir):
+    return cluster.sample_one(fx.media_docs(spark, sf_dir).select("id"), 42)
+
+
+def oversample_centers(spark, sf_dir):
+    near, _ = _assigned(spark, sf_dir)
+    near = models.settled(near, "near")
+    total = near.agg(F.sum("d2")).first()[0]
+    return cluster.oversample_centers(near, 30, total, 42, 1).select(*[_r(F.col(c), 3).alias(c) for c in "xyz"])
+
+
+def surface_points(spark, sf_dir):
+    """Points lifted over the ground, put back to sea level, and their squared distances from where they were."""
+    p = cluster.points_of(fx.media_docs(spark, sf_dir))
+    s = geo.surface_point(F.col("x") * 1.001, F.col("y") * 1.001, F.col("z") * 1.001)
+    rows = p.select("id", "x", "y", "z", *[c.alias(n) for c, n in zip(s, ("sx", "sy", "sz"), strict=True)])
+    lifted = geo.square_dist([F.col(c) for c in "xyz"], [F.col(c) * 1.001 for c in "xyz"])
+    return rows.select("id", *[_r(F.col(c), 2).alias(c) for c in ("sx", "sy", "sz")], _r(F.sqrt(lifted), 2).alias("lift"))
+
+
+def seed_users(spark, sf_dir):
+    _, items = media.read_feed_pages(_feed(spark, sf_dir), keep=("page_no",))
+    return ingest.seed_users(items)
+
+
+def ingest_known_users(spark, sf_dir):
+    """A step after an earlier one: who was private, finished or at an empty page then is not visited again."""
+    feed = models.settled(_feed(spark, sf_dir), "feed")
+    first = models.settled(ingest.ingest_pages(feed.where("page_no = 0"))["users"], "users")
+    out = ingest.ingest_pages(feed.where("page_no > 0"), first)["media"]
+    return out.select("id", F.element_at("tags", 1).alias("tag"), "user_id", "location_id")
+
+
+def active_users(spark, sf_dir):
+    return ingest.active_users(ingest.ingest_pages(models.settled(_feed(spark, sf_dir), "feed"))["users"]).select("id", "next_max_id")
+
+
 _ALL = [
     csv_fields, media_csv, tag_list, request_terms, media_samples, ecef, ecef_roundtrip, tag_counts, idf_terms, tag_weights, cell_assign, cell_cost, cell_centroids, candidate_weights, kmeans_fit,
     cell_polygons, kml_cells, kml_points, nb_classes, nb_theta, nb_scores, nb_top_k, nb_cover, nb_argmax, predict_location, predictions_json, score_requests, hit_rates, fold_sizes, cross_validate,
     cross_validate_clusters, class_frequency, class_tag_counts, flat_mle, flat_smoothed, insert_coordinates, pages_until_empty, user_scrape_state, insert_if_absent, sample_successors, expand_frontier,
-    random_users, ingest_media, ingest_users, stream_ingest, stream_score,
+    random_users, ingest_media, ingest_users, stream_ingest, stream_score, class_model_files, class_predictions_json, predict_cover, predictions_json_read, cluster_csv, train_resumed, stored_tables,
+    captions, place_names, query_terms, batch_requests, zip_rows, cap_frontier, merge_frontier, sample_one, oversample_centers, surface_points, seed_users, ingest_known_users, active_users,
 ]
 
 

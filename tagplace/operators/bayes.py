@@ -3,9 +3,13 @@
     score(d, c) = pi_c + S_d (ln lam - D_c) + sum over shared tags of w_dt (theta_ct - ln lam)
 
 where S_d is the sum of the row's weights, D_c the class's denominator and theta_ct = ln(sum of weights + lam).
-The sum is sparse and the rest needs one number a row and one a class. Absent tags count as ln lam for every lam. A class whose weights for a tag sum to
--lam or less has no logarithm there (IDF weights are negative for tags more frequent than rows); it is left out
-of theta, so the tag counts as absent.
+The sum is sparse and the rest needs one number a row and one a class. Absent tags count as ln lam for every lam.
+A class whose weights for a tag sum to -lam or less has no logarithm there (IDF weights are negative for tags more
+frequent than rows); it is left out of theta, so the tag counts as absent. A class whose weights sum to
+-vocabulary * lam or less has no denominator either; its denominator counts as that of a class without weights.
+
+Classes rank by score, not by probability: on long bags all but a few probabilities are too small to tell apart.
+Scores are compared as distances from the row's best, rounded to ``DECIMALS``; equal ones rank by label.
 """
 
 from __future__ import annotations
@@ -14,17 +18,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scores import log_denom, log_prior, log_weight, posterior
+from ..sources.models import spread
+from .terms import idf_transform
 
-#: Rows of theta and terms that are sent to every task; larger models are joined on the tag.
-MAX_THETA = 20_000_000
-#: Probabilities are ranked by this many decimals, then by label.
-DECIMALS = 9
+#: Rows of theta and terms that are sent to every task (some 20 bytes each); larger models are joined on the tag.
+MAX_THETA = 2_000_000
+DECIMALS = 6
+#: Scores that a task holds at a time.
+CELLS = 4_000_000
 
 
 def class_totals(features: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +52,7 @@ def nb_fit(features: DataFrame, labels: DataFrame, vocabulary: int, lam: float =
     total = rows.agg(F.sum("n").alias("rows"), F.count("*").alias("classes")).first()
     n, k = total["rows"] or 0, total["classes"]
     classes = rows.join(weights, "label", "left").withColumn("sum_w", F.coalesce("sum_w", F.lit(0.0)))
-    classes = classes.select("label", "n", "sum_w", log_prior(F.col("n"), F.lit(n), F.lit(k), lam).alias("pi"), log_denom(F.col("sum_w"), F.lit(vocabulary), lam).alias("log_denom"))
+    classes = classes.select("label", "n", "sum_w", log_prior(F.col("n"), F.lit(n), F.lit(k), lam).alias("pi"), log_denom(F.when(F.col("sum_w") > -lam * vocabulary, F.col("sum_w")).otherwise(F.lit(0.0)), F.lit(vocabulary), lam).alias("log_denom"))
     return {"classes": classes, "theta": sums.where(F.col("sum_w") > -lam).withColumn("log_w", log_weight(F.col("sum_w"), lam))}
 
 
@@ -53,8 +61,10 @@ def score_pairs(ids: DataFrame, features: DataFrame, model: dict[str, DataFrame]
     base = math.log(lam)
     sparse = features.join(model["theta"].select("tag", "label", "log_w"), "tag").groupBy("id", "label").agg(F.sum(F.col("w") * (F.col("log_w") - base)).alias("shared"))
     mass = features.groupBy("id").agg(F.sum("w").alias("mass"))
-    every = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["pi"]).alias("pi"), F.lit(r["log_denom"]).alias("log_denom")) for r in model["classes"].collect()])
-    pairs = ids.select("id").join(mass, "id", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"), F.explode(every).alias("c")).select("id", "mass", "c.*")
+    # the classes, a number each, are paired with every row; theta never is
+    every = model["classes"].agg(F.collect_list(F.struct("label", "pi", "log_denom")).alias("every"))
+    pairs = ids.select("id").join(mass, "id", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    pairs = pairs.join(F.broadcast(every)).select("id", "mass", F.explode("every").alias("c")).select("id", "mass", "c.*")
     score = F.col("pi") + F.col("mass") * (base - F.col("log_denom")) + F.coalesce("shared", F.lit(0.0))
     return pairs.join(sparse, ["id", "label"], "left").select("id", "label", score.alias("score"))
 
@@ -62,15 +72,16 @@ def score_pairs(ids: DataFrame, features: DataFrame, model: dict[str, DataFrame]
 def rank_classes(scored: DataFrame, p: Column | None = None) -> DataFrame:
     """``scored`` (id, label, score) with probability, rank and before (probability of better classes)."""
     probability = posterior(F.col("score"), "id") if p is None else p
-    by = W.partitionBy("id").orderBy(F.desc(F.round("probability", DECIMALS)), "label")
-    out = scored.withColumn("probability", probability).withColumn("rank", F.row_number().over(by))
-    before = F.sum(F.round("probability", DECIMALS)).over(by.rowsBetween(W.unboundedPreceding, -1))
-    return out.withColumn("before", F.coalesce(before, F.lit(0.0)))
+    behind = F.round(F.col("score") - F.max("score").over(W.partitionBy("id")), DECIMALS)
+    by = W.partitionBy("id").orderBy(F.desc("behind"), "label")
+    out = scored.withColumns({"probability": probability, "behind": behind}).withColumn("rank", F.row_number().over(by))
+    before = F.sum("probability").over(by.rowsBetween(W.unboundedPreceding, -1))
+    return out.withColumn("before", F.coalesce(before, F.lit(0.0))).drop("behind")
 
 
 def cover_probability(ranked: DataFrame, p: float = 0.75) -> DataFrame:
     """The best classes up to the one with which their probability reaches ``p``."""
-    return ranked.where(F.round("before", DECIMALS) < p)
+    return ranked.where(F.round("before", 9) < p)
 
 
 def top_k_classes(ranked: DataFrame, k: int | Column) -> DataFrame:
@@ -84,79 +95,88 @@ def argmax_class(scored: DataFrame) -> DataFrame:
 
 
 class Scorer:
-    """The model as arrays by tag; scores batches of bags of tags in the tasks."""
+    """A model ready for scoring: arrays by tag, sent to the tasks, or tables to join if it is too large for that."""
 
     def __init__(self, terms: DataFrame, model: dict[str, DataFrame], lam: float = 1.0):
-        size = model["theta"].count() + terms.count()
-        if size > MAX_THETA:
-            raise ValueError(f"a model of {size} rows is over the bound of {MAX_THETA}; use score_pairs")
-        classes = model["classes"].toPandas().sort_values("label")
-        theta = model["theta"].select("tag", "label", "log_w").toPandas()
-        self.labels = classes["label"].to_numpy(np.int64)
-        self.pi, self.rest = classes["pi"].to_numpy(), math.log(lam) - classes["log_denom"].to_numpy()
-        self.weights = {r.tag: r.weight for r in terms.select("tag", "weight").toPandas().itertuples()}
-        at = np.searchsorted(self.labels, theta["label"].to_numpy())
-        self.rows = {}
-        for tag, index in theta.groupby("tag").indices.items():
-            self.rows[tag] = (at[index], theta["log_w"].to_numpy()[index] - math.log(lam))
-
-    def scores(self, tags: list[str]) -> np.ndarray:
-        out, mass = self.pi.copy(), 0.0
-        for t in tags:
-            w = self.weights.get(t)
-            if w is not None:
-                mass += w
-                if t in self.rows:
-                    at, v = self.rows[t]
-                    out[at] += w * v
-        return out + mass * self.rest
-
-    def ranked(self, tags: list[str], count: int | None, cover: float):
-        """(labels, probabilities, scores, before) of the kept classes, best first."""
+        self.terms, self.model, self.lam = terms.select("tag", "weight"), model, lam
+        self.joined = model["theta"].count() + terms.count() > MAX_THETA
+        self.arrays = None if self.joined else Arrays(self.terms, model, lam)
+
+
+class Arrays:
+    """Tags with their weights, and theta in rows by tag: (start of a tag's entries, class places, values)."""
+
+    def __init__(self, terms: DataFrame, model: dict[str, DataFrame], lam: float):
+        classes = model["classes"].select("label", "pi", "log_denom").toArrow().sort_by("label")
+        known, theta = terms.toArrow(), model["theta"].select("tag", "label", "log_w").toArrow()
+        self.labels, self.pi = classes["label"].to_numpy().astype(np.int64), classes["pi"].to_numpy()
+        self.rest = math.log(lam) - classes["log_denom"].to_numpy()
+        self.tags, self.weight = known["tag"].combine_chunks(), known["weight"].to_numpy()
+        tag = pc.index_in(theta["tag"].combine_chunks(), value_set=self.tags).to_numpy(zero_copy_only=False)
+        order = np.argsort(tag, kind="stable")
+        self.at = np.searchsorted(self.labels, theta["label"].to_numpy())[order]
+        self.value = theta["log_w"].to_numpy()[order] - math.log(lam)
+        self.start = np.searchsorted(tag[order], np.arange(len(self.tags) + 1))
+
+    def scores(self, tags: pa.ListArray) -> np.ndarray:
+        """A row per bag, a column per class: one product of sparse bags and theta."""
+        offsets = tags.offsets.to_numpy() - tags.offsets[0].as_py()
+        tag = pc.fill_null(pc.index_in(tags.flatten(), value_set=self.tags), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        bag = np.repeat(np.arange(len(tags)), np.diff(offsets))[tag >= 0]
+        tag = tag[tag >= 0]
+        w, k = self.weight[tag], len(self.labels)
+        size = self.start[tag + 1] - self.start[tag]
+        entry = np.repeat(self.start[tag] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        shared = np.bincount(np.repeat(bag, size) * k + self.at[entry], np.repeat(w, size) * self.value[entry], len(tags) * k)
+        mass = np.bincount(bag, w, len(tags))
+        return self.pi + mass[:, None] * self.rest + shared.reshape(len(tags), k)
+
+    def ranked(self, tags: pa.ListArray, count: np.ndarray, cover: float) -> tuple[np.ndarray, ...]:
+        """(bag, label, probability, score, rank, before) of the kept classes; a count below 0 stands for the cover."""
         s = self.scores(tags)
-        e = np.exp(s - s.max())
-        p = e / e.sum()
-        r = np.round(p, DECIMALS)
-        if count is not None and count < len(p):
-            far = r >= np.partition(r, len(r) - count)[len(r) - count] if count > 0 else np.zeros(len(r), bool)
-            cand = np.flatnonzero(far)
-        else:
-            cand = np.arange(len(p))
-        order = cand[np.lexsort((self.labels[cand], -r[cand]))]
-        before = np.concatenate([[0.0], np.cumsum(r[order])[:-1]]) if len(order) else np.zeros(0)
-        n = count if count is not None else int((np.round(before, DECIMALS) < cover).sum())
-        return self.labels[order[:n]], p[order[:n]], s[order[:n]], before[:n]
+        behind = s - s.max(1, keepdims=True)
+        p = np.exp(behind)
+        p /= p.sum(1, keepdims=True)
+        # stable: columns are in order of the label
+        order = np.argsort(-np.round(behind, DECIMALS), axis=1, kind="stable")
+        p, s = np.take_along_axis(p, order, 1), np.take_along_axis(s, order, 1)
+        before = np.cumsum(p, 1) - p
+        rank = np.arange(1, s.shape[1] + 1)
+        keep = np.where(count[:, None] >= 0, rank <= count[:, None], np.round(before, 9) < cover)
+        bag, place = np.nonzero(keep)
+        return bag, self.labels[order[bag, place]], p[bag, place], s[bag, place], rank[place], before[bag, place]
 
 
 def score_bags(docs: DataFrame, scorer: Scorer, count: str | int | None = None, cover: float = 0.75, key: str = "id") -> DataFrame:
     """(key, label, probability, score, rank, before): kept classes of each row of (key, tags).
 
-    ``count`` is a number, the name of a column (null: the cover set), or None for the cover set.
+    ``count`` is a number, the name of a column (null: the cover set), or None for the cover set. Keys are unique.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
     column = F.col(count) if isinstance(count, str) else F.lit(count)
     rows = docs.select(F.col(key).alias("key"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), column.cast("int").alias("count"))
-    key_type = rows.schema["key"].dataType
+    if scorer.joined:
+        own = rows.select(F.col("key").alias("id"), "tags", "count")
+        ranked = rank_classes(score_pairs(own, idf_transform(own, scorer.terms), scorer.model, scorer.lam)).join(own.select("id", "count"), "id")
+        kept = ranked.where(F.coalesce(F.col("rank") <= F.col("count"), F.round("before", 9) < cover))
+        return kept.select(F.col("id").alias(key), "label", "probability", "score", F.col("rank").cast("int").alias("rank"), "before")
+    sent = docs.sparkSession.sparkContext.broadcast(scorer.arrays)
 
     def run(batches):
-        for b in batches:
-            at, label, p, s, rank, before = [], [], [], [], [], []
-            for i, (tags, n) in enumerate(zip(b.column("tags").to_pylist(), b.column("count").to_pylist(), strict=True)):
-                a, q, score, low = sent.value.ranked(tags, n, cover)
-                at.append(np.full(len(a), i))
-                for column, x in zip((label, p, s, rank, before), (a, q, score, np.arange(1, len(a) + 1), low), strict=True):
-                    column.append(x)
-            cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-            keys = b.column("key").take(pa.array(cat(at, np.int64)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(cat(label, np.int32)), pa.array(cat(p, float)), pa.array(cat(s, float)), pa.array(cat(rank, np.int32)), pa.array(cat(before, float))], names=[key, "label", "probability", "score", "rank", "before"])
-
+        step = max(1, CELLS // max(1, len(sent.value.labels)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                count = pc.fill_null(b.column("count"), -1).to_numpy(zero_copy_only=False)
+                bag, label, p, s, rank, before = sent.value.ranked(b.column("tags"), count, cover)
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(bag)), pa.array(label, pa.int32()), pa.array(p), pa.array(s), pa.array(rank, pa.int32()), pa.array(before)], names=[key, "label", "probability", "score", "rank", "before"])
 
-    schema = T.StructType([T.StructField(key, key_type)] + T.StructType.fromDDL("label int, probability double, score double, rank int, before double").fields)
-    return rows.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(key, rows.schema["key"].dataType)] + T.StructType.fromDDL("label int, probability double, score double, rank int, before double").fields)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def nb_predict_all(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    return score_bags(docs, scorer, len(scorer.labels))
+    """Every class of each row of (id, tags), ranked."""
+    return score_bags(docs, scorer, 2**31 - 1)
 
 
 def nb_predict(docs: DataFrame, scorer: Scorer) -> DataFrame:

@@ -115,11 +115,6 @@ def oversample_centers(costed: DataFrame, k: int, total: float, seed: int, turn:
     return costed.where(hashed_uniform(seed, turn, F.col("id")) < 2.0 * k * F.col("d2") / F.lit(total)).select("x", "y", "z")
 
 
-def union_candidates(rounds: list[DataFrame]) -> DataFrame:
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
 
 
 def weighted_kmeanspp(xyz: np.ndarray, weight: np.ndarray, k: int, seed: int, rounds: int = 30) -> np.ndarray:

@@ -1,7 +1,9 @@
-"""The flat class model: class priors with plain tag lists, scored without logarithms."""
+"""The flat class model: class priors and plain counts of tags."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,9 +20,12 @@ def class_tag_counts(model: DataFrame) -> DataFrame:
     return model.select("class_no", F.explode("tags").alias("tag")).groupBy("class_no", "tag").agg(F.count("*").alias("n"))
 
 
-def class_frequency(labelled: DataFrame) -> DataFrame:
-    """(class, n, tags) of rows (class, tags as brace text)."""
-    return labelled.groupBy("class").agg(F.count("*").alias("n"), F.flatten(F.collect_list(strip_braces_split(F.col("tags")))).alias("tags"))
+def class_frequency(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((class, n, size), (class, tag, n)) of rows (class, tags as brace text): rows and tags of each class, and how
+    often it has each tag. Counts are rows of their own: no class is gathered into one value."""
+    rows = labelled.select("class", strip_braces_split(F.col("tags")).alias("tags"))
+    sizes = rows.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.size("tags")).alias("size"))
+    return sizes, rows.select("class", F.explode("tags").alias("tag")).groupBy("class", "tag").agg(F.count("*").alias("n"))
 
 
 def zip_rows(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -41,23 +46,33 @@ def insert_coordinates(lines: DataFrame) -> DataFrame:
 def classify_flat(model: DataFrame, requests: DataFrame, n: int, smoothing: float | None = None) -> DataFrame:
     """id, rank, class_no, class, lat, lon, confidence: the ``n`` best classes of requests (id, tags).
 
-    A request without tags has no rows. Equal posteriors rank by class_no, each class once; a class without
-    tags has likelihood 0. Requests are paired with every class that shares a tag by a join; classes that share
-    none have a posterior known from the number of tags alone, so they are attached from an array.
+    ``model`` has class_no, class, prior, lat, lon and tags or, instead of tags, ``size``, with the counts apart
+    (see ``classify_counts``).
+    """
+    return classify_counts(model.withColumn("size", F.size("tags")), class_tag_counts(model), requests, n, smoothing)
+
+
+def classify_counts(classes: DataFrame, counts: DataFrame, requests: DataFrame, n: int, smoothing: float | None = None) -> DataFrame:
+    """The same from classes (class_no, class, prior, lat, lon, size) and counts (class_no, tag, n).
+
+    A class's posterior is its prior times the product over the request's tags of (n + k) / (size + k). Products
+    of many tags are too small for a double, so classes rank by the sum of logarithms and confidence is shared
+    relative to the best. A request without tags has no rows. Equal posteriors rank by class_no, each class once; a
+    class without tags, or unsmoothed with a tag it never had, has posterior 0, and if all have, so has every
+    confidence. Requests meet classes by the tags they share; what the other tags add depends on their number only.
     """
-    asked = requests.where(F.size("tags") > 0).select("id", F.posexplode("tags").alias("at", "tag"))
-    counts = class_tag_counts(model)
     k = smoothing or 0.0
+    asked = requests.where(F.size("tags") > 0)
+    shared = asked.select("id", F.explode("tags").alias("tag")).join(counts, "tag").groupBy("id", "class_no").agg(F.count("*").alias("hits"), F.sum(F.log(F.col("n") + k)).alias("logs"))
+    every = classes.agg(F.collect_list(F.struct(F.col("class_no").cast("long").alias("class_no"), "class", "lat", "lon", F.coalesce("prior", F.lit(0.0)).alias("prior"), "size")).alias("every"))
     # the classes are few: they travel as one array
-    every = model.select(F.struct("class_no", "class", "lat", "lon", F.coalesce("prior", F.lit(0.0)).alias("prior"), F.size("tags").alias("size")).alias("c"))
-    classes = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f) for f, v, t in (("class_no", r.class_no, "long"), ("class", r["class"], "string"), ("lat", r.lat, "double"), ("lon", r.lon, "double"), ("prior", r.prior, "double"), ("size", r.size, "int"))]) for r in every.select("c.*").collect()])
-    if not every.limit(1).count():
-        classes = F.array().cast("array<struct<class_no:bigint,class:string,lat:double,lon:double,prior:double,size:int>>")
-    pairs = asked.select("id", "at", "tag", F.explode(classes).alias("c")).select("id", "at", "tag", "c.*")
-    shared = pairs.join(counts, ["class_no", "tag"], "left")
-    one = (F.coalesce("n", F.lit(0)) + k) / (F.col("size") + k)
-    factor = F.when(F.col("size") + k == 0, F.lit(0.0)).otherwise(F.coalesce("n", F.lit(0)) + k) / F.when(F.col("size") + k == 0, F.lit(1.0)).otherwise(F.col("size") + k) if smoothing is None else one
-    posterior = shared.groupBy("id", "class_no", "class", "lat", "lon", "prior").agg((F.product(factor) * F.first("prior")).alias("posterior"))
-    by = W.partitionBy("id").orderBy(F.desc(F.round("posterior", 15)), "class_no")
-    out = posterior.select("id", "class_no", "class", "lat", "lon", normalise(F.col("posterior"), "id").alias("confidence"), F.row_number().over(by).alias("rank"))
+    pairs = asked.select("id", F.size("tags").alias("asked")).join(F.broadcast(every)).select("id", "asked", F.explode("every").alias("c")).select("id", "asked", "c.*")
+    both = pairs.join(shared, ["id", "class_no"], "left")
+    misses = F.col("asked") - F.coalesce("hits", F.lit(0))
+    known = (F.col("prior") > 0) & (F.col("size") + k > 0) & ((misses == 0) | F.lit(k > 0))
+    log_p = F.log("prior") + F.coalesce("logs", F.lit(0.0)) + misses * F.lit(math.log(k) if k else 0.0) - F.col("asked") * F.log(F.col("size") + k)
+    scored = both.withColumn("log_p", F.when(known, log_p))
+    by = W.partitionBy("id").orderBy(F.desc_nulls_last(F.round("log_p", 9)), "class_no")
+    weight = F.coalesce(F.exp(F.col("log_p") - F.max("log_p").over(W.partitionBy("id"))), F.lit(0.0))
+    out = scored.withColumn("weight", weight).select("id", "class_no", "class", "lat", "lon", normalise(F.col("weight"), "id").alias("confidence"), F.row_number().over(by).alias("rank"))
     return out.where(F.col("rank") <= n)

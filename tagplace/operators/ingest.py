@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..sources.media import caption_text, has_location, page_status, read_feed_pages
+from ..sources.models import settled
 
 MAX_BRANCHING, QUEUE_SIZE = 5, 5000
 
@@ -25,8 +26,8 @@ def first_seen(rows: DataFrame, key: str, order: list) -> DataFrame:
 
 def insert_if_absent(new: DataFrame, existing: DataFrame | None, key: str, order: list) -> DataFrame:
     """Rows of ``new`` to append: the first of each key that ``existing`` lacks. A null key is no key."""
-    rows = first_seen(new.where(F.col(key).isNotNull()), key, order)
-    return rows if existing is None else rows.join(existing.select(key), key, "left_anti")
+    rows = new.where(F.col(key).isNotNull())
+    return first_seen(rows if existing is None else rows.join(existing.select(key), key, "left_anti"), key, order)
 
 
 def pages_until_empty(pages: DataFrame, geotagged: str = "n_geo") -> DataFrame:
@@ -36,23 +37,39 @@ def pages_until_empty(pages: DataFrame, geotagged: str = "n_geo") -> DataFrame:
 
 
 def user_scrape_state(pages: DataFrame) -> DataFrame:
-    """(user_id, next_max_id, fully_scraped, private) of kept pages (user_id, page_no, code, next_max_id)."""
+    """(user_id, next_max_id, fully_scraped, private, stopped) of kept pages (user_id, page_no, code, next_max_id, n_geo).
+
+    ``stopped``: the last page had no geotagged media, so the visit ended there.
+    """
     ok = F.col("code") == 200
-    last = F.max_by(F.struct("next_max_id"), F.when(ok, F.col("page_no")))["next_max_id"]
-    got = pages.groupBy("user_id").agg(last.alias("next_max_id"), F.bool_or(ok).alias("any"), F.bool_or(F.col("code") == 400).alias("private"))
-    return got.select("user_id", "next_max_id", (F.col("any") & F.col("next_max_id").isNull()).alias("fully_scraped"), F.coalesce("private", F.lit(False)).alias("private"))
+    last = F.max_by(F.struct("next_max_id", (F.col("n_geo") == 0).alias("empty")), F.when(ok, F.col("page_no")))
+    got = pages.groupBy("user_id").agg(last.alias("last"), F.bool_or(ok).alias("any"), F.bool_or(F.col("code") == 400).alias("private"))
+    done, no = F.col("last.next_max_id").isNull(), lambda c: F.coalesce(c, F.lit(False))
+    return got.select("user_id", F.col("last.next_max_id").alias("next_max_id"), (F.col("any") & done).alias("fully_scraped"), no(F.col("private")).alias("private"), no(F.col("last.empty")).alias("stopped"))
+
 
+def inactive_users(users: DataFrame, resume: bool = False) -> DataFrame:
+    """(user_id) of users that are not visited: private or fully scraped ones and, unless a new visit resumes where
+    the last one ended, those at an empty page."""
+    off = F.coalesce("private", F.lit(False)) | F.coalesce("fully_scraped", F.lit(False))
+    if not resume and "stopped" in users.columns:
+        off = off | F.coalesce("stopped", F.lit(False))
+    return users.where(off).select(F.col("id").alias("user_id"))
 
-def active_users(users: DataFrame) -> DataFrame:
-    return users.where(~F.coalesce("private", F.lit(False)) & ~F.coalesce("fully_scraped", F.lit(False)))
 
+def active_users(users: DataFrame, resume: bool = True) -> DataFrame:
+    return users.join(inactive_users(users, resume).select(F.col("user_id").alias("id")), "id", "left_anti")
 
-def ingest_pages(pages: DataFrame, users: DataFrame | None = None, locations: DataFrame | None = None, media: DataFrame | None = None) -> dict[str, DataFrame]:
+
+def ingest_pages(pages: DataFrame, users: DataFrame | None = None, locations: DataFrame | None = None, media: DataFrame | None = None, resume: bool = False) -> dict[str, DataFrame]:
     """One crawl step over pages (user_id, page_no, value as JSON).
 
-    Returns what to append to media and locations, the users to write (state of each user of the pages, and
+    Pages of users that are private, fully scraped or at an empty page by then are left out (``resume`` takes up
+    the last). Returns what to append to media and locations, the users to write (state of each user of the pages, and
     users who posted kept media), and rejects: pages with an error, items without a usable id.
     """
+    if users is not None:
+        pages = pages.join(inactive_users(users, resume), "user_id", "left_anti")
     heads, items = read_feed_pages(pages, keep=("user_id", "page_no"))
     state = page_status(heads)
     located = items.where(has_location())
@@ -70,12 +87,13 @@ def ingest_pages(pages: DataFrame, users: DataFrame | None = None, locations: Da
     new_media = insert_if_absent(rows.where(good), media, "id", order).select("id", "date", "caption", "tags", "type", "user_id", "location_id")
     places = rows.where(good).select(F.col("location_id").alias("id"), "name", "latitude", "longitude", "_page_user", "page_no", "pos")
     new_locations = insert_if_absent(places, locations, "id", order).select("id", "name", "latitude", "longitude")
-    scraped = user_scrape_state(kept.select("user_id", "page_no", "code", "next_max_id").unionByName(state.where("status = 'private'").select("user_id", "page_no", "code", "next_max_id")))
-    scraped = scraped.select(F.col("user_id").alias("id"), "next_max_id", "fully_scraped", "private")
+    seen = ["user_id", "page_no", "code", "next_max_id", "n_geo"]
+    scraped = user_scrape_state(kept.select(*seen).unionByName(state.where("status = 'private'").withColumn("n_geo", F.lit(None).cast("long")).select(*seen)))
+    scraped = scraped.select(F.col("user_id").alias("id"), "next_max_id", "fully_scraped", "private", "stopped")
     posters = rows.where(good).select(F.col("user_id").alias("id")).distinct().join(scraped, "id", "left_anti")
     if users is not None:
         posters = posters.join(users, "id", "left_anti")
-    added = scraped.unionByName(posters.select("id", F.lit(None).cast("string").alias("next_max_id"), F.lit(False).alias("fully_scraped"), F.lit(False).alias("private")))
+    added = scraped.unionByName(posters.select("id", F.lit(None).cast("string").alias("next_max_id"), *[F.lit(False).alias(c) for c in ("fully_scraped", "private", "stopped")]))
     errors = state.where("status = 'error'").select("user_id", "page_no", F.lit("page").alias("what"))
     bad = rows.where(~good).select(F.col("_page_user").alias("user_id"), "page_no", F.lit("item").alias("what"))
     return {"media": new_media, "locations": new_locations, "users": added, "rejects": errors.unionByName(bad)}
@@ -126,22 +144,17 @@ def expand_frontier(seeds: DataFrame, follows: DataFrame, users: DataFrame | Non
     """(user_id, level): users reached from the seeds, level by level.
 
     Each level visits the queue's users (without private or fully scraped ones), takes a few followers of each,
-    and queues those not seen before (all, with ``revisit``) as far as the queue has room. Sampling comes before
-    levels are joined, and each level is checkpointed when the session has a checkpoint folder.
+    and queues those not seen before (all, with ``revisit``) as far as the queue has room. Only the visited users'
+    followers are ranked for sampling; each level is written, so the plan stays short.
     """
-    sampled = sample_successors(follows, max_branching, seed)
-    level = seeds.select("user_id").distinct()
-    if users is not None:
-        stopped = users.where(F.coalesce("private", F.lit(False)) | F.coalesce("fully_scraped", F.lit(False))).select(F.col("id").alias("user_id"))
-        sampled = sampled.join(stopped, "user_id", "left_anti")
-    level = cap_frontier(level, queue_size, seed)
+    stopped = None if users is None else inactive_users(users, resume=True)
+    level = settled(cap_frontier(seeds.select("user_id").distinct(), queue_size, seed), "level")
     out = level.withColumn("level", F.lit(0))
     for turn in range(1, rounds + 1):
-        near = expand_followers(level, sampled).select(F.col("follower_id").alias("user_id")).distinct()
+        visited = level if stopped is None else level.join(stopped, "user_id", "left_anti")
+        near = sample_successors(expand_followers(visited, follows), max_branching, seed).select(F.col("follower_id").alias("user_id")).distinct()
         if not revisit:
             near = near.join(out.select("user_id"), "user_id", "left_anti")
-        level = cap_frontier(near, queue_size, seed)
-        if level.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
+        level = settled(cap_frontier(near, queue_size, seed), "level")
         out = out.unionByName(level.withColumn("level", F.lit(turn)))
     return out

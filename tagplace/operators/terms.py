@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import idf
 
-#: Terms that may be broadcast; a larger vocabulary is joined by shuffle.
-MAX_TERMS = 1_000_000
 
 
 def tag_counts(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from ..functions.parse import kml_color, ring_text, xml_escape
 
 #: The markup of a cell, a style and a point.
 _POLYGON = "<Placemark>\n<Style><LineStyle><width>2</width></LineStyle></Style>\n<Polygon><outerBoundaryIs><LinearRing><coordinates>\n%s</coordinates></LinearRing></outerBoundaryIs></Polygon>\n</Placemark>"
-_STYLE = '<Style id="random%s"><IconStyle>\n<color>%s</color>\n<Icon><href>http://maps.google.com/mapfiles/kml/shapes/placemark_circle.png</href></Icon>\n</IconStyle></Style>'
-_POINT = "<Placemark>\n<description>%s</description>\n<styleUrl>#random%s</styleUrl>\n<Point><coordinates>%s,%s</coordinates></Point>\n</Placemark>"
+_STYLE = '<Style id="cell-%s"><IconStyle>\n<color>%s</color>\n<Icon><href>http://maps.google.com/mapfiles/kml/shapes/placemark_circle.png</href></Icon>\n</IconStyle></Style>'
+_POINT = "<Placemark>\n<description>%s</description>\n<styleUrl>#cell-%s</styleUrl>\n<Point><coordinates>%s,%s</coordinates></Point>\n</Placemark>"
 
 
 def _framed(parts: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Tables = dict[str, DataFrame]
 
@@ -47,9 +47,15 @@ def fit_or_load(spark: SparkSession, path: str, names: tuple[str, ...], fit: Cal
 
 
 def numbered(df: DataFrame, name: str = "i") -> DataFrame:
-    """``df`` with the row's place in its order: counts per partition, no single-partition window."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)]))
+    """``df`` with the row's place in its order: rows are written with their place in a partition, and the number of
+    rows before each partition is added; no single-partition window over rows."""
+    rows = settled(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(name, 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # a row for each partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_before") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)
 
 
 def read_class_model(spark: SparkSession, path: str) -> DataFrame:
@@ -74,12 +80,12 @@ def write_class_model(model: DataFrame, path: str) -> None:
     class_model_text(model).orderBy("class_no").select("value").write.text(path)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that all executors share, and read back: computed once, short lineage."""
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, deleted when the driver's JVM ends. A local master without
+    spark.checkpoint.dir gets a temporary folder, which is noted there."""
     import tempfile
     import uuid
 
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -90,5 +96,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/tagplace-{name}-{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, short lineage."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as run at once: a small file would be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

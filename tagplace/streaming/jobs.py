@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.bayes import Scorer
-from ..operators.ingest import ingest_pages, upsert_users
+from ..operators.ingest import ingest_pages
 from ..operators.predict import score_requests
 from ..schemas import LOCATIONS, MEDIA_TABLE, USERS
 from ..sources.models import exists
@@ -20,25 +21,28 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def ingest_batch(pages: DataFrame, batch: int, tables: str) -> None:
     """Add one batch of pages to the tables; media and locations already there are left out, so a batch that runs
-    twice adds nothing. Users are rewritten in a new folder, the latest of which counts."""
+    twice adds nothing. Users whose state changed are written to the batch's own folder; the last one of a user counts,
+    so a user's empty page ends the visit for pages of later batches too."""
     spark = pages.sparkSession
     media, places = _table(spark, f"{tables}/media", MEDIA_TABLE), _table(spark, f"{tables}/locations", LOCATIONS)
     users = read_users(spark, tables, before=batch)
     made = ingest_pages(pages.persist(), users, places, media)
-    upsert_users(users, made["users"]).write.mode("overwrite").parquet(f"{tables}/users/batch={batch}")
+    made["users"].write.mode("overwrite").parquet(f"{tables}/users/batch={batch}")
     for name in ("locations", "media"):
         made[name].write.mode("append").parquet(f"{tables}/{name}")
     pages.unpersist()
 
 
 def read_users(spark: SparkSession, tables: str, before: int | None = None) -> DataFrame:
-    """The users after the last batch (or after the last before ``before``)."""
+    """The users' last states (of batches before ``before``)."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(f"{tables}/users")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [int(s.getPath().getName().split("=")[1]) for s in (fs.listStatus(root) if fs.exists(root) else []) if exists(spark, s.getPath().toString())]
-    done = [b for b in done if before is None or b < before]
-    return spark.read.schema(USERS).parquet(f"{tables}/users/batch={max(done)}") if done else spark.createDataFrame([], USERS)
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], USERS)
+    rows = spark.read.schema(f"{USERS}, batch int").parquet(f"{tables}/users")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    names = [c for c in rows.columns if c not in ("id", "batch")]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*names), "batch").alias("u")).select("id", "u.*")
 
 
 def stream_ingest(spark: SparkSession, page_dir: str, tables: str, checkpoint: str, fmt: str = "parquet", files: int = 100) -> StreamingQuery:

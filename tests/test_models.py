@@ -56,6 +56,39 @@ def test_cover(spark):
     assert sorted((r.id, r.label) for r in bayes.cover_probability(ranked).collect()) == [(1, 0), (1, 1), (2, 0)]
 
 
+def test_ranks_go_by_score_where_probabilities_vanish(spark):
+    # class 2 is likelier than class 1, both far below 1e-9
+    scored = spark.createDataFrame([(1, 0, 0.0), (1, 1, -50.0), (1, 2, -40.0), (1, 3, -50.0)], "id int, label int, score double")
+    assert [r.label for r in bayes.rank_classes(scored).orderBy("rank").collect()] == [0, 2, 1, 3]
+    f = spark.createDataFrame([(i, t, 50.0) for i, t in enumerate("abc")], "id long, tag string, w double")
+    labels = spark.createDataFrame([(0, 0), (1, 2), (2, 1)], "id long, label int")
+    t = spark.createDataFrame([(x, 1.0) for x in "abc"], "tag string, weight double")
+    docs = spark.createDataFrame([(9, ["a"] * 60 + ["b"] * 30 + ["c"] * 20)], "id long, tags array<string>")
+    got = bayes.score_bags(docs, bayes.Scorer(t, bayes.nb_fit(f, labels, 3)), 3).orderBy("rank").collect()
+    assert [r.label for r in got] == [0, 2, 1] and got[1].probability < 1e-9
+
+
+def test_a_large_model_is_joined_and_gives_equal_rows(spark, sf, monkeypatch):
+    from tagplace.jobs import fixtures, queries
+
+    f = queries.Fitted(spark, sf)
+    asked = f.docs.select("id", "tags", F.when(F.col("location_id") % 2 == 0, 3).alias("cnt"))
+    rows = lambda s: sorted((r.id, r["rank"], r.label, round(r.probability, 6)) for r in bayes.score_bags(asked, s, "cnt").collect())
+    small = bayes.Scorer(f.terms, f.model)
+    monkeypatch.setattr(bayes, "MAX_THETA", 0)
+    large = bayes.Scorer(f.terms, f.model)
+    assert large.joined and not small.joined and rows(small) == rows(large)
+    assert bayes.nb_predict_all(f.docs.where("id < 5"), small).count() == 5 * len(small.arrays.labels)
+    assert bayes.top_k_classes(bayes.rank_classes(bayes.score_pairs(f.docs, f.features, f.model)), 1).select("id", "label").exceptAll(bayes.nb_predict(f.docs, large)).count() == 0
+
+
+def test_a_class_of_negative_weights_has_scores(spark):
+    f = spark.createDataFrame([(0, "a", -5.0), (1, "b", 1.0)], "id long, tag string, w double")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "id long, label int")
+    model = bayes.nb_fit(f, labels, 2)
+    assert all(r.score == r.score and abs(r.score) < 1e9 for r in bayes.score_pairs(labels, f, model).collect())
+
+
 def test_hit_rates(spark):
     truth = spark.createDataFrame([(1, 0), (2, 1), (3, 9)], "id int, label int")
     ranked = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (2, 1, 2), (3, 0, 1)], "id int, label int, rank int")
@@ -112,6 +145,15 @@ def test_flat_ties_and_empty(spark):
     assert math.isclose(sum(r.confidence for r in smooth), 1)
 
 
+def test_flat_long_bags_keep_their_order(spark):
+    model = spark.createDataFrame([(0, "p", 0.5, 1.0, 2.0, ["a"] * 3 + ["b"]), (1, "q", 0.5, 3.0, 4.0, ["a"] + ["b"] * 3)], "class_no long, class string, prior double, lat double, lon double, tags array<string>")
+    asked = spark.createDataFrame([(1, ["zz"] * 300 + ["b"] * 20 + ["a"]), (2, ["b"] * 900 + ["a"] * 899)], "id int, tags array<string>")
+    got = [(r.id, r["rank"], r.class_no) for r in flat.classify_flat(model, asked, 2, 0.001).orderBy("id", "rank").collect()]
+    assert got == [(1, 1, 1), (1, 2, 0), (2, 1, 1), (2, 2, 0)]
+    best = flat.classify_flat(model, asked, 1).where("id = 2").first()
+    assert math.isclose(best.confidence, 0.75)
+
+
 def test_class_model_files(spark, tmp_path):
     lines = spark.createDataFrame([(0, "c0,0.5,a,b,"), (1, "c1,0.25,")], "class_no long, value string")
     coords = spark.createDataFrame([(1.5, 2.5), (3.5, 4.5)], "lat double, lon double")
@@ -122,7 +164,8 @@ def test_class_model_files(spark, tmp_path):
     back = models.read_class_model(spark, f"{tmp_path}/m").orderBy("class_no").collect()
     assert [(r["class"], r.prior, r.lat, list(r.tags)) for r in back] == [("c0", 0.5, 1.5, ["a", "b"]), ("c1", 0.25, 3.5, [])]
     models.write_class_model(spark.createDataFrame(back), f"{tmp_path}/n")
-    assert models.read_class_model(spark, f"{tmp_path}/n").count() == 2
+    rows = lambda p: [tuple(r) for r in models.read_class_model(spark, p).orderBy("class_no").collect()]
+    assert rows(f"{tmp_path}/n") == [tuple(r) for r in back]
 
 
 def test_media_csv(spark, tmp_path):
@@ -162,6 +205,24 @@ def test_ingest(spark):
     assert again["media"].count() == 0 and again["locations"].count() == 0
 
 
+def test_inactive_users_are_not_visited_again(spark):
+    old = spark.createDataFrame([(1, "a", False, False, True), (4, None, True, False, False), (2, None, False, True, False), (3, "x", False, False, False)], "id long, next_max_id string, fully_scraped boolean, private boolean, stopped boolean")
+    pages = spark.createDataFrame([(i, 5, page(200, [item(10 * i, i, "10")])) for i in (1, 2, 3, 4)], "user_id long, page_no int, value string")
+    assert [r.user_id for r in ingest.ingest_pages(pages, old)["media"].collect()] == [3]
+    assert sorted(r.user_id for r in ingest.ingest_pages(pages, old, resume=True)["media"].collect()) == [1, 3]
+    assert sorted(r.id for r in ingest.active_users(old).collect()) == [1, 3]
+
+
+def test_an_empty_page_ends_the_visit_in_later_batches(spark, tmp_path):
+    from tagplace.streaming.jobs import stream_ingest
+
+    pages, tables = f"{tmp_path}/pages", f"{tmp_path}/tables"
+    for part in ("page_no < 2", "page_no >= 2"):
+        feed(spark).where("user_id = 1").where(part).coalesce(1).write.mode("append").parquet(pages)
+        stream_ingest(spark, pages, tables, f"{tmp_path}/check").awaitTermination()
+    assert [r.id for r in spark.read.parquet(f"{tables}/media").collect()] == [1]
+
+
 def test_streams_equal_batch(spark, tmp_path):
     from tagplace.streaming.jobs import read_users, stream_ingest
 
@@ -182,7 +243,8 @@ def test_frontier(spark):
     assert sum(r.level == 1 for r in got) == 5 and len({r.user_id for r in got}) == len(got)
     stopped = spark.createDataFrame([(1, None, False, True)], "id long, next_max_id string, fully_scraped boolean, private boolean")
     assert ingest.expand_frontier(seeds, follows, stopped).count() == 1
-    assert ingest.merge_frontier(seeds, seeds).count() == 1
+    assert ingest.merge_frontier(seeds, seeds).count() == 1 and ingest.cap_frontier(follows.select("user_id"), 4).count() == 4
+    assert [r.i for r in models.numbered(spark.range(100, numPartitions=7).toDF("x").orderBy(F.desc("x"))).orderBy(F.desc("x")).collect()] == list(range(100))
 
 
 def test_train_and_save(spark, sf, tmp_path):
