@@ -131,9 +131,10 @@ def candidate_weights(spark, sf_dir):
 
 
 def kmeans_fit(spark, sf_dir):
-    docs = fx.media_docs(spark, sf_dir)
-    k = cluster.num_classes(docs.count(), 50)
-    return cluster.cell_centers(cluster.kmeans_fit(cluster.points_of(docs), k))
+    """The sales rows in classes of about 1000, the default."""
+    points = models.settled(cluster.points_of(fx.media_sales(spark, sf_dir)), "points")
+    k = cluster.num_classes(points.count(), 1000)
+    return cluster.cell_centers(cluster.kmeans_fit(points, k))
 
 
 def cell_polygons(spark, sf_dir):

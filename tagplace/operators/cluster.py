@@ -1,21 +1,27 @@
 """World cells by k-means on earth-centred points (id, x, y, z); centres are (label, x, y, z).
 
 Centres are few (rows / 1000) and live on the driver between rounds; points never do. All choices at random come
-from hashes of (seed, round, id), so they don't depend on partitions.
+from hashes of (seed, round, id), so they don't depend on partitions. Up to ``MAX_LOCAL`` candidates of the start are
+reduced on the driver; more are reduced in tasks first, by regions.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import ecef_to_lla, lla_to_ecef
+from ..sources.models import settled, spread
 
-#: Centres that are sent to every task (24 bytes each).
-MAX_CENTERS = 1_000_000
+#: Centres that are sent to every task (24 bytes each); candidates that the driver reduces by itself.
+MAX_CENTERS, MAX_LOCAL = 5_000_000, 20_000
 
 
 def points_of(media: DataFrame) -> DataFrame:
@@ -42,30 +48,71 @@ def centers_frame(spark: SparkSession, xyz: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "label int, x double, y double, z double")
 
 
-def nearest(points: DataFrame, labels: np.ndarray, xyz: np.ndarray) -> DataFrame:
-    """``points`` with label and d2 of the nearest centre; of equally near ones the lowest label.
+class Near:
+    """Nearest centres by blocks: centres that are close together share a block with a middle and a radius, and a
+    block is looked at only for points that may have their nearest centre in it. Exact: differences are taken before
+    squaring, since squares of earth-centred metres would lose the small ones."""
+
+    def __init__(self, labels: np.ndarray, xyz: np.ndarray):
+        size = max(32, math.isqrt(len(xyz)))
+        todo, self.blocks = [np.argsort(labels, kind="stable")], []
+        while todo:  # halve along the widest side
+            own = todo.pop()
+            if len(own) <= size:
+                self.blocks.append(np.sort(own))
+                continue
+            x = xyz[own]
+            own = own[np.argsort(x[:, np.ptp(x, axis=0).argmax()], kind="stable")]
+            todo += [own[: len(own) // 2], own[len(own) // 2 :]]
+        self.labels, self.xyz = labels.astype(np.int64), xyz
+        self.middle = np.array([xyz[b].mean(0) for b in self.blocks])
+        self.radius = np.array([np.sqrt(((xyz[b] - m) ** 2).sum(1).max()) for b, m in zip(self.blocks, self.middle, strict=True)])
+
+    @staticmethod
+    def _squares(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        d = np.zeros((len(p), len(q)))
+        for k in range(3):
+            d += (p[:, k, None] - q[None, :, k]) ** 2
+        return d
+
+    def find(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(label, squared distance) of each point's nearest centre, the lowest label of equally near ones."""
+        best, far = np.full(len(p), np.iinfo(np.int64).max), np.full(len(p), np.inf)
+        away = np.sqrt(self._squares(p, self.middle))
+        least = (away - self.radius) * (1 - 1e-9) - 1e-6  # no centre of the block is nearer; a little less for rounding
+        first = away.argmin(1)
+
+        def look(block, rows):
+            own = self.blocks[block]
+            d = self._squares(p[rows], self.xyz[own])
+            d2 = d.min(1)
+            label = np.where(d == d2[:, None], self.labels[own], np.iinfo(np.int64).max).min(1)
+            nearer = (d2 < far[rows]) | (d2 == far[rows]) & (label < best[rows])
+            best[rows[nearer]], far[rows[nearer]] = label[nearer], d2[nearer]
+
+        for block in np.unique(first):
+            look(block, np.flatnonzero(first == block))
+        for block in range(len(self.blocks)):
+            rows = np.flatnonzero((first != block) & (np.maximum(least[:, block], 0) ** 2 <= far))
+            if len(rows):
+                look(block, rows)
+        return best, far
 
-    Arrow batches against blocks of centres; differences are taken before squaring, since squares of
-    earth-centred metres would lose the small ones.
-    """
+
+def nearest(points: DataFrame, labels: np.ndarray, xyz: np.ndarray) -> DataFrame:
+    """``points`` with label and d2 of the nearest centre; of equally near ones the lowest label."""
     if not len(labels):
         raise ValueError("no centres")
     schema = T.StructType([*points.schema.fields, T.StructField("label", T.IntegerType()), T.StructField("d2", T.DoubleType())])
-    step = max(1, 2_000_000 // len(labels))
-    names = schema.names
+    step = max(1, 2_000_000 // (math.isqrt(len(labels)) + 32))
+    names, sent = schema.names, points.sparkSession.sparkContext.broadcast(Near(labels, xyz))
 
     def run(batches):
-        for b in batches:
-            p = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "z")]).astype(np.float64)
-            best, far = np.zeros(len(p), np.int64), np.zeros(len(p))
-            for i in range(0, len(p), step):
-                q = p[i : i + step]
-                d = np.zeros((len(q), len(xyz)))
-                for k in range(3):
-                    d += (q[:, k, None] - xyz[None, :, k]) ** 2
-                best[i : i + step] = d.argmin(1)
-                far[i : i + step] = d[np.arange(len(q)), best[i : i + step]]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[best], pa.int32()), pa.array(far)], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                label, d2 = sent.value.find(np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "z")]).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.int32()), pa.array(d2)], names=names)
 
     return points.mapInArrow(run, schema)
 
@@ -117,6 +164,14 @@ def oversample_centers(costed: DataFrame, k: int, total: float, seed: int, turn:
 
 
 
+def union_candidates(rounds: list[DataFrame]) -> DataFrame:
+    """Candidates of all rounds, each place once."""
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out.distinct()
+
+
 def weighted_kmeanspp(xyz: np.ndarray, weight: np.ndarray, k: int, seed: int, rounds: int = 30) -> np.ndarray:
     """k of about 10 k candidates: picks by weight times squared distance, then weighted Lloyd rounds."""
     if len(xyz) < k:
@@ -134,7 +189,8 @@ def weighted_kmeanspp(xyz: np.ndarray, weight: np.ndarray, k: int, seed: int, ro
     centers = xyz[picked].copy()
     before = None
     for _ in range(rounds):
-        label = np.concatenate([((b[:, None, :] - centers[None]) ** 2).sum(2).argmin(1) for b in np.array_split(xyz, max(1, len(xyz) * k // 1_000_000))])
+        near = Near(np.arange(k), centers)
+        label = np.concatenate([near.find(b)[0] for b in np.array_split(xyz, max(1, len(xyz) // 20_000))])
         if before is not None and (label == before).all():
             break
         before = label
@@ -147,26 +203,53 @@ def weighted_kmeanspp(xyz: np.ndarray, weight: np.ndarray, k: int, seed: int, ro
     return centers
 
 
+def reduce_candidates(weighted: DataFrame, k: int, seed: int) -> np.ndarray:
+    """k centres of candidates (label, x, y, z, weight).
+
+    More than ``MAX_LOCAL`` are dealt to regions by their coarse coordinates, and each region's task picks as many of its
+    own as its share of the points earns, twice over; what is left is picked from on the driver (2 k, bounded by k).
+    """
+    n = weighted.count()
+    if n > MAX_LOCAL:
+        total = weighted.agg(F.sum("weight")).first()[0]
+        middle = weighted.agg(*[F.percentile_approx(c, [i / 8 for i in range(1, 8)]).alias(c) for c in "xyz"]).first()
+        region = [sum((F.when(F.col(c) > v, 1).otherwise(0) for v in middle[c]), F.lit(0)).alias(f"r{c}") for c in "xyz"]
+
+        def pick(frame):
+            xyz, w = frame[["x", "y", "z"]].to_numpy(np.float64), frame["weight"].to_numpy(np.float64)
+            own = min(len(xyz), max(1, math.ceil(2 * k * w.sum() / total)))
+            made = weighted_kmeanspp(xyz, np.maximum(w, 1e-9), own, seed)
+            label = Near(np.arange(own), made).find(xyz)[0]
+            out = pd.DataFrame(made, columns=["x", "y", "z"])
+            return out.assign(label=range(own), weight=np.bincount(label, w, own).round().astype(np.int64))
+
+        weighted = weighted.select("*", *region).groupBy("rx", "ry", "rz").applyInPandas(pick, "x double, y double, z double, label int, weight long")
+    got = weighted.toPandas().sort_values(["x", "y", "z"])
+    return weighted_kmeanspp(got[["x", "y", "z"]].to_numpy(np.float64), got["weight"].to_numpy(), k, seed)
+
+
 def kmeans_init(points: DataFrame, k: int, init_steps: int = 5, seed: int = 42) -> np.ndarray:
     """k-means||: one point, ``init_steps`` rounds of oversampling, then k of the weighted candidates."""
     spark = points.sparkSession
-    found = np.array([[r.x, r.y, r.z] for r in sample_one(points, seed).collect()])
-    if not len(found):
+    found = settled(sample_one(points, seed).select("x", "y", "z"), "candidates")
+    if not found.limit(1).count():
         raise ValueError("no points")
+    labelled = lambda f: f.withColumn("label", F.row_number().over(W.orderBy("x", "y", "z")).cast("int") - 1)
     for turn in range(1, init_steps + 1):
-        costed = nearest(points, np.arange(len(found), dtype=np.int32), found)
+        costed = settled(nearest_center(points, labelled(found)), "costed")
         total = costed.agg(F.sum("d2")).first()[0] or 0.0
         if total == 0:
             break
-        more = oversample_centers(costed, k, total, seed, turn).toPandas().to_numpy(np.float64)  # about 2 k rows
-        found = np.unique(np.vstack([found, more]), axis=0)
-    if len(found) < k:
+        more = oversample_centers(costed, k, total, seed, turn)  # about 2 k rows
+        found = settled(union_candidates([found, more]), "candidates")
+    n = found.count()
+    if n < k:
         # fewer candidates than cells: take further distinct points in the order of their hashes
-        spare = points.groupBy("x", "y", "z").agg(F.min(hashed_uniform(seed, init_steps + 1, F.col("id"))).alias("h")).orderBy("h", "x", "y", "z").limit(k + len(found)).select("x", "y", "z").toPandas().to_numpy(np.float64)
-        known = set(map(tuple, found))
-        found = np.vstack([found, *[s[None] for s in spare if tuple(s) not in known][: k - len(found)]])
-    got = candidate_weights(points, centers_frame(spark, found)).toPandas().sort_values("label")
-    return weighted_kmeanspp(got[["x", "y", "z"]].to_numpy(np.float64), got["weight"].to_numpy(), k, seed)
+        spare = points.join(found, ["x", "y", "z"], "left_anti").groupBy("x", "y", "z").agg(F.min(hashed_uniform(seed, init_steps + 1, F.col("id"))).alias("h"))
+        found = settled(union_candidates([found, spare.orderBy("h", "x", "y", "z").limit(k - n).select("x", "y", "z")]), "candidates")
+        if found.count() < k:
+            raise ValueError(f"{found.count()} distinct points are too few for {k} centres")
+    return reduce_candidates(settled(candidate_weights(points, labelled(found)), "weights"), k, seed)
 
 
 def kmeans_fit(points: DataFrame, k: int, max_iter: int = 50, eps: float = 1e-4, init_steps: int = 5, seed: int = 42) -> DataFrame:
@@ -175,18 +258,15 @@ def kmeans_fit(points: DataFrame, k: int, max_iter: int = 50, eps: float = 1e-4,
     The mean of a label's points is its new centre. With ``max_iter=0`` the centres are those of the start.
     """
     spark = points.sparkSession
-    points = points.select("id", "x", "y", "z").persist()
-    try:
-        xyz = kmeans_init(points, k, init_steps, seed)
-        labels = np.arange(k, dtype=np.int32)
-        for _ in range(max_iter):
-            means = nearest(points, labels, xyz).groupBy("label").agg(*[F.avg(c).alias(c) for c in "xyz"]).toPandas()  # k rows
-            new = xyz.copy()
-            new[means["label"].to_numpy()] = means[["x", "y", "z"]].to_numpy()
-            moved = ((new - xyz) ** 2).sum(1).max()
-            xyz = new
-            if moved <= eps:
-                break
-    finally:
-        points.unpersist()
+    points = settled(spread(points.select("id", "x", "y", "z")), "points")
+    xyz = kmeans_init(points, k, init_steps, seed)
+    labels = np.arange(k, dtype=np.int32)
+    for _ in range(max_iter):
+        means = nearest(points, labels, xyz).groupBy("label").agg(*[F.avg(c).alias(c) for c in "xyz"]).toPandas()  # k rows
+        new = xyz.copy()
+        new[means["label"].to_numpy()] = means[["x", "y", "z"]].to_numpy()
+        moved = ((new - xyz) ** 2).sum(1).max()
+        xyz = new
+        if moved <= eps:
+            break
     return centers_frame(spark, xyz)

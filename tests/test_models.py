@@ -101,11 +101,29 @@ def test_nearest_against_brute_force(spark):
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, x double, y double, z double")
     got = {r.id: r.label for r in cluster.nearest_center(df, cluster.centers_frame(spark, centers)).collect()}
     assert all(got[i] == ((centers - p) ** 2).sum(1).argmin() for i, p in enumerate(points))
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.random((3000, 3)), rng.integers(0, 4, (500, 3)) / 4.0]) * 1e6
+    centers = np.vstack([rng.random((700, 3)), rng.integers(0, 4, (300, 3)) / 4.0]) * 1e6  # with equal and equally near ones
+    labels = rng.permutation(1000)
+    label, d2 = cluster.Near(labels, centers).find(points)
+    for i, p in enumerate(points):
+        d = ((p - centers) ** 2).sum(1)
+        assert d2[i] == d.min() and label[i] == labels[d == d.min()].min()
     tie = cluster.centers_frame(spark, np.array([[1.0, 0, 0], [-1.0, 0, 0]]))
     at = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
     assert cluster.nearest_center(at, tie).first().label == 0
 
 
+def test_kmeans_reduces_many_candidates_by_regions(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    p = np.vstack([rng.normal(c, 0.05, (80, 3)) for c in rng.random((20, 3)) * 10])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id long, x double, y double, z double")
+    cost = lambda: cluster.clustering_cost(df, cluster.kmeans_fit(df, 20, max_iter=10)).first()[0]
+    whole = cost()
+    monkeypatch.setattr(cluster, "MAX_LOCAL", 30)
+    assert cluster.kmeans_fit(df, 20, max_iter=0).count() == 20 and cost() < 4 * whole + 50
+
+
 def test_kmeans(spark):
     rng = np.random.default_rng(1)
     p = np.vstack([rng.normal(c, 0.05, (60, 3)) for c in ((0, 0, 0), (5, 5, 5), (0, 9, 0))])
