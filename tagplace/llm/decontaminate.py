@@ -8,6 +8,8 @@ counted from the spaces, and spans are mapped to characters of the original text
 The windows reach the tasks as a broadcast of a checked size, ``MAX_WINDOW_BYTES``; a larger benchmark is dealt
 into groups of items by their hash, and the texts pass one automaton after the other.
 
+Very long texts are scanned whole.
+
 Edge cases: a null text or item has no words and no windows; a null item_id counts as an item without a name.
 Items that share an item_id are one item. Empty tables give no hits. Other columns pass through; those named
 like a new column (n_words, n_hit, n_items, items_sha256, contaminated, spans, items) are replaced.
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, with_arrow
 
-MAX_WINDOW_BYTES = 64 << 20
+#: Bytes of windows in one automaton, which takes some 60 bytes for each in every Python worker.
+MAX_WINDOW_BYTES = 4 << 20
 #: Word bytes stay, A-Z are lower-cased, all else is a space.
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

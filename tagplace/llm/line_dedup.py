@@ -2,15 +2,16 @@
 
 A line is what stands between newlines, without white space at its ends; blank lines are never counted or
 removed. A line is known by 128 bits of hash. Lines of a single site are told by the least and greatest site hash
-(exact, and most lines are such); for the others HyperLogLog sketches of their sites merge by aggregation. A
-sketch's estimate far from the threshold decides; lines near it get exact distinct counts. Lines of at least
+(exact, and most lines are such); for the others HyperLogLog sketches of their sites are made where the lines are
+read and merge by aggregation. A sketch's estimate far from the threshold decides; only lines near it get exact
+distinct counts. Lines of at least
 ``sites`` sites go from all documents.
 
 Only hashes are shuffled for the counting, never text; frequent lines are merged before the shuffle, and the
 lines of boilerplate are found by a join whose small side is salted, so a very frequent line is no hot key.
 
 Edge cases: a null text stays null and has no lines; a null source is a site of its own. Repeated rows count as
-one site. An empty table gives an empty result. Other columns pass through; those named like a new column
+one site. Very long texts are split like any others. An empty table gives an empty result. Other columns pass through; those named like a new column
 (clean_text, n_lines, n_removed) are replaced.
 """
 
@@ -37,11 +38,12 @@ def spread_lines(lines: DataFrame, sites: int) -> DataFrame:
     if sites < 2:
         return spread.select("a", "b")
     shared = written(spread.where("lo <> hi").select("a", "b"), "shared")
-    seen = written(lines.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "b", "salt"]).groupBy("a", "b", "site").agg(F.count("*").alias("n")), "seen")
-    sketched = written(seen.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG)).alias("about")), "sketched")
+    salted = lambda some: lines.join(some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "b", "salt"])
+    # tasks send a sketch a line, merged on the way; no line's sites are listed
+    sketched = written(salted(shared).groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG)).alias("about")), "sketched")
     sure = sketched.where(F.col("about") >= sites * (1 + NEAR)).select("a", "b")
     near = sketched.where((F.col("about") < sites * (1 + NEAR)) & (F.col("about") >= sites * (1 - NEAR))).select("a", "b")
-    exact = seen.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= sites)
+    exact = salted(near).groupBy("a", "b", "site").agg(F.count("*").alias("n")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= sites)
     return sure.unionByName(exact.select("a", "b"))
 
 

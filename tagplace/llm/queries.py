@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, exact_dedup, line_dedup, lm, near_dedup, packing, token_files, toxicity
 from .common import held_out_crc, read
-from .url_filter import UrlFilter
+from .url_filter import judge_urls
 
 #: The rules of the url query: host, path, verdict (fixed values).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -16,7 +16,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.sql("values " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)).toDF("host", "path", "verdict")
-    return UrlFilter.fit(rules, pages).judge(pages).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(rules, pages).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +126,36 @@ select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, g.s as t
 """
 
 
+_LEAK = """
+with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}), {word}) as w from documents),
+iw as (select cast(item_id as varchar) as item, regexp_extract_all(translate(text, {upper}), {word}) as w from benchmark where text is not null),
+win as (select distinct item, n, array_to_string(w[i:i + n - 1], ' ') as s
+        from (select item, w, least(len(w), 10) as n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from iw where len(w) > 0)),
+kinds as (select distinct n from win),
+words as (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos from dw),
+runs as (select doc_id, pos, list(word) over (partition by doc_id order by pos rows between current row and 9 following) as ws from words),
+hits as (select distinct r.doc_id, r.pos, k.n, v.item from runs r join kinds k on len(r.ws) >= k.n join win v on v.n = k.n and v.s = array_to_string(r.ws[1:k.n], ' ')),
+marked as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(pos, pos + n)) as p from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(m.n_hit, 0) as n_hit, coalesce(f.n_items, 0) as n_items, sha256(coalesce(f.names, '')) as items_sha256, coalesce(m.n_hit, 0) > 0 as contaminated
+from dw d left join marked m using (doc_id) left join found f using (doc_id)
+"""
+
+_NEAR = """
+with recursive dw as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}), '[^\\x20\\x09-\\x0D]+') as w from documents),
+words as (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos, len(w) as n from dw),
+runs as (select doc_id, pos, n, list(word) over (partition by doc_id order by pos rows between current row and 4 following) as ws from words),
+sets as materialized (select distinct doc_id, array_to_string(ws, ' ') as s from runs where len(ws) = least(n, 5)),
+sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+pairs as materialized (select a.doc_id as a, b.doc_id as b, count(*) as k from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as materialized (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on l.a = r.b)
+select r.a as doc_id, coalesce(any_value(z.n), 0) as n_shingles, min(r.b) as component_id, min(r.b) = r.a as kept from reach r left join sizes z on z.doc_id = r.a group by r.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-    return {"op1_url_filter": _URL.replace("{rules}", rules), "op3_chat_format": _CHAT, "op4_line_dedup": _LINE, "op7_exact_dedup": _EXACT}
+    upper, word = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    leak, near = _LEAK.replace("{upper}", upper).replace("{word}", word), _NEAR.replace("{upper}", upper)
+    return {"op8_decontaminate": leak, "op10_near_dedup": near, "op1_url_filter": _URL.replace("{rules}", rules), "op3_chat_format": _CHAT, "op4_line_dedup": _LINE, "op7_exact_dedup": _EXACT}

@@ -10,6 +10,9 @@ trained neither dictionary.
 The labelled sample is bounded (``sample`` rows, in the order of a hash of doc_id, and texts of at most
 ``sample_chars`` characters); whole texts of all rows are scored. Only text enters a score.
 
+A very long text counts like any other: the features are logarithms and shares, so they are as defined beyond the
+length of the sampled texts.
+
 Edge cases: a null or empty text has no window and gets the model's intercept as its score. Rows without a label,
 with a null label or a null doc_id train nothing; a doc_id with several labels counts as toxic if any says so.
 With no toxic or no ordinary training row the model has no evidence: every score is the share of toxic rows.
@@ -111,12 +114,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, text, label) of a bounded sample of labelled rows: the ids come first, so texts are not shuffled."""
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("own")).agg(F.max(label_col).alias("toxic"))
-    some = own.orderBy(F.md5(F.col("own").cast("string").cast("binary"))).limit(sample)
+    h = F.md5(F.col("own").cast("string").cast("binary"))
+    # a cut at a hash with room to spare comes first, so that tasks don't each send a whole sample
+    share = min(1.0, 1.5 * sample / max(1, own.count()) + 1e-4)
+    some = own.where(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") < F.lit(math.ceil(share * 2**32))).orderBy(h).limit(sample)
     return docs.select(id_col, text_col).join(F.broadcast(some), F.col(id_col) == F.col("own")).select(id_col, text_col, F.col("toxic").alias(label_col))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, sample_chars: int = 30_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", width: int = 48, level: int = 9, ordinary_size: int = 1 << 15, toxic_size: int = 1 << 14, ridge: float = 1.0) -> Model:
-    """Train on a bounded sample of ``labelled`` rows (id, text, label)."""
+def fit(labelled: DataFrame, sample: int = SAMPLE, sample_chars: int = 30_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", width: int = 48, level: int = 9, ordinary_size: int = 1 << 15, toxic_size: int = 1 << 14, ridge: float = 1.0, repeats: int = 3, odds: float = 3.5, blocks: int = 20_000) -> Model:
+    """Train on a bounded sample of ``labelled`` rows (id, text, label): ``sample`` rows of at most ``sample_chars``
+    characters. A word marks toxic texts if ``repeats`` of them have it and its log odds exceed ``odds``. Ordinary
+    texts give about ``blocks`` blocks of 512 bytes, evenly spread over all of them, to their dictionary."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.coalesce(F.length(text_col), F.lit(0)) <= sample_chars))
     rows = rows.select(F.md5(F.col(id_col).cast("string").cast("binary")).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) == 1).alias("toxic"))
     got = [tuple(r) for r in rows.orderBy("h", "text").limit(sample).collect()]
@@ -127,17 +135,16 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, sample_chars: int = 30_000, i
     del got
     words = lambda x: set(x.encode().lower().split())
     toxic, ordinary = [x for x, t in train if t], [x for x, t in train if not t]
-    least = 3 if len(toxic) >= 100 else 2
     t = Counter(w for x in toxic for w in words(x))
-    t = Counter({w: n for w, n in t.items() if n >= least})
+    t = Counter({w: n for w, n in t.items() if n >= repeats})
     o = Counter(w for x in ordinary for w in words(x).intersection(t))  # only words that toxic texts repeat
 
-    def odds(w: bytes) -> float:
+    def log_odds(w: bytes) -> float:
         return math.log((t[w] + 0.1) / (len(toxic) + 0.2)) - math.log((o[w] + 0.1) / (len(ordinary) + 0.2))
 
-    marks = {w for w in t if odds(w) > 3.5}
+    marks = {w for w in t if log_odds(w) > odds}
     marked = [b" " + b" ".join(w for w in x.encode().lower().split() if w in marks) + b" " for x in toxic]
-    step = max(1, sum(-(-len(x) // 512) for x in ordinary) // 20_000)
+    step = max(1, sum(-(-len(x) // 512) for x in ordinary) // blocks)
     plain, nth = [], 0
     for x in ordinary:
         raw = x.encode().lower()

@@ -8,7 +8,8 @@ that level 2 lets through, and so on until no false positive is left. Judging th
 shuffle: the levels are literals of the plan.
 
 Size: level 1 takes about 1.44 * log2(universe / rules) bits a rule, all further levels about 3 bits a rule;
-``MAX_WORDS`` bounds a level. Larger rule sets take ``judge_by_join``, an equi-join on the keys.
+``MAX_WORDS`` bounds a level. ``judge_urls`` takes larger rule sets by an equi-join on the keys instead. Very long
+urls are judged whole.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule fits it, and its verdict is
 the default. A key listed with both verdicts is blocked. Of equally long fitting rules the one with more host
@@ -30,6 +31,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_WORDS, MAX_SHAPES, MAX_LEVELS = 65536, 512, 64
 
 
+class TooLarge(ValueError):
+    """A rule set is over the bounds of a cascade."""
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path): after the first ``://``; host up to ``/ ? #`` with A-Z lower-cased, path up to ``? #``."""
     at = F.instr(url, "://")
@@ -82,7 +87,7 @@ class Level:
         bits = max(64, math.ceil(count * hashes / math.log(2)))
         size = -(-bits // 64)
         if size > MAX_WORDS:
-            raise ValueError(f"a level of {size} words is over the bound of {MAX_WORDS}; use judge_by_join")
+            raise TooLarge(f"a level of {size} words is over the bound of {MAX_WORDS}")
         spots = keys.select(F.explode(F.array(*[_bit(F.col("key"), seed + i, bits) for i in range(hashes)])).alias("spot"))
         one = F.expr("shiftleft(1L, cast(spot % 64 as int))")
         rows = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(one).alias("ones")).collect()  # at most MAX_WORDS rows
@@ -124,7 +129,7 @@ class Cascade:
             if not n:
                 return cls(levels)
             if len(levels) >= MAX_LEVELS:
-                raise RuntimeError("the cascade does not end; choose another seed")
+                raise TooLarge(f"the cascade has more than {MAX_LEVELS} levels")
             seed += 101
             levels.append(Level.build(outside, n, 0.5, seed))
             inside, outside = outside, written(inside.where(levels[-1].has(F.col("key"))), "cascade")
@@ -149,7 +154,7 @@ class UrlFilter:
         keys = written(_rule_keys(rules), "rules")
         shapes = [(r[0], r[1]) for r in keys.select("labels", "path_len").distinct().limit(MAX_SHAPES + 1).collect()]
         if len(shapes) > MAX_SHAPES:
-            raise ValueError(f"more than {MAX_SHAPES} rule shapes; use judge_by_join")
+            raise TooLarge(f"more than {MAX_SHAPES} rule shapes")
         if not shapes:
             return cls([], Cascade([]), Cascade([]), default)
         universe = _with_parts(pages, url).select(F.explode(_candidates(sorted(shapes))).alias("c")).select("c.key")
@@ -182,3 +187,12 @@ def judge_by_join(rules: DataFrame, pages: DataFrame, key: str, url: str = "url"
     out = split.join(best, key, "left")
     verdict = F.when(F.col("m.blocked"), "block").when(F.col("m.rule").isNotNull(), "allow").otherwise(default)
     return out.withColumns({"rule": F.col("m.rule"), "verdict": verdict}).drop("m")
+
+
+def judge_urls(rules: DataFrame, pages: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+    """``pages`` with host, path, rule and verdict: by a cascade or, for rule sets over its bounds, by a join."""
+    try:
+        return UrlFilter.fit(rules, pages, url, default).judge(pages, url)
+    except TooLarge:
+        keyed = written(pages.withColumn("_key", F.monotonically_increasing_id()), "pages")
+        return judge_by_join(rules, keyed, "_key", url, default).drop("_key")

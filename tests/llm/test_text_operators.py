@@ -503,7 +503,7 @@ def test_queries_equal_sql(spark, sf, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want, got = c.execute(Q.oracle_sql()[name]).df(), Q.queries()[name](spark, sf).toPandas()
     names = sorted(want.columns)
