@@ -2,20 +2,23 @@
 
 Tokens are the words of a text with A-Z lower-cased, and one end. Every word that the training texts hold at
 least ``least_count`` times has vectors, so the vocabulary grows with the corpus (as the root of its tokens); all
-other words share the output "rare", and a rare word's probability within it follows the counts of rare words,
-smoothed by one, with one share for words never seen. So probabilities of all next tokens sum to one.
+other words share the output "rare". Within it a word's probability is (its count + d) / (all rare counts + d for
+each rare word and for one share of words never seen); d is the addend that predicts each rare token best from the
+others (leaving one out). So probabilities of all next tokens sum to one.
 
-    logit(w | u, v) = q_w . (C1 r_u + C2 r_v) + b_w        (v, u: the two tokens before)
+    logit(w | u, v) = q_w . (r_u C1 + r_v C2) + b_w        (v, u: the two tokens before)
 
-Outputs are arranged in classes, as many as the root of their number: P(w) = P(class of w) P(w | its class), both
-softmaxes of bilinear logits, so normalising a token takes two short batched matrix products. Training: the corpus is counted and encoded by
-Spark; in each of ``ROUNDS`` rounds every task runs noise-contrastive estimation in numpy over its whole share
-of one part of the training texts, starting from the common parameters; changes of the rows it touched are sent
-in blocks and averaged by the number of tokens. All training tokens are used, once. Only the parameters, the
-words with vectors, the head and totals reach the driver.
+Each word has one context vector r and one output vector q; C1 and C2 are matrices of the model, one for each
+place before the word. Outputs are arranged in classes, as many as the root of their number:
+P(w) = P(class of w) P(w | its class), both softmaxes of such logits, so normalising a token takes two short
+batched matrix products. Training: the corpus is counted and encoded by Spark; in each of ``ROUNDS`` rounds every
+task runs noise-contrastive estimation in numpy over its whole share of one part of the training texts, starting
+from the common parameters; changes of the rows it touched are sent in blocks and averaged by the number of
+tokens. All training tokens are used, once. Only the parameters, the words with vectors, the head and totals reach
+the driver.
 
-Counting: the ``HEAD`` most frequent words, and all with vectors, are looked up in the tasks (a table of bounded size); other words of
-a text go through a join with the counts of all words.
+Counting: about the ``HEAD`` most frequent words, and all with vectors, are looked up in the tasks; other words of a
+text go through a join with the counts of all words. Very long texts are whole streams like any others.
 
 Edge cases: a null text is empty and consists of one end. A null doc_id is a training row. With no training
 rows every probability comes from smoothing. Repeated rows are scored alike. Empty tables give empty results.
@@ -75,34 +78,49 @@ def least_count(total: int) -> int:
     return max(2, math.isqrt(total) // 40)
 
 
+def best_addend(kinds: dict[int, int]) -> float:
+    """The addend with which rare tokens, ``kinds`` words of each count, are predicted best from all the others."""
+    rare, n = sum(c * k for c, k in kinds.items()), sum(kinds.values())
+    made = lambda d: sum(c * k * math.log((c - 1 + d) / (rare - 1 + d * (n + 1))) for c, k in kinds.items())
+    return max((2.0**i for i in range(-4, 9)), key=made) if rare > 1 else 1.0
+
+
 @dataclass
 class Params:
-    """r1, r2: context vectors by id (C1 r and C2 r as they are used); qc, q, bc, b: of classes and outputs."""
+    """r: context vectors by id; c1, c2: matrices of the places before a word; q, b: outputs; qc, bc: their classes."""
 
-    r1: np.ndarray
-    r2: np.ndarray
+    r: np.ndarray
+    c1: np.ndarray
+    c2: np.ndarray
     qc: np.ndarray
     bc: np.ndarray
     q: np.ndarray
     b: np.ndarray
 
+    def hidden(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return self.r[u] @ self.c1 + self.r[v] @ self.c2
+
     def words(self) -> np.ndarray:
-        return np.hstack([self.r1, self.r2, self.q, self.b[:, None]])
+        return np.hstack([self.r, self.q, self.b[:, None]])
 
     def classes(self) -> np.ndarray:
-        return np.hstack([self.qc, self.bc[:, None]])
+        """Classes, then the rows of both matrices."""
+        none = np.zeros((DIM, 1), np.float32)
+        return np.vstack([np.hstack([self.qc, self.bc[:, None]]), np.hstack([self.c1, none]), np.hstack([self.c2, none])])
 
     @classmethod
     def of(cls, words: np.ndarray, classes: np.ndarray) -> Params:
-        r1, r2, q, b = (np.array(x, np.float32) for x in np.split(words, [DIM, 2 * DIM, 3 * DIM], axis=1))
-        return cls(r1, r2, np.array(classes[:, :DIM], np.float32), np.array(classes[:, DIM], np.float32), q, b.ravel())
+        r, q, b = (np.array(x, np.float32) for x in np.split(words, [DIM, 2 * DIM], axis=1))
+        own, c1, c2 = (np.array(x, np.float32) for x in np.split(classes, [-2 * DIM, -DIM]))
+        return cls(r, c1[:, :DIM].copy(), c2[:, :DIM].copy(), own[:, :DIM].copy(), own[:, DIM].copy(), q, b.ravel())
 
     @classmethod
     def start(cls, counts: np.ndarray, cls_of: np.ndarray, classes: int) -> Params:
         rng, n = np.random.default_rng(5), len(counts)
         mass = np.bincount(cls_of, counts + 0.5, classes) + 0.5
         draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        return cls(draw(n, DIM), draw(n, DIM), draw(classes, DIM), np.log(mass / mass.sum()).astype(np.float32), draw(n, DIM), np.log((counts + 0.5) / mass[cls_of]).astype(np.float32))
+        turn = lambda: np.linalg.qr(rng.standard_normal((DIM, DIM)))[0].astype(np.float32)
+        return cls(draw(n, DIM), np.eye(DIM, dtype=np.float32), turn(), draw(classes, DIM), np.log(mass / mass.sum()).astype(np.float32), draw(n, DIM), np.log((counts + 0.5) / mass[cls_of]).astype(np.float32))
 
 
 def make_classes(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -143,7 +161,7 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
     wide = np.concatenate([[0.0], ends])[cuts[1:]] - low
     v, u = np.concatenate([[STOP, STOP], ids[:-2]])[: len(ids)], np.concatenate([[STOP], ids[:-1]])[: len(ids)]
     v = np.where(u == STOP, STOP, v)
-    squares = {k: np.full(getattr(p, k).shape, 1e-3, np.float32) for k in ("r1", "r2", "qc", "bc", "q", "b")}
+    squares = {k: np.full(getattr(p, k).shape, 1e-3, np.float32) for k in ("r", "c1", "c2", "qc", "bc", "q", "b")}
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def step(name, index, values, m):
@@ -153,11 +171,16 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
         squares[name][rows] = s
         getattr(p, name)[rows] += rate * 0.3 * g / np.sqrt(s)
 
+    def turn(name, g, m):
+        squares[name] += (g / m) ** 2
+        getattr(p, name)[:] += rate * 0.02 * (g / m) / np.sqrt(squares[name])
+
     ln_k, ln_w = np.float32(np.log(NOISE_CLASSES)), np.float32(np.log(NOISE))
     for a in range(0, len(ids), BATCH):
         y, h1, h2 = ids[a : a + BATCH], u[a : a + BATCH], v[a : a + BATCH]
         c, m = cls_of[y], len(y)
-        h = p.r1[h1] + p.r2[h2]
+        r1, r2 = p.r[h1], p.r[h2]
+        h = r1 @ p.c1 + r2 @ p.c2
         # class: one true and NOISE_CLASSES noise classes for each token
         kc = rng.choice(classes, NOISE_CLASSES, p=noise_c)
         e1 = 1 - sig((h * p.qc[c]).sum(1) + p.bc[c] - log_c[c] - ln_k)
@@ -173,8 +196,10 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
         gh += d1[:, None] * p.q[y] + np.einsum("mk,mkd->md", d0, q0)
         words, d = np.concatenate([y, kw.ravel()]), np.concatenate([d1, d0.ravel()])
         g_q = np.concatenate([d1[:, None] * h, (d0[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])])
-        step("r1", h1, gh, m)
-        step("r2", h2, gh, m)
+        g1, g2 = r1.T @ gh, r2.T @ gh
+        step("r", np.concatenate([h1, h2]), np.concatenate([gh @ p.c1.T, gh @ p.c2.T]), m)
+        turn("c1", g1, m)
+        turn("c2", g2, m)
         step("qc", np.concatenate([c, kc]), np.concatenate([e1[:, None] * h, e0.T @ h]), m)
         step("bc", np.concatenate([c, kc]), np.concatenate([e1, e0.sum(0)])[:, None], m)
         step("q", words, g_q, m)
@@ -204,7 +229,7 @@ class Scorer:
         out = np.zeros(len(ids))
         for a in range(0, len(ids), 16384):
             y = ids[a : a + 16384]
-            h = self.p.r1[u[a : a + 16384]] + self.p.r2[v[a : a + 16384]]
+            h = self.p.hidden(u[a : a + 16384], v[a : a + 16384])
             c = self.cls_of[y]
             part = self._log_softmax_at(h @ self.p.qc.T + self.p.bc, c).astype(np.float64)
             order = np.argsort(c, kind="stable")
@@ -217,7 +242,7 @@ class Scorer:
         return out
 
 
-def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total: int, distinct: int) -> DataFrame:
+def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total: int, distinct: int, addend: float) -> DataFrame:
     """Per row: number, doc_id, held_out, ids of the stream, sums over head words, counts of all other words."""
     sent = rows.sparkSession.sparkContext.broadcast(head)
     log_n = np.log10(total + distinct + 1)
@@ -225,9 +250,9 @@ def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total
     def run(batches):
         from pyspark import TaskContext
 
-        known, logs, row = {}, np.zeros(len(sent.value) + 1), TaskContext.get().partitionId() << 40
+        known, logs, rare, row = {}, np.zeros(len(sent.value) + 1), np.zeros(len(sent.value) + 1), TaskContext.get().partitionId() << 40
         for i, (word, c) in enumerate(sent.value):
-            known[word], logs[i] = i, np.log10(c + 1) - log_n
+            known[word], logs[i], rare[i] = i, np.log10(c + 1) - log_n, np.log10(c + addend)
         none, end, names = len(sent.value), known.get(END, len(sent.value)), {w: i + 2 for i, w in enumerate([w for w, _ in sent.value if w != END][: outputs - 2])}
         to_id = np.zeros(none + 1, np.uint32)
         for w, i in names.items():
@@ -242,7 +267,7 @@ def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total
                 base = logs[at[at != none]].sum() + (logs[end] if end != none else -log_n)
                 # rare words of the head; the end is an output of its own
                 rare_head = (at != none) & (to_id[at] == RARE)
-                out.append((row, len(ids), int((at != none).sum()) + (end != none), base, (logs[at[rare_head]] + log_n).sum(), int((ids == RARE).sum()), ids.tobytes(), [{"word": w, "k": k} for w, k in tail.items()]))
+                out.append((row, len(ids), int((at != none).sum()) + (end != none), base, rare[at[rare_head]].sum(), int((ids == RARE).sum()), ids.tobytes(), [{"word": w, "k": k} for w, k in tail.items()]))
                 row += 1
             cols = list(zip(*out)) or [()] * 8
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
@@ -255,7 +280,7 @@ def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total
 def _train(encoded: DataFrame, counts: np.ndarray, cls_of: np.ndarray) -> Params:
     spark = encoded.sparkSession
     p = Params.start(counts, cls_of, int(cls_of.max()) + 1)
-    shape = {True: (len(counts), 3 * DIM + 1), False: (len(p.bc), DIM + 1)}
+    shape = {True: (len(counts), 2 * DIM + 1), False: (len(p.bc) + 2 * DIM, DIM + 1)}
     for turn in range(ROUNDS):
         share = encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == turn)).select("ids")
         # each task sends a change of every row it touched: no more tasks than run at once
@@ -312,13 +337,16 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     counts = written(count_words(rows.where(~F.col("held_out"))), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = least_count(total)
-    often = counts.where(F.col("c") >= least).count()
-    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(max(HEAD, often + 1)).collect()]
+    # sizes by quarter powers of two: a head of about HEAD words is cut by its least count
+    sizes = counts.groupBy(F.floor(4 * F.log2("c")).cast("int").alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("s")).collect()
+    reach = np.cumsum([r["n"] for r in sizes])
+    cut = min([least, *(r["c"] for r, n in zip(sizes, reach.tolist(), strict=True) if n <= HEAD)])
+    head = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= cut).collect()), key=lambda x: (-x[1], x[0]))
     chosen = [c for w, c in head if w != END and c >= least]
-    encoded = written(_encoded(rows, head, len(chosen) + 2, total, distinct), "encoded")
-
     stops = dict(head).get(END, counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     rare, kinds = total - stops - sum(chosen), distinct - (stops > 0) - len(chosen)
+    addend = best_addend({r["c"]: r["n"] for r in counts.where((F.col("c") < least) & (F.length("word") > 0)).groupBy("c").agg(F.count("*").alias("n")).collect()})
+    encoded = written(_encoded(rows, head, len(chosen) + 2, total, distinct, addend), "encoded")
     freq = np.array([rare, stops, *chosen], np.float64)
     cls_of = make_classes(freq, math.isqrt(len(freq) - 1) + 1)
     scorer = Scorer(_train(encoded, freq, cls_of), cls_of)
@@ -333,9 +361,9 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     own = ["doc_id", "held_out", "row", "n_tokens", "known", "base", "rare_head", "n_rare"]
     scored = encoded.select(*own, "ids").mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, rare_head double, n_rare long, lm double")
     tail = encoded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.k")
-    c1 = F.log10(F.coalesce("c", F.lit(0)) + 1)
-    tails = tail.join(counts, "word", "left").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_known"), F.sum(F.col("k") * c1).alias("logs"))
-    log_n, log_rare = float(np.log10(total + distinct + 1)), float(np.log10(rare + kinds + 1))
+    c = F.coalesce("c", F.lit(0))
+    tails = tail.join(counts, "word", "left").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_known"), F.sum(F.col("k") * F.log10(c + 1)).alias("logs"), F.sum(F.col("k") * F.log10(c + addend)).alias("rares"))
+    log_n, log_rare = float(np.log10(total + distinct + 1)), float(np.log10(rare + addend * (kinds + 1)))
     out = scored.join(tails, "row", "left")
-    logs, k = F.coalesce("logs", F.lit(0.0)), F.coalesce("k", F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + logs - k * log_n).alias("base_score"), (F.col("lm") + F.col("rare_head") + logs - F.col("n_rare") * log_rare).alias("score"))
+    logs, rares, k = F.coalesce("logs", F.lit(0.0)), F.coalesce("rares", F.lit(0.0)), F.coalesce("k", F.lit(0))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + logs - k * log_n).alias("base_score"), (F.col("lm") + F.col("rare_head") + rares - F.col("n_rare") * log_rare).alias("score"))

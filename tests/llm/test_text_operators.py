@@ -71,6 +71,15 @@ def test_url_filter_empty(spark):
     assert url_filter.UrlFilter.fit(rules, pages.limit(0)).judge(pages).first().rule == "org/"
 
 
+def test_url_filter_beyond_the_bounds(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://m.example.org/es/x"), (2, "http://a.com/de/"), (2, "http://a.com/de/"), (3, None), (4, "http://a.com/" + "x" * 3000)], "page_id long, url string")
+    rules = spark.createDataFrame(Q.RULES, "host string, path string, verdict string")
+    rows = lambda: sorted(map(str, url_filter.judge_urls(rules, pages).collect()))
+    usual = rows()
+    monkeypatch.setattr(url_filter, "MAX_SHAPES", 1)
+    assert rows() == usual and len(usual) == 5
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.where("crc32(cast(key as binary)) % 7 = 0")
@@ -185,6 +194,8 @@ def test_pack(spark, docs, texts):
     assert len(by_seq) <= packing.lower_bound(hist, 1024) * 1.005 + 1
     assert packing.pack(odd_docs(spark, [(1, None), (None, "a")]), 8).count() == 2
     assert packing.pack(docs.limit(0)).count() == 0
+    again = packing.pack(odd_docs(spark, [(1, "x " * 3000), (1, "x " * 3000), (1, None)]), 100).collect()
+    assert len({(r.sequence_id, r.offset) for r in again}) == len(again) and sum(r.length == 1 for r in again) == 1
 
 
 # --- chat and lines -----------------------------------------------------------------------------------------
@@ -199,6 +210,20 @@ def test_chat(spark):
     assert chat.render(turns.limit(0)).count() == 0
 
 
+def test_lines_near_the_threshold_hot_and_repeated(spark):
+    rows = [(i, "hot\n" + f"l{i % 7}", f"s{i % 12}") for i in range(200)] * 2 + [(500, "long " * 40_000 + "\nhot", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sites = {}
+    for _, t, s in rows:
+        for line in t.split("\n"):
+            sites.setdefault(line.strip(), set()).add(s)
+    for least in (2, 11, 12, 13):
+        got = line_dedup.drop_boilerplate(df, sites=least).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.n_removed == sum(len(sites[x.strip()]) >= least for x in r.text.split("\n"))
+
+
 def test_lines(spark):
     rows = [(i, f"own {i}\n common \n\nsome {i % 3}", f"s{i}") for i in range(12)] + [(20, None, "s1"), (21, "", None), (22, "common", None)]
     df = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, source string, N_LINES string")
@@ -458,6 +483,24 @@ def test_lm_is_normalised():
     assert math.isclose(total, 1, rel_tol=1e-5)
 
 
+def test_lm_beats_counts_on_held_out_rows(spark, sf):
+    got = lm.score_texts(read(spark, sf.replace("sf0.001", "sf0.01"), "documents"))
+    s = got.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert s[0] > s[1]
+
+
+def test_lm_addend_and_rare_share(spark):
+    assert lm.best_addend({}) == 1.0 and lm.best_addend({1: 100}) >= 64 and lm.best_addend({1: 5, 2: 5, 90: 100}) <= 2
+    # all words known to the model but rare: shares of rare words and of one unseen word sum to one
+    rows = [(i, f"a a a a b{i}") for i in range(30) if zlib.crc32(str(i).encode()) % 7 != 2]
+    probes = [(1000 + i, f"b{r[0]}") for i, r in enumerate(rows)] + [(2000, "never")]
+    probes = [(i, t) for i, t in probes]
+    docs = spark.createDataFrame(rows + probes, DOCS)
+    got = {r.doc_id: r for r in lm.score_texts(docs, F.col("doc_id") >= 1000).collect()}
+    kinds = len({round(got[i].score, 9) for i, t in probes if t != "never"})
+    assert kinds == 1 and got[2000].n_known == 1 and got[2000].score < got[1000].score
+
+
 def test_lm_odd(spark):
     got = {r.doc_id: r for r in lm.score_texts(odd_docs(spark, [(1, None), (None, "a b"), (2, "")])).collect()}
     assert got[1].n_tokens == 1 and got[None].n_tokens == 3 and not got[None].held_out
@@ -511,6 +554,21 @@ def test_queries_equal_sql(spark, sf, name):
     assert names == sorted(got.columns) and rows(got) == rows(want)
 
 
+def test_pipeline_odd_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(1, None, "x"), (2, "", "x"), (None, "a b c d e f", "x"), (3, long, "x"), (4, long, None), (5, "a b c d e f", "x"), (5, "a b c d e f", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, kept string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (1, 1), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "q r s")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {2, 4, 5} and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/empty/{t}.parquet")
+    assert P.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_pipeline(spark, sf, texts):
     import corpus_pipeline as P
 
