@@ -33,10 +33,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_crc, small_batches, texts_of, written
+from .common import held_out_crc, small_batches, written
 
 END, HEAD, DIM = b"", 60_000, 16
 ROUNDS, BATCH, NOISE, RATE = 3, 4096, 4, 3.0
@@ -46,9 +47,13 @@ NOISE_CLASSES, BLOCK = 16, 1024
 RARE, STOP = 0, 1
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words of a text; the end is not among them."""
-    return text.encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words as bytes, one text's after the other's; number of words of each text); a null is empty."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(full)])
+    return flat.filter(pa.array(full)).cast(pa.binary()), np.diff(before[offsets - offsets[0]])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -61,8 +66,9 @@ def count_words(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
         for batch in batches:
-            for text in texts_of(batch, "text"):
-                seen.update(tokens(text))
+            found = words_of(batch.column("text"))[0].dictionary_encode()
+            for word, c in zip(found.dictionary.to_pylist(), np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)).tolist(), strict=True):
+                seen[word] += c
             seen[END] += batch.num_rows
             if len(seen) > 300_000:
                 yield out()
@@ -219,17 +225,21 @@ class Scorer:
 
     @staticmethod
     def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        top = logits.max(1)
-        return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        """Logits are far below those that a float can't exponentiate; larger ones are brought down first."""
+        if logits.size and logits.max() > 60:
+            logits = logits - logits.max(1, keepdims=True)
+        own = logits[np.arange(len(at)), at]
+        np.exp(logits, out=logits)
+        return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
     def log_probs(self, ids: np.ndarray) -> np.ndarray:
         """Natural log-probability of each id of a stream of texts that each end with STOP."""
         u = np.concatenate([[STOP], ids[:-1]])
         v = np.where(u == STOP, STOP, np.concatenate([[STOP, STOP], ids[:-2]])[: len(ids)])
         out = np.zeros(len(ids))
-        for a in range(0, len(ids), 16384):
-            y = ids[a : a + 16384]
-            h = self.p.hidden(u[a : a + 16384], v[a : a + 16384])
+        for a in range(0, len(ids), 65536):
+            y = ids[a : a + 65536]
+            h = self.p.hidden(u[a : a + 65536], v[a : a + 65536])
             c = self.cls_of[y]
             part = self._log_softmax_at(h @ self.p.qc.T + self.p.bc, c).astype(np.float64)
             order = np.argsort(c, kind="stable")
@@ -238,7 +248,7 @@ class Scorer:
                 own = order[cuts[k] : cuts[k + 1]]
                 if len(own):
                     part[own] += self._log_softmax_at(h[own] @ self.p.q[g].T + self.p.b[g], self.slot[y[own]])
-            out[a : a + 16384] = part
+            out[a : a + 65536] = part
         return out
 
 
@@ -258,20 +268,24 @@ def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total
         for w, i in names.items():
             to_id[known[w]] = i
         for batch in batches:
-            out = []
-            for text in texts_of(batch, "text"):
-                words = tokens(text)
-                at = np.fromiter((known.get(w, none) for w in words), np.int64, len(words))
-                tail = Counter([words[i] for i in np.flatnonzero(at == none).tolist()])
-                ids = np.append(to_id[at], STOP).astype("<u4")
-                base = logs[at[at != none]].sum() + (logs[end] if end != none else -log_n)
-                # rare words of the head; the end is an output of its own
-                rare_head = (at != none) & (to_id[at] == RARE)
-                out.append((row, len(ids), int((at != none).sum()) + (end != none), base, rare[at[rare_head]].sum(), int((ids == RARE).sum()), ids.tobytes(), [{"word": w, "k": k} for w, k in tail.items()]))
-                row += 1
-            cols = list(zip(*out)) or [()] * 8
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
-            made = [pa.array(list(x), t) for x, t in zip(cols, types, strict=True)]
+            words, size = words_of(batch.column("text"))
+            n, found = batch.num_rows, words.dictionary_encode()
+            kind = np.fromiter((known.get(w, none) for w in found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+            code, doc = found.indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), size)
+            at = kind[code]
+            there, ids = at != none, to_id[at]
+            sums = lambda x: np.bincount(doc, x, n)
+            base = sums(np.where(there, logs[at], 0.0)) + (logs[end] if end != none else -log_n)
+            # rare words of the head; the end is an output of its own
+            rare_head = sums(np.where(there & (ids == RARE), rare[at], 0.0))
+            ends = np.cumsum(size)
+            stream = np.insert(ids, ends, STOP).astype("<u4").tobytes()
+            cuts = np.concatenate([[0], 4 * (ends + np.arange(1, n + 1))]).tolist()
+            own, k = np.unique(doc[~there] * len(kind) + code[~there], return_counts=True)
+            tail = pa.StructArray.from_arrays([found.dictionary.take(pa.array(own % max(1, len(kind)))), pa.array(k, pa.int64())], names=["word", "k"])
+            offsets = np.searchsorted(own // max(1, len(kind)), np.arange(n + 1))
+            made = [pa.array(np.arange(row, row + n)), pa.array(size + 1), pa.array(sums(there).astype(np.int64) + (end != none)), pa.array(base), pa.array(rare_head), pa.array(sums(ids == RARE).astype(np.int64)), pa.array([stream[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)]
+            row += n
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "rare_head", "n_rare", "ids", "tail"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, rare_head double, n_rare long, ids binary, tail array<struct<word:binary,k:long>>")
