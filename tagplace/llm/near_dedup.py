@@ -51,7 +51,7 @@ class _Words(dict):
     """Hashes of words, computed once; cleared when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

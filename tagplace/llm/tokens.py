@@ -77,7 +77,7 @@ class Words:
 class PieceEncoder:
     """Ids of whole texts. ``max_words`` bounds the memory, about 50 bytes a word."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
