@@ -274,7 +274,7 @@ def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total
             code, doc = found.indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), size)
             at = kind[code]
             there, ids = at != none, to_id[at]
-            sums = lambda x: np.bincount(doc, x, n)
+            sums = lambda x: np.bincount(doc, x, n).astype(float)
             base = sums(np.where(there, logs[at], 0.0)) + (logs[end] if end != none else -log_n)
             # rare words of the head; the end is an output of its own
             rare_head = sums(np.where(there & (ids == RARE), rare[at], 0.0))
