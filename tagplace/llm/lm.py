@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import held_out_crc, small_batches, written
 
 END, HEAD, DIM = b"", 60_000, 16
-ROUNDS, BATCH, NOISE, RATE = 3, 4096, 4, 3.0
+ROUNDS, BATCH, NOISE, RATE = 3, 2048, 8, 3.0
 #: Noise classes that a minibatch shares; rows of parameters in a block that is sent.
 NOISE_CLASSES, BLOCK = 16, 1024
 #: Reserved ids: rare words, end of text (also what stands before a text's first word).
@@ -144,16 +144,19 @@ def make_classes(counts: np.ndarray, classes: int) -> np.ndarray:
 
 
 def _spread(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indices, and the sums of the rows of ``values`` by them."""
-    rows, back = np.unique(index, return_inverse=True)
-    return rows, np.stack([np.bincount(back, values[:, d], len(rows)) for d in range(values.shape[1])], axis=1).astype(np.float32)
+    """Distinct indices in order, and the sums of the rows of ``values`` by them."""
+    # narrow integers are sorted by radix
+    order = np.argsort(index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index, kind="stable")
+    rows = index[order]
+    at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[at], np.add.reduceat(values[order], at, axis=0)
 
 
 def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarray, rate: float = RATE) -> Params:
     """Noise-contrastive estimation over a stream of token ids (texts end with STOP), in minibatches.
 
-    Noise classes are drawn from class frequencies and shared by a minibatch; each token has ``NOISE`` noise words
-    of its own class, drawn from the word frequencies there. Only touched rows are updated.
+    Noise classes are drawn from class frequencies and shared by a minibatch; the ``NOISE`` noise words of a class
+    are drawn from the word frequencies there and shared by its tokens of the minibatch. Only touched rows are updated.
     """
     classes = len(p.bc)
     rng = np.random.default_rng(len(ids))
@@ -170,12 +173,14 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
     squares = {k: np.full(getattr(p, k).shape, 1e-3, np.float32) for k in ("r", "c1", "c2", "qc", "bc", "q", "b")}
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def step(name, index, values, m):
-        rows, g = _spread(index, values)
-        g = (g if getattr(p, name).ndim > 1 else g[:, 0]) / m
-        s = squares[name][rows] + g * g
-        squares[name][rows] = s
-        getattr(p, name)[rows] += rate * 0.3 * g / np.sqrt(s)
+    def step(names, index, values, m):
+        """Rows of the table ``names[0]`` and, where there are two, the last column for its biases."""
+        rows, sums = _spread(index, values)
+        sums /= m
+        for name, g in zip(names, (sums[:, :DIM], sums[:, -1])):
+            s = squares[name][rows] + g * g
+            squares[name][rows] = s
+            getattr(p, name)[rows] += rate * 0.3 * g / np.sqrt(s)
 
     def turn(name, g, m):
         squares[name] += (g / m) ** 2
@@ -183,33 +188,41 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
 
     ln_k, ln_w = np.float32(np.log(NOISE_CLASSES)), np.float32(np.log(NOISE))
     for a in range(0, len(ids), BATCH):
-        y, h1, h2 = ids[a : a + BATCH], u[a : a + BATCH], v[a : a + BATCH]
+        # tokens in order of their classes
+        order = np.argsort(cls_of[ids[a : a + BATCH]].astype(np.int32), kind="stable")
+        y, h1, h2 = ids[a : a + BATCH][order], u[a : a + BATCH][order], v[a : a + BATCH][order]
         c, m = cls_of[y], len(y)
         r1, r2 = p.r[h1], p.r[h2]
-        h = r1 @ p.c1 + r2 @ p.c2
+        h = np.ones((m, DIM + 1), np.float32)
+        h[:, :DIM] = r1 @ p.c1 + r2 @ p.c2
+        x = h[:, :DIM]
         # class: one true and NOISE_CLASSES noise classes for each token
         kc = rng.choice(classes, NOISE_CLASSES, p=noise_c)
-        e1 = 1 - sig((h * p.qc[c]).sum(1) + p.bc[c] - log_c[c] - ln_k)
-        e0 = -sig(h @ p.qc[kc].T + p.bc[kc] - log_c[kc] - ln_k)
-        gh = e1[:, None] * p.qc[c] + e0 @ p.qc[kc]
+        own_c, noise_q = p.qc[c], p.qc[kc]
+        e1 = 1 - sig(np.einsum("md,md->m", x, own_c) + p.bc[c] - log_c[c] - ln_k)
+        e0 = -sig(x @ noise_q.T + (p.bc[kc] - log_c[kc] - ln_k))
+        gh = e1[:, None] * own_c + e0 @ noise_q
         # word within its class: one true and NOISE noise words for each token
-        drawn = low[c, None] + rng.random((m, NOISE)) * wide[c, None]
-        at = np.searchsorted(ends, drawn, side="right")
-        kw = by_class[np.clip(at, cuts[c, None], cuts[c + 1, None] - 1)]
-        d1 = 1 - sig((h * p.q[y]).sum(1) + p.b[y] - log_w[y] - ln_w)
-        q0 = p.q[kw]
-        d0 = -sig(np.einsum("md,mkd->mk", h, q0) + p.b[kw] - log_w[kw] - ln_w)
-        gh += d1[:, None] * p.q[y] + np.einsum("mk,mkd->md", d0, q0)
-        words, d = np.concatenate([y, kw.ravel()]), np.concatenate([d1, d0.ravel()])
-        g_q = np.concatenate([d1[:, None] * h, (d0[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])])
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        there, spans = c[first], list(enumerate(zip(first.tolist(), [*first[1:].tolist(), m])))
+        at = np.searchsorted(ends, low[there, None] + rng.random((len(there), NOISE)) * wide[there, None], side="right")
+        kw = by_class[np.clip(at, cuts[there, None], cuts[there + 1, None] - 1)]
+        own_q, q0 = p.q[y], np.concatenate([p.q[kw], (p.b[kw] - log_w[kw] - ln_w)[:, :, None]], axis=2)
+        d1 = 1 - sig(np.einsum("md,md->m", x, own_q) + p.b[y] - log_w[y] - ln_w)
+        d0, noise = np.empty((m, NOISE), np.float32), np.empty((len(there), NOISE, DIM + 1), np.float32)
+        for j, (s, t) in spans:
+            np.matmul(h[s:t], q0[j].T, out=d0[s:t])
+        d0 = -sig(d0)
+        gh += d1[:, None] * own_q
+        for j, (s, t) in spans:
+            gh[s:t] += d0[s:t] @ q0[j, :, :DIM]
+            np.matmul(d0[s:t].T, h[s:t], out=noise[j])
         g1, g2 = r1.T @ gh, r2.T @ gh
-        step("r", np.concatenate([h1, h2]), np.concatenate([gh @ p.c1.T, gh @ p.c2.T]), m)
+        step(("r",), np.concatenate([h1, h2]), np.concatenate([gh @ p.c1.T, gh @ p.c2.T]), m)
         turn("c1", g1, m)
         turn("c2", g2, m)
-        step("qc", np.concatenate([c, kc]), np.concatenate([e1[:, None] * h, e0.T @ h]), m)
-        step("bc", np.concatenate([c, kc]), np.concatenate([e1, e0.sum(0)])[:, None], m)
-        step("q", words, g_q, m)
-        step("b", words, d[:, None], m)
+        step(("qc", "bc"), np.concatenate([there, kc]), np.concatenate([np.add.reduceat(e1[:, None] * h, first, axis=0), e0.T @ h]), m)
+        step(("q", "b"), np.concatenate([y, kw.ravel()]), np.concatenate([d1[:, None] * h, noise.reshape(-1, DIM + 1)]), m)
     return p
 
 
@@ -222,15 +235,25 @@ class Scorer:
         self.slot = np.zeros(len(cls_of), np.int64)
         for g in self.groups:
             self.slot[g] = np.arange(len(g))
+        # biases as one more row of each matrix
+        self.top = np.vstack([p.qc.T, p.bc])
+        self.within = [np.vstack([p.q[g].T, p.b[g]]) for g in self.groups]
 
     @staticmethod
-    def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Logits are far below those that a float can't exponentiate; larger ones are brought down first."""
-        if logits.size and logits.max() > 60:
-            logits = logits - logits.max(1, keepdims=True)
-        own = logits[np.arange(len(at)), at]
-        np.exp(logits, out=logits)
-        return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+    def _log_softmax_at(h: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Blocks stay in the processor's cache. Logits that may be too large to exponentiate are brought down first."""
+        out, step = np.empty(len(h), np.float32), max(64, 400_000 // max(1, q.shape[1]))
+        large = len(h) and math.sqrt(np.einsum("md,md->m", h, h).max() * np.einsum("dk,dk->k", q, q).max()) > 60
+        for a in range(0, len(h), step):
+            logits = h[a : a + step] @ q
+            own = logits[np.arange(len(logits)), at[a : a + step]]
+            if large:
+                most = logits.max(1)
+                logits -= most[:, None]
+                own -= most
+            np.exp(logits, out=logits)
+            out[a : a + step] = own - np.log(logits.sum(1))
+        return out
 
     def log_probs(self, ids: np.ndarray) -> np.ndarray:
         """Natural log-probability of each id of a stream of texts that each end with STOP."""
@@ -239,16 +262,17 @@ class Scorer:
         out = np.zeros(len(ids))
         for a in range(0, len(ids), 65536):
             y = ids[a : a + 65536]
-            h = self.p.hidden(u[a : a + 65536], v[a : a + 65536])
             c = self.cls_of[y]
-            part = self._log_softmax_at(h @ self.p.qc.T + self.p.bc, c).astype(np.float64)
-            order = np.argsort(c, kind="stable")
-            cuts = np.searchsorted(c[order], np.arange(len(self.groups) + 1))
-            for k, g in enumerate(self.groups):
-                own = order[cuts[k] : cuts[k + 1]]
-                if len(own):
-                    part[own] += self._log_softmax_at(h[own] @ self.p.q[g].T + self.p.b[g], self.slot[y[own]])
-            out[a : a + 65536] = part
+            order = np.argsort(c.astype(np.uint16) if len(self.groups) < 1 << 16 else c, kind="stable")
+            y, c = y[order], c[order]
+            h = np.ones((len(y), DIM + 1), np.float32)
+            h[:, :DIM] = self.p.hidden(u[a : a + 65536][order], v[a : a + 65536][order])
+            part = self._log_softmax_at(h, self.top, c).astype(np.float64)
+            cuts = np.searchsorted(c, np.arange(len(self.groups) + 1))
+            for k in np.unique(c):
+                own = slice(cuts[k], cuts[k + 1])
+                part[own] += self._log_softmax_at(h[own], self.within[k], self.slot[y[own]])
+            out[a + order] = part
         return out
 
 
