@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, line_dedup, lm, near_dedup, packing, token_files, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, lm, merkle, near_dedup, packing, token_files, toxicity
 from .common import held_out_crc, read
 from .url_filter import judge_urls
 
@@ -62,8 +62,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.when(held_out_crc(F.col("doc_id"), 7, 0), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    leaf = lambda n: merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    rows = docs.select("doc_id", merkle.tree_key(F.col("lang")).alias("tree"), leaf(F.col("n_chars")).alias("leaf"), leaf(tampered).alias("claimed"))
+    out = merkle.manifest(rows, ["doc_id"]).withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("steps")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict:
-    made = [op1_url_filter, op2_token_files, op3_chat_format, op4_line_dedup, op5_lm_score, op6_toxicity, op7_exact_dedup, op8_decontaminate, op9_pack, op10_near_dedup]
+    made = [op1_url_filter, op2_token_files, op3_chat_format, op4_line_dedup, op5_lm_score, op6_toxicity, op7_exact_dedup, op8_decontaminate, op9_pack, op10_near_dedup, op11_merkle]
     return {f.__name__: f for f in made}
 
 
@@ -154,8 +163,51 @@ select r.a as doc_id, coalesce(any_value(z.n), 0) as n_shingles, min(r.b) as com
 """
 
 
+#: crc32 of a decimal number, by bytes.
+_CRC = """
+crc_steps as (select i, i as c, 0 as k from range(256) r(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc_steps where k < 8),
+crc_table as (select list(c order by i) as t from crc_steps where k = 8),
+crcs as (select doc_id, xor(list_reduce(list_prepend(4294967295, [ascii(x) for x in string_split(cast(doc_id as varchar), '')]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as h
+         from (select distinct doc_id from documents where doc_id is not null), crc_table)
+"""
+
+_MERKLE = """
+with recursive {crc},
+d as materialized (select row_number() over () as r, coalesce('+' || lang, '') as tree, doc_id, source, lang, n_chars, text, n_chars + (coalesce(h % 7, 1) = 0)::int as told from documents left join crcs using (doc_id)),
+leaves as materialized (
+  select r, tree, doc_id, sha256({leaf}) as leaf, sha256({claimed}) as claimed from d
+), placed as materialized (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as p from leaves
+), levels as materialized (
+  select tree, 0 as l, list(leaf order by p) as ns from placed group by tree
+  union all
+  select tree, l + 1, [sha256(array_to_string(ns[2 * i + 1 : 2 * i + 2], '')) for i in range((len(ns) + 1) // 2)] from levels where len(ns) > 1
+), subs as materialized (select tree, ns[1] as subroot, l as height, row_number() over (order by tree) - 1 as q from levels where len(ns) = 1),
+tops as materialized (
+  select 0 as l, list(subroot order by q) as ns from subs
+  union all
+  select l + 1, [sha256(array_to_string(ns[2 * i + 1 : 2 * i + 2], '')) for i in range((len(ns) + 1) // 2)] from tops where len(ns) > 1
+), steps as materialized (
+  select r, v.l as k, (p >> v.l) & 1 as right_, coalesce(ns[xor(p >> v.l, 1) + 1], '') as sib from placed join levels v using (tree) where len(ns) > 1
+  union all
+  select r, height + v.l, (q >> v.l) & 1, coalesce(ns[xor(q >> v.l, 1) + 1], '') from placed join subs using (tree), tops v where len(ns) > 1
+), proof as (select r, string_agg(sib, '' order by k) as sibs from steps group by r),
+folds as (
+  select r, 0 as k, claimed as x from placed
+  union all
+  select r, k + 1, sha256(case when right_ = 1 then sib || x else x || sib end) from folds join steps using (r, k)
+), folded as (select r, arg_max(x, k) as folded_root from folds group by r)
+select doc_id, leaf, subroot, ns[1] as root, sha256(coalesce(sibs, '')) as proof_sha256, folded_root, folded_root = ns[1] as verified
+from placed join subs using (tree) left join proof using (r) join folded using (r), (select ns from tops where len(ns) = 1)
+"""
+
+
+def _leaf_sql(n: str) -> str:
+    return " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", n, "text"))
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     upper, word = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     leak, near = _LEAK.replace("{upper}", upper).replace("{word}", word), _NEAR.replace("{upper}", upper)
-    return {"op8_decontaminate": leak, "op10_near_dedup": near, "op1_url_filter": _URL.replace("{rules}", rules), "op3_chat_format": _CHAT, "op4_line_dedup": _LINE, "op7_exact_dedup": _EXACT}
+    return {"op8_decontaminate": leak, "op10_near_dedup": near, "op1_url_filter": _URL.replace("{rules}", rules), "op3_chat_format": _CHAT, "op4_line_dedup": _LINE, "op7_exact_dedup": _EXACT, "op11_merkle": _MERKLE.replace("{crc}", _CRC).replace("{leaf}", _leaf_sql("n_chars")).replace("{claimed}", _leaf_sql("told"))}
