@@ -47,9 +47,10 @@ NOISE_CLASSES, BLOCK = 16, 1024
 RARE, STOP = 0, 1
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """(all words as bytes, one text's after the other's; number of words of each text); a null is empty."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, offsets = parts.flatten(), parts.offsets.to_numpy()
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate([[0], np.cumsum(full)])

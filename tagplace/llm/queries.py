@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, line_dedup, lm, merkle, near_dedup, packing, token_files, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, lm, merkle, near_dedup, packing, periodic, phrases, token_files, toxicity
 from .common import held_out_crc, read
 from .url_filter import judge_urls
 
@@ -71,8 +71,36 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a tenth of the texts gets a periodic end
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def ended(w):
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")).otherwise(F.lit(""))
+
+    # the array around the words keeps them from being split again for every word
+    text = F.when(h % 10 == 0, F.get(F.transform(F.array(words), ended), F.lit(0))).otherwise(F.col("text"))
+    out = periodic.periodic_runs(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    out = out.withColumn("best", best).select("doc_id", "best", F.size("runs").cast("long").alias("n_runs"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    start, period = -F.col("best.start"), -F.col("best.period")
+    return out.select("doc_id", "n_runs", start.alias("start"), F.col("best.length").alias("length"), period.alias("period"), F.floor(1000 * F.col("best.length") / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
+    return phrases.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"), edited)
+
+
 def queries() -> dict:
-    made = [op1_url_filter, op2_token_files, op3_chat_format, op4_line_dedup, op5_lm_score, op6_toxicity, op7_exact_dedup, op8_decontaminate, op9_pack, op10_near_dedup, op11_merkle]
+    made = [op1_url_filter, op2_token_files, op3_chat_format, op4_line_dedup, op5_lm_score, op6_toxicity, op7_exact_dedup, op8_decontaminate, op9_pack, op10_near_dedup, op11_merkle, op12_periodic_runs, op13_fingerprints]
     return {f.__name__: f for f in made}
 
 
@@ -202,6 +230,28 @@ from placed join subs using (tree) left join proof using (r) join folded using (
 """
 
 
+_PERIODIC = """
+with recursive {crc},
+plain as (select row_number() over () as r, doc_id, coalesce(h, 1) as h, coalesce(h, 1) // 10 as g, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents left join crcs using (doc_id)),
+cut as (select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then g % len(w) end as a from plain),
+docs as materialized (
+  select r, doc_id, case when a is null then w else [w[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end + 1] for i in range(n)] end as w from cut
+), words as materialized (select r, unnest(w) as word, unnest(range(len(w))) as i from docs),
+grams as materialized (
+  select r, i, string_agg(word, ' ') over (partition by r order by i rows between current row and 5 following) as s, count(*) over (partition by r order by i rows between current row and 5 following) as k from words
+), same as (select a.r, a.i, b.i - a.i as q from grams a join grams b on a.r = b.r and a.s = b.s and a.i < b.i where a.k = 6 and b.k = 6),
+stretch as (select r, q, i, i - row_number() over (partition by r, q order by i) as island from same),
+found as (select r, q, min(i) as s, count(*) + 5 + q as l from stretch group by r, q, island),
+runs as materialized (select r, s, l, min(q) as q from found where l >= greatest(12, 2 * q) group by r, s, l),
+told as (select r, count(*) as n_runs, arg_min({s: s, l: l, q: q}, row(-l, s, q)) as best, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as lines from runs group by r),
+gone as (select distinct r, unnest(range(s + q, s + l)) as i from runs),
+kept as (select r, string_agg(word, ' ' order by i) as t from words anti join gone using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.l as length, best.q as period, 1000 * best.l // best.q as exponent_milli,
+       sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from docs left join told using (r) left join kept using (r)
+"""
+
+
 def _leaf_sql(n: str) -> str:
     return " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", n, "text"))
 
@@ -210,4 +260,4 @@ def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     upper, word = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     leak, near = _LEAK.replace("{upper}", upper).replace("{word}", word), _NEAR.replace("{upper}", upper)
-    return {"op8_decontaminate": leak, "op10_near_dedup": near, "op1_url_filter": _URL.replace("{rules}", rules), "op3_chat_format": _CHAT, "op4_line_dedup": _LINE, "op7_exact_dedup": _EXACT, "op11_merkle": _MERKLE.replace("{crc}", _CRC).replace("{leaf}", _leaf_sql("n_chars")).replace("{claimed}", _leaf_sql("told"))}
+    return {"op8_decontaminate": leak, "op10_near_dedup": near, "op1_url_filter": _URL.replace("{rules}", rules), "op3_chat_format": _CHAT, "op4_line_dedup": _LINE, "op7_exact_dedup": _EXACT, "op12_periodic_runs": _PERIODIC.replace("{crc}", _CRC), "op11_merkle": _MERKLE.replace("{crc}", _CRC).replace("{leaf}", _leaf_sql("n_chars")).replace("{claimed}", _leaf_sql("told"))}
