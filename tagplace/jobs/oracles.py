@@ -178,6 +178,9 @@ select cast(row_number() over (order by c.class_no) - 1 as bigint) as line, clas
         "predictions_json_read": _COVER.format(label="200 as status, '' as error, ", more=", true as has_polygon"),
         "cluster_csv": f"with {_CENTERS}, {_NEAR} select md5(array_to_string(tags, ',')) as tags_md5, round(latitude, 2) as lat, round(longitude, 2) as lon, 'c' || label as cluster from docs join near using (id)",
         "train_resumed": f"with {_NB} select label, n, round(sum_w, 6) as sum_w, round(pi, 6) as pi, round(log_denom, 6) as log_denom from classes",
+        "train_clusters": f"""with {_DOCS}, {_TERMS}
+select 'centers' as name, m // 100 as n from total union all select 'cells', m // 100 from total union all select 'labelled', m from total union all select 'terms', (select count(*) from terms) union all select 'assigned', m from total
+union all select * from (values ('off_mean', 0::bigint), ('open_rings', 0), ('dear', 0)) v""",
         "stored_tables": f"""with m as ({_MEDIA}), u as (with {_FEED} select distinct user_id as id from kept union select distinct user_id from heads where code = 400)
 select 'users' as name, count(*) as n, count(distinct id) as n_ids, cast(sum(id) as bigint) as sum_ids from u union all select 'locations', count(distinct location_id), count(distinct location_id), cast(sum(distinct location_id) as bigint) from m union all select 'media', count(*), count(distinct id), cast(sum(id) as bigint) from m""",
         "captions": f"select id, case when tag = 'view' then 'seen ' || id end as caption from ({_MEDIA})",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -375,9 +377,9 @@ def _room(spark, name: str) -> str:
 
 
 def class_model_files(spark, sf_dir):
-    """The flat model written as text lines and read back."""
+    """The flat model written as text lines in ten files and read back with the lines' numbers."""
     model, path = _class_model(*_flat(spark, sf_dir)), _room(spark, "flat")
-    models.write_class_model(model, path)
+    models.write_class_model(model, path, 10)
     back = models.read_class_model(spark, path)
     return back.select(F.col("class_no").cast("long").alias("line"), "class", _r(F.col("prior"), 9).alias("prior"), _r(F.col("lat")).alias("lat"), _r(F.col("lon")).alias("lon"), F.md5(F.array_join("tags", ",").cast("binary")).alias("tags_md5"))
 
@@ -420,6 +422,25 @@ def train_resumed(spark, sf_dir):
     return loaded["classes"].select("label", "n", *[_r(F.col(c)).alias(c) for c in ("sum_w", "pi", "log_denom")])
 
 
+def train_clusters(spark, sf_dir):
+    """Training with k-means and cells, as (name, n): rows of the published tables, and how many centres are off the mean
+    of their points, rings are open, and (0 or 1) whether the cost is above half of that of a single centre."""
+    docs, path = models.settled(fx.media_docs(spark, sf_dir), "docs"), _room(spark, "model")
+    train.train(docs, path, per_class=100)
+    made = models.load_model(spark, path)
+    points = cluster.points_of(docs)
+    near = models.settled(cluster.nearest_center(points, made["centers"]), "near")
+    centers = made["centers"].select("label", *[F.col(c).alias(f"c{c}") for c in "xyz"])
+    off = cluster.centroids(near, made["centers"].select("label", "x", "y", "z")).join(centers, "label").where(geo.square_dist([F.col(c) for c in "xyz"], [F.col(f"c{c}") for c in "xyz"]) > 1.0)
+    single = points.agg(sum((F.var_pop(c) for c in "xyz"), F.lit(0.0)) * F.count("*")).first()[0]
+    counts = {
+        "centers": made["centers"].agg(F.count("*")), "cells": made["cells"].agg(F.count("*")), "labelled": made["classes"].agg(F.sum("n")), "terms": made["terms"].agg(F.count("*")),
+        "assigned": near.agg(F.count("*")), "off_mean": off.agg(F.count("*")), "open_rings": made["cells"].where(F.size("ring") < 3).agg(F.count("*")), "dear": near.agg((F.sum("d2") > 0.5 * single).cast("long")),
+    }
+    parts = [v.toDF("n").select(F.lit(k).alias("name"), F.col("n").cast("long").alias("n")) for k, v in counts.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def stored_tables(spark, sf_dir):
     """The crawl's tables written and read: rows, distinct keys and the sum of keys of each."""
     made, path = ingest.ingest_pages(models.settled(_feed(spark, sf_dir), "feed")), _room(spark, "tables")
@@ -512,7 +533,7 @@ _ALL = [
     csv_fields, media_csv, tag_list, request_terms, media_samples, ecef, ecef_roundtrip, tag_counts, idf_terms, tag_weights, cell_assign, cell_cost, cell_centroids, candidate_weights, kmeans_fit,
     cell_polygons, kml_cells, kml_points, nb_classes, nb_theta, nb_scores, nb_top_k, nb_cover, nb_argmax, predict_location, predictions_json, score_requests, hit_rates, fold_sizes, cross_validate,
     cross_validate_clusters, class_frequency, class_tag_counts, flat_mle, flat_smoothed, insert_coordinates, pages_until_empty, user_scrape_state, insert_if_absent, sample_successors, expand_frontier,
-    random_users, ingest_media, ingest_users, stream_ingest, stream_score, class_model_files, class_predictions_json, predict_cover, predictions_json_read, cluster_csv, train_resumed, stored_tables,
+    random_users, ingest_media, ingest_users, stream_ingest, stream_score, class_model_files, class_predictions_json, predict_cover, predictions_json_read, cluster_csv, train_resumed, train_clusters, stored_tables,
     captions, place_names, query_terms, batch_requests, zip_rows, cap_frontier, merge_frontier, sample_one, oversample_centers, surface_points, seed_users, ingest_known_users, active_users,
 ]
 

@@ -12,11 +12,14 @@ from ..operators.cells import cells_of
 from ..operators.cluster import assign_cells, cell_centers, kmeans_fit, num_classes, points_of
 from ..operators.predict import LEVELS, validate
 from ..operators.terms import idf_fit, idf_transform
-from ..sources.models import fit_or_load
+from ..sources.models import Draft
 
 
 def train(media: DataFrame, path: str, per_class: int = 1000, load_existing: bool = True, seed: int = 42, max_iter: int = 50, polygons: bool = True) -> dict[str, DataFrame]:
-    """centers, cells, terms, classes, theta under ``path``; a stage that is there already is only read."""
+    """centers, cells, terms, classes, theta under ``path``; a stage that is there already is only read.
+
+    With ``load_existing`` off all are fitted anew and replace the published ones together, at the end.
+    """
     spark = media.sparkSession
     rows = media.count()
 
@@ -25,10 +28,12 @@ def train(media: DataFrame, path: str, per_class: int = 1000, load_existing: boo
         made = {"centers": centers}
         return made | {"cells": cells_of(centers)} if polygons else made
 
-    out = fit_or_load(spark, path, ("centers", "cells") if polygons else ("centers",), clusters, load_existing)
-    out |= fit_or_load(spark, path, ("terms",), lambda: {"terms": idf_fit(media, total=rows)}, load_existing)
-    bayes = lambda: nb_fit(idf_transform(media, out["terms"]), assign_cells(media, out["centers"]), out["terms"].count())
-    return out | fit_or_load(spark, path, ("classes", "theta"), bayes, load_existing)
+    draft = Draft(spark, path, load_existing)
+    out = draft.fit_or_load(("centers", "cells") if polygons else ("centers",), clusters)
+    out |= draft.fit_or_load(("terms",), lambda: {"terms": idf_fit(media, total=rows)})
+    out |= draft.fit_or_load(("classes", "theta"), lambda: nb_fit(idf_transform(media, out["terms"]), assign_cells(media, out["centers"]), out["terms"].count()))
+    draft.publish()
+    return out
 
 
 def assign_folds(rows: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:

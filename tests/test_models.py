@@ -254,6 +254,65 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(r.id for r in read_users(spark, tables).collect()) == [1, 2, 4]
 
 
+@pytest.mark.parametrize("block", ["128m", "3k"])
+def test_class_model_line_numbers(spark, tmp_path, block):
+    """Lines of many files of unequal sizes, read in many blocks, keep their numbers."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, f"c{i}", float(i), 1.0, 2.0, [f"t{j}" for j in range(rng.choice([0, 1, 3, 80 if i % 400 > 300 else 2]))]) for i in range(2000)]
+    model = spark.createDataFrame(rows, "class_no long, class string, prior double, lat double, lon double, tags array<string>").repartition(5)
+    models.write_class_model(model, f"{tmp_path}/m", 8)
+    assert len(list((tmp_path / "m").glob("part-*.txt"))) == 8
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        back = models.read_class_model(spark, f"{tmp_path}/m").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.class_no for r in back) == list(range(2000)) and all(r["class"] == f"c{r.class_no}" for r in back)
+
+
+def test_failed_refit_keeps_the_model(spark, tmp_path):
+    path, frame = f"file://{tmp_path}/model", lambda n: spark.range(n).toDF("x")
+    models.save_model({"centers": frame(3), "theta": frame(4)}, path)
+    reader = models.load_model(spark, path)
+
+    bad = frame(5).select(F.raise_error(F.lit("stop")).cast("long").alias("x"))
+    with pytest.raises(Exception, match="stop"):
+        models.save_model({"centers": frame(9), "theta": bad}, path)
+    now = models.load_model(spark, path)
+    assert {k: v.count() for k, v in now.items()} == {"centers": 3, "theta": 4}
+    # a refit stage is seen when all are published, and what was read before stays readable
+    draft = models.Draft(spark, path, load_existing=False)
+    draft.fit_or_load(("centers",), lambda: {"centers": frame(7)})
+    assert models.load_model(spark, path)["centers"].count() == 3
+    draft.fit_or_load(("theta",), lambda: {"theta": frame(8)})
+    draft.publish()
+    assert {k: v.count() for k, v in models.load_model(spark, path).items()} == {"centers": 7, "theta": 8}
+    assert reader["centers"].count() == 3
+    # new tables of a first fit are kept when a later stage fails
+    draft = models.Draft(spark, path)
+    draft.fit_or_load(("terms",), lambda: {"terms": frame(2)})
+    with pytest.raises(ZeroDivisionError):
+        draft.fit_or_load(("cells",), lambda: 1 / 0)
+    assert set(models.load_model(spark, path)) == {"centers", "theta", "terms"}
+    models.prune_model(spark, path, 1)
+    assert models.Version.numbers(spark, path) == [3] and models.load_model(spark, path)["centers"].count() == 7
+    assert models.fit_or_load(spark, path, ("terms",), lambda: 1 / 0)["terms"].count() == 2
+
+
+def test_two_writers(spark, tmp_path):
+    path = f"file://{tmp_path}/model"
+    a, b = models.Draft(spark, path), models.Draft(spark, path)
+    a.write({"x": spark.range(1)})
+    b.write({"x": spark.range(2)})
+    b.publish()
+    a.publish()
+    assert models.Version.numbers(spark, path) == [1, 2] and models.load_model(spark, path)["x"].count() == 1
+    assert models.Version.of(spark, path, 1).read()["x"].count() == 2
+
+
 def test_frontier(spark):
     follows = spark.createDataFrame([(1, i) for i in range(2, 12)] + [(2, 1), (3, 20)], "user_id long, follower_id long")
     seeds = spark.createDataFrame([(1,)], "user_id long")
