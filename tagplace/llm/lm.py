@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ END, HEAD, DIM = b"", 60_000, 16
 ROUNDS, BATCH, NOISE, RATE = 3, 2048, 8, 3.0
 #: Noise classes that a minibatch shares; rows of parameters in a block that is sent.
 NOISE_CLASSES, BLOCK = 16, 1024
+#: Tokens that are scored at a time.
+TOKENS = 1 << 17
 #: Reserved ids: rare words, end of text (also what stands before a text's first word).
 RARE, STOP = 0, 1
 
@@ -92,6 +94,12 @@ def best_addend(kinds: dict[int, int]) -> float:
     return max((2.0**i for i in range(-4, 9)), key=made) if rare > 1 else 1.0
 
 
+def shares(total: int) -> int:
+    """Parts of a round's training tokens, each a task's: by the corpus alone, so that the model does not depend on the
+    cluster. Each sends a change of the model, so a part grows with the root of the corpus, as the model does."""
+    return max(1, total // ROUNDS // max(500_000, 200 * math.isqrt(total)))
+
+
 @dataclass
 class Params:
     """r: context vectors by id; c1, c2: matrices of the places before a word; q, b: outputs; qc, bc: their classes."""
@@ -104,9 +112,6 @@ class Params:
     q: np.ndarray
     b: np.ndarray
 
-    def hidden(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return self.r[u] @ self.c1 + self.r[v] @ self.c2
-
     def words(self) -> np.ndarray:
         return np.hstack([self.r, self.q, self.b[:, None]])
 
@@ -227,11 +232,23 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
     return p
 
 
+def _exact(x: np.ndarray) -> np.ndarray:
+    """Multiples of 2 ** -16: sums of their products have no rounding in doubles (below 2 ** 20), in any order."""
+    return np.round(x.astype(np.float64) * 65536) / 65536
+
+
 class Scorer:
-    """Normalised log-probabilities; logits of classes and of words in a class by matrix products."""
+    """Normalised log-probabilities; logits of classes and of words in a class by matrix products.
+
+    Parameters are rounded so that the products are exact: a matrix product may add up a row in another order when
+    other rows stand beside it, and a text's score must not depend on its batch.
+    """
 
     def __init__(self, p: Params, cls_of: np.ndarray):
-        self.p, self.cls_of = p, cls_of
+        self.cls_of = cls_of
+        # what each token before a word adds to the hidden state
+        self.r1, self.r2 = _exact(p.r @ p.c1), _exact(p.r @ p.c2)
+        p = replace(p, qc=_exact(p.qc), bc=_exact(p.bc), q=_exact(p.q), b=_exact(p.b))
         self.groups = [np.flatnonzero(cls_of == c) for c in range(len(p.bc))]
         self.slot = np.zeros(len(cls_of), np.int64)
         for g in self.groups:
@@ -239,16 +256,17 @@ class Scorer:
         # biases as one more row of each matrix
         self.top = np.vstack([p.qc.T, p.bc])
         self.within = [np.vstack([p.q[g].T, p.b[g]]) for g in self.groups]
+        longest = lambda x: math.sqrt(np.einsum("md,md->m", x, x).max(initial=0.0))
+        # logits that may be too large to exponentiate are brought down first: a matter of the model, not of the rows
+        self.large = math.hypot(longest(self.r1) + longest(self.r2), 1) * max(longest(q.T) for q in [self.top, *self.within]) > 60
 
-    @staticmethod
-    def _log_softmax_at(h: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Blocks stay in the processor's cache. Logits that may be too large to exponentiate are brought down first."""
+    def _log_softmax_at(self, h: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Blocks stay in the processor's cache; a row's result does not depend on its block."""
         out, step = np.empty(len(h), np.float32), max(64, 400_000 // max(1, q.shape[1]))
-        large = len(h) and math.sqrt(np.einsum("md,md->m", h, h).max() * np.einsum("dk,dk->k", q, q).max()) > 60
         for a in range(0, len(h), step):
-            logits = h[a : a + step] @ q
+            logits = (h[a : a + step] @ q).astype(np.float32)
             own = logits[np.arange(len(logits)), at[a : a + step]]
-            if large:
+            if self.large:
                 most = logits.max(1)
                 logits -= most[:, None]
                 own -= most
@@ -261,13 +279,13 @@ class Scorer:
         u = np.concatenate([[STOP], ids[:-1]])
         v = np.where(u == STOP, STOP, np.concatenate([[STOP, STOP], ids[:-2]])[: len(ids)])
         out = np.zeros(len(ids))
-        for a in range(0, len(ids), 65536):
-            y = ids[a : a + 65536]
+        for a in range(0, len(ids), TOKENS):
+            y = ids[a : a + TOKENS]
             c = self.cls_of[y]
             order = np.argsort(c.astype(np.uint16) if len(self.groups) < 1 << 16 else c, kind="stable")
             y, c = y[order], c[order]
-            h = np.ones((len(y), DIM + 1), np.float32)
-            h[:, :DIM] = self.p.hidden(u[a : a + 65536][order], v[a : a + 65536][order])
+            h = np.ones((len(y), DIM + 1))
+            h[:, :DIM] = self.r1[u[a : a + TOKENS][order]] + self.r2[v[a : a + TOKENS][order]]
             part = self._log_softmax_at(h, self.top, c).astype(np.float64)
             cuts = np.searchsorted(c, np.arange(len(self.groups) + 1))
             for k in np.unique(c):
@@ -317,17 +335,20 @@ def _encoded(rows: DataFrame, head: list[tuple[bytes, int]], outputs: int, total
 
 
 def _train(encoded: DataFrame, counts: np.ndarray, cls_of: np.ndarray) -> Params:
-    spark = encoded.sparkSession
+    spark, parts = encoded.sparkSession, shares(int(counts.sum()))
     p = Params.start(counts, cls_of, int(cls_of.max()) + 1)
     shape = {True: (len(counts), 2 * DIM + 1), False: (len(p.bc) + 2 * DIM, DIM + 1)}
     for turn in range(ROUNDS):
-        share = encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == turn)).select("ids")
-        # each task sends a change of every row it touched: no more tasks than run at once
-        share = share.coalesce(max(1, spark.sparkContext.defaultParallelism))
+        # dealt and ordered by the rows themselves, not by where they were read
+        key = F.xxhash64("doc_id", "ids")
+        share = encoded.where(~F.col("held_out") & (F.pmod(key, F.lit(ROUNDS)) == turn)).select("doc_id", "ids", key.alias("key"))
+        share = share.repartitionById(parts, F.pmod(F.floor(F.col("key") / ROUNDS), F.lit(parts)).cast("int")).sortWithinPartitions("key", "doc_id").select("ids")
         sent = spark.sparkContext.broadcast((p.words(), p.classes()))
 
         def run(batches, sent=sent, turn=turn):
-            own, n, held, size = Params.of(*sent.value), 0, [], 0
+            from pyspark import TaskContext
+
+            part, own, n, held, size = TaskContext.get().partitionId(), Params.of(*sent.value), 0, [], 0
 
             def train():
                 return train_share(own, np.concatenate(held).astype(np.int64), cls_of, counts, RATE / (1 + turn))
@@ -344,20 +365,21 @@ def _train(encoded: DataFrame, counts: np.ndarray, cls_of: np.ndarray) -> Params
                     d = new[a : a + BLOCK] - old[a : a + BLOCK]
                     at = np.flatnonzero(d.any(1)).astype("<i4")
                     # a block without a change is sent too: its tokens count
-                    yield pa.RecordBatch.from_pylist([{"word": word, "block": a, "at": at.tobytes(), "x": d[at].tobytes(), "n": float(n)}], schema=sends)
+                    yield pa.RecordBatch.from_pylist([{"word": word, "block": a, "part": part, "at": at.tobytes(), "x": d[at].tobytes(), "n": float(n)}], schema=sends)
 
         def merge(key, table):
             word, block = (k.as_py() for k in key)
             rows, cols = shape[word]
             x = np.zeros((min(BLOCK, rows - block), cols))
+            table = table.sort_by("part")
             for at, d, n in zip(*(table.column(c).to_pylist() for c in ("at", "x", "n")), strict=True):
                 x[np.frombuffer(at, "<i4")] += n * np.frombuffer(d, np.float32).reshape(-1, cols)
             x /= sum(table.column("n").to_pylist())
             return pa.Table.from_pylist([{"word": word, "block": block, "x": x.astype(np.float32).tobytes()}], schema=merged)
 
-        sends = pa.schema([("word", pa.bool_()), ("block", pa.int32()), ("at", pa.binary()), ("x", pa.binary()), ("n", pa.float64())])
+        sends = pa.schema([("word", pa.bool_()), ("block", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("x", pa.binary()), ("n", pa.float64())])
         merged = pa.schema([("word", pa.bool_()), ("block", pa.int32()), ("x", pa.binary())])
-        changes = share.mapInArrow(run, "word boolean, block int, at binary, x binary, n double")
+        changes = share.mapInArrow(run, "word boolean, block int, part int, at binary, x binary, n double")
         words, classes = p.words(), p.classes()
         for r in changes.groupBy("word", "block").applyInArrow(merge, "word boolean, block int, x binary").toLocalIterator():
             table = words if r.word else classes
@@ -401,7 +423,9 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     scored = encoded.select(*own, "ids").mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, rare_head double, n_rare long, lm double")
     tail = encoded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.k")
     c = F.coalesce("c", F.lit(0))
-    tails = tail.join(counts, "word", "left").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_known"), F.sum(F.col("k") * F.log10(c + 1)).alias("logs"), F.sum(F.col("k") * F.log10(c + addend)).alias("rares"))
+    # decimals add up to the same sum in any order
+    exact = lambda x: F.sum(x.cast("decimal(38,15)")).cast("double")
+    tails = tail.join(counts, "word", "left").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_known"), exact(F.col("k") * F.log10(c + 1)).alias("logs"), exact(F.col("k") * F.log10(c + addend)).alias("rares"))
     log_n, log_rare = float(np.log10(total + distinct + 1)), float(np.log10(rare + addend * (kinds + 1)))
     out = scored.join(tails, "row", "left")
     logs, rares, k = F.coalesce("logs", F.lit(0.0)), F.coalesce("rares", F.lit(0.0)), F.coalesce("k", F.lit(0))

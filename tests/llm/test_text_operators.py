@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -489,6 +490,25 @@ def test_lm_beats_counts_on_held_out_rows(spark, sf):
     assert s[0] > s[1]
 
 
+def test_lm_score_of_equal_texts(spark):
+    """Equal texts have equal scores, whatever stands beside them, however the table is dealt and read; long texts too."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    long = " ".join(r.text for r in docs.orderBy("doc_id").limit(150).collect())
+    rows = docs.unionByName(spark.createDataFrame([(10_000_003, long), (10_000_007, long), (10_000_009, long)], DOCS))
+    keep = "doc_id", "score", "base_score", "n_tokens"
+    one = lm.score_texts(rows.repartition(1)).select(*keep).collect()
+    many = lm.score_texts(rows.repartition(11, "text").sortWithinPartitions(F.desc("doc_id"))).select(*keep).collect()
+    assert sorted(one) == sorted(many)
+    by_text, text = {}, {r.doc_id: r.text for r in rows.collect()}
+    for r in one:
+        by_text.setdefault(text[r.doc_id], set()).add((r.score, r.base_score))
+    assert len(by_text) < len(text) and all(len(x) == 1 for x in by_text.values())
+
+
+def test_lm_shares():
+    assert lm.shares(0) == lm.shares(500_000) == 1 and 1 < lm.shares(10**8) < lm.shares(10**10) < 10**10 // 500_000
+
+
 def test_lm_addend_and_rare_share(spark):
     assert lm.best_addend({}) == 1.0 and lm.best_addend({1: 100}) >= 64 and lm.best_addend({1: 5, 2: 5, 90: 100}) <= 2
     # all words known to the model but rare: shares of rare words and of one unseen word sum to one
@@ -550,7 +570,7 @@ def test_queries_equal_sql(spark, sf, name):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want, got = c.execute(Q.oracle_sql()[name]).df(), Q.queries()[name](spark, sf).toPandas()
     names = sorted(want.columns)
-    rows = lambda d: sorted(str([None if x is None or x != x else x for x in r]) for r in d[names].astype(object).values.tolist())
+    rows = lambda d: sorted(str([None if pd.isna(x) else float(x) if type(x) in (int, float) else x for x in r]) for r in d[names].astype(object).values.tolist())
     assert names == sorted(got.columns) and rows(got) == rows(want)
 
 
