@@ -147,7 +147,7 @@ parts as (
         "nb_scores": f"{_ALL} select id, label, round(score, 4) as score from scores",
         "nb_top_k": f"{_ALL} select id, cast(rank as int) as rank, label, round(p, 6) as probability from ranked where rank <= 3",
         "nb_cover": f"{_ALL} select id, cast(rank as int) as rank, label, round(p, 6) as probability from ranked where round(before, 9) < 0.75",
-        "nb_argmax": f"{_ALL} select id, label from (select id, label, row_number() over (partition by id order by round(score, 6) desc, label) as k from scores) where k = 1",
+        "nb_argmax": f"{_ALL} select id, label from ranked where rank = 1",
         "predict_location": f"{_ALL}, {_LLA.format(points='centers')} select id, r.label, round(degrees(la), 6) as lat, round(degrees(lo), 6) as lon, round(r.p, 6) as probability from ranked r join lla l on l.label = r.label where rank = 1",
         "score_requests": _requests(),
         "stream_score": _requests(),

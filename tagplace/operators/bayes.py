@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scores import log_denom, log_prior, log_weight, posterior
-from ..sources.models import spread
+from ..sources.models import settled, spread
+from .lines import Lines
 from .terms import idf_transform
 
 #: Rows of theta and terms that are sent to every task (some 20 bytes each); larger models are joined on the tag.
-MAX_THETA = 2_000_000
+#: Classes (24 bytes each) that are sent with such a model; with more, every row is paired with every class.
+MAX_THETA, MAX_CLASSES = 2_000_000, 5_000_000
 DECIMALS = 6
 #: Scores that a task holds at a time.
 CELLS = 4_000_000
@@ -56,15 +58,21 @@ def nb_fit(features: DataFrame, labels: DataFrame, vocabulary: int, lam: float =
     return {"classes": classes, "theta": sums.where(F.col("sum_w") > -lam).withColumn("log_w", log_weight(F.col("sum_w"), lam))}
 
 
+def shared_scores(features: DataFrame, model: dict[str, DataFrame], lam: float = 1.0) -> DataFrame:
+    """(id, label, shared): what shared tags add, for classes that share any with a row."""
+    theta = model["theta"].select("tag", "label", "log_w")
+    return features.join(theta, "tag").groupBy("id", "label").agg(F.sum(F.col("w") * (F.col("log_w") - math.log(lam))).alias("shared"))
+
+
 def score_pairs(ids: DataFrame, features: DataFrame, model: dict[str, DataFrame], lam: float = 1.0) -> DataFrame:
-    """(id, label, score) of every row and class, by joins: for models too large to send to tasks."""
-    base = math.log(lam)
-    sparse = features.join(model["theta"].select("tag", "label", "log_w"), "tag").groupBy("id", "label").agg(F.sum(F.col("w") * (F.col("log_w") - base)).alias("shared"))
+    """(id, label, score) of every row and class, by joins; for the best classes see ``score_bags``."""
+    base, sparse = math.log(lam), shared_scores(features, model, lam)
     mass = features.groupBy("id").agg(F.sum("w").alias("mass"))
     # the classes, a number each, are paired with every row; theta never is
     every = model["classes"].agg(F.collect_list(F.struct("label", "pi", "log_denom")).alias("every"))
     pairs = ids.select("id").join(mass, "id", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
-    pairs = pairs.join(F.broadcast(every)).select("id", "mass", F.explode("every").alias("c")).select("id", "mass", "c.*")
+    few = model["classes"].count() <= MAX_CLASSES
+    pairs = pairs.join(F.broadcast(every) if few else every).select("id", "mass", F.explode("every").alias("c")).select("id", "mass", "c.*")
     score = F.col("pi") + F.col("mass") * (base - F.col("log_denom")) + F.coalesce("shared", F.lit(0.0))
     return pairs.join(sparse, ["id", "label"], "left").select("id", "label", score.alias("score"))
 
@@ -89,18 +97,24 @@ def top_k_classes(ranked: DataFrame, k: int | Column) -> DataFrame:
 
 
 def argmax_class(scored: DataFrame) -> DataFrame:
-    """(id, label): the highest score, the lowest label on ties; an aggregate, no window."""
-    best = F.max_by("label", F.struct(F.round("score", DECIMALS), -F.col("label")))
-    return scored.groupBy("id").agg(best.alias("label"))
+    """(id, label): the highest score, the lowest label of those that are as high by the rule of ``rank_classes``."""
+    top = scored.groupBy("id").agg(F.max("score").alias("top"))
+    near = scored.join(top, "id").where(F.round(F.col("score") - F.col("top"), DECIMALS) == 0)
+    return near.groupBy("id").agg(F.min("label").alias("label"))
 
 
 class Scorer:
-    """A model ready for scoring: arrays by tag, sent to the tasks, or tables to join if it is too large for that."""
+    """A model ready for scoring: arrays by tag, sent to the tasks; if it is too large for that, a table to join on the
+    tag and the classes' lines."""
 
     def __init__(self, terms: DataFrame, model: dict[str, DataFrame], lam: float = 1.0):
         self.terms, self.model, self.lam = terms.select("tag", "weight"), model, lam
         self.joined = model["theta"].count() + terms.count() > MAX_THETA
         self.arrays = None if self.joined else Arrays(self.terms, model, lam)
+        self.lines = None
+        if self.joined and model["classes"].count() <= MAX_CLASSES:
+            classes = model["classes"].select("label", "pi", "log_denom").toArrow()
+            self.lines = Lines(classes["label"].to_numpy().astype(np.int64), classes["pi"].to_numpy(), math.log(lam) - classes["log_denom"].to_numpy(), DECIMALS)
 
 
 class Arrays:
@@ -154,6 +168,8 @@ def score_bags(docs: DataFrame, scorer: Scorer, count: str | int | None = None,
     """
     column = F.col(count) if isinstance(count, str) else F.lit(count)
     rows = docs.select(F.col(key).alias("key"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), column.cast("int").alias("count"))
+    if scorer.lines:
+        return _by_lines(rows, scorer, cover, key)
     if scorer.joined:
         own = rows.select(F.col("key").alias("id"), "tags", "count")
         ranked = rank_classes(score_pairs(own, idf_transform(own, scorer.terms), scorer.model, scorer.lam)).join(own.select("id", "count"), "id")
@@ -174,6 +190,34 @@ def score_bags(docs: DataFrame, scorer: Scorer, count: str | int | None = None,
     return spread(rows).mapInArrow(run, schema)
 
 
+def _by_lines(rows: DataFrame, scorer: Scorer, cover: float, key: str) -> DataFrame:
+    """``score_bags`` of (key, tags, count) for a large model: a bag meets the classes that share a tag with it by a join,
+    and all others as lines."""
+    features = settled(idf_transform(rows.select(F.col("key").alias("id"), "tags"), scorer.terms), "features")
+    pairs = shared_scores(features, scorer.model, scorer.lam).groupBy("id").agg(F.collect_list(F.struct("label", "shared")).alias("own"))
+    mass = features.groupBy("id").agg(F.sum("w").alias("mass"))
+    bags = rows.select(F.col("key").alias("id"), "count").join(mass, "id", "left").join(pairs, "id", "left")
+    sent = rows.sparkSession.sparkContext.broadcast(scorer.lines)
+
+    def run(batches):
+        lines = sent.value
+        for b in batches:
+            own = b.column("own")
+            flat, ends = own.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))])
+            place, more = lines.labels.searchsorted(flat.field("label").to_numpy(zero_copy_only=False)), flat.field("shared").to_numpy(zero_copy_only=False)
+            made = []
+            for i, (mass, count) in enumerate(zip(b.column("mass").to_pylist(), b.column("count").to_pylist(), strict=True)):
+                p, m = place[ends[i] : ends[i + 1]], more[ends[i] : ends[i + 1]]
+                by = np.argsort(p, kind="stable")
+                made.append(lines.ranked(mass or 0.0, p[by], m[by], count, cover))
+            ids = b.column("id").take(pa.array(np.repeat(np.arange(len(made)), [len(x[0]) for x in made])))
+            label, p, score, rank, before = (np.concatenate(x) if made else np.zeros(0) for x in zip(*made, strict=True)) if made else [np.zeros(0)] * 5
+            yield pa.RecordBatch.from_arrays([ids, pa.array(label.astype(np.int32)), pa.array(p), pa.array(score), pa.array(rank.astype(np.int32)), pa.array(before)], names=[key, "label", "probability", "score", "rank", "before"])
+
+    schema = T.StructType([T.StructField(key, rows.schema["key"].dataType)] + T.StructType.fromDDL("label int, probability double, score double, rank int, before double").fields)
+    return bags.mapInArrow(run, schema)
+
+
 def nb_predict_all(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """Every class of each row of (id, tags), ranked."""
     return score_bags(docs, scorer, 2**31 - 1)

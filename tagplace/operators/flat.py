@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import strip_braces_split
 from ..functions.scores import normalise
 from ..sources.models import numbered
+from .bayes import MAX_CLASSES
 
 SMOOTHING = 0.001
 
@@ -65,8 +66,9 @@ def classify_counts(classes: DataFrame, counts: DataFrame, requests: DataFrame,
     asked = requests.where(F.size("tags") > 0)
     shared = asked.select("id", F.explode("tags").alias("tag")).join(counts, "tag").groupBy("id", "class_no").agg(F.count("*").alias("hits"), F.sum(F.log(F.col("n") + k)).alias("logs"))
     every = classes.agg(F.collect_list(F.struct(F.col("class_no").cast("long").alias("class_no"), "class", "lat", "lon", F.coalesce("prior", F.lit(0.0)).alias("prior"), "size")).alias("every"))
-    # the classes are few: they travel as one array
-    pairs = asked.select("id", F.size("tags").alias("asked")).join(F.broadcast(every)).select("id", "asked", F.explode("every").alias("c")).select("id", "asked", "c.*")
+    # classes travel as one array, to every task if they are few
+    few = classes.count() <= MAX_CLASSES
+    pairs = asked.select("id", F.size("tags").alias("asked")).join(F.broadcast(every) if few else every).select("id", "asked", F.explode("every").alias("c")).select("id", "asked", "c.*")
     both = pairs.join(shared, ["id", "class_no"], "left")
     misses = F.col("asked") - F.coalesce("hits", F.lit(0))
     known = (F.col("prior") > 0) & (F.col("size") + k > 0) & ((misses == 0) | F.lit(k > 0))

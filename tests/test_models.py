@@ -82,6 +82,51 @@ def test_a_large_model_is_joined_and_gives_equal_rows(spark, sf, monkeypatch):
     assert bayes.top_k_classes(bayes.rank_classes(bayes.score_pairs(f.docs, f.features, f.model)), 1).select("id", "label").exceptAll(bayes.nb_predict(f.docs, large)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "flat", "few"])
+def test_lines_equal_all_scores(kind):
+    from tagplace.operators.lines import Lines
+
+    rng = np.random.default_rng(5)
+    k = 60 if kind == "few" else 4000
+    labels = rng.permutation(10 * k)[:k]
+    a = {"spread": rng.normal(0, 2, k), "ties": rng.integers(0, 3, k) * 1.0, "flat": np.zeros(k), "few": rng.normal(0, 2, k)}[kind]
+    b = {"spread": -rng.gamma(2, 1, k) - 5, "ties": -rng.integers(5, 7, k) * 1.0, "flat": np.full(k, -3.0), "few": -rng.gamma(2, 1, k)}[kind]
+    lines, short = Lines(labels, a, b, 6), 0
+    for i in range(300):
+        mass, n = float(rng.gamma(1.5, 20)) * (i % 10 > 0), int(rng.choice([0, 1, 5, 300]))
+        own = np.sort(rng.choice(k, min(n, k // 2), replace=False))
+        more = rng.normal(0, 3, len(own)) + rng.choice([0, -40, 20])
+        count = [None, 1, 4, 16, 100, 10**9][i % 6]
+        got, want = (f(mass, own, more, count, 0.75) for f in (lines.ranked, lines.looked_at))
+        assert got[0].tolist() == want[0].tolist() and got[3].tolist() == want[3].tolist()
+        for g, w in ((got[1], want[1]), (got[2], want[2]), (got[4], want[4])):
+            assert np.allclose(g, w, rtol=1e-9, atol=1e-12)
+    assert set(lines.labels) == set(labels)
+
+
+def test_many_classes_meet_bags_as_lines(spark, monkeypatch):
+    """Without a pair for every bag and class, the rows are those of the model sent as arrays."""
+    rng = np.random.default_rng(2)
+    k = 3000
+    classes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.normal(-8, 1, k), 5 + rng.gamma(2, 0.5, k)))], "label int, pi double, log_denom double")
+    theta = spark.createDataFrame([(int(c), f"t{t}", float(w)) for t in range(200) for c, w in zip(rng.choice(k, 30, replace=False), rng.gamma(1, 2, 30))], "label int, tag string, log_w double")
+    known = spark.createDataFrame([(f"t{t}", float(w)) for t, w in enumerate(rng.gamma(2, 1, 200) - 0.4)], "tag string, weight double")
+    bags = [(i, [f"t{t}" for t in rng.integers(0, 230, rng.integers(0, 12))] or None, [None, 1, 4, 16][i % 4]) for i in range(400)]
+    docs = spark.createDataFrame(bags, "id long, tags array<string>, cnt int")
+    rows = lambda s: sorted((r.id, r["rank"], r.label, round(r.probability, 9), round(r.before, 9), round(r.score, 6)) for r in bayes.score_bags(docs, s, "cnt").collect())
+    model = {"classes": classes, "theta": theta}
+    small = rows(bayes.Scorer(known, model))
+    monkeypatch.setattr(bayes, "MAX_THETA", 0)
+    large = bayes.Scorer(known, model)
+    assert large.lines and rows(large) == small
+    plan = bayes.score_bags(docs, large, "cnt")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    monkeypatch.setattr(bayes, "MAX_CLASSES", 0)
+    paired = bayes.Scorer(known, model)
+    near = lambda x: sorted((r[0], r[1], r[2]) for r in x)
+    assert not paired.lines and near(rows(paired)) == near(small)
+
+
 def test_a_class_of_negative_weights_has_scores(spark):
     f = spark.createDataFrame([(0, "a", -5.0), (1, "b", 1.0)], "id long, tag string, w double")
     labels = spark.createDataFrame([(0, 0), (1, 1)], "id long, label int")
