@@ -153,7 +153,7 @@ parts as (
         "stream_score": _requests(),
         "hit_rates": f"{_ALL}, levels(level) as (values (1), (4), (16)) select level, round(avg(case when rank <= level then 1.0 else 0.0 end), 6) as rate from levels cross join (select l.id, r.rank from labels l left join ranked r on r.id = l.id and r.label = l.label) group by level",
         "fold_sizes": f"with {_DOCS} select cast(('0x' || substr(md5('42:' || id), 1, 8))::bigint % 5 as int) as fold, count(*) as n from docs group by fold",
-        "cross_validate": _cross(3),
+        "cross_validate": _cross(5),
         "class_frequency": f"with {_FLAT} select class_no, round(prior, 9) as prior, size as n_tags from flat_classes",
         "class_tag_counts": f"with {_FLAT} select class_no, tag, n from flat_counts",
         "flat_mle": _flat("select distinct item_id as id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) as tag from benchmark", "0"),

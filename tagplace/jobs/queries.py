@@ -222,11 +222,11 @@ def fold_sizes(spark, sf_dir):
 def cross_validate(spark, sf_dir):
     docs = fx.media_docs(spark, sf_dir)
     centers = models.settled(fixed_centers(docs), "centers")
-    return train.cross_validate(docs, folds=3, centers=centers).select("level", _r(F.col("rate")).alias("rate"))
+    return train.cross_validate(docs, centers=centers).select("level", _r(F.col("rate")).alias("rate"))
 
 
 def cross_validate_clusters(spark, sf_dir):
-    return train.cross_validate(fx.media_docs(spark, sf_dir), folds=2, per_class=50, max_iter=5)
+    return train.cross_validate(fx.media_docs(spark, sf_dir), per_class=100)
 
 
 # --- flat classes -------------------------------------------------------------------------------------------

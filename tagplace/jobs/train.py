@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.bayes import Scorer, nb_fit
+from ..functions.scores import idf, log_prior
+from ..operators.bayes import Scorer, class_denom, class_theta, nb_fit, score_bags
 from ..operators.cells import cells_of
 from ..operators.cluster import assign_cells, cell_centers, kmeans_fit, num_classes, points_of
-from ..operators.predict import LEVELS, validate
+from ..operators.predict import LEVELS, hit_rates
 from ..operators.terms import idf_fit, idf_transform
-from ..sources.models import Draft
+from ..sources.models import Draft, settled
 
 
 def train(media: DataFrame, path: str, per_class: int = 1000, load_existing: bool = True, seed: int = 42, max_iter: int = 50, polygons: bool = True) -> dict[str, DataFrame]:
@@ -51,24 +50,61 @@ def fold_average(rates: DataFrame) -> DataFrame:
     return rates.groupBy("level").agg(F.avg("rate").alias("rate"))
 
 
-def fold_rates(media: DataFrame, folds: int = 5, per_class: int = 1000, seed: int = 42, levels: tuple[int, ...] = LEVELS, leaky: bool = False, centers: DataFrame | None = None, max_iter: int = 50) -> Iterator[tuple[int, DataFrame]]:
-    """(fold, rates) of each fold; ``leaky`` fits on all rows, ``centers`` are used instead of clustering."""
-    rows = assign_folds(media, folds, seed).persist()
-    try:
-        size = rows.count()
+def fold_models(rows: DataFrame, labels: DataFrame, folds: int, leaky: bool = False, min_occurrences: int = 5, lam: float = 1.0) -> dict[str, DataFrame]:
+    """terms, classes and theta of all folds' models, with the fold as a column ``model``.
+
+    Tags are counted once by (label, tag, fold); what the model of a fold is fitted on is the total less the fold's own
+    (``leaky``: the total). ``rows`` are (id, tags, fold), ``labels`` (id, label), or (model, id, label) where every
+    fold has clusters of its own.
+    """
+    occurrences = rows.select("id", "fold", F.explode("tags").alias("tag"))
+    own = F.array(*[F.sum((F.col("fold") == k).cast("long")) for k in range(folds)])
+
+    def counted(table: DataFrame, *by: str) -> DataFrame:
+        """(model, *by, n) of what each model is fitted on."""
+        if "model" in table.columns:
+            fitted = table if leaky else table.where("model <> fold")
+            return fitted.groupBy("model", *by).agg(F.count("*").alias("n"))
+        less = lambda x: F.col("n") - (F.lit(0) if leaky else x)
+        n = table.groupBy(*by).agg(F.count("*").alias("n"), own.alias("own"))
+        return n.select(*by, F.posexplode(F.transform("own", less)).alias("model", "n")).where("n > 0").select("model", *by, "n")
+
+    counts = settled(counted(occurrences.join(labels, "id"), "label", "tag"), "counts")
+    sizes = settled(counted(rows.select("id", "fold").join(labels, "id"), "label"), "sizes")
+    # a row for each fold
+    totals = sizes.groupBy("model").agg(F.sum("n").alias("rows"), F.count("*").alias("labels"))
+    tags = counts.groupBy("model", "tag").agg(F.sum("n").alias("n")).where(F.col("n") > min_occurrences)
+    terms = settled(tags.join(F.broadcast(totals), "model").select("model", "tag", idf(F.col("rows"), F.col("n")).alias("weight")), "terms")
+    sums = settled(counts.join(terms, ["model", "tag"]).select("model", "label", "tag", (F.col("n") * F.col("weight")).alias("sum_w")), "sums")
+    weights = sums.groupBy("model", "label").agg(F.sum("sum_w").alias("sum_w"))
+    totals = totals.join(terms.groupBy("model").agg(F.count("*").alias("known")), "model", "left").fillna(0, ["known"])
+    classes = sizes.join(weights, ["model", "label"], "left").join(F.broadcast(totals), "model").withColumn("sum_w", F.coalesce("sum_w", F.lit(0.0)))
+    classes = settled(classes.select("model", "label", "n", "sum_w", log_prior(F.col("n"), F.col("rows"), F.col("labels"), lam).alias("pi"), class_denom(F.col("sum_w"), F.col("known"), lam).alias("log_denom")), "classes")
+    return {"terms": terms, "classes": classes, "theta": settled(class_theta(sums, lam), "theta")}
+
+
+def fold_rates(media: DataFrame, folds: int = 5, per_class: int = 1000, seed: int = 42, levels: tuple[int, ...] = LEVELS, leaky: bool = False, centers: DataFrame | None = None, max_iter: int = 50) -> DataFrame:
+    """(fold, level, rate); ``leaky`` fits on all rows, ``centers`` are used instead of clustering each fold's rows."""
+    rows = settled(assign_folds(media, folds, seed), "folds")
+    if centers is not None:
+        labels = settled(assign_cells(rows, centers), "labels")
+    else:
+        k, labels = num_classes(rows.count() * (folds - 1), folds * per_class), None
         for fold in range(folds):
-            training, test = train_test_split(rows, fold)
-            training = rows if leaky else training
-            own = centers if centers is not None else kmeans_fit(points_of(training), num_classes(size * (folds - 1), folds * per_class), max_iter=max_iter, seed=seed)
-            terms = idf_fit(training).persist()
-            model = nb_fit(idf_transform(training, terms), assign_cells(training, own), terms.count())
-            yield fold, validate(test, assign_cells(test, own), Scorer(terms, model), levels)
-            terms.unpersist()
-    finally:
-        rows.unpersist()
+            fitted = rows if leaky else train_test_split(rows, fold)[0]
+            own = assign_cells(rows, kmeans_fit(points_of(fitted), k, max_iter=max_iter, seed=seed)).select(F.lit(fold).alias("model"), "id", "label")
+            labels = own if labels is None else labels.unionByName(own)
+        labels = settled(labels, "labels")
+    made, ranked = fold_models(rows, labels, folds, leaky), None
+    for fold in range(folds):
+        own = {k: v.where(F.col("model") == fold).drop("model") for k, v in made.items()}
+        scored = score_bags(train_test_split(rows, fold)[1], Scorer(own["terms"], own), max(levels)).select("id", "label", "rank")
+        ranked = scored if ranked is None else ranked.unionByName(scored)
+    truth = rows.select("id", "fold").join(labels, "id")
+    truth = truth.where("model = fold") if "model" in labels.columns else truth
+    return hit_rates(truth, ranked, levels, by=("fold",))
 
 
 def cross_validate(media: DataFrame, folds: int = 5, per_class: int = 1000, seed: int = 42, levels: tuple[int, ...] = LEVELS, leaky: bool = False, centers: DataFrame | None = None, max_iter: int = 50) -> DataFrame:
-    """(level, rate): mean hit rates over folds; a few rows a fold reach the driver."""
-    got = [(fold, r["level"], r["rate"]) for fold, rates in fold_rates(media, folds, per_class, seed, levels, leaky, centers, max_iter) for r in rates.collect()]
-    return fold_average(media.sparkSession.createDataFrame(got, "fold int, level int, rate double"))
+    """(level, rate): mean hit rates over folds."""
+    return fold_average(fold_rates(media, folds, per_class, seed, levels, leaky, centers, max_iter))

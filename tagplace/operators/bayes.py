@@ -43,6 +43,16 @@ def class_totals(features: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     return labels.groupBy("label").agg(F.count("*").alias("n")), sums
 
 
+def class_denom(sum_w: Column, vocabulary: Column, lam: float) -> Column:
+    """A class's denominator; weights that leave none count as no weights."""
+    return log_denom(F.when(sum_w > -lam * vocabulary, sum_w).otherwise(F.lit(0.0)), vocabulary, lam)
+
+
+def class_theta(sums: DataFrame, lam: float) -> DataFrame:
+    """``sums`` (.., sum_w) with log_w, without tags that have no logarithm."""
+    return sums.where(F.col("sum_w") > -lam).withColumn("log_w", log_weight(F.col("sum_w"), lam))
+
+
 def nb_fit(features: DataFrame, labels: DataFrame, vocabulary: int, lam: float = 1.0) -> dict[str, DataFrame]:
     """classes (label, n, sum_w, pi, log_denom) and theta (label, tag, sum_w, log_w).
 
@@ -54,8 +64,8 @@ def nb_fit(features: DataFrame, labels: DataFrame, vocabulary: int, lam: float =
     total = rows.agg(F.sum("n").alias("rows"), F.count("*").alias("classes")).first()
     n, k = total["rows"] or 0, total["classes"]
     classes = rows.join(weights, "label", "left").withColumn("sum_w", F.coalesce("sum_w", F.lit(0.0)))
-    classes = classes.select("label", "n", "sum_w", log_prior(F.col("n"), F.lit(n), F.lit(k), lam).alias("pi"), log_denom(F.when(F.col("sum_w") > -lam * vocabulary, F.col("sum_w")).otherwise(F.lit(0.0)), F.lit(vocabulary), lam).alias("log_denom"))
-    return {"classes": classes, "theta": sums.where(F.col("sum_w") > -lam).withColumn("log_w", log_weight(F.col("sum_w"), lam))}
+    classes = classes.select("label", "n", "sum_w", log_prior(F.col("n"), F.lit(n), F.lit(k), lam).alias("pi"), class_denom(F.col("sum_w"), F.lit(vocabulary), lam).alias("log_denom"))
+    return {"classes": classes, "theta": class_theta(sums, lam)}
 
 
 def shared_scores(features: DataFrame, model: dict[str, DataFrame], lam: float = 1.0) -> DataFrame:

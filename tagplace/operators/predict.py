@@ -43,11 +43,12 @@ def score_requests(requests: DataFrame, scorer: Scorer, cover: float = 0.75) ->
     return asked.select("request_id", "bag").join(ranked, "bag").drop("bag")
 
 
-def hit_rates(truth: DataFrame, ranked: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """(level, rate): share of rows (id, label) whose class is among the first ``level`` of ``ranked``."""
+def hit_rates(truth: DataFrame, ranked: DataFrame, levels: tuple[int, ...] = LEVELS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, level, rate): share of rows (id, label) whose class is among the first ``level`` of ``ranked``, by columns
+    of ``truth``."""
     at = truth.join(ranked.select("id", "label", "rank"), ["id", "label"], "left")
-    rates = at.agg(*[F.avg(F.coalesce(F.col("rank") <= n, F.lit(False)).cast("double")).alias(str(n)) for n in levels])
-    return rates.select(F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(str(n)).alias("rate")) for n in levels])).alias("r")).select("r.*")
+    rates = at.groupBy(*by).agg(*[F.avg(F.coalesce(F.col("rank") <= n, F.lit(False)).cast("double")).alias(str(n)) for n in levels])
+    return rates.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(str(n)).alias("rate")) for n in levels])).alias("r")).select(*by, "r.*")
 
 
 def validate(docs: DataFrame, truth: DataFrame, scorer: Scorer, levels: tuple[int, ...] = LEVELS) -> DataFrame:

@@ -383,6 +383,24 @@ def test_train_and_save(spark, sf, tmp_path):
     assert text.count("<Placemark>") == 5
 
 
+@pytest.mark.parametrize("leaky", [False, True])
+def test_folds_in_one_pass_equal_a_fit_for_each(spark, sf, leaky):
+    from tagplace.jobs import fixtures, queries, train
+
+    docs = models.settled(fixtures.media_docs(spark, sf), "docs")
+    centers = models.settled(queries.fixed_centers(docs), "centers")
+    got = {(r.fold, r.level): r.rate for r in train.fold_rates(docs, 3, centers=centers, leaky=leaky).collect()}
+    rows = train.assign_folds(docs, 3)
+    for fold in range(3):
+        training, test = train.train_test_split(rows, fold)
+        training = rows if leaky else training
+        known = models.settled(terms.idf_fit(training), "terms")
+        model = bayes.nb_fit(terms.idf_transform(training, known), cluster.assign_cells(training, centers), known.count())
+        for r in predict.validate(test, cluster.assign_cells(test, centers), bayes.Scorer(known, model)).collect():
+            assert math.isclose(got[fold, r.level], r.rate)
+    assert len(got) == 9
+
+
 def test_folds(spark, sf):
     from tagplace.jobs import fixtures, train
 
