@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.geo import ecef_to_lla, lla_to_ecef
 from ..sources.models import settled, spread
+from .regions import nearest_by_regions
 
 #: Centres that are sent to every task (24 bytes each); candidates that the driver reduces by itself.
 MAX_CENTERS, MAX_LOCAL = 5_000_000, 20_000
@@ -118,6 +119,10 @@ def nearest(points: DataFrame, labels: np.ndarray, xyz: np.ndarray) -> DataFrame
 
 
 def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:
+    """``points`` with label and d2 of the nearest centre. Up to ``MAX_CENTERS`` centres are sent to the tasks; more are a
+    table that is dealt to regions, and so are the points."""
+    if centers.limit(MAX_CENTERS + 1).count() > MAX_CENTERS:
+        return nearest_by_regions(points, centers)
     return nearest(points, *centers_array(centers))
 
 

@@ -401,6 +401,36 @@ def test_folds_in_one_pass_equal_a_fit_for_each(spark, sf, leaky):
     assert len(got) == 9
 
 
+@pytest.mark.parametrize(("region", "per_task"), [(5, 40), (60, 10_000), (10**6, 10**6)])
+def test_nearest_by_regions_brute_force(spark, region, per_task):
+    """Centres as a table: exact at the borders of regions, on ties, far from all centres, and with a crowded place."""
+    from tagplace.operators.regions import nearest_by_regions
+
+    rng = np.random.default_rng(3)
+    c = np.concatenate([rng.normal(0, 1, (200, 3)), rng.normal(5, 0.01, (80, 3)), np.zeros((3, 3)), rng.integers(-2, 3, (60, 3)).astype(float)])
+    p = np.concatenate([rng.normal(0, 1.5, (300, 3)), rng.integers(-4, 5, (100, 3)) / 2, rng.normal(0, 60, (20, 3)), np.repeat([[5.0, 5.0, 5.0]], 300, axis=0), c[:20]])
+    labels = rng.permutation(len(c)) + 7
+    centers = spark.createDataFrame([(int(i), *map(float, x)) for i, x in zip(labels, c, strict=True)], "label int, x double, y double, z double")
+    points = spark.createDataFrame([(i, *map(float, x), "k") for i, x in enumerate(p)], "id long, x double, y double, z double, kept string").repartition(3)
+    got = nearest_by_regions(points, centers, region, per_task)
+    assert got.columns == ["id", "x", "y", "z", "kept", "label", "d2"]
+    d = sum((p[:, k, None] - c[None, :, k]) ** 2 for k in range(3))
+    want = sorted((i, int(labels[row == row.min()].min()), float(row.min())) for i, row in enumerate(d))
+    rows = sorted((r.id, r.label, r.d2) for r in got.collect())
+    assert [r[:2] for r in rows] == [w[:2] for w in want] and np.allclose([r[2] for r in rows], [w[2] for w in want])
+    assert nearest_by_regions(points.limit(0), centers, region, per_task).count() == 0
+
+
+def test_many_centers_take_regions(spark, sf, monkeypatch):
+    from tagplace.jobs import fixtures, queries
+
+    docs = fixtures.media_docs(spark, sf)
+    centers = models.settled(queries.fixed_centers(docs), "centers")
+    few = sorted(map(tuple, cluster.assign_cells(docs, centers).collect()))
+    monkeypatch.setattr(cluster, "MAX_CENTERS", 3)
+    assert sorted(map(tuple, cluster.assign_cells(docs, centers).collect())) == few
+
+
 def test_folds(spark, sf):
     from tagplace.jobs import fixtures, train
 
