@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes per Arrow batch: small, so that a batch of very long texts stays within a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +106,13 @@ class Scratch:
         self.paths[:] = rest
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker waits for its next task with what it holds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, dict]]], new: str) -> DataFrame:
     """Append columns made by ``fn`` from Arrow batches; all other columns pass through untouched.
 
@@ -121,6 +130,7 @@ def with_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     def run(batches):
         for batch, more in fn(batches):
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in keep] + [more[x] for x in names], names=keep + names)
+        trim()
 
     return df.mapInArrow(run, schema)
 

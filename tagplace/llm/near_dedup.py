@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, small_batches, with_arrow, written
+from .common import removed, small_batches, trim, with_arrow, written
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 BANDS, SALTS = BINS // ROWS, 16
@@ -276,7 +276,14 @@ def _linked(members: DataFrame, active: DataFrame, bodies: DataFrame, percent: i
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
     dealt = pairs.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "band", "node", "n", "comp")
     dealt = dealt.join(active.select("node", "sig"), "node").join(bodies, "node")
-    more = written(dealt.groupBy("key", "x", "y").applyInArrow(lambda t: _settle(t, percent), "a long, b long"), "more")
+
+    def settled(rows):
+        found = _settle(rows, percent)
+        del rows
+        trim()
+        return found
+
+    more = written(dealt.groupBy("key", "x", "y").applyInArrow(settled, "a long, b long"), "more")
     removed(named, open_)
     if more.limit(1).count():
         removed(labels)
