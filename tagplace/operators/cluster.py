@@ -2,7 +2,7 @@
 
 Centres are few (rows / 1000) and live on the driver between rounds; points never do. All choices at random come
 from hashes of (seed, round, id), so they don't depend on partitions. Up to ``MAX_LOCAL`` candidates of the start are
-reduced on the driver; more are reduced in tasks first, by regions.
+reduced on the driver; of more, each region's centres are picked in a task.
 """
 
 from __future__ import annotations
@@ -13,13 +13,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import ecef_to_lla, lla_to_ecef
-from ..sources.models import settled, spread
-from .regions import nearest_by_regions
+from ..sources.models import numbered, settled, spread
+from .regions import nearest_by_regions, with_region
 
 #: Centres that are sent to every task (24 bytes each); candidates that the driver reduces by itself.
 MAX_CENTERS, MAX_LOCAL = 5_000_000, 20_000
@@ -208,40 +207,71 @@ def weighted_kmeanspp(xyz: np.ndarray, weight: np.ndarray, k: int, seed: int, ro
     return centers
 
 
-def reduce_candidates(weighted: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k centres of candidates (label, x, y, z, weight).
-
-    More than ``MAX_LOCAL`` are dealt to regions by their coarse coordinates, and each region's task picks as many of its
-    own as its share of the points earns, twice over; what is left is picked from on the driver (2 k, bounded by k).
+def apportioned(k: int, demand: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """k seats: one each, the others by demand, at most ``room`` each; largest remainders first. There must be k places,
+    and no more regions than seats."""
+    seats = np.minimum(1, room)
+    while (left := k - seats.sum()) > 0:
+        open_ = seats < room
+        d = np.where(open_, np.maximum(demand, 1e-300), 0)
+        want = left * d / d.sum()
+        more = np.floor(want).astype(np.int64)
+        spare = left - more.sum()
+        more[np.argsort(-(want - more) * open_ - open_ * 1e-12, kind="stable")[:spare]] += 1
+        seats = np.minimum(seats + more, room)
+    return seats
+
+
+def reduce_candidates(weighted: DataFrame, k: int, seed: int) -> DataFrame:
+    """(label, x, y, z): k centres of candidates (label, x, y, z, weight).
+
+    More than ``MAX_LOCAL`` are dealt to regions of about ``MAX_LOCAL`` / 4 (cut from a bounded sample). Each region
+    tells by a first pick what its candidates cost with its share of the weight; on a surface the cost of m centres
+    falls as 1 / m, so the total is least with seats as the root of m times cost (one at least). Then each region picks as many as it
+    has seats, in a task of its own: the work grows with k, no step with its square, and the driver deals the seats.
     """
     n = weighted.count()
-    if n > MAX_LOCAL:
-        total = weighted.agg(F.sum("weight")).first()[0]
-        middle = weighted.agg(*[F.percentile_approx(c, [i / 8 for i in range(1, 8)]).alias(c) for c in "xyz"]).first()
-        region = [sum((F.when(F.col(c) > v, 1).otherwise(0) for v in middle[c]), F.lit(0)).alias(f"r{c}") for c in "xyz"]
-
-        def pick(frame):
-            xyz, w = frame[["x", "y", "z"]].to_numpy(np.float64), frame["weight"].to_numpy(np.float64)
-            own = min(len(xyz), max(1, math.ceil(2 * k * w.sum() / total)))
-            made = weighted_kmeanspp(xyz, np.maximum(w, 1e-9), own, seed)
-            label = Near(np.arange(own), made).find(xyz)[0]
-            out = pd.DataFrame(made, columns=["x", "y", "z"])
-            return out.assign(label=range(own), weight=np.bincount(label, w, own).round().astype(np.int64))
-
-        weighted = weighted.select("*", *region).groupBy("rx", "ry", "rz").applyInPandas(pick, "x double, y double, z double, label int, weight long")
-    got = weighted.toPandas().sort_values(["x", "y", "z"])
-    return weighted_kmeanspp(got[["x", "y", "z"]].to_numpy(np.float64), got["weight"].to_numpy(), k, seed)
-
-
-def kmeans_init(points: DataFrame, k: int, init_steps: int = 5, seed: int = 42) -> np.ndarray:
-    """k-means||: one point, ``init_steps`` rounds of oversampling, then k of the weighted candidates."""
+    if n <= MAX_LOCAL:
+        got = weighted.toPandas().sort_values(["x", "y", "z"])
+        return centers_frame(weighted.sparkSession, weighted_kmeanspp(got[["x", "y", "z"]].to_numpy(np.float64), got["weight"].to_numpy(), k, seed))
+    total = float(weighted.agg(F.sum("weight")).first()[0])
+    if n < k:
+        raise ValueError(f"{n} candidates are too few for {k} centres")
+    # few regions for the seats, since a region's first seat is not by demand
+    region = max(MAX_LOCAL // 4, math.ceil(16 * n / k))
+    dealt = settled(with_region(weighted, "label long, x double, y double, z double, weight long", n, region), "dealt")
+
+    def own(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        frame = frame.sort_values(["x", "y", "z"])
+        return frame[["x", "y", "z"]].to_numpy(np.float64), np.maximum(frame["weight"].to_numpy(np.float64), 1e-9)
+
+    def demand(key, frame):
+        xyz, w = own(frame)
+        m = min(len(xyz), max(1, math.ceil(k * w.sum() / total)))
+        d2 = Near(np.arange(m), weighted_kmeanspp(xyz, w, m, seed, rounds=3)).find(xyz)[1]
+        return pd.DataFrame({"_region": [key[0]], "n": [len(xyz)], "demand": [math.sqrt(m * float((w * d2).sum()))]})
+
+    told = dealt.groupBy("_region").applyInPandas(demand, "_region int, n long, demand double").toPandas().sort_values("_region")  # a row a region
+    seats = dict(zip(told["_region"].tolist(), apportioned(k, told["demand"].to_numpy(), told["n"].to_numpy()).tolist(), strict=True))
+
+    def pick(key, frame):
+        xyz, w = own(frame)
+        made = weighted_kmeanspp(xyz, w, seats[key[0]], seed) if seats[key[0]] else xyz[:0]
+        return pd.DataFrame(made, columns=["x", "y", "z"])
+
+    made = settled(dealt.groupBy("_region").applyInPandas(pick, "x double, y double, z double"), "picked")
+    return numbered(made.orderBy("x", "y", "z"), "label").select(F.col("label").cast("int").alias("label"), "x", "y", "z")
+
+
+def kmeans_init(points: DataFrame, k: int, init_steps: int = 5, seed: int = 42) -> DataFrame:
+    """k-means||: one point, ``init_steps`` rounds of oversampling, then k of the weighted candidates. Centres (label, x, y, z)."""
     spark = points.sparkSession
     found = settled(sample_one(points, seed).select("x", "y", "z"), "candidates")
     if not found.limit(1).count():
         raise ValueError("no points")
-    labelled = lambda f: f.withColumn("label", F.row_number().over(W.orderBy("x", "y", "z")).cast("int") - 1)
     for turn in range(1, init_steps + 1):
-        costed = settled(nearest_center(points, labelled(found)), "costed")
+        # distances alone count here, so any label will do
+        costed = settled(nearest_center(points, found.withColumn("label", F.hash("x", "y", "z"))), "costed")
         total = costed.agg(F.sum("d2")).first()[0] or 0.0
         if total == 0:
             break
@@ -254,7 +284,8 @@ def kmeans_init(points: DataFrame, k: int, init_steps: int = 5, seed: int = 42)
         found = settled(union_candidates([found, spare.orderBy("h", "x", "y", "z").limit(k - n).select("x", "y", "z")]), "candidates")
         if found.count() < k:
             raise ValueError(f"{found.count()} distinct points are too few for {k} centres")
-    return reduce_candidates(settled(candidate_weights(points, labelled(found)), "weights"), k, seed)
+    labelled = numbered(found.orderBy("x", "y", "z"), "label").withColumn("label", F.col("label").cast("int"))
+    return reduce_candidates(settled(candidate_weights(points, labelled), "weights"), k, seed)
 
 
 def kmeans_fit(points: DataFrame, k: int, max_iter: int = 50, eps: float = 1e-4, init_steps: int = 5, seed: int = 42) -> DataFrame:
@@ -264,8 +295,7 @@ def kmeans_fit(points: DataFrame, k: int, max_iter: int = 50, eps: float = 1e-4,
     """
     spark = points.sparkSession
     points = settled(spread(points.select("id", "x", "y", "z")), "points")
-    xyz = kmeans_init(points, k, init_steps, seed)
-    labels = np.arange(k, dtype=np.int32)
+    labels, xyz = centers_array(kmeans_init(points, k, init_steps, seed))
     for _ in range(max_iter):
         means = nearest(points, labels, xyz).groupBy("label").agg(*[F.avg(c).alias(c) for c in "xyz"]).toPandas()  # k rows
         new = xyz.copy()

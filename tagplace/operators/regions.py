@@ -54,6 +54,25 @@ def _box_squares(xyz: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
     return d
 
 
+def _cuts(rows: DataFrame, n: int, region: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts of ``n`` rows (label, x, y, z) into regions of about ``region`` rows, from a bounded sample."""
+    sample = rows.select("label", *XYZ).orderBy(F.xxhash64("label"), "label").limit(SAMPLE).select(*XYZ).toArrow()
+    return cuts_of(_coordinates(sample), max(0, int(np.ceil(np.log2(n / region)))))
+
+
+def with_region(rows: DataFrame, schema: str, n: int, region: int) -> DataFrame:
+    """``n`` rows of ``schema`` (label, x, y, z, ...) with the number of their region, of about ``region`` rows each."""
+    side, value = _cuts(rows, n, region)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def dealt(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(region_of(_coordinates(b), side, value).astype(np.int32))], names=[*b.schema.names, "_region"])
+
+    typed = rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")]).toDF(*names)
+    return typed.mapInArrow(dealt, f"{schema}, _region int")
+
+
 def nearest_by_regions(points: DataFrame, centers: DataFrame, region: int = REGION, per_task: int = POINTS) -> DataFrame:
     """``points`` with label and d2 of the nearest centre; of equally near ones the lowest label."""
     from .cluster import Near
@@ -62,14 +81,7 @@ def nearest_by_regions(points: DataFrame, centers: DataFrame, region: int = REGI
     n = centers.count()
     if not n:
         raise ValueError("no centres")
-    sample = centers.select(*XYZ).orderBy(F.xxhash64("label")).limit(SAMPLE).toArrow()
-    side, value = cuts_of(_coordinates(sample), max(0, int(np.ceil(np.log2(n / region)))))
-
-    def dealt(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(region_of(_coordinates(b), side, value).astype(np.int32))], names=[*b.schema.names, "_region"])
-
-    placed = settled(centers.mapInArrow(dealt, "label int, x double, y double, z double, _region int"), "regions")
+    placed = settled(with_region(centers, "label int, x double, y double, z double", n, region), "regions")
     boxes = placed.groupBy("_region").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in XYZ]).toArrow().sort_by("_region")
     names = np.asarray(boxes["_region"])
     low, high = (np.column_stack([np.asarray(boxes[f"{f}_{c}"]) for c in XYZ]) for f in ("min", "max"))

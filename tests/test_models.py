@@ -169,6 +169,27 @@ def test_kmeans_reduces_many_candidates_by_regions(spark, monkeypatch):
     assert cluster.kmeans_fit(df, 20, max_iter=0).count() == 20 and cost() < 4 * whole + 50
 
 
+def test_seats_are_dealt_by_demand():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        room = rng.integers(1, 30, 12)
+        k = int(rng.integers(12, room.sum() + 1))
+        seats = cluster.apportioned(k, rng.random(12) * rng.integers(0, 2, 12), room)
+        assert seats.sum() == k and (seats >= 1).all() and (seats <= room).all()
+    assert cluster.apportioned(12, np.array([6.0, 3.0, 0.0]), np.array([50, 50, 50])).tolist() == [7, 4, 1]
+
+
+def test_kmeans_start_costs_alike_on_every_path(spark, sf, monkeypatch):
+    from tagplace.jobs import fixtures as fx
+
+    points = models.settled(cluster.points_of(fx.media_sales(spark, sf)), "points")
+    cost = lambda: cluster.clustering_cost(points, cluster.kmeans_fit(points, 100, max_iter=0)).first()[0]
+    whole = cost()
+    monkeypatch.setattr(cluster, "MAX_LOCAL", 200)
+    assert cost() < 1.1 * whole
+    assert cluster.kmeans_fit(points.repartition(7), 100, max_iter=0).orderBy("label").collect() == cluster.kmeans_fit(points, 100, max_iter=0).orderBy("label").collect()
+
+
 def test_kmeans(spark):
     rng = np.random.default_rng(1)
     p = np.vstack([rng.normal(c, 0.05, (60, 3)) for c in ((0, 0, 0), (5, 5, 5), (0, 9, 0))])
