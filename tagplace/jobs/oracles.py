@@ -166,10 +166,13 @@ last as (select * from (select *, row_number() over (partition by user_id order
 select user_id, case when code = 200 then next_max_id end as next_max_id, code = 200 and next_max_id is null as fully_scraped, code = 400 as private, code = 200 and n_geo = 0 as stopped from last""",
         "insert_if_absent": f"with {_SALES} select id, user_id, l_partkey, l_suppkey from sales where id not in (select o_orderkey * 10 + 1 from orders where o_orderstatus = 'F')",
         "sample_successors": f"with {_FOLLOWS} select * from sampled",
-        "expand_frontier": f"""with {_FOLLOWS}, l0 as (select c_custkey as user_id from customer where c_custkey in (select user_id from events) order by md5('42:' || c_custkey), c_custkey limit 25),
-l1 as (select distinct follower_id as user_id from sampled join l0 using (user_id) where follower_id not in (select user_id from l0)),
-l2 as (select distinct follower_id as user_id from sampled join l1 using (user_id) where follower_id not in (select user_id from l0) and follower_id not in (select user_id from l1))
-select user_id, 0 as level from l0 union all select user_id, 1 from l1 union all select user_id, 2 from l2""",
+        "expand_frontier": _frontier(),
+        "frontier_by_key": _frontier(),
+        "rows_by_key": "select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT')",
+        "lacking_by_key": "select o_orderkey as l_orderkey, o_custkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')",
+        "upsert_by_key": """with l as (select l_orderkey, l_linenumber, l_quantity, o_orderpriority = '1-URGENT' as urgent, o_orderstatus as status from lineitem join orders on l_orderkey = o_orderkey)
+select l_orderkey, l_linenumber, l_quantity from l where status in ('F', 'O') and (not urgent or l_orderkey not in (select l_orderkey from l where urgent and l_linenumber = 1))
+union all select l_orderkey, l_linenumber, -l_quantity from l where urgent and l_linenumber = 1""",
         "random_users": "select c_custkey as id from customer order by md5('42:' || c_custkey), c_custkey limit 25",
         "class_model_files": f"""with {_FLAT}, t as (select class_no, string_agg(repeat(tag || ',', n), '' order by tag) as tags from flat_counts group by class_no)
 select cast(row_number() over (order by c.class_no) - 1 as bigint) as line, class, round(prior, 9) as prior, round(lat, 6) as lat, round(lon, 6) as lon, md5(rtrim(tags, ',')) as tags_md5 from flat_classes c join t using (class_no)""",
@@ -207,6 +210,13 @@ union all select distinct user_id, null, false, true, false from heads where cod
     }
 
 
+def _frontier() -> str:
+    return f"""with {_FOLLOWS}, l0 as (select c_custkey as user_id from customer where c_custkey in (select user_id from events) order by md5('42:' || c_custkey), c_custkey limit 25),
+l1 as (select distinct follower_id as user_id from sampled join l0 using (user_id) where follower_id not in (select user_id from l0)),
+l2 as (select distinct follower_id as user_id from sampled join l1 using (user_id) where follower_id not in (select user_id from l0) and follower_id not in (select user_id from l1))
+select user_id, 0 as level from l0 union all select user_id, 1 from l1 union all select user_id, 2 from l2"""
+
+
 def _requests() -> str:
     return f"""with {_NB}, {_ASKED}, said as (select id, unnest(tags) as tag from asked), req as (select id, s.tag, sum(weight) as w from said s join terms t on s.tag = t.tag group by id, s.tag),
 {_scores('asked', 'req')}

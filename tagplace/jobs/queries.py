@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, parse
 from ..operators import bayes, cells, cluster, flat, ingest, predict, terms
-from ..sources import kml, media, models
+from ..sources import keyed, kml, media, models
 from . import fixtures as fx
 from . import train
 
@@ -309,13 +309,49 @@ def sample_successors(spark, sf_dir):
     return ingest.sample_successors(fx.frame(spark, sf_dir, fx.FOLLOWS))
 
 
-def expand_frontier(spark, sf_dir):
-    follows = fx.frame(spark, sf_dir, fx.FOLLOWS)
+def _frontier(spark, sf_dir, follows):
     known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
     posters = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id"))
     return ingest.expand_frontier(ingest.seed_from_users(known.join(posters, "id", "left_semi"), 25), follows, rounds=2)
 
 
+def expand_frontier(spark, sf_dir):
+    return _frontier(spark, sf_dir, fx.frame(spark, sf_dir, fx.FOLLOWS))
+
+
+def frontier_by_key(spark, sf_dir):
+    """The same, with the follows as a table by user."""
+    return _frontier(spark, sf_dir, keyed.Keyed.create(fx.frame(spark, sf_dir, fx.FOLLOWS), _room(spark, "follows"), "user_id"))
+
+
+def _line_table(spark, sf_dir, where: str) -> keyed.Keyed:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(where)
+    return keyed.Keyed.create(lines.select("l_orderkey", "l_linenumber", "l_quantity"), _room(spark, "lines"), "l_orderkey")
+
+
+def rows_by_key(spark, sf_dir):
+    """Lines of the urgent orders, read by key from a table of all lines."""
+    urgent = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return _line_table(spark, sf_dir, "true").rows(urgent)
+
+
+def lacking_by_key(spark, sf_dir):
+    """Orders without a line that was returned."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return _line_table(spark, sf_dir, "l_returnflag = 'R'").lacking(orders)
+
+
+def upsert_by_key(spark, sf_dir):
+    """The table of finished orders' lines after the open orders' ones were added and the urgent orders' ones replaced."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    of = lambda which: lines.join(orders.where(which).select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    table = keyed.Keyed.create(of("o_orderstatus = 'F'"), _room(spark, "lines"), "l_orderkey")
+    table.append(of("o_orderstatus = 'O'"))
+    table.upsert(of("o_orderpriority = '1-URGENT'").where("l_linenumber = 1").withColumn("l_quantity", -F.col("l_quantity")))
+    return keyed.Keyed.open(spark, table.path).all()
+
+
 def random_users(spark, sf_dir):
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
     return ingest.random_users(users, 25)
@@ -533,6 +569,7 @@ _ALL = [
     csv_fields, media_csv, tag_list, request_terms, media_samples, ecef, ecef_roundtrip, tag_counts, idf_terms, tag_weights, cell_assign, cell_cost, cell_centroids, candidate_weights, kmeans_fit,
     cell_polygons, kml_cells, kml_points, nb_classes, nb_theta, nb_scores, nb_top_k, nb_cover, nb_argmax, predict_location, predictions_json, score_requests, hit_rates, fold_sizes, cross_validate,
     cross_validate_clusters, class_frequency, class_tag_counts, flat_mle, flat_smoothed, insert_coordinates, pages_until_empty, user_scrape_state, insert_if_absent, sample_successors, expand_frontier,
+    frontier_by_key, rows_by_key, lacking_by_key, upsert_by_key,
     random_users, ingest_media, ingest_users, stream_ingest, stream_score, class_model_files, class_predictions_json, predict_cover, predictions_json_read, cluster_csv, train_resumed, train_clusters, stored_tables,
     captions, place_names, query_terms, batch_requests, zip_rows, cap_frontier, merge_frontier, sample_one, oversample_centers, surface_points, seed_users, ingest_known_users, active_users,
 ]

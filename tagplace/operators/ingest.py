@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..sources.media import caption_text, has_location, page_status, read_feed_pages
+from ..sources.keyed import Keyed
 from ..sources.models import settled
 
 MAX_BRANCHING, QUEUE_SIZE = 5, 5000
@@ -108,8 +109,10 @@ def hash_order(seed: int, *keys: str):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
 
-def expand_followers(frontier: DataFrame, follows: DataFrame) -> DataFrame:
-    """(user_id, follower_id) of the frontier's users."""
+def expand_followers(frontier: DataFrame, follows: DataFrame | Keyed) -> DataFrame:
+    """(user_id, follower_id) of the frontier's users; of a table by user only their buckets are read."""
+    if isinstance(follows, Keyed):
+        return follows.rows(frontier)
     return follows.join(frontier.select("user_id"), "user_id", "left_semi")
 
 
@@ -140,12 +143,13 @@ def seed_from_users(users: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return random_users(users, n, seed).select(F.col("id").alias("user_id"))
 
 
-def expand_frontier(seeds: DataFrame, follows: DataFrame, users: DataFrame | None = None, rounds: int = 2, max_branching: int = MAX_BRANCHING, queue_size: int = QUEUE_SIZE, seed: int = 42, revisit: bool = False) -> DataFrame:
+def expand_frontier(seeds: DataFrame, follows: DataFrame | Keyed, users: DataFrame | None = None, rounds: int = 2, max_branching: int = MAX_BRANCHING, queue_size: int = QUEUE_SIZE, seed: int = 42, revisit: bool = False) -> DataFrame:
     """(user_id, level): users reached from the seeds, level by level.
 
     Each level visits the queue's users (without private or fully scraped ones), takes a few followers of each,
     and queues those not seen before (all, with ``revisit``) as far as the queue has room. Only the visited users'
-    followers are ranked for sampling; each level is written, so the plan stays short.
+    followers are ranked for sampling; each level is written, so the plan stays short. With ``follows`` as a table by
+    user_id a level reads the buckets of its users, not all follows.
     """
     stopped = None if users is None else inactive_users(users, resume=True)
     level = settled(cap_frontier(seeds.select("user_id").distinct(), queue_size, seed), "level")
