@@ -389,7 +389,7 @@ def stream_ingest(spark, sf_dir):
     # a user's pages arrive in two runs of the stream
     for part in ("page_no < 2", "page_no >= 2"):
         feed.where(part).repartition(4, "user_id").write.mode("append").parquet(f"{root}/pages")
-        stream(spark, f"{root}/pages", f"{root}/tables", f"{root}/checkpoint", files=2).awaitTermination()
+        stream(spark, f"{root}/pages", f"{root}/tables", f"{root}/checkpoint", files=2, partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.parquet(f"{root}/tables/media").select("id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.element_at("tags", 1).alias("tag"), "user_id", "location_id")
 
 

@@ -2,35 +2,134 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from ..functions import parse
 from ..operators.bayes import Scorer
-from ..operators.ingest import ingest_pages
 from ..operators.predict import score_requests
-from ..schemas import LOCATIONS, MEDIA_TABLE, USERS
-from ..sources.models import exists
+from ..schemas import FEED_PAGE, LOCATIONS, MEDIA_TABLE, USERS
 
 PAGES, REQUESTS = "user_id bigint, page_no int, value string", "request_id bigint, text string, cnt int"
 
 
-def _table(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-
-def ingest_batch(pages: DataFrame, batch: int, tables: str) -> None:
-    """Add one batch of pages to the tables; media and locations already there are left out, so a batch that runs
-    twice adds nothing. Users whose state changed are written to the batch's own folder; the last one of a user counts,
-    so a user's empty page ends the visit for pages of later batches too."""
-    spark = pages.sparkSession
-    media, places = _table(spark, f"{tables}/media", MEDIA_TABLE), _table(spark, f"{tables}/locations", LOCATIONS)
-    users = read_users(spark, tables, before=batch)
-    made = ingest_pages(pages.persist(), users, places, media)
-    made["users"].write.mode("overwrite").parquet(f"{tables}/users/batch={batch}")
-    for name in ("locations", "media"):
-        made[name].write.mode("append").parquet(f"{tables}/{name}")
-    pages.unpersist()
+_STATE = "stopped boolean, private boolean, fully_scraped boolean"
+#: What the users' stage emits: states (``what`` = user, next_max_id in ``value``) and pages that are kept (page).
+_VISITS = f"user_id bigint, what string, page_no int, value string, {_STATE}"
+#: What is looked up by key: media, locations and users, with the order among rows of one key and the row as JSON.
+_SEEN = "what string, key bigint, value string"
+_ROW = "date_us bigint, caption string, tags array<string>, type string, user_id bigint, location_id bigint, name string, latitude double, longitude double, next_max_id string, fully_scraped boolean, private boolean, stopped boolean"
+
+
+class Visits(StatefulProcessor):
+    """A user's pages of a batch, and whether the user is visited at all: the state store holds each user's last state.
+
+    Pages count up to and including the first without geotagged media; an error page is no page. Holds the batch's
+    pages of one user, without their texts until they are kept.
+    """
+
+    def __init__(self, resume: bool = False):
+        self.resume = resume
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("state", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pages = pd.concat(list(rows))
+        if self.state.exists():
+            stopped, private, done = self.state.get()
+            if private or done or (stopped and not self.resume):
+                return
+        ok = pages[pages["code"] == 200].sort_values(["page_no", "value"], kind="stable")
+        earlier = (ok["n_geo"] == 0).cumsum().shift(fill_value=0)
+        ok, private = ok[earlier == 0], bool((pages["code"] == 400).any())
+        if not len(ok) and not private:
+            return
+        last = ok.iloc[-1] if len(ok) else None
+        next_id = None if last is None or pd.isna(last["next_max_id"]) else last["next_max_id"]
+        stopped, done = last is not None and bool(last["n_geo"] == 0), last is not None and next_id is None
+        self.state.update((stopped, private, done))
+        found = ok[ok["n_geo"] > 0]
+        out = [(key[0], "user", None, next_id, stopped, private, done)]
+        out += [(key[0], "page", int(n), v, None, None, None) for n, v in zip(found["page_no"], found["value"], strict=True)]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _VISITS.split(", ")]).astype({"page_no": "Int32", **dict.fromkeys(("stopped", "private", "fully_scraped"), "boolean")})
+
+    def close(self) -> None:
+        pass
+
+
+class FirstSeen(StatefulProcessor):
+    """The first row of each key that no batch had before; rows with ``always`` take precedence, seen or not.
+
+    Only the best row so far is held, so a hot key of a batch takes time in one task, not memory.
+    """
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = None
+        known = self.seen.exists()
+        for frame in rows:
+            frame = frame if not known else frame[frame["always"]]
+            if len(frame):
+                row = frame.sort_values(["always", "o1", "o2", "o3", "value"], ascending=[False, True, True, True, True]).iloc[0]
+                rank = (not row["always"], row["o1"], row["o2"], row["o3"], row["value"])
+                best = rank if best is None or rank < best else best
+        if not known:
+            self.seen.update((True,))
+        if best is not None:
+            yield pd.DataFrame({"what": [key[0]], "key": [key[1]], "value": [best[4]]})
+
+    def close(self) -> None:
+        pass
+
+
+def _located(items):
+    return F.filter(items, lambda m: m["location"]["latitude"].isNotNull() & m["location"]["longitude"].isNotNull())
+
+
+def _visited(pages: DataFrame, resume: bool) -> DataFrame:
+    """Users' states and kept pages of a stream of pages; a page without a user is left out."""
+    p = F.from_json("value", FEED_PAGE)
+    located = _located(F.col("p.data"))
+    n_geo = F.when(F.col("p.data").isNull(), 0).otherwise(F.size(located))
+    told = pages.where(F.col("user_id").isNotNull()).withColumn("p", p).select("user_id", "page_no", F.coalesce("p.meta.code", F.lit(0)).alias("code"), F.col("p.pagination.next_max_id").alias("next_max_id"), n_geo.alias("n_geo"), "value")
+    return told.groupBy("user_id").transformWithStateInPandas(Visits(resume), _VISITS, "Append", "None")
+
+
+def _keyed_rows(visited: DataFrame) -> DataFrame:
+    """(what, key, always, o1, o2, o3, value): the rows that are looked up by key."""
+    page = F.when(F.col("what") == "page", F.from_json("value", FEED_PAGE))
+    items = visited.select("*", F.posexplode_outer(_located(page["data"])).alias("pos", "m"))
+    user, place = F.coalesce(F.col("m.user.id").try_cast("bigint"), F.col("user_id")), F.col("m.location.id").try_cast("bigint")
+    media_id = parse.media_key(F.col("m.id"))
+    no = F.lit(False)
+    row = lambda what, key, always, **fields: F.struct(F.lit(what).alias("what"), key.alias("key"), F.lit(always).alias("always"), F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value"))
+    state = row("users", F.col("user_id"), True, next_max_id=F.col("value"), fully_scraped=F.col("fully_scraped"), private=F.col("private"), stopped=F.col("stopped"))
+    made = [
+        row("media", media_id, False, date_us=F.unix_micros(parse.epoch_to_timestamp(F.col("m.created_time"))), caption=F.col("m.caption.text"), tags=F.col("m.tags"), type=F.col("m.type"), user_id=user, location_id=place),
+        row("locations", place, False, name=F.col("m.location.name"), latitude=F.col("m.location.latitude"), longitude=F.col("m.location.longitude")),
+        row("users", user, False, fully_scraped=no, private=no, stopped=no),
+    ]
+    usable = media_id.isNotNull() & place.isNotNull()
+    rows = F.when(F.col("what") == "user", F.array(state)).when(usable, F.array(*made))
+    return items.select(F.explode(rows).alias("r"), F.col("user_id").alias("o1"), F.coalesce("page_no", F.lit(0)).alias("o2"), F.coalesce("pos", F.lit(0)).alias("o3")).select("r.*", "o1", "o2", "o3")
+
+
+def _write_batch(rows: DataFrame, batch: int, tables: str) -> None:
+    """New media and locations and changed users into the batch's own folders; a batch that runs twice replaces them."""
+    rows = rows.withColumn("r", F.from_json("value", _ROW)).select("what", F.col("key").alias("id"), "r.*").withColumn("date", F.timestamp_micros("date_us")).persist()
+    try:
+        for name, schema in (("media", MEDIA_TABLE), ("locations", LOCATIONS), ("users", USERS)):
+            own = rows.where(F.col("what") == name).select(*[c.split()[0] for c in schema.split(", ")])
+            own.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)).write.mode("overwrite").parquet(f"{tables}/{name}/batch={batch}")
+    finally:
+        rows.unpersist()
 
 
 def read_users(spark: SparkSession, tables: str, before: int | None = None) -> DataFrame:
@@ -45,10 +144,35 @@ def read_users(spark: SparkSession, tables: str, before: int | None = None) -> D
     return rows.groupBy("id").agg(F.max_by(F.struct(*names), "batch").alias("u")).select("id", "u.*")
 
 
-def stream_ingest(spark: SparkSession, page_dir: str, tables: str, checkpoint: str, fmt: str = "parquet", files: int = 100) -> StreamingQuery:
-    """Pages that arrive as files go into the tables; ends when what is there has been read."""
+_STORE, _STORE_CLASS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str):
+    """Settings while a query starts: it keeps what it finds then."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stream_ingest(spark: SparkSession, page_dir: str, tables: str, checkpoint: str, fmt: str = "parquet", files: int = 100, resume: bool = False, partitions: int | None = None) -> StreamingQuery:
+    """Pages that arrive as files go into the tables; ends when what is there has been read.
+
+    Users' states and the keys seen so far are in the state store of ``checkpoint``, by key, so a batch looks up its own
+    keys and reads no table. ``partitions`` (the session's shuffle partitions when not given) are those of the
+    state, fixed by the first run. The tables are the rows of all batch folders; the checkpoint belongs to them.
+    """
+    parts = str(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files).format(fmt).load(page_dir)
-    return pages.writeStream.foreachBatch(lambda df, batch: ingest_batch(df, batch, tables)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = _keyed_rows(_visited(pages, resume)).groupBy("what", "key").transformWithStateInPandas(FirstSeen(), _SEEN, "Append", "None")
+    out = new.writeStream.foreachBatch(lambda df, batch: _write_batch(df, batch, tables)).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with _settings(spark, **{_STORE: _STORE_CLASS, "spark.sql.shuffle.partitions": parts}):
+        return out.start()
 
 
 def stream_score(spark: SparkSession, request_dir: str, out: str, checkpoint: str, scorer: Scorer, fmt: str = "parquet", files: int = 100) -> StreamingQuery:

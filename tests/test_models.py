@@ -320,6 +320,37 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(r.id for r in read_users(spark, tables).collect()) == [1, 2, 4]
 
 
+def test_stream_state_over_many_batches(spark, tmp_path):
+    """File by file, with a restart between, the stream gives what ``ingest_pages`` gives step by step."""
+    from tagplace.streaming.jobs import read_users, stream_ingest
+
+    rng = np.random.default_rng(11)
+    pages, tables, n_user = f"{tmp_path}/pages", f"{tmp_path}/tables", 6
+    made = {"users": None, "locations": None, "media": None}
+    for step in range(6):
+        rows = []
+        for user in range(1, n_user + 1):
+            code = int(rng.choice([200] * 8 + [400, 500]))
+            items = [item(int(rng.integers(1, 40)), user if rng.random() < 0.8 else 77, str(rng.integers(1, 9)) if rng.random() < 0.9 else None, geo=rng.random() < 0.7) for _ in range(3)]
+            rows.append((user, step, page(code, items if code == 200 else None, "m" if rng.random() < 0.9 else None)))
+        frame = spark.createDataFrame(rows, "user_id long, page_no int, value string")
+        frame.coalesce(1).write.mode("append").parquet(pages)
+        got = ingest.ingest_pages(frame, made["users"], made["locations"], made["media"])
+        for k in ("media", "locations"):
+            new = got[k].collect()
+            made[k] = spark.createDataFrame(([] if made[k] is None else made[k].collect()) + new, got[k].schema)
+        old = made["users"] if made["users"] is not None else spark.createDataFrame([], got["users"].schema)
+        made["users"] = spark.createDataFrame(ingest.upsert_users(old, got["users"]).collect(), got["users"].schema)
+        if step % 3 == 2:
+            stream_ingest(spark, pages, tables, f"{tmp_path}/check", files=1).awaitTermination()
+    rows = lambda df: sorted(map(str, df.collect()))
+    back = {k: spark.read.parquet(f"{tables}/{k}").select(*made[k].columns) for k in ("media", "locations")}
+    assert len(rows(made["media"])) > 5 and rows(made["users"])
+    for k in ("media", "locations"):
+        assert rows(back[k]) == rows(made[k])
+    assert rows(read_users(spark, tables).select(*made["users"].columns)) == rows(made["users"])
+
+
 @pytest.mark.parametrize("block", ["128m", "3k"])
 def test_class_model_line_numbers(spark, tmp_path, block):
     """Lines of many files of unequal sizes, read in many blocks, keep their numbers."""
