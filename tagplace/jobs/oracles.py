@@ -56,6 +56,20 @@ _B = "sqrt(power(6378137.0, 2) * (1 - power(8.1819190842622e-2, 2)))"
 _LLA = f"""bent as (select *, sqrt(x * x + y * y) as p, atan2(z * 6378137.0, sqrt(x * x + y * y) * {_B}) as th from {{points}}),
 lla as (select *, atan2(y, x) as lo, atan2(z + (power(6378137.0, 2) - power({_B}, 2)) / power({_B}, 2) * {_B} * power(sin(th), 3), p - {_E2} * 6378137.0 * power(cos(th), 3)) as la from bent)"""
 
+#: Cells of the fixed centres: a hull face is a plane through three centres that has all others on one side.
+_CELLS = f"""{_CENTERS}, {_LLA.format(points='centers')}, sea as materialized (
+  select label, la, lo, n * cos(la) * cos(lo) as x, n * cos(la) * sin(lo) as y, (1 - {_E2}) * n * sin(la) as z
+  from (select label, la, lo, 6378137.0 / sqrt(1 - {_E2} * sin(la) * sin(la)) as n from lla)
+), planes as (
+  select a.label as a, b.label as b, c.label as c, a.x as ax, a.y as ay, a.z as az, (a.x + b.x + c.x) / 3 as x, (a.y + b.y + c.y) / 3 as y, (a.z + b.z + c.z) / 3 as z,
+    (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) as nx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) as ny, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) as nz
+  from sea a join sea b on a.label < b.label join sea c on b.label < c.label
+), faces as materialized (
+  select a, b, c, any_value(p.x) as x, any_value(p.y) as y, any_value(p.z) as z from (
+    select p.*, (d.x - ax) * nx + (d.y - ay) * ny + (d.z - az) * nz as side from planes p join sea d on d.label <> a and d.label <> b and d.label <> c
+  ) p group by a, b, c having min(side) > 0 or max(side) < 0
+), {_LLA.format(points='faces').replace('bent', 'bent_faces').replace('lla', 'face_places')}"""
+
 #: Trailing empty terms are dropped: text keeps its inner and leading ones.
 _REQUEST_TEXT = "rtrim(regexp_replace(lower(text), '[^a-z]+', '+', 'g'), '+')"
 _ASKED = f"asked as materialized (select request_id as id, cnt, case when {_REQUEST_TEXT} = '' then [] else string_split({_REQUEST_TEXT}, '+') end as tags from ({fx.duck(fx.REQUESTS)}))"
@@ -136,6 +150,27 @@ select conv_id, turn, count(*) as n_rows, cast(sum(case when t = [''] then 0 els
         "cell_cost": f"with {_CENTERS}, {_NEAR} select round(sum(d2 / 1e9), 3) as cost_e9, count(*) as n from near",
         "cell_centroids": f"with {_CENTERS}, {_NEAR} select c.label, round(coalesce(avg(px), any_value(c.x)), 3) as x, round(coalesce(avg(py), any_value(c.y)), 3) as y, round(coalesce(avg(pz), any_value(c.z)), 3) as z, count(n.id) as n from centers c left join near n on n.label = c.label group by c.label",
         "candidate_weights": f"with {_CENTERS}, {_SALES}, sp as materialized (select id, {_XYZ} from sales), one as (select id, label from (select p.id, c.label, row_number() over (partition by p.id order by power(p.x - c.x, 2) + power(p.y - c.y, 2) + power(p.z - c.z, 2), c.label) as k from sp p cross join centers c) where k = 1) select c.label, count(o.id) as weight from centers c left join one o on o.label = c.label group by c.label",
+        "cell_corners": f"with {_CELLS} select unnest([a, b, c]) as label, round(degrees(la), 6) as lat, round(degrees(lo), 6) as lon from face_places",
+        "kml_cell_texts": f"""with {_CELLS}, edges as (
+  select unnest([a, b, c]) as label, unnest([b, c, a]) as p, unnest([c, a, b]) as q, round(degrees(la), 2) as lat, round(degrees(lo), 2) as lon from face_places
+), seen as materialized (
+  select o.label, o.other, (-dx * sin(lo) + dy * cos(lo)) / depth as u, (-dx * sin(la) * cos(lo) - dy * sin(la) * sin(lo) + dz * cos(la)) / depth as v from (
+    select e.label, e.other, i.la, i.lo, j.x - i.x as dx, j.y - i.y as dy, j.z - i.z as dz,
+      -((j.x - i.x) * cos(i.la) * cos(i.lo) + (j.y - i.y) * cos(i.la) * sin(i.lo) + (j.z - i.z) * sin(i.la)) as depth
+    from (select label, p as other from edges union select label, q from edges) e join sea i on i.label = e.label join sea j on j.label = e.other
+  ) o
+), middles as (
+  select m.label, mu, mv, atan2(v0 - mv, u0 - mu) as a0 from (select label, avg(u) as mu, avg(v) as mv, arg_min(u, u) as u0, arg_min(v, u) as v0 from seen group by label) m
+), turned as (
+  select e.label, lat, lon, (atan2((s.v + t.v) / 2 - mv, (s.u + t.u) / 2 - mu) - a0 + 8 * pi()) % (2 * pi()) as turn
+  from edges e join seen s on s.label = e.label and s.other = p join seen t on t.label = e.label and t.other = q join middles m on m.label = e.label
+), rings as (
+  select label, string_agg(lon || ',' || lat || ',0.0' || chr(10), '' order by turn) || arg_min(lon || ',' || lat || ',0.0' || chr(10), turn) as ring from turned group by label
+), parts as (
+  select 0 as section, '' as sort, '<kml>' || chr(10) || '<Document>' as v union all select 9, '', '</Document>' || chr(10) || '</kml>'
+  union all select 5, lpad(cast(label as varchar), 12, '0'), '<Placemark>' || chr(10) || '<Style><LineStyle><width>2</width></LineStyle></Style>' || chr(10) || '<Polygon><outerBoundaryIs><LinearRing><coordinates>' || chr(10) || ring || '</coordinates></LinearRing></outerBoundaryIs></Polygon>' || chr(10) || '</Placemark>' from rings
+) select section, sort, md5(v) as value_md5 from parts""",
+        "class_counts": f"with {_DOCS} select location_name as place, cast(count(*) // 10 as int) as k, cast(count(*) * 3 // 40 as int) as k_folds from docs group by location_name having count(*) >= 14",
         "kml_points": f"""with {_CENTERS}, {_NEAR}, rows as (select cast(label as varchar) as c, array_to_string(tags, ' & ') as t, round(latitude, 2) as la, round(longitude, 2) as lo from docs join near using (id)),
 parts as (
   select 0 as section, '' as sort, '<kml>' || chr(10) || '<Document>' as v union all select 9, '', '</Document>' || chr(10) || '</kml>'

@@ -149,6 +149,27 @@ def kml_cells(spark, sf_dir):
     return kml.cells_kml(cells.cells_of(models.settled(fixed_centers(docs), "centers")))
 
 
+def cell_corners(spark, sf_dir):
+    """A row for each corner of each cell."""
+    made = cell_polygons(spark, sf_dir).select("label", F.explode("ring").alias("c"))
+    return made.select("label", _r(F.col("c.lat")).alias("lat"), _r(F.col("c.lon")).alias("lon"))
+
+
+def kml_cell_texts(spark, sf_dir):
+    """The lines of the cells' document, with corners to two digits, as digests."""
+    docs = fx.media_docs(spark, sf_dir)
+    made = cells.cells_of(models.settled(fixed_centers(docs), "centers"))
+    ring = F.transform("ring", lambda c: F.struct(_r(c["lat"], 2).alias("lat"), _r(c["lon"], 2).alias("lon")))
+    return kml.cells_kml(made.withColumn("ring", ring)).select("section", "sort", F.md5(F.col("value").cast("binary")).alias("value_md5"))
+
+
+def class_counts(spark, sf_dir):
+    """How many classes of 10 media each place and language would make, and with three of four folds of training rows."""
+    rows = fx.media_docs(spark, sf_dir).groupBy("location_name").agg(F.count("*").alias("n")).where("n >= 14").toPandas()  # a row a place
+    made = [(r.location_name, cluster.num_classes(int(r.n), 10), cluster.num_classes(int(r.n) * 3, 4 * 10)) for r in rows.itertuples()]
+    return spark.createDataFrame(made, "place string, k int, k_folds int")
+
+
 def kml_points(spark, sf_dir):
     docs = fx.media_docs(spark, sf_dir)
     centers = models.settled(fixed_centers(docs), "centers")
@@ -567,7 +588,7 @@ def active_users(spark, sf_dir):
 
 _ALL = [
     csv_fields, media_csv, tag_list, request_terms, media_samples, ecef, ecef_roundtrip, tag_counts, idf_terms, tag_weights, cell_assign, cell_cost, cell_centroids, candidate_weights, kmeans_fit,
-    cell_polygons, kml_cells, kml_points, nb_classes, nb_theta, nb_scores, nb_top_k, nb_cover, nb_argmax, predict_location, predictions_json, score_requests, hit_rates, fold_sizes, cross_validate,
+    cell_polygons, cell_corners, kml_cells, kml_cell_texts, class_counts, kml_points, nb_classes, nb_theta, nb_scores, nb_top_k, nb_cover, nb_argmax, predict_location, predictions_json, score_requests, hit_rates, fold_sizes, cross_validate,
     cross_validate_clusters, class_frequency, class_tag_counts, flat_mle, flat_smoothed, insert_coordinates, pages_until_empty, user_scrape_state, insert_if_absent, sample_successors, expand_frontier,
     frontier_by_key, rows_by_key, lacking_by_key, upsert_by_key,
     random_users, ingest_media, ingest_users, stream_ingest, stream_score, class_model_files, class_predictions_json, predict_cover, predictions_json_read, cluster_csv, train_resumed, train_clusters, stored_tables,

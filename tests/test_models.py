@@ -220,6 +220,34 @@ def test_cells_are_hull_faces(area):
         assert (d < 0).all() or (d > 0).all()
 
 
+@pytest.mark.parametrize("sizes", [{}, {"region": 15, "seeds": 20, "lookups": 10}, {"region": 15, "seeds": 0}])
+@pytest.mark.parametrize("area", [None, 0.02])
+def test_cells_by_regions_equal_all_centres(spark, area, sizes):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(120, 3)) if area is None else np.array([0.6, 0.5, 0.62]) + rng.normal(size=(120, 3)) * area
+    xyz = v / np.linalg.norm(v, axis=1)[:, None] * 6371000
+    p, normal = cells.surface_points(xyz)
+    got = {r.label: [(c.lat, c.lon) for c in r.ring] for r in cells.cell_polygons(cluster.centers_frame(spark, xyz), **sizes).collect()}
+    assert len(got) == 120
+    for i in range(120):
+        near = cells.neighbours(i, p, normal)
+        want = [cells._to_lla((p[i] + p[a] + p[b]) / 3) for a, b in zip(near, near[1:] + near[:1], strict=True)]
+        assert np.allclose(got[i], want, rtol=0, atol=1e-9)
+
+
+def test_cells_of_ties_copies_and_few(spark):
+    # centres on a grid: four on a circle are one face's plane
+    lat, lon = (np.radians(x.ravel()) for x in np.meshgrid(np.arange(-60, 61, 20.0), np.arange(-180, 180, 30.0)))
+    xyz = np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)]) * 6371000
+    rings = lambda a, **k: {r.label: np.array([(c.lat, c.lon) for c in r.ring]) for r in cells.cell_polygons(cluster.centers_frame(spark, a), **k).collect()}
+    one, many = rings(xyz), rings(xyz, region=9, seeds=0)
+    assert len(one) == 84 and all(one[i].shape == many[i].shape and np.allclose(one[i], many[i], rtol=0, atol=1e-9) for i in one)
+    copies = rings(np.vstack([xyz, xyz[:2]]))
+    assert (copies[84] == copies[0]).all() and (copies[0] == one[0]).all() and len(copies) == 86
+    with pytest.raises(ValueError, match="four"):
+        cells.cell_polygons(cluster.centers_frame(spark, xyz[[0, 1, 2, 2]]))
+
+
 def test_flat_ties_and_empty(spark):
     model = spark.createDataFrame([(0, "p", 0.5, 1.0, 2.0, ["a", "b"]), (1, "q", 0.5, 3.0, 4.0, ["a", "c"]), (2, "r", 0.5, 0.0, 0.0, [])], "class_no long, class string, prior double, lat double, lon double, tags array<string>")
     asked = spark.createDataFrame([(1, ["a"]), (2, []), (3, ["zz"])], "id int, tags array<string>")
