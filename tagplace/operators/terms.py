@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import idf
 
+#: A tag with at least one in so many of the known occurrences is hot; so there are at most as many hot tags.
+SHARE = 1000
 
 
 def tag_counts(docs: DataFrame) -> DataFrame:
@@ -28,9 +30,26 @@ def idf_fit(docs: DataFrame, min_occurrences: int = 5, total: int | None = None,
     return terms
 
 
+def hot_tags(terms: DataFrame, share: int = SHARE) -> DataFrame:
+    """Terms (tag, n, weight) that make at least one in ``share`` of all known occurrences: at most ``share`` rows."""
+    terms = terms.where(F.col("tag").isNotNull())
+    total = terms.agg(F.sum("n").alias("_total"))
+    return terms.join(F.broadcast(total), F.col("n") * share >= F.col("_total")).select("tag", "weight")
+
+
 def keep_vocabulary(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, tag, weight): a row per occurrence of a known tag."""
-    return docs.select("id", F.explode("tags").alias("tag")).join(terms.select("tag", "weight"), "tag").select("id", "tag", "weight")
+    """(id, tag, weight): a row per occurrence of a known tag. A null tag is unknown.
+
+    With counts (``n``) in ``terms``, the hot tags are known beforehand: these few are broadcast and their occurrences stay
+    where they are; only the others are shuffled by tag, so no task gets more than a ``SHARE``-th of them for one tag.
+    """
+    own = docs.select("id", F.explode("tags").alias("tag")).where(F.col("tag").isNotNull())
+    if "n" not in terms.columns:
+        return own.join(terms.select("tag", "weight"), "tag").select("id", "tag", "weight")
+    hot = hot_tags(terms)
+    told = own.join(F.broadcast(hot), "tag").select("id", "tag", "weight")
+    cold = own.join(F.broadcast(hot.select("tag")), "tag", "left_anti")
+    return told.unionByName(cold.join(terms.select("tag", "weight"), "tag").select("id", "tag", "weight"))
 
 
 def idf_transform(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -220,6 +220,26 @@ def test_cells_are_hull_faces(area):
         assert (d < 0).all() or (d > 0).all()
 
 
+def test_hot_tags_are_not_shuffled(spark):
+    # one tag in every row, a known one in some, a rare one and a null
+    docs = spark.range(0, 4000, 1, 16).selectExpr("id", "array('hot', concat('t', id % 1300), if(id = 7, 'once', null)) as tags")
+    known = terms.idf_fit(docs, min_occurrences=1)
+    assert {r.tag for r in terms.hot_tags(known).collect()} == {"hot"}
+    plain = terms.keep_vocabulary(docs, known.drop("n"))
+    made = terms.keep_vocabulary(docs, known)
+    assert sorted(made.collect()) == sorted(plain.collect()) and made.count() == 4000 + 4000
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "16")):
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in terms.keep_vocabulary(docs, known).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+        assert max(r["count"] for r in terms.keep_vocabulary(docs, known.drop("n")).groupBy(F.spark_partition_id().alias("p")).count().collect()) >= 4000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"region": 15, "seeds": 20, "lookups": 10}, {"region": 15, "seeds": 0}])
 @pytest.mark.parametrize("area", [None, 0.02])
 def test_cells_by_regions_equal_all_centres(spark, area, sizes):
