@@ -29,7 +29,7 @@ class Fitted:
     """The model of all documents with the fixed centres; tables are computed once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.docs = fx.media_docs(spark, sf_dir)
+        self.docs = models.settled(fx.media_docs(spark, sf_dir), "docs")
         self.centers = models.settled(fixed_centers(self.docs), "centers")
         self.labels = models.settled(cluster.assign_cells(self.docs, self.centers), "labels")
         self.terms = models.settled(terms.idf_fit(self.docs), "terms")
@@ -100,7 +100,7 @@ def idf_terms(spark, sf_dir):
 
 
 def tag_weights(spark, sf_dir):
-    docs = fx.media_docs(spark, sf_dir)
+    docs = models.settled(fx.media_docs(spark, sf_dir).select("id", "tags"), "docs")
     return terms.idf_transform(docs, terms.idf_fit(docs)).select("id", "tag", _r(F.col("w")).alias("w"))
 
 
