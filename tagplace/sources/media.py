@@ -64,4 +64,7 @@ def batch_requests(requests: DataFrame, json: str = "value") -> DataFrame:
 
 
 def read_cluster_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=CLUSTER_CSV).select("tags", "lat", "lon", "cluster")
+    """tags, lat, lon and cluster of labelled rows. A quoted empty field (no tags) is an empty text; nothing between two
+    commas is null."""
+    # with the default, an empty text, quotes around nothing would be null as well
+    return spark.read.csv(path, schema=CLUSTER_CSV, nullValue="\x00").select("tags", "lat", "lon", "cluster")
