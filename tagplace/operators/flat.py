@@ -23,10 +23,11 @@ def class_tag_counts(model: DataFrame) -> DataFrame:
 
 def class_frequency(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((class, n, size), (class, tag, n)) of rows (class, tags as brace text): rows and tags of each class, and how
-    often it has each tag. Counts are rows of their own: no class is gathered into one value."""
+    often it has each tag. Counts are rows of their own: no class is gathered into one value. A row without tags
+    counts as one in its class's size (its text splits to one empty piece), but the empty piece is no tag."""
     rows = labelled.select("class", strip_braces_split(F.col("tags")).alias("tags"))
     sizes = rows.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.size("tags")).alias("size"))
-    return sizes, rows.select("class", F.explode("tags").alias("tag")).groupBy("class", "tag").agg(F.count("*").alias("n"))
+    return sizes, rows.select("class", F.explode("tags").alias("tag")).where("tag <> ''").groupBy("class", "tag").agg(F.count("*").alias("n"))
 
 
 def zip_rows(left: DataFrame, right: DataFrame) -> DataFrame:
