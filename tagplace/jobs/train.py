@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import idf, log_prior
-from ..operators.bayes import Scorer, class_denom, class_theta, nb_fit, score_bags
+from ..operators.bayes import Scorer, class_denom, class_theta, nb_fit_bags, score_bags
 from ..operators.cells import cells_of
-from ..operators.cluster import assign_cells, cell_centers, kmeans_fit, num_classes, points_of
+from ..operators.cluster import assign_cells, cell_centers, kmeans_fit, labelled, num_classes, points_of
 from ..operators.predict import LEVELS, hit_rates
-from ..operators.terms import idf_fit, idf_transform
+from ..operators.terms import idf_fit
 from ..sources.models import Draft, settled
 
 
@@ -30,7 +30,7 @@ def train(media: DataFrame, path: str, per_class: int = 1000, load_existing: boo
     draft = Draft(spark, path, load_existing)
     out = draft.fit_or_load(("centers", "cells") if polygons else ("centers",), clusters)
     out |= draft.fit_or_load(("terms",), lambda: {"terms": idf_fit(media, total=rows)})
-    out |= draft.fit_or_load(("classes", "theta"), lambda: nb_fit(idf_transform(media, out["terms"]), assign_cells(media, out["centers"]), out["terms"].count()))
+    out |= draft.fit_or_load(("classes", "theta"), lambda: nb_fit_bags(labelled(media, out["centers"]), out["terms"], out["terms"].count()))
     draft.publish()
     return out
 
@@ -98,7 +98,8 @@ def fold_rates(media: DataFrame, folds: int = 5, per_class: int = 1000, seed: in
     made, ranked = fold_models(rows, labels, folds, leaky), None
     for fold in range(folds):
         own = {k: v.where(F.col("model") == fold).drop("model") for k, v in made.items()}
-        scored = score_bags(train_test_split(rows, fold)[1], Scorer(own["terms"], own), max(levels)).select("id", "label", "rank")
+        # written fold by fold: neither the driver nor a task holds the models of several folds
+        scored = settled(score_bags(train_test_split(rows, fold)[1], Scorer(own["terms"], own), max(levels)).select("id", "label", "rank"), "ranked")
         ranked = scored if ranked is None else ranked.unionByName(scored)
     truth = rows.select("id", "fold").join(labels, "id")
     truth = truth.where("model = fold") if "model" in labels.columns else truth

@@ -29,3 +29,53 @@ def test_kmeans_looks_up_each_place_once(spark, monkeypatch):
     means = cluster.centroids(cluster.nearest_center(points, cluster.kmeans_fit(points, 6)), centers)
     final = {r.label: r for r in cluster.kmeans_fit(points, 6).collect()}
     assert all(abs(r[c] - final[r.label][c]) < 1 for r in means.collect() for c in "xyz")
+
+
+def test_large_models_are_scored_in_blocks(spark, sf, monkeypatch):
+    from tagplace.jobs.queries import Fitted
+    from tagplace.operators import bayes
+
+    f = Fitted(spark, sf)
+    n = f.terms.count()
+    whole = f.scorer()
+    monkeypatch.setattr(bayes, "MAX_THETA", n)
+    monkeypatch.setattr(bayes, "PAIRS", 100)
+    blocks = f.scorer()
+    assert whole.arrays and blocks.blocks and len(blocks.blocks) > 1 and not blocks.joined
+    rows = lambda s, c: sorted((r.id, r.rank, r.label, round(r.probability, 8), round(r.score, 6), round(r.before, 8)) for r in bayes.score_bags(f.docs, s, c).collect())
+    for count in (3, None, 2**31 - 1):
+        assert rows(blocks, count) == rows(whole, count)
+    monkeypatch.setattr(bayes, "MAX_EVERY", 8)  # many classes: only the best of a block are told
+    narrow = f.scorer()
+    assert not narrow.few and rows(narrow, 3) == rows(whole, 3)
+
+
+def test_fit_of_bags_equals_fit_of_features(spark, sf):
+    from tagplace.jobs.queries import Fitted
+    from tagplace.operators import bayes
+
+    f = Fitted(spark, sf)
+    old = bayes.nb_fit(f.features, f.labels, f.terms.count())
+    for k, by in (("classes", ["label"]), ("theta", ["label", "tag"])):
+        round_ = lambda d: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in d.select(sorted(d.columns)).collect())
+        assert round_(old[k]) == round_(f.model[k])
+
+
+def test_a_batch_of_long_bags_is_scored_in_parts(monkeypatch):
+    """A task's memory goes by ``PAIRS``, not by how many tags and classes a batch has."""
+    import pyarrow as pa
+
+    from tagplace.operators import bayes
+
+    a = bayes.Arrays.__new__(bayes.Arrays)
+    rng = np.random.default_rng(1)
+    a.labels, a.pi, a.rest = np.arange(16), rng.normal(size=16), rng.normal(size=16)
+    a.tags, a.weight = pa.array([f"t{i}" for i in range(50)]), rng.normal(size=50)
+    a.at, a.value, a.start = np.tile(np.arange(16, dtype=np.int32), 50), rng.normal(size=800), np.arange(51) * 16
+    bags = pa.array([[f"t{j}" for j in rng.choice(60, rng.integers(0, 40), replace=False)] for _ in range(300)])
+    want = a.scores(bags)
+    made, true = [], np.repeat
+    monkeypatch.setattr(bayes, "PAIRS", 1000)
+    monkeypatch.setattr(bayes.np, "repeat", lambda x, n: made.append(np.sum(n)) or true(x, n))
+    assert np.array_equal(a.scores(bags), want)
+    assert max(made[1:]) <= 1000 and len(made) > 10
