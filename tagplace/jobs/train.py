@@ -57,7 +57,11 @@ def fold_models(rows: DataFrame, labels: DataFrame, folds: int, leaky: bool = Fa
     (``leaky``: the total). ``rows`` are (id, tags, fold), ``labels`` (id, label), or (model, id, label) where every
     fold has clusters of its own.
     """
-    occurrences = rows.select("id", "fold", F.explode("tags").alias("tag"))
+    # rows meet their labels as bags, before they are a row a tag
+    bags = rows.select("id", "fold", "tags").join(labels, "id")
+    if "model" in labels.columns and not leaky:
+        bags = bags.where("model <> fold")
+    occurrences = bags.withColumn("tag", F.explode("tags")).drop("tags")
     own = F.array(*[F.sum((F.col("fold") == k).cast("long")) for k in range(folds)])
 
     def counted(table: DataFrame, *by: str) -> DataFrame:
@@ -69,7 +73,7 @@ def fold_models(rows: DataFrame, labels: DataFrame, folds: int, leaky: bool = Fa
         n = table.groupBy(*by).agg(F.count("*").alias("n"), own.alias("own"))
         return n.select(*by, F.posexplode(F.transform("own", less)).alias("model", "n")).where("n > 0").select("model", *by, "n")
 
-    counts = settled(counted(occurrences.join(labels, "id"), "label", "tag"), "counts")
+    counts = settled(counted(occurrences, "label", "tag"), "counts")
     sizes = settled(counted(rows.select("id", "fold").join(labels, "id"), "label"), "sizes")
     # a row for each fold
     totals = sizes.groupBy("model").agg(F.sum("n").alias("rows"), F.count("*").alias("labels"))
@@ -80,7 +84,7 @@ def fold_models(rows: DataFrame, labels: DataFrame, folds: int, leaky: bool = Fa
     totals = totals.join(terms.groupBy("model").agg(F.count("*").alias("known")), "model", "left").fillna(0, ["known"])
     classes = sizes.join(weights, ["model", "label"], "left").join(F.broadcast(totals), "model").withColumn("sum_w", F.coalesce("sum_w", F.lit(0.0)))
     classes = settled(classes.select("model", "label", "n", "sum_w", log_prior(F.col("n"), F.col("rows"), F.col("labels"), lam).alias("pi"), class_denom(F.col("sum_w"), F.col("known"), lam).alias("log_denom")), "classes")
-    return {"terms": terms, "classes": classes, "theta": settled(class_theta(sums, lam), "theta")}
+    return {"terms": terms, "classes": classes, "theta": class_theta(sums, lam)}
 
 
 def fold_rates(media: DataFrame, folds: int = 5, per_class: int = 1000, seed: int = 42, levels: tuple[int, ...] = LEVELS, leaky: bool = False, centers: DataFrame | None = None, max_iter: int = 50) -> DataFrame:
