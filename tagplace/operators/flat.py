@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import strip_braces_split
 from ..functions.scores import normalise
-from ..sources.models import numbered
-from .bayes import MAX_CLASSES
+from ..sources.models import numbered, settled
+from .bayes import MAX_CLASSES, Scorer, score_bags
 
-SMOOTHING = 0.001
+#: Classes whose sums of logarithms are equal to so many digits rank by number.
+SMOOTHING, DECIMALS = 0.001, 9
 
 
 def class_tag_counts(model: DataFrame) -> DataFrame:
@@ -61,10 +62,15 @@ def classify_counts(classes: DataFrame, counts: DataFrame, requests: DataFrame,
     of many tags are too small for a double, so classes rank by the sum of logarithms and confidence is shared
     relative to the best. A request without tags has no rows. Equal posteriors rank by class_no, each class once; a
     class without tags, or unsmoothed with a tag it never had, has posterior 0, and if all have, so has every
-    confidence. Requests meet classes by the tags they share; what the other tags add depends on their number only.
+    confidence. Smoothed, requests are scored in tasks, as by the sparse model; unsmoothed, they meet classes by the
+    tags they share, and what the other tags add depends on their number only.
     """
     k = smoothing or 0.0
     asked = requests.where(F.size("tags") > 0)
+    usable = classes.where((F.col("prior") > 0) & (F.col("size") + k > 0))
+    # with fewer classes than are asked for, those with posterior 0 follow
+    if k > 0 and usable.count() >= n:
+        return _smoothed(usable, counts, asked, n, k)
     shared = asked.select("id", F.explode("tags").alias("tag")).join(counts, "tag").groupBy("id", "class_no").agg(F.count("*").alias("hits"), F.sum(F.log(F.col("n") + k)).alias("logs"))
     every = classes.agg(F.collect_list(F.struct(F.col("class_no").cast("long").alias("class_no"), "class", "lat", "lon", F.coalesce("prior", F.lit(0.0)).alias("prior"), "size")).alias("every"))
     # classes travel as one array, to every task if they are few
@@ -75,7 +81,21 @@ def classify_counts(classes: DataFrame, counts: DataFrame, requests: DataFrame,
     known = (F.col("prior") > 0) & (F.col("size") + k > 0) & ((misses == 0) | F.lit(k > 0))
     log_p = F.log("prior") + F.coalesce("logs", F.lit(0.0)) + misses * F.lit(math.log(k) if k else 0.0) - F.col("asked") * F.log(F.col("size") + k)
     scored = both.withColumn("log_p", F.when(known, log_p))
-    by = W.partitionBy("id").orderBy(F.desc_nulls_last(F.round("log_p", 9)), "class_no")
+    by = W.partitionBy("id").orderBy(F.desc_nulls_last(F.round("log_p", DECIMALS)), "class_no")
     weight = F.coalesce(F.exp(F.col("log_p") - F.max("log_p").over(W.partitionBy("id"))), F.lit(0.0))
     out = scored.withColumn("weight", weight).select("id", "class_no", "class", "lat", "lon", normalise(F.col("weight"), "id").alias("confidence"), F.row_number().over(by).alias("rank"))
     return out.where(F.col("rank") <= n)
+
+
+def _smoothed(classes: DataFrame, counts: DataFrame, asked: DataFrame, n: int, k: float) -> DataFrame:
+    """``classify_counts`` of requests with tags, for classes that have a posterior: log prior + sum over all tags of
+    log(k / (size + k)) + sum over shared ones of log((n + k) / k) is the sparse model's score with weights of 1. Only
+    counts of tags that were asked for are sent."""
+    null = F.lit("\0")  # a null tag counts as a miss
+    bags = settled(asked.select("id", F.transform("tags", lambda t: F.coalesce(t, null)).alias("tags")), "asked")
+    terms = settled(bags.select(F.explode("tags").alias("tag")).distinct().withColumn("weight", F.lit(1.0)), "terms")
+    own = settled(numbered(classes.orderBy("class_no"), "label").withColumn("label", F.col("label").cast("int")), "classes")
+    theta = counts.where(F.col("tag") != null).join(terms, "tag", "left_semi").join(own.select("class_no", "label"), "class_no").select("tag", "label", F.log(F.col("n") + k).alias("log_w"))
+    model = {"classes": own.select("label", F.log("prior").alias("pi"), F.log(F.col("size") + k).alias("log_denom")), "theta": settled(theta, "theta")}
+    best = score_bags(bags, Scorer(terms, model, k, DECIMALS), n)
+    return best.join(own, "label").select("id", F.col("class_no").cast("long").alias("class_no"), "class", "lat", "lon", F.col("probability").alias("confidence"), "rank")

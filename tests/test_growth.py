@@ -79,3 +79,21 @@ def test_a_batch_of_long_bags_is_scored_in_parts(monkeypatch):
     monkeypatch.setattr(bayes.np, "repeat", lambda x, n: made.append(np.sum(n)) or true(x, n))
     assert np.array_equal(a.scores(bags), want)
     assert max(made[1:]) <= 1000 and len(made) > 10
+
+
+def test_smoothed_flat_classes_are_scored_in_tasks(spark, monkeypatch):
+    from tagplace.operators import bayes, flat
+
+    classes = spark.createDataFrame([(2**40 + i, f"c{i}", 0.0 if i == 4 else (i + 1) / 50, float(i), -float(i), 0 if i == 5 else 4 * i + 3) for i in range(9)], "class_no long, class string, prior double, lat double, lon double, size long")
+    counts = spark.createDataFrame([(2**40 + i, f"t{j}", (i * j) % 4 + 1) for i in range(9) for j in range(i, 12)] + [(2**40, None, 3)], "class_no long, tag string, n long")
+    bags = [[f"t{j % 14}" for j in range(i, 2 * i)] + ([None, "t1", "t1"] if i % 3 else []) for i in range(12)]
+    asked = spark.createDataFrame(list(enumerate(bags)) + [(99, None)], "id long, tags array<string>")
+    rows = lambda d: sorted((r.id, r["rank"], r.class_no, r["class"], r.lat, r.lon, round(r.confidence, 9)) for r in d.collect())
+    # with more classes asked for than there are, all are joined
+    want = rows(flat.classify_counts(classes, counts, asked, 100, flat.SMOOTHING).where("rank <= 3"))
+    made = flat.classify_counts(classes, counts, asked, 3, flat.SMOOTHING)
+    assert len(want) == 33 and rows(made) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Window" not in plan
+    monkeypatch.setattr(bayes, "MAX_THETA", 20)
+    assert rows(flat.classify_counts(classes, counts, asked, 3, flat.SMOOTHING)) == want
