@@ -97,3 +97,18 @@ def test_smoothed_flat_classes_are_scored_in_tasks(spark, monkeypatch):
     assert "MapInArrow" in plan and "Generate" not in plan and "Window" not in plan
     monkeypatch.setattr(bayes, "MAX_THETA", 20)
     assert rows(flat.classify_counts(classes, counts, asked, 3, flat.SMOOTHING)) == want
+
+
+def test_occurrences_of_tags_stay_where_they_are(spark, monkeypatch):
+    from tagplace.operators import terms
+
+    known = spark.createDataFrame([(f"t{i}", 9, i / 3) for i in range(20)], "tag string, n long, weight double").persist()
+    rows = lambda d: sorted((r.id, r.tag, round(r.w, 9)) for r in d.collect())
+    once = [(i, [f"t{j}" for j in range(i, i + 5)] + [None, "x"]) for i in range(18)]
+    for data, shuffled in ((once, False), ([*once, (3, ["t1", "t9"])], True), ([*once, (30, ["t1", "t1", "t2"])], True)):
+        docs = spark.createDataFrame(data, "id long, tags array<string>")
+        made = terms.idf_transform(docs, known)
+        assert ("hashpartitioning" in made._jdf.queryExecution().executedPlan().toString()) == shuffled
+        with monkeypatch.context() as m:
+            m.setattr(terms, "MAX_TERMS", 0)
+            assert rows(made) == rows(terms.idf_transform(docs, known))
