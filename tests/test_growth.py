@@ -112,3 +112,28 @@ def test_occurrences_of_tags_stay_where_they_are(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(terms, "MAX_TERMS", 0)
             assert rows(made) == rows(terms.idf_transform(docs, known))
+
+
+def test_fit_reads_labelled_rows_once(spark):
+    from tagplace.operators import bayes
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    data = [(i, i % 3, None if i % 5 == 0 else [f"t{i % 4}", None, "t9"]) for i in range(60)]
+    labelled = spark.createDataFrame(data, "id long, label int, tags array<string>").mapInArrow(counting, "id long, label int, tags array<string>")
+    known = spark.createDataFrame([("t0", 0.5), ("t1", 1.5), ("t9", -0.1)], "tag string, weight double")
+    model = bayes.nb_fit_bags(labelled, known, 3)
+    assert sorted((r.label, r.n) for r in model["classes"].collect()) == [(0, 20), (1, 20), (2, 20)]
+    theta = {(r.label, r.tag): round(r.sum_w, 9) for r in model["theta"].collect()}
+    want = {}
+    for _, label, tags in data:
+        for t in tags or []:
+            if w := {"t0": 0.5, "t1": 1.5, "t9": -0.1}.get(t):
+                want[label, t] = want.get((label, t), 0.0) + w
+    assert theta == {k: round(v, 9) for k, v in want.items() if v > -1}
+    assert seen.value == 60
