@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import _B, _E2, _EP2, AXIS, surface_point
 from ..sources.models import settled
@@ -245,5 +246,8 @@ def cell_polygons(centers: DataFrame, **sizes) -> DataFrame:
 
 
 def cells_of(centers: DataFrame) -> DataFrame:
-    """label, lat, lon, ring."""
-    return cell_centers(centers).select("label", "lat", "lon").join(cell_polygons(centers), "label")
+    """label, lat, lon, ring; fewer than four distinct centres have no hull, so their rings are null."""
+    points = cell_centers(centers).select("label", "lat", "lon")
+    if _placed(centers).where("label = home").count() < 4:
+        return points.withColumn("ring", F.lit(None).cast(T.StructType.fromDDL(RING)["ring"].dataType))
+    return points.join(cell_polygons(centers), "label")

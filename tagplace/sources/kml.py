@@ -20,8 +20,8 @@ def _framed(parts: DataFrame) -> DataFrame:
 
 
 def cells_kml(cells: DataFrame) -> DataFrame:
-    """section, sort, value of one Placemark per cell (label, ring)."""
-    return _framed(cells.select(F.lit(5).alias("section"), F.lpad(F.col("label").cast("string"), 12, "0").alias("sort"), F.format_string(_POLYGON, ring_text(F.col("ring"))).alias("value")))
+    """section, sort, value of one Placemark per cell (label, ring) that has a ring."""
+    return _framed(cells.where(F.col("ring").isNotNull()).select(F.lit(5).alias("section"), F.lpad(F.col("label").cast("string"), 12, "0").alias("sort"), F.format_string(_POLYGON, ring_text(F.col("ring"))).alias("value")))
 
 
 def points_kml(points: DataFrame) -> DataFrame:
