@@ -137,3 +137,35 @@ def test_fit_reads_labelled_rows_once(spark):
                 want[label, t] = want.get((label, t), 0.0) + w
     assert theta == {k: round(v, 9) for k, v in want.items() if v > -1}
     assert seen.value == 60
+
+
+def test_first_seen_sorts_no_frame(monkeypatch):
+    """A key costs a look at its rows: most have one, and there is a call for each."""
+    import pandas as pd
+
+    from tagplace.streaming.jobs import FirstSeen
+
+    class Seen:
+        def __init__(self, known):
+            self.known = known
+
+        def exists(self):
+            return self.known
+
+        def update(self, value):
+            self.known = True
+
+    names = ["always", "o1", "o2", "o3", "value"]
+    rows = [(False, 1, 0, 2, "b"), (True, 9, 1, 0, "d"), (True, 9, 0, 5, "c"), (False, 1, 0, 2, "a")]
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda *a, **k: 1 / 0)
+
+    def first(known, *frames):
+        f = FirstSeen()
+        f.seen = Seen(known)
+        out = [tuple(r) for made in f.handleInputRows(("media", 7), iter([pd.DataFrame(x, columns=names) for x in frames]), None) for r in made.itertuples(index=False)]
+        assert f.seen.known
+        return out
+
+    assert first(False, rows[:1], rows[3:]) == [("media", 7, "a")]
+    assert first(False, rows[:2], rows[2:]) == first(True, rows) == [("media", 7, "c")]
+    assert first(True, rows[:1], rows[3:]) == []
