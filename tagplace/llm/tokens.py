@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import sized
+from .common import sized, trim
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -26,8 +26,9 @@ _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPACES = r"\t\n\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = r"  | \n|\n |^ | $|[" + _SPACES.replace(r"\n", "") + "]"
 _SPACE_LAST, _LETTER_LAST = rf"[ {_SPACES}]\z", r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]\z"
-#: Bytes of the longest word that is remembered for long; bytes of text that are encoded together.
-MAX_WORD, BATCH_BYTES = 64, 4 << 20
+#: Bytes of the longest word that is remembered for long; bytes of text, and new words, that are encoded together (the
+#: tokenizers library takes some hundred bytes for each of text).
+MAX_WORD, BATCH_BYTES, NEW_WORDS = 64, 2 << 20, 2000
 
 
 def default_tokenizer() -> str:
@@ -77,7 +78,7 @@ class Words:
 class PieceEncoder:
     """Ids of whole texts. ``max_words`` bounds the memory, about 50 bytes a word."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -97,8 +98,12 @@ class PieceEncoder:
         return np.array([i for x in ids for i in x], "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words with a space before each, ``NEW_WORDS`` at a time."""
+        made = [self._joined(words.slice(a, NEW_WORDS).to_pylist()) for a in range(0, len(words), NEW_WORDS)]
+        return np.concatenate([ids for ids, _ in made]), np.concatenate([size for _, size in made])
+
+    def _joined(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of words with a space before each, encoded as one text where no word holds a space."""
-        own = words.to_numpy(zero_copy_only=False).tolist()
         if not any(" " in w for w in own):
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.starts[ids])
@@ -177,4 +182,5 @@ def encoded(path: str, batches: Iterator[pa.RecordBatch], column: str, end_id: i
     enc = encoder(path)
     for rows in sized(batches, column, BATCH_BYTES):
         ids, counts = enc.encode(rows.column(column).combine_chunks())
+        trim()  # before the rows go on, and so after the last ones too
         yield rows.drop_columns([column]), np.insert(ids, np.cumsum(counts), end_id).astype("<u4"), counts + 1

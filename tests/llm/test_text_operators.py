@@ -109,6 +109,23 @@ def test_pieces_equal_library():
     assert counts.tolist() == [0, 0, 1] and len(ids) == 1
 
 
+def test_new_words_are_encoded_some_at_a_time():
+    class Spy:
+        def __init__(self, tok):
+            self.tok, self.longest = tok, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.longest = max(self.longest, sum(map(len, texts)))
+            return self.tok.encode_batch_fast(texts, **options)
+
+    e = tokens.PieceEncoder(tokens.default_tokenizer())
+    text = " ".join(f"w{i}" for i in range(40_000))
+    e.tok = spy = Spy(e.tok)
+    ids, counts = e.encode(pa.array([text], pa.string()))
+    assert spy.longest < 20_000  # the library takes memory for each character
+    assert ids.tobytes() == np.array(spy.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() and counts.tolist() == [len(ids)]
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 59, 60, 61, 241, 3000):
