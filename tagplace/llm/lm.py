@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -153,9 +153,13 @@ def _spread(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Distinct indices in order, and the sums of the rows of ``values`` by them."""
     # narrow integers are sorted by radix
     order = np.argsort(index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index, kind="stable")
-    rows = index[order]
-    at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[at], np.add.reduceat(values[order], at, axis=0)
+    rows, width = index[order], values.shape[1]
+    first = np.concatenate([[True], rows[1:] != rows[:-1]])
+    place = np.empty(len(rows), np.int64)
+    place[order] = (np.cumsum(first) - 1) * width
+    n = int(first.sum())
+    sums = np.bincount((place[:, None] + np.arange(width)).ravel(), values.ravel(), n * width)
+    return rows[first], sums.reshape(n, width).astype(values.dtype)
 
 
 def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarray, rate: float = RATE) -> Params:
@@ -232,9 +236,10 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
     return p
 
 
-def _exact(x: np.ndarray) -> np.ndarray:
-    """Multiples of 2 ** -16: sums of their products have no rounding in doubles (below 2 ** 20), in any order."""
-    return np.round(x.astype(np.float64) * 65536) / 65536
+def _exact(x: np.ndarray, bits: int) -> np.ndarray:
+    """Multiples of 2 ** -bits. Sums of products of two have no rounding, in any order, in single precision for 9 bits
+    (below 64) and in doubles for 16 (below 2 ** 20)."""
+    return np.round(x.astype(np.float64) * 2**bits) / 2**bits
 
 
 class Scorer:
@@ -246,25 +251,33 @@ class Scorer:
 
     def __init__(self, p: Params, cls_of: np.ndarray):
         self.cls_of = cls_of
-        # what each token before a word adds to the hidden state
-        self.r1, self.r2 = _exact(p.r @ p.c1), _exact(p.r @ p.c2)
-        p = replace(p, qc=_exact(p.qc), bc=_exact(p.bc), q=_exact(p.q), b=_exact(p.b))
         self.groups = [np.flatnonzero(cls_of == c) for c in range(len(p.bc))]
         self.slot = np.zeros(len(cls_of), np.int64)
         for g in self.groups:
             self.slot[g] = np.arange(len(g))
+        self._round(p, 9, np.float32)
+        if self.large:
+            self._round(p, 16, np.float64)
+
+    def _round(self, p: Params, bits: int, kind: type) -> None:
+        # what each token before a word adds to the hidden state
+        self.r1, self.r2 = (_exact(p.r @ c, bits).astype(kind) for c in (p.c1, p.c2))
+        qc, q = _exact(p.qc, bits), _exact(p.q, bits)
+        # biases stand beside a one, so they keep as many bits as a product has
+        bc, b = _exact(p.bc, 2 * bits), _exact(p.b, 2 * bits)
         # biases as one more row of each matrix
-        self.top = np.vstack([p.qc.T, p.bc])
-        self.within = [np.vstack([p.q[g].T, p.b[g]]) for g in self.groups]
-        longest = lambda x: math.sqrt(np.einsum("md,md->m", x, x).max(initial=0.0))
-        # logits that may be too large to exponentiate are brought down first: a matter of the model, not of the rows
-        self.large = math.hypot(longest(self.r1) + longest(self.r2), 1) * max(longest(q.T) for q in [self.top, *self.within]) > 60
+        self.top = np.vstack([qc.T, bc]).astype(kind)
+        self.within = [np.vstack([q[g].T, b[g]]).astype(kind) for g in self.groups]
+        longest = lambda x: math.sqrt(np.einsum("md,md->m", x, x, dtype=np.float64).max(initial=0.0))
+        # logits that may be too large to exponentiate are brought down first, and doubles have them exactly: a matter of
+        # the model, not of the rows
+        self.large = math.hypot(longest(self.r1) + longest(self.r2), 1) * max(longest(x.T) for x in [self.top, *self.within]) > 60
 
     def _log_softmax_at(self, h: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Blocks stay in the processor's cache; a row's result does not depend on its block."""
-        out, step = np.empty(len(h), np.float32), max(64, 400_000 // max(1, q.shape[1]))
+        out, step = np.empty(len(h), np.float32), max(64, 200_000 // max(1, q.shape[1]))
         for a in range(0, len(h), step):
-            logits = (h[a : a + step] @ q).astype(np.float32)
+            logits = (h[a : a + step] @ q).astype(np.float32, copy=False)
             own = logits[np.arange(len(logits)), at[a : a + step]]
             if self.large:
                 most = logits.max(1)
@@ -284,7 +297,7 @@ class Scorer:
             c = self.cls_of[y]
             order = np.argsort(c.astype(np.uint16) if len(self.groups) < 1 << 16 else c, kind="stable")
             y, c = y[order], c[order]
-            h = np.ones((len(y), DIM + 1))
+            h = np.ones((len(y), DIM + 1), self.top.dtype)
             h[:, :DIM] = self.r1[u[a : a + TOKENS][order]] + self.r2[v[a : a + TOKENS][order]]
             part = self._log_softmax_at(h, self.top, c).astype(np.float64)
             cuts = np.searchsorted(c, np.arange(len(self.groups) + 1))
@@ -425,7 +438,7 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     c = F.coalesce("c", F.lit(0))
     # decimals add up to the same sum in any order
     exact = lambda x: F.sum(x.cast("decimal(38,15)")).cast("double")
-    tails = tail.join(counts, "word", "left").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_known"), exact(F.col("k") * F.log10(c + 1)).alias("logs"), exact(F.col("k") * F.log10(c + addend)).alias("rares"))
+    tails = tail.join(counts.hint("shuffle_hash"), "word", "left").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_known"), exact(F.col("k") * F.log10(c + 1)).alias("logs"), exact(F.col("k") * F.log10(c + addend)).alias("rares"))
     log_n, log_rare = float(np.log10(total + distinct + 1)), float(np.log10(rare + addend * (kinds + 1)))
     out = scored.join(tails, "row", "left")
     logs, rares, k = F.coalesce("logs", F.lit(0.0)), F.coalesce("rares", F.lit(0.0)), F.coalesce("k", F.lit(0))

@@ -507,6 +507,25 @@ def test_lm_beats_counts_on_held_out_rows(spark, sf):
     assert s[0] > s[1]
 
 
+def test_lm_scores_in_exact_single_precision():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(1, 1000, 400).astype(float)
+    cls_of = lm.make_classes(counts, 20)
+    scorer = lm.Scorer(lm.Params.start(counts, cls_of, 20), cls_of)
+    assert scorer.top.dtype == np.float32 and not scorer.large
+    h = np.hstack([scorer.r1 + scorer.r2[::-1], np.ones((400, 1), np.float32)])
+    for q in [scorer.top, *scorer.within]:
+        assert (h @ q == h.astype(np.float64) @ q.astype(np.float64)).all()
+        assert (h @ q == h[:, ::-1] @ q[::-1]).all() and (h[7:8] @ q == (h @ q)[7:8]).all()
+    index, values = rng.integers(0, 50, 300), rng.standard_normal((300, 3)).astype(np.float32)
+    rows, sums = lm._spread(index, values)
+    assert rows.tolist() == np.unique(index).tolist() and np.allclose(sums, [values[index == i].sum(0) for i in rows], atol=1e-5)
+    p = lm.Params.start(counts, cls_of, 20)
+    p.q *= 1000
+    large = lm.Scorer(p, cls_of)
+    assert large.large and large.top.dtype == np.float64 and np.isfinite(large.log_probs(np.array([5, 6, 1]))).all()
+
+
 def test_lm_score_of_equal_texts(spark):
     """Equal texts have equal scores, whatever stands beside them, however the table is dealt and read; long texts too."""
     docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
