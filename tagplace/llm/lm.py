@@ -43,8 +43,8 @@ END, HEAD, DIM = b"", 60_000, 16
 ROUNDS, BATCH, NOISE, RATE = 3, 2048, 8, 3.0
 #: Noise classes that a minibatch shares; rows of parameters in a block that is sent.
 NOISE_CLASSES, BLOCK = 16, 1024
-#: Tokens that are scored at a time.
-TOKENS = 1 << 17
+#: Tokens that are scored at a time; tokens of one class whose noise words are met by one small product in training.
+TOKENS, CHUNK = 1 << 18, 16
 #: Reserved ids: rare words, end of text (also what stands before a text's first word).
 RARE, STOP = 0, 1
 
@@ -167,6 +167,7 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
 
     Noise classes are drawn from class frequencies and shared by a minibatch; the ``NOISE`` noise words of a class
     are drawn from the word frequencies there and shared by its tokens of the minibatch. Only touched rows are updated.
+    All noise words of a class of one are its word, so these tokens need no product with noise.
     """
     classes = len(p.bc)
     rng = np.random.default_rng(len(ids))
@@ -188,15 +189,19 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
         rows, sums = _spread(index, values)
         sums /= m
         for name, g in zip(names, (sums[:, :DIM], sums[:, -1])):
-            s = squares[name][rows] + g * g
+            s = squares[name][rows]
+            s += g * g
             squares[name][rows] = s
-            getattr(p, name)[rows] += rate * 0.3 * g / np.sqrt(s)
+            np.divide(g, np.sqrt(s, out=s), out=s)
+            s *= rate * 0.3
+            getattr(p, name)[rows] += s
 
     def turn(name, g, m):
         squares[name] += (g / m) ** 2
         getattr(p, name)[:] += rate * 0.02 * (g / m) / np.sqrt(squares[name])
 
     ln_k, ln_w = np.float32(np.log(NOISE_CLASSES)), np.float32(np.log(NOISE))
+    several = np.diff(cuts) > 1
     for a in range(0, len(ids), BATCH):
         # tokens in order of their classes
         order = np.argsort(cls_of[ids[a : a + BATCH]].astype(np.int32), kind="stable")
@@ -212,27 +217,37 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
         e1 = 1 - sig(np.einsum("md,md->m", x, own_c) + p.bc[c] - log_c[c] - ln_k)
         e0 = -sig(x @ noise_q.T + (p.bc[kc] - log_c[kc] - ln_k))
         gh = e1[:, None] * own_c + e0 @ noise_q
-        # word within its class: one true and NOISE noise words for each token
         first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        there, spans = c[first], list(enumerate(zip(first.tolist(), [*first[1:].tolist(), m])))
-        at = np.searchsorted(ends, low[there, None] + rng.random((len(there), NOISE)) * wide[there, None], side="right")
-        kw = by_class[np.clip(at, cuts[there, None], cuts[there + 1, None] - 1)]
-        own_q, q0 = p.q[y], np.concatenate([p.q[kw], (p.b[kw] - log_w[kw] - ln_w)[:, :, None]], axis=2)
-        d1 = 1 - sig(np.einsum("md,md->m", x, own_q) + p.b[y] - log_w[y] - ln_w)
-        d0, noise = np.empty((m, NOISE), np.float32), np.empty((len(there), NOISE, DIM + 1), np.float32)
-        for j, (s, t) in spans:
-            np.matmul(h[s:t], q0[j].T, out=d0[s:t])
-        d0 = -sig(d0)
+        there, sizes = c[first], np.diff(np.concatenate([first, [m]]))
+        # word within its class: one true and NOISE noise words for each token
+        own_q = p.q[y]
+        logit = np.einsum("md,md->m", x, own_q) + p.b[y] - log_w[y] - ln_w
+        d1 = 1 - sig(logit)
+        alone = ~several[c]
+        d1[alone] -= NOISE * sig(logit[alone])
         gh += d1[:, None] * own_q
-        for j, (s, t) in spans:
-            gh[s:t] += d0[s:t] @ q0[j, :, :DIM]
-            np.matmul(d0[s:t].T, h[s:t], out=noise[j])
+        # noise where a class has several words: its tokens go in chunks, padded with zeros, all in one stacked product
+        own = np.flatnonzero(~alone)
+        many = several[there]
+        met, n = there[many], sizes[many]
+        at = np.searchsorted(ends, low[met, None] + rng.random((len(met), NOISE)) * wide[met, None], side="right")
+        kw = by_class[np.clip(at, cuts[met, None], cuts[met + 1, None] - 1)]
+        chunks = -(-n // CHUNK)
+        of = np.repeat(np.arange(len(met)), chunks)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(chunks) - chunks) * CHUNK, n)
+        held = np.zeros((len(of) * CHUNK, DIM + 1), np.float32)
+        held[place] = h[own]
+        held = held.reshape(-1, CHUNK, DIM + 1)
+        q0 = np.concatenate([p.q[kw], (p.b[kw] - log_w[kw] - ln_w)[:, :, None]], axis=2)[of]
+        d0 = -sig(held @ q0.transpose(0, 2, 1))
+        gh[own] += (d0 @ q0[:, :, :DIM]).reshape(-1, DIM)[place]
+        noise = d0.transpose(0, 2, 1) @ held
         g1, g2 = r1.T @ gh, r2.T @ gh
         step(("r",), np.concatenate([h1, h2]), np.concatenate([gh @ p.c1.T, gh @ p.c2.T]), m)
         turn("c1", g1, m)
         turn("c2", g2, m)
         step(("qc", "bc"), np.concatenate([there, kc]), np.concatenate([np.add.reduceat(e1[:, None] * h, first, axis=0), e0.T @ h]), m)
-        step(("q", "b"), np.concatenate([y, kw.ravel()]), np.concatenate([d1[:, None] * h, noise.reshape(-1, DIM + 1)]), m)
+        step(("q", "b"), np.concatenate([y[first][~many], y[own], kw[of].ravel()]), np.concatenate([np.add.reduceat(d1[:, None] * h, first, axis=0)[~many], d1[own, None] * h[own], noise.reshape(-1, DIM + 1)]), m)
     return p
 
 
@@ -252,9 +267,7 @@ class Scorer:
     def __init__(self, p: Params, cls_of: np.ndarray):
         self.cls_of = cls_of
         self.groups = [np.flatnonzero(cls_of == c) for c in range(len(p.bc))]
-        self.slot = np.zeros(len(cls_of), np.int64)
-        for g in self.groups:
-            self.slot[g] = np.arange(len(g))
+        self.several = np.bincount(cls_of, minlength=len(p.bc)) > 1
         self._round(p, 9, np.float32)
         if self.large:
             self._round(p, 16, np.float64)
@@ -268,23 +281,26 @@ class Scorer:
         # biases as one more row of each matrix
         self.top = np.vstack([qc.T, bc]).astype(kind)
         self.within = [np.vstack([q[g].T, b[g]]).astype(kind) for g in self.groups]
+        # the same in rows, to look up single classes and words
+        self.classes, self.words = self.top.T.copy(), np.hstack([q, b[:, None]]).astype(kind)
         longest = lambda x: math.sqrt(np.einsum("md,md->m", x, x, dtype=np.float64).max(initial=0.0))
         # logits that may be too large to exponentiate are brought down first, and doubles have them exactly: a matter of
         # the model, not of the rows
-        self.large = math.hypot(longest(self.r1) + longest(self.r2), 1) * max(longest(x.T) for x in [self.top, *self.within]) > 60
+        self.large = math.hypot(longest(self.r1) + longest(self.r2), 1) * max(longest(self.classes), longest(self.words)) > 60
 
-    def _log_softmax_at(self, h: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Blocks stay in the processor's cache; a row's result does not depend on its block."""
-        out, step = np.empty(len(h), np.float32), max(64, 200_000 // max(1, q.shape[1]))
+    def _log_sum(self, h: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum of exponentials of each row's logits. Blocks stay in the processor's
+        cache. A column is a row's and is added up from top to bottom, so its result does not depend on its block; a
+        single column would be added up in pairs, so it stands twice."""
+        out, step = np.empty(len(h)), max(64, 100_000 // max(1, q.shape[1]))
         for a in range(0, len(h), step):
-            logits = (h[a : a + step] @ q).astype(np.float32, copy=False)
-            own = logits[np.arange(len(logits)), at[a : a + step]]
+            own = h[a : a + step] if len(h) - a > 1 else np.repeat(h[a:], 2, axis=0)
+            logits = (q.T @ own.T).astype(np.float32, copy=False)
+            most = logits.max(0) if self.large else np.float32(0)
             if self.large:
-                most = logits.max(1)
-                logits -= most[:, None]
-                own -= most
+                logits -= most
             np.exp(logits, out=logits)
-            out[a : a + step] = own - np.log(logits.sum(1))
+            out[a : a + step] = (np.log(logits.sum(0)) + most.astype(np.float64))[: len(h) - a]
         return out
 
     def log_probs(self, ids: np.ndarray) -> np.ndarray:
@@ -293,18 +309,24 @@ class Scorer:
         v = np.where(u == STOP, STOP, np.concatenate([[STOP, STOP], ids[:-2]])[: len(ids)])
         out = np.zeros(len(ids))
         for a in range(0, len(ids), TOKENS):
-            y = ids[a : a + TOKENS]
+            y, own = ids[a : a + TOKENS], slice(a, a + TOKENS)
             c = self.cls_of[y]
-            order = np.argsort(c.astype(np.uint16) if len(self.groups) < 1 << 16 else c, kind="stable")
-            y, c = y[order], c[order]
-            h = np.ones((len(y), DIM + 1), self.top.dtype)
-            h[:, :DIM] = self.r1[u[a : a + TOKENS][order]] + self.r2[v[a : a + TOKENS][order]]
-            part = self._log_softmax_at(h, self.top, c).astype(np.float64)
-            cuts = np.searchsorted(c, np.arange(len(self.groups) + 1))
-            for k in np.unique(c):
-                own = slice(cuts[k], cuts[k + 1])
-                part[own] += self._log_softmax_at(h[own], self.within[k], self.slot[y[own]])
-            out[a + order] = part
+            # the sum over classes is the context's alone
+            met = pa.array(u[own] * len(self.cls_of) + v[own]).dictionary_encode()
+            context, at = np.divmod(met.dictionary.to_numpy(), len(self.cls_of)), met.indices.to_numpy()
+            h = np.ones((len(context[0]), DIM + 1), self.top.dtype)
+            h[:, :DIM] = self.r1[context[0]] + self.r2[context[1]]
+            part = np.einsum("md,md->m", h[at], self.classes[c]) - self._log_sum(h, self.top)[at]
+            # a word that is alone in its class is certain there
+            some = np.flatnonzero(self.several[c])
+            some = some[np.argsort(c[some].astype(np.uint16) if len(self.groups) < 1 << 16 else c[some], kind="stable")]
+            hs, ys, cs = h[at[some]], y[some], c[some]
+            within = np.einsum("md,md->m", hs, self.words[ys]).astype(np.float64)
+            first = np.flatnonzero(np.concatenate([[True], cs[1:] != cs[:-1]])) if len(cs) else []
+            for s, t in zip(first, [*first[1:], len(cs)]):
+                within[s:t] -= self._log_sum(hs[s:t], self.within[cs[s]])
+            part[some] += within
+            out[own] = part
         return out
 
 
@@ -436,9 +458,9 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     scored = encoded.select(*own, "ids").mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, rare_head double, n_rare long, lm double")
     tail = encoded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.k")
     c = F.coalesce("c", F.lit(0))
-    # decimals add up to the same sum in any order
-    exact = lambda x: F.sum(x.cast("decimal(38,15)")).cast("double")
-    tails = tail.join(counts.hint("shuffle_hash"), "word", "left").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_known"), exact(F.col("k") * F.log10(c + 1)).alias("logs"), exact(F.col("k") * F.log10(c + addend)).alias("rares"))
+    # whole numbers add up to the same sum in any order: whole parts, and the rest in units of 2 ** -34
+    whole = lambda x: F.sum(F.floor(x)).cast("double") + F.sum(F.floor((x - F.floor(x)) * float(1 << 34) + 0.5)) / float(1 << 34)
+    tails = tail.join(counts.hint("shuffle_hash"), "word", "left").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_known"), whole(F.col("k") * F.log10(c + 1)).alias("logs"), whole(F.col("k") * F.log10(c + addend)).alias("rares"))
     log_n, log_rare = float(np.log10(total + distinct + 1)), float(np.log10(rare + addend * (kinds + 1)))
     out = scored.join(tails, "row", "left")
     logs, rares, k = F.coalesce("logs", F.lit(0.0)), F.coalesce("rares", F.lit(0.0)), F.coalesce("k", F.lit(0))

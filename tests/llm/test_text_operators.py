@@ -526,6 +526,46 @@ def test_lm_scores_in_exact_single_precision():
     assert large.large and large.top.dtype == np.float64 and np.isfinite(large.log_probs(np.array([5, 6, 1]))).all()
 
 
+def test_lm_contexts_are_summed_once_and_words_alone_in_a_class_are_certain(monkeypatch):
+    rng = np.random.default_rng(2)
+    # word 0 is alone in its class
+    counts = np.concatenate([[5000.0, 100], rng.integers(1, 60, 200)])
+    cls_of = lm.make_classes(counts, 15)
+    assert (cls_of == cls_of[0]).sum() == 1
+    p = lm.Params.start(counts, cls_of, 15)
+    scorer, asked = lm.Scorer(p, cls_of), []
+    ids = np.concatenate([np.where(rng.random(3000) < 0.6, 0, rng.integers(2, 202, 3000)), [lm.STOP]])
+    monkeypatch.setattr(lm.Scorer, "_log_sum", lambda self, h, q, made=lm.Scorer._log_sum: asked.append((len(h), q.shape[1])) or made(self, h, q))
+    got = scorer.log_probs(ids)
+    u, v = np.concatenate([[1], ids[:-1]]), np.where(np.concatenate([[1], ids[:-1]]) == 1, 1, np.concatenate([[1, 1], ids[:-2]])[: len(ids)])
+    assert asked[0] == (len(set(zip(u.tolist(), v.tolist()))), 15) and all(width > 1 for _, width in asked)
+    h = p.r.astype(float)[u] @ p.c1 + p.r.astype(float)[v] @ p.c2
+    top, words = h @ p.qc.T.astype(float) + p.bc, h @ p.q.T.astype(float) + p.b
+    own = lambda i: words[i][cls_of == cls_of[ids[i]]]
+    plain = [top[i, cls_of[w]] - np.log(np.exp(top[i]).sum()) + words[i, w] - np.log(np.exp(own(i)).sum()) for i, w in enumerate(ids)]
+    assert np.allclose(got, plain, atol=0.02)
+    # a text alone, and each of its contexts in a block of its own, has the same scores to the last bit
+    texts = [ids[a : a + 7].tolist() + [lm.STOP] for a in range(0, 70, 7)]
+    whole = scorer.log_probs(np.concatenate(texts))
+    assert whole.tolist() == [x for t in texts for x in scorer.log_probs(np.array(t)).tolist()]
+
+
+def test_lm_training_of_words_alone_in_a_class_follows_the_noise():
+    """Every noise word of a class of one is its word: one step moves its output as true and noise words together do."""
+    counts = np.array([900.0, 50, 40, 30, 20, 10, 5, 1])
+    cls_of = np.array([0, 1, 1, 1, 2, 2, 2, 2])
+    p = lm.Params.start(counts, cls_of, 3)
+    before = lm.Params.of(p.words(), p.classes())
+    ids = np.array([0] * 6 + [1])
+    lm.train_share(p, ids, cls_of, counts)
+    h = np.array([before.r[u] @ before.c1 + before.r[v] @ before.c2 for u, v in [(1, 1), (0, 1), *[(0, 0)] * 4]])
+    logit = h @ before.q[0] + before.b[0] - np.log(900.5 / 901.0) - np.log(lm.NOISE)
+    e = 1 - (1 + lm.NOISE) / (1 + np.exp(-logit))
+    g = np.append(e @ h, e.sum()) / len(ids)
+    moved = np.append(p.q[0] - before.q[0], p.b[0] - before.b[0])
+    assert np.allclose(moved, lm.RATE * 0.3 * g / np.sqrt(1e-3 + g * g), rtol=1e-3, atol=1e-5)
+
+
 def test_lm_score_of_equal_texts(spark):
     """Equal texts have equal scores, whatever stands beside them, however the table is dealt and read; long texts too."""
     docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
