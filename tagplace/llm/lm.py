@@ -230,7 +230,7 @@ def train_share(p: Params, ids: np.ndarray, cls_of: np.ndarray, counts: np.ndarr
         own = np.flatnonzero(~alone)
         many = several[there]
         met, n = there[many], sizes[many]
-        at = np.searchsorted(ends, low[met, None] + rng.random((len(met), NOISE)) * wide[met, None], side="right")
+        at = np.searchsorted(ends, low[met, None] + rng.random((len(there), NOISE))[many] * wide[met, None], side="right")
         kw = by_class[np.clip(at, cuts[met, None], cuts[met + 1, None] - 1)]
         chunks = -(-n // CHUNK)
         of = np.repeat(np.arange(len(met)), chunks)
