@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tagplace.operators import cluster
+from tagplace.operators import cells, cluster
 
 
 def test_kmeans_looks_up_each_place_once(spark, monkeypatch):
@@ -31,6 +31,19 @@ def test_kmeans_looks_up_each_place_once(spark, monkeypatch):
     assert all(abs(r[c] - final[r.label][c]) < 1 for r in means.collect() for c in "xyz")
 
 
+def test_fewer_places_than_centres(spark):
+    """Rows grow, places don't: each place is a centre then, and the centres beyond are copies without points."""
+    places = np.random.default_rng(5).normal(0, 3e6, (7, 3))
+    points = spark.createDataFrame([(i, *places[i % 7].tolist()) for i in range(70)], "id long, x double, y double, z double")
+    centers = cluster.kmeans_fit(points, 17)
+    assert sorted(r.label for r in centers.collect()) == list(range(17))
+    assert {(round(r.x, 3), round(r.y, 3), round(r.z, 3)) for r in centers.collect()} == {tuple(p) for p in places.round(3).tolist()}
+    near = cluster.nearest_center(points, centers)
+    assert near.agg(F.sum("d2")).first()[0] < 1e-6 and {r.label for r in near.collect()} == set(range(7))
+    rings = {r.label: r.ring for r in cells.cells_of(centers).collect()}
+    assert len(rings) == 17 and all(len(r) >= 3 for r in rings.values())
+
+
 def test_large_models_are_scored_in_blocks(spark, sf, monkeypatch):
     from tagplace.jobs.queries import Fitted
     from tagplace.operators import bayes
