@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import lla_to_ecef
 from ..functions.scores import idf, log_prior
 from ..operators.bayes import Scorer, class_denom, class_theta, nb_fit_bags, score_bags
 from ..operators.cells import cells_of
-from ..operators.cluster import assign_cells, cell_centers, kmeans_fit, labelled, num_classes, points_of
+from ..operators.cluster import MAX_CENTERS, assign_cells, cell_centers, kmeans_fit, labelled, num_classes, points_of
+from ..operators.folds import Folds, fold_hits, freed, terms_by_fold
 from ..operators.predict import LEVELS, hit_rates
-from ..operators.terms import idf_fit
-from ..sources.models import Draft, settled
+from ..operators.terms import MAX_TERMS, idf_fit
+from ..sources.models import Draft, deleted, settled
+
+MIN_OCCURRENCES = 5
 
 
 def train(media: DataFrame, path: str, per_class: int = 1000, load_existing: bool = True, seed: int = 42, max_iter: int = 50, polygons: bool = True) -> dict[str, DataFrame]:
@@ -88,12 +92,29 @@ def fold_models(rows: DataFrame, labels: DataFrame, folds: int, leaky: bool = Fa
 
 
 def fold_rates(media: DataFrame, folds: int = 5, per_class: int = 1000, seed: int = 42, levels: tuple[int, ...] = LEVELS, leaky: bool = False, centers: DataFrame | None = None, max_iter: int = 50) -> DataFrame:
-    """(fold, level, rate); ``leaky`` fits on all rows, ``centers`` are used instead of clustering each fold's rows."""
-    rows = settled(assign_folds(media, folds, seed), "folds")
+    """(fold, level, rate); ``leaky`` fits on all rows, ``centers`` are used instead of clustering each fold's rows.
+
+    The models are counted and scored in blocks of classes (``operators/folds.py``). With more than ``MAX_TERMS`` terms or
+    ``MAX_CENTERS`` centres they are tables.
+    """
+    spark, rows = media.sparkSession, settled(assign_folds(media, folds, seed), "folds")
+    k = None if centers is not None else num_classes(rows.count() * (folds - 1), folds * per_class)
+    counts = terms_by_fold(rows, folds, MIN_OCCURRENCES)
+    if counts.count() > MAX_TERMS or (centers.limit(MAX_CENTERS + 1).count() if k is None else k) > MAX_CENTERS:
+        return _fold_rates_by_tables(rows, folds, k, seed, levels, leaky, centers, max_iter)
+    own = Folds(rows.select("id", "tags", "fold", *[c.alias(n) for c, n in zip(lla_to_ecef(F.col("latitude"), F.col("longitude")), "xyz", strict=True)]), counts, folds, leaky, MIN_OCCURRENCES, 1.0)
+    deleted(spark, rows, counts)
+    freed(spark)
+    found = fold_hits(own, levels, centers, lambda points: kmeans_fit(points, k, max_iter=max_iter, seed=seed))
+    own.delete()
+    return spark.createDataFrame([(fold, level, int(n) / size) for fold, size, hits in found for level, n in zip(levels, hits, strict=True)], "fold int, level int, rate double")
+
+
+def _fold_rates_by_tables(rows: DataFrame, folds: int, k: int | None, seed: int, levels: tuple[int, ...], leaky: bool, centers: DataFrame | None, max_iter: int) -> DataFrame:
     if centers is not None:
         labels = settled(assign_cells(rows, centers), "labels")
     else:
-        k, labels = num_classes(rows.count() * (folds - 1), folds * per_class), None
+        labels = None
         for fold in range(folds):
             fitted = rows if leaky else train_test_split(rows, fold)[0]
             own = assign_cells(rows, kmeans_fit(points_of(fitted), k, max_iter=max_iter, seed=seed)).select(F.lit(fold).alias("model"), "id", "label")

@@ -182,3 +182,23 @@ def test_first_seen_sorts_no_frame(monkeypatch):
     assert first(False, rows[:1], rows[3:]) == [("media", 7, "a")]
     assert first(False, rows[:2], rows[2:]) == first(True, rows) == [("media", 7, "c")]
     assert first(True, rows[:1], rows[3:]) == []
+
+
+def test_folds_are_scored_where_their_classes_are_counted(spark, monkeypatch):
+    """No table of a row for each tag and class is shuffled or sent, and rates are those of the models as tables."""
+    from tagplace.jobs import train
+    from tagplace.operators import folds
+
+    rng = np.random.default_rng(7)
+    tags = [[f"t{j}" for j in rng.zipf(1.5, 12) % 40] + [None] for _ in range(160)] + [[], None]
+    media = spark.createDataFrame([(i, t, float(i % 9), float(i % 7)) for i, t in enumerate(tags)], "id long, tags array<string>, latitude double, longitude double")
+    rates = lambda: sorted((r.fold, r.level, round(r.rate, 9)) for r in train.fold_rates(media, 2, per_class=20, max_iter=2, levels=(1, 3)).collect())
+    with monkeypatch.context() as m:
+        m.setattr(train, "MAX_TERMS", 0)
+        want = rates()
+    assert len(want) == 4 and 0 < min(want, key=lambda r: r[2])[2] < 1
+    for name in ("fold_models", "Scorer", "score_bags"):
+        monkeypatch.setattr(train, name, None)
+    for name, value in (("WIDTH", 2), ("PART", 300), ("HOT", 5), ("ROWS", 11), ("PAIRS", 40)):
+        monkeypatch.setattr(folds, name, value)
+    assert rates() == want
