@@ -202,3 +202,18 @@ def test_folds_are_scored_where_their_classes_are_counted(spark, monkeypatch):
     for name, value in (("WIDTH", 2), ("PART", 300), ("HOT", 5), ("ROWS", 11), ("PAIRS", 40)):
         monkeypatch.setattr(folds, name, value)
     assert rates() == want
+
+
+def test_first_rows_of_many_keys_take_one_call():
+    import pyarrow as pa
+
+    from tagplace.streaming.jobs import first_of_keys
+
+    rng = np.random.default_rng(9)
+    rows = [("users", int(k), bool(a), int(o), int(k % 3), 0, f"v{i % 7}") for i, (k, a, o) in enumerate(zip(rng.integers(0, 50, 400), rng.random(400) < 0.1, rng.integers(1, 6, 400), strict=True))]
+    names = ["what", "key", "always", "o1", "o2", "o3", "value"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[a : a + 37]]) for a in range(0, 400, 37)]
+    got = [tuple(r.values()) for b in first_of_keys((pa.scalar("users"), pa.scalar(3)), iter(batches)) for r in b.to_pylist()]
+    best = {k: min((not r[2], *r[3:]) for r in rows if r[1] == k) for k in {r[1] for r in rows}}
+    want = [("users", k, 0 if b[0] else b[2], b[4]) for k, b in best.items()] + [("users", k, 0, None) for k, b in best.items() if not b[0]]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and list(first_of_keys((pa.scalar("users"), pa.scalar(3)), iter([]))) == []
